@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing
+from tracelake.llm import decontam, exact_dedup, mixing, secrets, simhash
 from tracelake.llm.common import table
 
 
@@ -12,11 +13,48 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("rid")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind < 3)
+
+    def n(kind: int):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text("spans").alias("spans"),
+        F.size(F.filter("spans", lambda s: s.live)).cast("long").alias("n_live"),
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.occurrences(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_secret_scan, op7_decontamination, op9_mixing)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -28,4 +66,33 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_decontamination": r"""
+        WITH dw AS (
+            SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        bw AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL),
+        pat AS (
+            SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+            FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                  FROM (SELECT item_id, w, least(13, len(w)) AS m FROM bw WHERE len(w) > 0))),
+        occ AS (
+            SELECT rid, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+            FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                  FROM dw, (SELECT DISTINCT m FROM pat) WHERE len(w) >= m)),
+        hit AS (SELECT rid, i, occ.m, item_id FROM occ JOIN pat ON occ.m = pat.m AND occ.g = pat.g),
+        nh AS (
+            SELECT rid, count(*) AS n_hit
+            FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT rid, i, m FROM hit)) GROUP BY rid),
+        ni AS (
+            SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN nh USING (rid) LEFT JOIN ni USING (rid)
+    """,
 }
