@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, exact_dedup, mixing, secrets, simhash
+from tracelake.llm import decontam, exact_dedup, html_text, mixing, secrets, simhash, warc
 from tracelake.llm.common import table
 
 
@@ -50,11 +50,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_simhash, op5_secret_scan, op7_decontamination, op9_mixing)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_exact_dedup,
+        op4_simhash,
+        op5_secret_scan,
+        op7_decontamination,
+        op8_warc,
+        op9_mixing,
+        op10_html_text,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -95,4 +119,15 @@ ORACLE_SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN nh USING (rid) LEFT JOIN ni USING (rid)
     """,
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)
+    """,
 }
