@@ -64,3 +64,15 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def byte_slices(batch, column: int, most: int):
+    """Slices of an Arrow batch with at most ``most`` bytes of a binary column each (a single longer row is one)."""
+    import numpy as np
+
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+        yield batch.slice(at, n)
+        at += n

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, exact_dedup, html_text, mixing, secrets, simhash, warc
-from tracelake.llm.common import table
+from tracelake.llm import decontam, exact_dedup, html_text, langid, mixing, secrets, simhash, toxicity, warc
+from tracelake.llm.common import crc_mod, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), model)
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +43,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    trees = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.occurrences(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -70,9 +84,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_toxicity,
         op3_exact_dedup,
         op4_simhash,
         op5_secret_scan,
+        op6_langid,
         op7_decontamination,
         op8_warc,
         op9_mixing,
