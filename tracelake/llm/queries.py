@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, exact_dedup, html_text, langid, mixing, secrets, simhash, toxicity, warc
+from tracelake.llm import decontam, exact_dedup, html_text, katz, langid, mixing, secrets, simhash, toxicity, warc
 from tracelake.llm.common import crc_mod, table
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, crc_mod("doc_id", 5) == 1)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -84,6 +89,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_katz,
         op2_toxicity,
         op3_exact_dedup,
         op4_simhash,
