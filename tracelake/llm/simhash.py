@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tracelake.llm.common import materialise, parts_for, text_of, with_row_id
+from tracelake.llm.common import materialise, text_of, with_row_id
+from tracelake.llm.exact_dedup import _key, one_row_per_key
 
 RADIUS = 2
 #: Pairs of the four 16-bit segments, highest bits first.
@@ -53,16 +54,17 @@ def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint(x.as_py() or b"", k) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view(np.int64))], ["id", "hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """``rid, id, fp`` of every row, written once."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    """``rid, id, hash, fp`` of every row (hash of the text), written once."""
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
-    return materialise(with_row_id(rows.mapInArrow(_fingerprints(k), f"id {kind}, fp long")), "simhash")
+    return materialise(with_row_id(rows.mapInArrow(_fingerprints(k), f"id {kind}, hash long, fp long")), "simhash")
 
 
 def _bits(value: Column, shift: int, n: int) -> Column:
@@ -235,7 +237,7 @@ def classes(edges: DataFrame, tag: str = "classes") -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, cut_above: int = 50_000
 ) -> DataFrame:
-    """One row per input row: ``rid, id_col, fp, component_id`` (smallest id of the class, null if all are null).
+    """One row per input row: ``rid, id_col, hash, fp, component_id`` (smallest id of the class, null if all are null).
 
     Null text counts as empty; texts without words have fingerprint zero and link like any other. Repeated rows
     are of one class. An empty table gives no rows; extra columns are ignored.
@@ -246,4 +248,14 @@ def near_duplicates(
     fps = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = fps.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = fps.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("rid", F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named, "fp").select("rid", F.col("id").alias(id_col), "hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """One document of every class of near-duplicates, that with the smallest id (ties: any one), with the columns of ``docs``."""
+    found = near_duplicates(docs, id_col, text_col, k)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rid", "hash"))
+    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    stay = ids.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("f"))
+    stay = stay.select(_key(F.col("f.id")).alias("__id"), F.col("f.hash").alias("__digest"))
+    return one_row_per_key(docs, F.xxhash64(text_of(text_col)), stay, id_col)
