@@ -205,7 +205,8 @@ def mix(
     ranked = pieces.alias("p").join(
         targets.select(F.col("source").alias("of"), "rank"), F.col("p.source").eqNullSafe(F.col("of"))
     )
-    mixed = slots.join(ranked.drop("of"), ["rank", "block"])
+    # Spark sees only the few rows that slots are made from, so it would broadcast them.
+    mixed = slots.hint("merge").join(ranked.drop("of"), ["rank", "block"])
     return rows, targets, mixed
 
 
