@@ -1,4 +1,8 @@
 """Registered queries of the reference operators and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tracelake.plans import table_queries, text_queries
+
+QUERIES = {f.__name__: f for m in (text_queries, table_queries) for f in m.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
