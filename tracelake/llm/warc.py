@@ -67,7 +67,7 @@ class _File:
         self.fs, self.shard, self.seq = fs, shard, seq
         self.name = f"pages-{shard:08d}-{seq:05d}.warc.gz"
         self.temp, self.final = f"{folder}/.tmp-{uuid.uuid4().hex}-{self.name}", f"{folder}/{self.name}"
-        self.out, self.sha, self.size, self.records = fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0
+        self.out, self.sha, self.size, self.records = fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0, 0
 
     def add(self, data: bytes) -> None:
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -231,7 +231,7 @@ def _read(folder_uri: str, with_payload: bool):
         for b in batches:
             for name, expected in zip(b.column("file").to_pylist(), b.column("n_records").to_pylist(), strict=True):
                 rows, n, size = [], 0, 0
-                with fs.open_input_stream(f"{folder}/{name}") as raw, gzip.GzipFile(fileobj=raw) as stream:
+                with fs.open_input_stream(f"{folder}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for head, block in _records(stream):
                         rows.append(parse(head, block)[: len(names)])
                         n, size = n + 1, size + len(block)
