@@ -62,6 +62,8 @@ class Trees:
         out = np.zeros((len(grams), len(self.langs)), np.float32)
         todo = np.arange(len(grams))
         for k in range(ORDER, -1, -1):
+            if not len(self.grams[k]):
+                continue
             key = grams[todo] & np.uint32((1 << 8 * (k + 1)) - 1)
             at = np.minimum(np.searchsorted(self.grams[k], key), len(self.grams[k]) - 1)
             known = self.grams[k][at] == key
@@ -97,7 +99,7 @@ def freeze(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarr
         where, of = np.unique(l.astype(np.uint64) << np.uint64(32) | ctx, return_inverse=True)
         total, distinct = np.bincount(of, weights=n), np.bincount(of)
         ckeys = np.unique(ctx)
-        esc = np.zeros((len(ckeys), n_langs), np.float32)
+        esc = np.zeros((max(1, len(ckeys)), n_langs), np.float32)
         cl, cc = (where >> np.uint64(32)).astype(np.int64), (where & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         esc[np.searchsorted(ckeys, cc), cl] = np.log2(distinct / (total + distinct))
         keys = np.unique(g) if k else np.arange(256, dtype=np.uint32)
