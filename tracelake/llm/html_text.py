@@ -28,6 +28,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SCOPES = set("article aside body div footer form header main nav section td th table blockquote html".split())
 #: A start tag ends an open element of the same set, up to the next scope.
 ENDS = {t: {"p"} for t in BLOCK} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}} | {
@@ -217,6 +218,7 @@ class Page:
             while top != k:  # what stands beside the way to the kept part is looked at by itself
                 up = parent[top]
                 todo += [c for c in children[up] if c != top]
+                keep |= {c for c in children[up] if self.tag[c] in HEADINGS and not gone[c]}  # a heading belongs to what it stands beside
                 top = up
         return keep
 
