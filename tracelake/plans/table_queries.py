@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import replies
 from tracelake.functions import text as T
-from tracelake.operators import align, intervals, stats, store
+from tracelake.operators import align, annotations, intervals, stats, store
 
 
 def _t(spark, sf_dir, name):
@@ -195,7 +195,62 @@ def interval_replies(spark, sf_dir):
     return conv.select("conv_id", "turn", F.coalesce(F.size(replies.related_intervals(F.col("text"))), F.lit(0)).cast("long").alias("n_pairs"))
 
 
+def _notes(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    r = F.struct(F.col("l_partkey").cast("string").alias("documentId"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 2).alias("end"))
+    pick = [F.array_sort(F.collect_list(F.when(c, r))).alias(n) for n, c in (("docRanges", F.col("l_returnflag") == "R"), ("codeRanges", F.col("l_returnflag") != "R"))]
+    return li.groupBy(F.col("l_orderkey").alias("id")).agg(*pick)
+
+
+def annotations_touching(spark, sf_dir):
+    return annotations.touching(_notes(spark, sf_dir), F.lit("7")).select("id")
+
+
+def annotation_ranges(spark, sf_dir):
+    files = _t(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").alias("id"))
+    got = annotations.with_files(annotations.ranges(_notes(spark, sf_dir)), files)
+    return got.select("id", "side", "documentId", "start", "end", "file_id")
+
+
+def _marks(spark, sf_dir, flag):
+    rows = _t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    return rows.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
+
+
+def highlight_flags(spark, sf_dir):
+    lines = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line_no"))
+    return annotations.highlight_flags(lines, _marks(spark, sf_dir, "R"), _marks(spark, sf_dir, "A"))
+
+
+def highlight_blocks(spark, sf_dir):
+    return annotations.highlight_blocks(highlight_flags(spark, sf_dir), "is_current")
+
+
+def distinct_blocks(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    blocks = li.select(
+        F.col("l_partkey").alias("filename"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_suppkey") % 10).alias("ordinal")
+    )
+    return annotations.distinct_blocks(blocks).select("filename", "start", "end", "ordinal")
+
+
+def selection_lines(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.regularize(F.col("text")), F.lit("")).alias("t"))
+    s = annotations.selection_lines(F.col("t"), F.lit(50), F.lit(400))
+    return docs.select("doc_id", s.alias("s")).select("doc_id", F.col("s.first").cast("long").alias("first_line"), F.col("s.last").cast("long").alias("last_line"))
+
+
+def upload_files(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    cur = pages.where("page_id % 2 = 0").select(F.concat(F.lit("f"), (F.col("page_id") % 40).cast("string"), F.lit(".md")).alias("path")).distinct().withColumn("content", F.lit("old"))
+    new = pages.where("page_id % 3 = 0").select(
+        F.concat(F.when(F.col("page_id") % 9 == 0, F.lit("../")).otherwise(F.lit("")), F.lit("f"), (F.col("page_id") % 40).cast("string"), F.lit(".md")).alias("path")
+    ).distinct().withColumn("content", F.lit("new"))
+    return annotations.upload(cur, new, "code", "/p/code_repo")
+
+
 QUERIES = [
+    annotations_touching, annotation_ranges, highlight_flags, highlight_blocks, distinct_blocks, selection_lines, upload_files,
     merge_intervals, merge_intervals_in_row, consecutive_runs, extract_related_code, extract_by_join, interval_overlap_join, first_enclosing_block,
     annotation_overlap, history_top15, alignment_upsert, alignment_delete, issue_update_first, issue_delete_first, requirement_stats, totals_rollup,
     to_review, code_file_coverage, issue_alignment_join, issues_of_alignments, remove_range, locale_sort_related, align_with_stub, interval_replies,
@@ -210,6 +265,11 @@ STATS = f"""
     FROM customer LEFT JOIN ({ALIGNED}) ON doc = c_custkey GROUP BY 1"""
 CUR = "SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"
 FIRSTS = "SELECT CAST(user_id AS VARCHAR) AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id IN (SELECT user_id FROM events WHERE event_id % 7 = 0) AS hit FROM events"
+FLAGS = """
+    SELECT o_orderkey AS file, CAST(n AS INTEGER) AS line_no,
+           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_current,
+           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_previous
+    FROM orders, (SELECT unnest(range(1, 10)) AS n)"""
 NL = f"""SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM (
     SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (
         SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))"""
@@ -274,4 +334,25 @@ ORACLE_SQL = {
         WHERE l_returnflag <> 'N' GROUP BY 1 HAVING count(*) > 1""",
     "locale_sort_related": "SELECT p_brand AS filename, p_partkey AS start FROM part",
     "interval_replies": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS n_pairs FROM conversations",
+    "annotations_touching": "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey = 7",
+    "annotation_ranges": """
+        SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'docRanges' ELSE 'codeRanges' END AS side, CAST(l_partkey AS VARCHAR) AS "documentId",
+               l_linenumber AS start, l_linenumber + 2 AS "end", CASE WHEN l_partkey % 3 = 0 THEN p_partkey END AS file_id
+        FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
+    "highlight_flags": f"{FLAGS}",
+    "highlight_blocks": f"""
+        SELECT file, min(line_no) AS start, max(line_no) AS "end" FROM (
+            SELECT file, line_no, line_no - row_number() OVER (PARTITION BY file ORDER BY line_no) AS g FROM ({FLAGS}) WHERE is_current)
+        GROUP BY file, g""",
+    "distinct_blocks": """
+        SELECT l_partkey AS filename, l_linenumber AS start, l_linenumber + 1 AS "end", max(l_orderkey * 10 + l_suppkey % 10) AS ordinal
+        FROM lineitem GROUP BY 1, 2, 3""",
+    "selection_lines": f"""
+        SELECT doc_id, length(s) - length(replace(s, chr(10), '')) + 1 AS first_line, length(e) - length(replace(e, chr(10), '')) + 1 AS last_line
+        FROM (SELECT doc_id, left(t, 50) AS s, left(t, 399) AS e FROM (
+            SELECT doc_id, replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(8203), '') AS t FROM documents))""",
+    "upload_files": """
+        WITH n AS (SELECT DISTINCT 'f' || (page_id % 40) || '.md' AS path FROM pages WHERE page_id % 3 = 0 AND page_id % 9 <> 0),
+        c AS (SELECT DISTINCT 'f' || (page_id % 40) || '.md' AS path FROM pages WHERE page_id % 2 = 0)
+        SELECT path, 'new' AS content FROM n UNION ALL SELECT path, 'old' FROM c WHERE path NOT IN (SELECT path FROM n)""",
 }
