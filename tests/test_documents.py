@@ -65,6 +65,56 @@ def test_docx_to_markdown(spark):
     assert got["b.docx"]["markdown"] is None and "BadZipFile" in got["b.docx"]["error"]
 
 
+MATH = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+
+
+def math(inner):
+    from xml.etree import ElementTree as ET
+
+    from tracelake.functions import omml
+
+    return omml.latex(ET.fromstring(f"<m:oMath {MATH}>{inner}</m:oMath>")).strip()
+
+
+def run_of(t):
+    return f"<m:r><m:t>{t}</m:t></m:r>"
+
+
+def test_office_math():
+    e, x, y = (lambda t: f"<m:e>{run_of(t)}</m:e>"), run_of("x"), run_of("y")
+    assert math(f"<m:f><m:num>{x}</m:num><m:den>{run_of('α')}</m:den></m:f>") == r"\frac{x}{\alpha }"
+    assert math(f"<m:rad><m:deg/>{e('x')}</m:rad>") == r"\sqrt{x}"
+    assert math(f"<m:sSubSup>{e('x')}<m:sub>{y}</m:sub><m:sup>{run_of('2')}</m:sup></m:sSubSup>") == "x_{y}^{2}"
+    assert math(f'<m:d><m:dPr><m:begChr m:val="["/><m:endChr m:val="]"/></m:dPr>{e("x")}</m:d>') == r"\left[x\right]"
+    assert math(f'<m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>{x}</m:sub><m:sup/>{e("y")}</m:nary>') == r"\sum_{x}{y}"
+    assert math(f'<m:acc><m:accPr><m:chr m:val="\u0303"/></m:accPr>{e("x")}</m:acc>') == r"\tilde{x}"
+    assert math(f"<m:m><m:mr>{e('a')}{e('b')}</m:mr><m:mr>{e('c')}{e('d')}</m:mr></m:m>") == r"\begin{matrix}a&b\\c&d\end{matrix}"
+    assert math(f"<m:func><m:fName>{run_of('sin')}</m:fName>{e('x')}</m:func>") == r"\sin{x}"
+    assert math(f"<m:limLow>{e('lim')}<m:lim>{run_of('x→∞')}</m:lim></m:limLow>") == r"\lim_{x\to \infty }"
+    assert math(f"<m:bar>{e('x')}</m:bar><m:unknown>{y}</m:unknown>") == r"\underline{x}y"
+
+
+def test_docx_math_tables_and_relations(spark):
+    def cell(t, span=1, merge=None):
+        m = "" if merge is None else "<w:vMerge/>" if merge == "continue" else f'<w:vMerge w:val="{merge}"/>'
+        return f'<w:tc><w:tcPr><w:gridSpan w:val="{span}"/>{m}</w:tcPr>{par(t)}</w:tc>'
+
+    table = f"<w:tbl><w:tr>{cell('h', 2)}{cell('v', 1, 'restart')}</w:tr><w:tr>{cell('a')}{cell('b')}{cell('', 1, 'continue')}</w:tr></w:tbl>"
+    body = f"<w:p><w:r><w:t>x = </w:t></w:r><m:oMath {MATH}>{run_of('β')}</m:oMath></w:p>" + table
+    data = io.BytesIO(word(body))
+    with zipfile.ZipFile(data, "a") as z:
+        rel = '<Relationship Id="{}" Type="http://t/{}" Target="{}"/>'
+        rels = rel.format("r1", "image", "media/i.png") + rel.format("r2", "oleObject", "embeddings/o.bin") + rel.format("r3", "hyperlink", "http://x")
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{rels}</Relationships>")
+        z.writestr("word/media/i.png", b"1234")
+    files = spark.createDataFrame([("a", data.getvalue()), ("b", b"")], "path string, content binary")
+    assert docx.to_markdown(files).where("path = 'a'").first()["markdown"].startswith(r"x = $\beta$")
+    html = docx.html_tables(files).first()["html"]
+    assert html == '<table><tr><td colspan="2">h</td><td rowspan="2">v</td></tr><tr><td>a</td><td>b</td></tr></table>'
+    assert [(r["id"], r["n_bytes"]) for r in docx.images(files).collect()] == [("r1", 4)]
+    assert [r["id"] for r in docx.embedded_objects(files).collect()] == ["r2"]
+
+
 def test_repository_scan(spark, tmp_path):
     for name, text in {"code_repo/a.py": "x\n\ny\n", "code_repo/s/b.cpp": "z", "code_repo/c.PY": "no", "doc_repo/d.md": "# d"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -1,7 +1,8 @@
 """Word documents to Markdown: headings, paragraphs, bullets, tables.
 
 Reading the package is a small helper that yields a row per block; joining the blocks to Markdown is a Spark job, so a
-document of any number of blocks is put together by the engine. Formula objects are not converted (see the README).
+document of any number of blocks is put together by the engine. Office math becomes LaTeX; embedded equation objects
+are listed, not converted (see the README).
 """
 
 from __future__ import annotations
@@ -12,24 +13,46 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tracelake.functions import omml
+
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLOCKS = "path string, seq int, kind string, level int, text string, cells array<string>, error string"
 
 
+def _run(run) -> str:
+    out = []
+    for part in run:
+        if part.tag == f"{W}t":
+            out.append((part.text or "").replace("\u00a0", "&nbsp;"))
+        elif part.tag == f"{W}br" and part.get(f"{W}type") == "page":
+            out.append('<div class="page"></div>')
+        elif part.tag in (f"{W}br", f"{W}cr"):
+            out.append("<br>")
+        elif part.tag == f"{W}tab":
+            out.append("\t")
+        elif part.tag in (f"{W}drawing", f"{W}object", f"{W}pict"):
+            ids = [v for x in part.iter() for k, v in x.attrib.items() if k in (f"{R}embed", f"{R}id")]
+            out += [f'<img src="{i}">' for i in ids[:1]]
+    return "".join(out)
+
+
 def _text(node) -> str:
-    """Runs of a paragraph, inserted ones included; breaks become newlines, deleted and hyperlink runs are left out."""
+    """Runs and formulas of a paragraph, inserted ones included; deleted and hyperlink runs are left out."""
     out = []
-    for run in [r for c in node for r in ([c] if c.tag == f"{W}r" else c.findall(f"{W}r") if c.tag in (f"{W}ins", f"{W}smartTag") else [])]:
-        for part in run:
-            if part.tag == f"{W}t":
-                out.append(part.text or "")
-            elif part.tag in (f"{W}br", f"{W}cr"):
-                out.append("\n")
-            elif part.tag == f"{W}tab":
-                out.append("\t")
+    for child in node:
+        if child.tag == f"{W}r":
+            out.append(_run(child))
+        elif child.tag in (f"{W}ins", f"{W}smartTag"):
+            out += [_run(r) for r in child.findall(f"{W}r")]
+        elif child.tag == f"{omml.M}oMath":
+            out.append(f"${omml.latex(child).strip()}$")
+        elif child.tag == f"{omml.M}oMathPara":
+            out += [f"$$ {omml.latex(x).strip()} $$" for x in child.findall(f"{omml.M}oMath")]
     return "".join(out)
 
 
@@ -104,3 +127,86 @@ def pending(files: DataFrame, converted: DataFrame) -> DataFrame:
     """Files whose content was not converted yet, by content hash."""
     hashed = files.withColumn("sha256", F.sha2("content", 256))
     return hashed.join(converted.select("sha256"), "sha256", "left_anti")
+
+
+RELATIONS = "path string, id string, kind string, target string, n_bytes long"
+
+
+def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    sizes = {i.filename: i.file_size for i in z.infolist()}
+                    for r in ET.fromstring(z.read("word/_rels/document.xml.rels")):
+                        target = r.get("Target", "")
+                        rows.append((path, r.get("Id"), r.get("Type", "").rpartition("/")[2], target, sizes.get(f"word/{target}")))
+            except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError):
+                continue
+        cols = list(zip(*rows)) or [()] * 5
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "id", "kind", "target", "n_bytes"])
+
+
+def relations(files: DataFrame) -> DataFrame:
+    """What documents refer to: images (``media/*``), embedded objects (``embeddings/*.bin``), links."""
+    return files.select("path", "content").mapInArrow(_relations, RELATIONS)
+
+
+def images(files: DataFrame) -> DataFrame:
+    return relations(files).where(F.startswith("target", F.lit("media/")))
+
+
+def embedded_objects(files: DataFrame) -> DataFrame:
+    return relations(files).where(F.col("target").rlike(r"^embeddings/.*\.bin$"))
+
+
+CELLS = "path string, tbl int, row int, cell int, span int, merge string, text string"
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
+            except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError):
+                continue
+            for t, table in enumerate(body.findall(f"{W}tbl") if body is not None else []):
+                for r, row in enumerate(table.findall(f"{W}tr")):
+                    for c, cell in enumerate(row.findall(f"{W}tc")):
+                        span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+                        n = int(span.get(f"{W}val", "1")) if span is not None else 1
+                        state = None if merge is None else merge.get(f"{W}val", "continue")
+                        rows.append((path, t, r, c, n, state, "<br>".join(_text(p) for p in cell.findall(f"{W}p"))))
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CELLS.split(", ")])
+
+
+def table_cells(files: DataFrame) -> DataFrame:
+    """Cells with grid column and row span: a cell that restarts a vertical merge spans the continuing ones below it."""
+    cells = files.select("path", "content").mapInArrow(_cells, CELLS)
+    before = Window.partitionBy("path", "tbl", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("grid", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("int"))
+    down = Window.partitionBy("path", "tbl", "grid").orderBy("row")
+    covered = F.coalesce(F.col("merge") == "continue", F.lit(False))
+    group = F.sum(F.when(covered, 0).otherwise(1)).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    height = F.count("*").over(Window.partitionBy("path", "tbl", "grid", "__g"))
+    return cells.withColumn("covered", covered).withColumn("__g", group).withColumn("rows", height.cast("int")).drop("__g")
+
+
+def html_tables(files: DataFrame) -> DataFrame:
+    """``path, tbl, html``: tables with column and row spans."""
+
+    def attribute(name: str, n) -> Column:
+        return F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise(F.lit(""))
+
+    cells = table_cells(files).where("not covered")
+    td = F.concat(F.lit("<td"), attribute("colspan", F.col("span")), attribute("rowspan", F.col("rows")), F.lit(">"), "text", F.lit("</td>"))
+    rows = cells.withColumn("td", td).groupBy("path", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "td"))).alias("c"))
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("c", lambda x: x["td"]), ""), F.lit("</tr>"))
+    per = rows.withColumn("tr", line).groupBy("path", "tbl").agg(F.array_sort(F.collect_list(F.struct("row", "tr"))).alias("r"))
+    return per.select("path", "tbl", F.concat(F.lit("<table>"), F.array_join(F.transform("r", lambda x: x["tr"]), ""), F.lit("</table>")).alias("html"))
