@@ -21,6 +21,8 @@ LINKS = "<ul>" + "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(
         (f"<body><div class='sidebar'>{LINKS}</div><div id='content'><h1>T</h1>{P1}{P2}</div><div class=footer>x y z</div></body>", f"T {T1} {T2}"),
         (f"<body><div class='page has-sidebar'><h1>T</h1><div>{P1}{P2}</div></div></body>", f"T {T1} {T2}"),
         (f"<article>{P1}</article><section class='comments'><article class='comment'><p>first! a long comment, yes.</p></article></section>", T1),
+        (f"<article><div class='entry-header'><h1>T</h1></div>{P1}</article><ins class='adsbygoogle'>buy</ins><div id='reader-comments'>{P2 * 9}</div>", f"T {T1}"),
+        (f"<body><ul class='main-menu'><li>Home</ul><div class='post'><h2>T</h2>{P1}{P2}</div><ol class='commentlist'><li>{P2}</ol><div role='alert'>{P2}</div>", f"T {T1} {T2}"),
         (f"<article>{P1}<form><p>Name</p><input></form><div class='cookie-notice'><p>We use cookies</p></div>{P2}</article>", f"{T1} {T2}"),
         (f"<article>{P1}<script>var t='</p><p>no';</script><style>p{{}}</style><!-- <p>no</p> -->{P2}</article>", f"{T1} {T2}"),
         (f"<article>{P1}<p style='display: none'>no</p><div hidden>no</div><p><b>open bold<br>line{P2}", f"{T1} open bold line {T2}"),

@@ -37,12 +37,13 @@ ENDS = {t: {"p"} for t in BLOCK} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"},
 FURNITURE = set("nav footer aside form button dialog menu input label head".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion cookie "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion cookie "
     "cookies consent gdpr notice notices notification alert newsletter subscribe subscription paywall popup modal overlay "
     "sidebar aside widget widgets related recommended recommendations share sharing social nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus replies reply respond "
+    "breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist teaser teasers disqus replies reply respond "
     "discussion login signin signup register search toolbar pagination pager copyright disclaimer skip hidden".split()
 )
+HEADERS = {"header", "masthead"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -120,8 +121,10 @@ class Page:
     def _furniture(self, name: str, attrs: str, stack: list[int]) -> bool:
         if name in FURNITURE:
             return True
+        # An article's own header holds its title.
+        inside = any(self.tag[k] in ("article", "main") for k in stack)
         if name == "header":
-            return not any(self.tag[k] in ("article", "main") for k in stack)
+            return not inside
         if not attrs or name in ("body", "html"):
             return False
         for key, value in ATTR.findall(attrs):
@@ -132,8 +135,10 @@ class Page:
                 return True
             if key == "role" and value.lower() in ROLES:
                 return True
-            if key in ("class", "id") and any(w.lower() in WORDS for w in SPLIT.split(value)):
-                return True
+            if key in ("class", "id"):
+                words = {w.lower() for w in SPLIT.split(value)}
+                if words & WORDS and not (inside and words & WORDS <= HEADERS):
+                    return True
         return False
 
     def main_text(self) -> str:
