@@ -260,8 +260,8 @@ ALIGNED = """
     SELECT o_orderkey AS id, o_custkey AS doc, o_orderstatus = 'F' AS rev, coalesce(n, 0) AS n
     FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) ON o_orderkey = l_orderkey"""
 STATS = f"""
-    SELECT c_custkey AS doc, count(id) AS total, count_if(n > 0) AS aligned, count_if(n > 0 AND rev) AS reviewed,
-           count(id) - count_if(n > 0) AS unaligned
+    SELECT c_custkey AS doc, count(id) AS total, CAST(count_if(n > 0) AS BIGINT) AS aligned,
+           CAST(count_if(n > 0 AND rev) AS BIGINT) AS reviewed, CAST(count(id) - count_if(n > 0) AS BIGINT) AS unaligned
     FROM customer LEFT JOIN ({ALIGNED}) ON doc = c_custkey GROUP BY 1"""
 CUR = "SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"
 FIRSTS = "SELECT CAST(user_id AS VARCHAR) AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id IN (SELECT user_id FROM events WHERE event_id % 7 = 0) AS hit FROM events"
