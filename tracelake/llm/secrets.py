@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
-Every whole text is scanned for the base kinds and for bare tokens of mixed character classes. All candidate
-values are hashed and counted over the corpus by distinct repositories and owners. A value that many owners
-carry is a copied example; one that few owners carry looks live. Bare tokens have no context of their own, so
-only the live-looking ones become spans (kind ``owned``); base spans always stay.
+Every whole text is scanned for the base kinds and for bare tokens of 20 or more characters, at least four digits
+and four letters among them. All candidate values are hashed and counted over the corpus by distinct repositories
+and owners. A value that many owners carry is a copied example; one that few owners carry looks live. Bare tokens
+have no context of their own, so only the live-looking ones become spans (kind ``owned``); base spans always stay.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ PATTERNS = {
     # Runs are greedy, so a minimum in the pattern drops just the matches that the length rule drops.
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "owned": r"[A-Za-z0-9+/_-]{20,}",
+    "owned": r"[A-Za-z0-9+_]{20,}",
 }
 ASSIGN_VALUE = 12
 #: Sums of lengths are kept for so many matches, so positions in a text with very many matches stay cheap.
@@ -75,7 +75,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     df = df.withColumn("base", F.concat(F.filter("assign", lambda s: F.length(s.value) >= ASSIGN_VALUE), "access", "hex"))
 
     def bare(s: Column) -> Column:
-        mixed = s.value.rlike("[0-9]") & s.value.rlike("[a-z]") & s.value.rlike("[A-Z]")
+        mixed = s.value.rlike("^(?:[^0-9]*[0-9]){4}") & s.value.rlike("^(?:[^A-Za-z]*[A-Za-z]){4}")
         return mixed & ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
 
     df = df.withColumn("spans", F.array_sort(F.concat("base", F.filter("owned", bare)), _by_start))
