@@ -176,6 +176,20 @@ ORACLE_SQL = {
                        CASE WHEN text LIKE '%' || chr(10) OR text LIKE '%' || chr(13) THEN 1 ELSE 0 END AS BIGINT), text
         FROM documents WHERE contains(text, chr(13))""",
     "token_counts": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+|[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s]')) AS BIGINT) AS n_tokens FROM documents",
+    "token_budget_chunks": f"""
+        WITH RECURSIVE tok AS (
+            SELECT doc_id, line_no, line_no || ': ' || line AS t,
+                   len(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s]')) AS c
+            FROM ({NUMBERED})),
+        packed AS (
+            SELECT doc_id, line_no, t, 0 AS chunk_no, 200 - c AS room FROM tok WHERE line_no = 1
+            UNION ALL
+            SELECT n.doc_id, n.line_no, n.t, p.chunk_no + CASE WHEN n.c <= p.room THEN 0 ELSE 1 END,
+                   CASE WHEN n.c <= p.room THEN p.room ELSE 200 END - n.c
+            FROM packed p JOIN tok n ON n.doc_id = p.doc_id AND n.line_no = p.line_no + 1)
+        SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(min(line_no) AS INTEGER) AS start_line,
+               CAST(max(line_no) AS INTEGER) AS end_line, string_agg(t || chr(10), '' ORDER BY line_no) AS content
+        FROM packed GROUP BY doc_id, chunk_no""",
     "parse_related_code_json": """
         SELECT l_orderkey, l_linenumber, l_linenumber AS start, l_linenumber + 2 AS "end" FROM lineitem
         UNION ALL SELECT l_orderkey, l_linenumber, 50, l_linenumber + 50 FROM lineitem""",
