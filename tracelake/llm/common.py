@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +61,6 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-rows // per_part))
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def byte_slices(batch, column: int, most: int):
     """Slices of an Arrow batch with at most ``most`` bytes of a binary column each (a single longer row is one)."""
     import numpy as np
