@@ -42,6 +42,12 @@ def test_densest_part_without_article():
     assert main_text(body) == " ".join(["One", *[T1] * 3, "Two", *[T2] * 3])
 
 
+def test_link_lists_and_imprint_without_article():
+    links = '<a href="/a">Link a</a> <a href="/b">Link b</a> <a href="/c">Link c</a>'
+    body = f"<body><h1>One</h1>{P1}{P2}<p>{links}</p><div>Copyright 2024 &copy; All rights reserved.</div></body>"
+    assert main_text(body) == f"One {T1} {T2}"
+
+
 def test_operator(spark):
     schema = "page_id long, url string, html string, n_chars string"
     rows = [(1, "u", f"<article>{P1}</article>", "c"), (None, None, None, None), (2, "u", "", "c"), (3, "u", "<p>é😀", "c"), (3, "u", "<p>é😀", "c")]

@@ -40,12 +40,14 @@ WORDS = set(
     "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion cookie "
     "cookies consent gdpr notice notices notification alert newsletter subscribe subscription paywall popup modal overlay "
     "sidebar aside widget widgets related recommended recommendations share sharing social nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist teaser teasers disqus replies reply respond "
+    "breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist teaser teasers disqus replies reply respond responses "
     "discussion login signin signup register search toolbar pagination pager copyright disclaimer skip hidden".split()
 )
 HEADERS = {"header", "masthead"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: What opens or marks an imprint, and how many characters it has at most.
+RIGHTS, IMPRINT = re.compile(r"^\s*(?:copyright\b|\u00a9)|\ball rights reserved\b", re.I), 300
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -196,6 +198,11 @@ class Page:
             keep = {inner[-1] if inner else scope}
         else:
             keep = self._dense(density, sums, gone, threshold)
+            # Without an article, lists of links and the imprint can stand in the kept part.
+            marks = {node for node, piece in self.text if piece and RIGHTS.search(piece) and total[node] < IMPRINT}
+            for k in range(1, n):
+                listed = tag[k] in BLOCK and links[k] >= 3 and 10 * link[k] >= 9 * chars[k]
+                gone[k] |= gone[parent[k]] or listed or k in marks
         chosen = [False] * n
         for k in range(n):
             chosen[k] = not gone[k] and (k in keep or k > 0 and chosen[parent[k]])
