@@ -195,9 +195,11 @@ def _add_up(table: pa.Table) -> pa.Table:
     keys = [unpack_sorted(k.as_py()) for _, k, _ in rows]
     ends = np.cumsum([len(k) for k in keys])
     count = np.concatenate([unpack(c.as_py(), np.uint32) for _, _, c in rows]).astype(np.int64)
-    order = np.argsort(np.concatenate(keys), kind="stable")
-    new = np.diff(np.concatenate(keys)[order], prepend=~np.concatenate(keys)[order[:1]]) != 0
-    key = np.cumsum(new) - 1
+    flat = np.concatenate(keys)
+    del keys
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    key = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1
     total = np.bincount(key, weights=count[order]).astype(np.int64)
     trains = np.flatnonzero(count[order] > 0)
     _, first = np.unique(key[trains], return_index=True)
@@ -207,6 +209,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     seen = total[total > 0]
     totals = [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, GOOD_TURING + 2))]
     out = [pack(a) for a in np.split(answer, ends[:-1])]
+    del flat, order, key, count
     return pa.table(
         {
             "n": pa.array([n] * (len(rows) + 1), pa.int32()),
