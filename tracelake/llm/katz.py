@@ -337,8 +337,11 @@ def _by_part(kind: str, unit: int, keys: np.ndarray, bits: int, b: np.ndarray, c
     return [(kind, k, unit, pack_sorted(keys[s]), pack(b[s]), pack(c[s])) for k, s in spans]
 
 
+WEIGHTS = "kind string, part int, unit long, a binary, b binary"
+
+
 def _backoff(table: pa.Table) -> pa.Table:
-    """One partition of histories: exact weights from all that owners sent; answers the texts' questions as sums."""
+    """One partition of histories: exact weights from all that owners sent, kept as a table; questions answered as sums."""
     rows = table.to_pylist()
     own = [r for r in rows if r["kind"] == "owned"]
     keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(r["a"]) for r in own)])
@@ -347,16 +350,16 @@ def _backoff(table: pa.Table) -> pa.Table:
         np.bincount(inverse, weights=np.concatenate([np.zeros(0), *(unpack(r[x], np.float64) for r in own)]), minlength=len(known)) for x in "bc"
     )
     weight = np.log10(freed / np.maximum(1 - taken, 1e-300))
-    out = []
+    out = [("weight", rows[0]["part"], -1, pack_sorted(known), pack(weight))]
     for r in rows:
         if r["kind"] == "asked":
             at = np.searchsorted(known, unpack_sorted(r["a"]))
             text, times = unpack(r["b"], np.uint32), unpack(r["c"], np.uint32)
             sums = np.bincount(text, weights=weight[at] * times)
             some = np.unique(text)
-            out.append((r["unit"], pack(some), pack(sums[some])))
-    cols = list(zip(*out)) or [(), (), ()]
-    return pa.table([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], names=["unit", "text", "sum"])
+            out.append(("sum", r["part"], r["unit"], pack(some), pack(sums[some])))
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in WEIGHTS.split(", ")])
 
 
 def _finish(total: int):
@@ -364,8 +367,8 @@ def _finish(total: int):
         row = texts.to_pylist()[0]
         score, base, known = unpack(row["a"], np.float64).reshape(-1, 3).T
         score = score.copy()
-        rows = sorted(zip((x.as_py() for x in sums["text"]), (x.as_py() for x in sums["sum"])))
-        for text, part in rows:
+        rows = sorted(zip(sums["part"].to_pylist(), (x.as_py() for x in sums["a"]), (x.as_py() for x in sums["b"])))
+        for _, text, part in rows:
             np.add.at(score, unpack(text, np.uint32), unpack(part, np.float64))
         n = len(score)
         ids = texts["ids"].combine_chunks().flatten()
@@ -404,7 +407,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n_words, n_pairs = units.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
     bits = {n: max(2, int(np.ceil(np.log2(max(1, k / PART_KEYS))))) for n, k in ((1, n_words), (2, n_pairs))}
     asked = units.mapInArrow(_requests(bits), "n int, part int, unit long, keys binary, counts binary")
-    counts = materialise(asked.groupBy("n", "part").applyInArrow(_add_up, ANSWERS), "katz-counts")
+    counts = materialise(asked.groupBy("n", "part").applyInArrow(_add_up, ANSWERS), "katz-counts", "n")
     sums = [F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(GOOD_TURING + 3)]
     totals = {r[0]: list(r[1:]) for r in counts.where("unit = -1").groupBy("n").agg(*sums).collect()}
     none = [0] * (GOOD_TURING + 3)
@@ -420,9 +423,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ),
         "katz-parts",
     )
-    weights = (
-        parts.where("kind <> 'text'").drop("ids").groupBy("part").applyInArrow(_backoff, "unit long, text binary, sum binary")
-    )
+    weights = materialise(
+        parts.where("kind <> 'text'").drop("ids").groupBy("part").applyInArrow(_backoff, WEIGHTS), "katz-weights", "kind"
+    ).where("kind = 'sum'")
     texts = parts.where("kind = 'text'").select("unit", "a", "b", "c", "ids")
     out = texts.groupBy("unit").cogroup(weights.groupBy("unit")).applyInArrow(_finish(one[0]), schema)
     return out.withColumnRenamed("id", id_col)
