@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,18 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that files of finished shuffles go now and not at some later time.
+
+    Spark drops them once nothing refers to them; between steps that shuffle more than the input this saves disk. What
+    the first collection lets go of is what the second one finds.
+    """
+    gc.collect()
+    for pause in (0.5, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

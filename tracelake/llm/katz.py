@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_slices, materialise, text_of
+from tracelake.llm.common import byte_slices, materialise, release_shuffles, text_of
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -408,6 +408,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     bits = {n: max(2, int(np.ceil(np.log2(max(1, k / PART_KEYS))))) for n, k in ((1, n_words), (2, n_pairs))}
     asked = units.mapInArrow(_requests(bits), "n int, part int, unit long, keys binary, counts binary")
     counts = materialise(asked.groupBy("n", "part").applyInArrow(_add_up, ANSWERS), "katz-counts", "n")
+    release_shuffles(spark)
     sums = [F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(GOOD_TURING + 3)]
     totals = {r[0]: list(r[1:]) for r in counts.where("unit = -1").groupBy("n").agg(*sums).collect()}
     none = [0] * (GOOD_TURING + 3)
@@ -423,6 +424,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         ),
         "katz-parts",
     )
+    release_shuffles(spark)
     weights = materialise(
         parts.where("kind <> 'text'").drop("ids").groupBy("part").applyInArrow(_backoff, WEIGHTS), "katz-weights", "kind"
     ).where("kind = 'sum'")
