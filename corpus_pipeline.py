@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontam, exact_dedup, langid, mixing, simhash
+from tracelake.llm import decontam, exact_dedup, langid, mixing, shingles
 from tracelake.llm.common import crc_mod, materialise, table
 
 
@@ -24,8 +24,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each class of texts with a five-word Jaccard similarity of 0.8 or more, that with the smallest id."""
+    return shingles.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: Language ID, SimHash classes and the draw of the mix are not expressible in SQL; tests use brute force.
+#: Language ID, classes of near-duplicates and the draw of the mix are not expressible in SQL; tests use brute force.
 ORACLE_SQL = None
 
 

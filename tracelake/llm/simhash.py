@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tracelake.llm.common import materialise, text_of, with_row_id
-from tracelake.llm.exact_dedup import _key, one_row_per_key
 
 RADIUS = 2
 #: Pairs of the four 16-bit segments, highest bits first.
@@ -249,13 +248,3 @@ def near_duplicates(
     least = fps.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = fps.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("rid", F.col("id").alias(id_col), "hash", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """One document of every class of near-duplicates, that with the smallest id (ties: any one), with the columns of ``docs``."""
-    found = near_duplicates(docs, id_col, text_col, k)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rid", "hash"))
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = ids.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("f"))
-    stay = stay.select(_key(F.col("f.id")).alias("__id"), F.col("f.hash").alias("__digest"))
-    return one_row_per_key(docs, F.xxhash64(text_of(text_col)), stay, id_col)
