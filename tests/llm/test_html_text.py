@@ -48,6 +48,30 @@ def test_link_lists_and_imprint_without_article():
     assert main_text(body) == f"One {T1} {T2}"
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<section id=discussion><h2>Discussion</h2>{P2}</section>", f"Discussion {T2}"),
+        (f"<h2 id=related-work>Related work</h2>{P2}", f"Related work {T2}"),
+        (f"<div class=search-results>{P2}</div>", T2),
+        (f"<section id=responses>{P2}</section>", T2),
+        ("<p class=hidden-gems>Small places.</p>", "Small places."),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+        ("<object data=a.pdf>The table as text.</object><noscript><p>The map as text.</p></noscript>", "The table as text. The map as text."),
+        (f"<div class=related>{LINKS}</div><div class=share><span>Share</span><span>Mail</span></div>", ""),
+        ("<p class='note hidden'>no</p><div class='newsletter-box'><p>Sign up for the weekly letter, dear reader.</p></div>", ""),
+    ],
+)
+def test_words_inside_an_article_only_make_suspect(inner, want):
+    assert main_text(f"<body><nav>{LINKS}</nav><article><h1>T</h1>{P1}{inner}</article></body>") == f"T {T1} {want}".strip()
+
+
+@pytest.mark.parametrize("imprint", ["Copyright 2024 Foo Bar Ltd.", "&copy; 2019-2024 <a href=/>The Daily Planet</a>. All rights reserved."])
+def test_only_an_imprint_is_an_imprint(imprint):
+    prose = "Copyright law protects the authors of books."
+    assert main_text(f"<body><h1>One</h1>{P1}<p>{prose}</p>{P2}<div>{imprint}</div></body>") == f"One {T1} {prose} {T2}"
+
+
 def test_operator(spark):
     schema = "page_id long, url string, html string, n_chars string"
     rows = [(1, "u", f"<article>{P1}</article>", "c"), (None, None, None, None), (2, "u", "", "c"), (3, "u", "<p>é😀", "c"), (3, "u", "<p>é😀", "c")]

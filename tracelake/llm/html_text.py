@@ -22,7 +22,7 @@ from tracelake.llm.common import text_of
 
 # Fixed values of HTML: elements by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object xmp noframes select".split())
+RAW = set("script style textarea title template iframe svg xmp noframes select annotation annotation-xml".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
@@ -43,11 +43,23 @@ WORDS = set(
     "breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist teaser teasers disqus replies reply respond responses "
     "discussion login signin signup register search toolbar pagination pager copyright disclaimer skip hidden".split()
 )
+#: Of these, what says inside an article too that a node is none of it; other words only make it suspect there.
+SURE = set(
+    "ads adsbygoogle adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted cookie cookies consent gdpr "
+    "newsletter subscribe paywall popup modal overlay sidebar widget widgets navbar breadcrumb breadcrumbs topbar comment comments "
+    "commentlist disqus signin signup pagination pager".split()
+)
+#: Whole class or id of a node that is not shown.
+HIDDEN = re.compile(r"(?:^|\s)(?:hidden|is-hidden|d-none)(?:\s|$)", re.I)
+#: Suspect nodes stay with at most half of their characters in links and so many characters per tag.
+PROSE = 15
 HEADERS = {"header", "masthead"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: What opens or marks an imprint, and how many characters it has at most.
+#: What opens or marks an imprint, how many characters it has at most, and the whole of one: marks, years and a name.
 RIGHTS, IMPRINT = re.compile(r"^\s*(?:copyright\b|\u00a9)|\ball rights reserved\b", re.I), 300
+MARKS = re.compile(r"\bcopyright\b|\u00a9|\(c\)|\ball rights reserved\b|\b\d{4}\b|[\W_]+", re.I)
+NAME = re.compile(r"(?:(?:[^\Wa-z]\S*|by|and|of|the|for|de|der|von) ?){0,8}")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -55,7 +67,7 @@ class Page:
     """Nodes in page order, a node after its parent; text as (node, piece) with None for a break."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.out, self.suspect = ["html"], [-1], [False], [False]
         self.text: list[tuple[int, str | None]] = []
         self._parse(source)
 
@@ -82,7 +94,8 @@ class Page:
                 self._close(stack, name)
                 continue
             attrs = m[3] or ""
-            if name in RAW and not attrs.endswith("/"):
+            raw = name in RAW or name == "noscript" and not self._inside(stack)
+            if raw and not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
                 continue
@@ -104,7 +117,9 @@ class Page:
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.out.append(self._furniture(name, attrs, stack))
+        out = self._furniture(name, attrs, stack)
+        self.out.append(out is True)
+        self.suspect.append(out is None)
         if name in BLOCK or name == "br":
             self.text.append((node, None))
         if name not in VOID and not attrs.endswith("/"):
@@ -120,11 +135,15 @@ class Page:
             if self.tag[stack[k]] in SCOPES and name not in SCOPES:
                 return
 
-    def _furniture(self, name: str, attrs: str, stack: list[int]) -> bool:
+    def _inside(self, stack: list[int]) -> bool:
+        return any(self.tag[k] in ("article", "main") for k in stack)
+
+    def _furniture(self, name: str, attrs: str, stack: list[int]) -> bool | None:
+        """Whether a node is furniture; None where the density decides."""
         if name in FURNITURE:
             return True
         # An article's own header holds its title.
-        inside = any(self.tag[k] in ("article", "main") for k in stack)
+        inside, suspect = self._inside(stack), False
         if name == "header":
             return not inside
         if not attrs or name in ("body", "html"):
@@ -138,10 +157,11 @@ class Page:
             if key == "role" and value.lower() in ROLES:
                 return True
             if key in ("class", "id"):
-                words = {w.lower() for w in SPLIT.split(value)}
-                if words & WORDS and not (inside and words & WORDS <= HEADERS):
+                words = {w.lower() for w in SPLIT.split(value)} & WORDS
+                if words & SURE or words and not inside or HIDDEN.search(value):
                     return True
-        return False
+                suspect |= not words <= HEADERS and name not in HEADINGS
+        return None if suspect else False
 
     def main_text(self) -> str:
         n, tag, parent = len(self.tag), self.tag, self.parent
@@ -154,14 +174,20 @@ class Page:
         for k in range(n - 1, 0, -1):
             total[parent[k]] += total[k]
             holds[parent[k]] |= holds[k] and tag[k] not in FURNITURE
+        in_link, tags, link = [False] * n, [1] * n, [0] * n
+        for k in range(1, n):
+            in_link[k] = in_link[parent[k]] or tag[k] == "a"
+        for k in range(n - 1, 0, -1):
+            link[k] += own[k] if in_link[k] else 0
+            link[parent[k]] += link[k]
+            tags[parent[k]] += tags[k]
+            if self.suspect[k]:
+                self.out[k] = 2 * link[k] > total[k] or tag[k] != "p" and total[k] < PROSE * tags[k]
         gone = [False] * n
         for k in range(1, n):
             wrapper = holds[k] and tag[k] not in FURNITURE and 2 * total[k] > total[0]
             gone[k] = gone[parent[k]] or (self.out[k] and not wrapper)
         chars, tags, link, links = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
-        for k in range(1, n):
-            in_link[k] = in_link[parent[k]] or tag[k] == "a"
         for k in range(n - 1, -1, -1):
             if gone[k]:
                 continue
@@ -200,6 +226,7 @@ class Page:
             keep = self._dense(density, sums, gone, threshold)
             # Without an article, lists of links and the imprint can stand in the kept part.
             marks = {node for node, piece in self.text if piece and RIGHTS.search(piece) and total[node] < IMPRINT}
+            marks = {k for k in marks if self._imprint(k)}
             for k in range(1, n):
                 listed = tag[k] in BLOCK and links[k] >= 3 and 10 * link[k] >= 9 * chars[k]
                 gone[k] |= gone[parent[k]] or listed or k in marks
@@ -209,6 +236,15 @@ class Page:
         pieces = [" " if piece is None else piece for node, piece in self.text if piece is None or chosen[node]]
         return " ".join("".join(pieces).split())
 
+    def _imprint(self, top: int) -> bool:
+        """Whether a node's text is nothing but an imprint."""
+        inside = {top}
+        for k in range(top + 1, len(self.tag)):
+            if self.parent[k] in inside:
+                inside.add(k)
+        pieces = [" " if piece is None else piece for node, piece in self.text if node in inside]
+        return NAME.fullmatch(MARKS.sub(" ", "".join(pieces)).strip()) is not None
+
     def _dense(self, density, sums, gone, threshold) -> set[int]:
         """Roots of the parts kept: in every dense enough subtree, from the body down, the node of the largest sum."""
         n, parent = len(self.tag), self.parent
