@@ -95,3 +95,24 @@ def test_nothing_to_learn_and_nothing_to_score(spark):
     one = katz.score(spark.createDataFrame([(1, "a b", True, "")], SCHEMA), F.col("held")).first()
     assert (one["n_tokens"], one["n_known"], one["train_tokens"], one["score"]) == (3, 0, 0, 0.0)
     assert katz.score(spark.createDataFrame([], SCHEMA), F.col("held")).count() == 0
+
+
+def test_counts_beyond_31_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [np.array([5, 9], np.uint64), np.array([9], np.uint64), np.array([5], np.uint64)]
+    counts = [np.array([3, 1 << 31], np.uint32), np.array([(1 << 32) - 1], np.uint32), np.array([4], np.uint32)]
+    table = pa.table(
+        {
+            "n": [1] * 3,
+            "part": [0] * 3,
+            "unit": [0, 1, 2],
+            "keys": [katz.pack_sorted(k) for k in keys],
+            "counts": [katz.pack(c) for c in counts],
+        }
+    )
+    answers = [katz.unpack_counts(a).tolist() for a in katz._add_up(table)["answers"].to_pylist()[:3]]
+    both = (1 << 31) + (1 << 32) - 1
+    assert [[a >> 1 for a in x] for x in answers] == [[7, both], [both], [7]]
+    assert [[a & 1 for a in x] for x in answers] == [[1, 1], [0], [0]]

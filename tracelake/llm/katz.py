@@ -57,6 +57,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, of 64 where one of them needs more."""
+    wide = len(values) > 0 and int(values.max()) >> 32 > 0
+    return bytes([wide]) + pack(values.astype(np.uint64 if wide else np.uint32, copy=False))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.uint64 if data[0] else np.uint32)
+
+
 # -- units ----------------------------------------------------------------------------------------------------------
 
 
@@ -203,12 +213,13 @@ def _add_up(table: pa.Table) -> pa.Table:
     total = np.bincount(key, weights=count[order]).astype(np.int64)
     trains = np.flatnonzero(count[order] > 0)
     _, first = np.unique(key[trains], return_index=True)
-    answer = np.empty(len(order), np.uint32)
-    answer[order] = (total[key] << 1).astype(np.uint32)
-    answer[order[trains[first]]] |= np.uint32(1)
+    kind = np.uint32 if int(total.max(initial=0)) < 1 << 31 else np.uint64
+    answer = np.empty(len(order), kind)
+    answer[order] = (total[key] << 1).astype(kind)
+    answer[order[trains[first]]] |= kind(1)
     seen = total[total > 0]
     totals = [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, GOOD_TURING + 2))]
-    out = [pack(a) for a in np.split(answer, ends[:-1])]
+    out = [pack_counts(a) for a in np.split(answer, ends[:-1])]
     del flat, order, key, count
     return pa.table(
         {
@@ -284,7 +295,7 @@ def _evaluate(ids_type: str, shared, bits: int):
         got: dict[int, np.ndarray] = {}
         for n in (1, 2):
             mine = sorted((p, a) for m, p, a in zip(answers["n"].to_pylist(), answers["part"].to_pylist(), answers["answers"]) if m == n)
-            got[n] = np.concatenate([unpack(a.as_py(), np.uint32) for _, a in mine])
+            got[n] = np.concatenate([unpack_counts(a.as_py()) for _, a in mine])
         count = np.empty(len(unit.words), np.int64)
         count[unit.sorted_words()] = got[1] >> 1
         as_history = np.r_[count, begin]
