@@ -15,6 +15,7 @@ def pages():
     ]
     rows += [(100 + k, f"u{k}", f"{k}-" + "v" * 4000, "c") for k in range(40)]
     rows += [(50, "same", "q" * 150, "c")] * 3 + [(51, "same", "q" * 150, "c")]
+    rows += [(60, "http://a/%41%2F?q=%20", "r" * 120, "c"), (61, ' sp"ace\n\u00e9 ', "s" * 120, "c"), (62, "", "t" * 120, "c"), (1 << 40, "far", "u" * 120, "c")]
     return rows
 
 
@@ -41,6 +42,7 @@ def test_round_trip(spark, tmp_path):
     fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(repr(tuple(r[f] for f in fields)) for r in got) == expected(rows)
     assert len({r["record_id"] for r in got}) == len(rows)
+    assert sorted(map(repr, ((r["page_id"], r["url"]) for r in got))) == sorted(repr(r[:2]) for r in rows)
     payloads = {(r["page_id"], r["url"]): bytes(r["payload"]) for r in got if r["record_type"] == "response"}
     assert payloads[(20, "u")] == rows[9][2].encode()
     listed = manifest.collect()
@@ -67,6 +69,20 @@ def test_same_rows_same_bytes(spark, tmp_path):
     assert names[0] == names[1]
 
 
+def test_shards_hold_equal_bytes_and_every_file_is_a_task(spark, tmp_path):
+    """Ids of which one is far out, and so many files that a task reads few of them."""
+    rows = [(k if k else 1 << 50, f"u{k}", f"{k}-" + "v" * 500, "c") for k in range(200)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/m", shard_bytes=5000, roll_bytes=500)
+    listed = manifest.collect()
+    per_shard = {}
+    for m in listed:
+        per_shard[m["shard"]] = per_shard.get(m["shard"], 0) + m["n_records"]
+    assert len(per_shard) > 30 and max(per_shard.values()) <= 6 and len(listed) > 60
+    read = warc.read_archives(manifest, f"file://{tmp_path}/m")
+    assert read.rdd.getNumPartitions() == len(listed)
+    assert sorted(r["page_id"] for r in read.select("page_id").collect()) == sorted(r[0] for r in rows)
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/e"
     manifest = warc.write_archives(spark.createDataFrame([], SCHEMA), folder)

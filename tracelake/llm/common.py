@@ -2,50 +2,55 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests, notebooks).
+#: Used only where a session of one machine names no shared folder (tests, notebooks).
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or our own where that is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one machine (``local[...]``) gets a folder of its own; on a cluster there is no
+    folder that all would see, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="tracelake-"))
     return _OWN[0]
 
 
-def materialise(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
+#: Spark's setting that files of an execution's shuffles go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table and read it back. Once it is written nothing needs its shuffles, so their files go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that files of finished shuffles go now and not at some later time.
-
-    Spark drops them once nothing refers to them; between steps that shuffle more than the input this saves disk. What
-    the first collection lets go of is what the second one finds.
-    """
-    gc.collect()
-    for pause in (0.5, 0):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
+def materialise(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+    """``save`` to the shared folder under a name of its own: lineage is cut, a lost executor loses nothing."""
+    return save(df, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}", partition_by)
 
 
 def nullable(schema: T.StructType) -> T.StructType:

@@ -1,8 +1,9 @@
 """Deterministic sharded WARC archives: written in range order, committed by manifest, read back.
 
-Shards are ranges of the id that depend on the rows alone: a histogram of payload bytes over equal id ranges is cut
-at equal sums. A task writes its shards record by record, each record a gzip member, and starts a new file once the
-compressed size passes the limit. Files are written under temporary names and renamed when whole; the manifest,
+Records are in the order of (id, url, digest). A shard is a range of that order, cut where the running sum of payload
+bytes passes a multiple of the shard size, so shards depend on the rows alone and hold equal bytes whatever the ids
+look like. Each shard is a task, which writes record by record, each record a gzip member, and starts a new file once
+the compressed size passes the limit. Files are written under temporary names and renamed when whole; the manifest,
 itself a table that Spark commits, lists the files that count. A task that runs twice writes the same bytes.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import urllib.parse
 import uuid
 import zlib
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tracelake.llm.common import materialise, shared_dir, text_of
+from tracelake.llm.common import materialise, parts_for, save, shared_dir, text_of
 
 MANIFEST = "file string, shard long, seq int, n_records long, n_bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string"
@@ -46,7 +49,10 @@ def record(page_id, url, payload: bytes, digest: str, refers: tuple | None, copy
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe="".join(map(chr, range(33, 127)))))
+        uri = urllib.parse.quote(url, safe="".join(map(chr, range(33, 127))))
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:  # what no header can hold is escaped there, and stands exactly in a header of its own
+            head.append(f"X-Page-URL: {json.dumps(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers:
@@ -120,28 +126,52 @@ def _write(folder_uri: str, roll_bytes: int, date: str):
 SMALLEST = 100
 
 
-def _shards(digests: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """``(binned, bins)``: rows with their id range, and its first shard and number of shards (for heavy ranges)."""
-    spark = digests.sparkSession
-    low, high, total = digests.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("n_bytes") + 500)).first()
-    n_bins = max(4096, 4 * (total or 0) // shard_bytes)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // n_bins))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    binned = digests.withColumn("bin", bin_of)
-    weights = binned.groupBy("bin").agg(F.sum(F.col("n_bytes") + 500).alias("w")).orderBy("bin").collect()
-    rows, shard, room = [], 0, shard_bytes
-    for b, w in weights:
-        if w > shard_bytes:
-            shard += room < shard_bytes
-            n = -(-w // shard_bytes)
-            rows.append((b, shard, n))
-            shard, room = shard + n, shard_bytes
-            continue
-        if w > room:
-            shard, room = shard + 1, shard_bytes
-        rows.append((b, shard, 1))
-        room -= w
-    return bin_of, spark.createDataFrame(rows, "bin long, first long, n long")
+#: Rows of a range whose payload bytes are summed by one task, and shards at most: their first keys are broadcast.
+RANGE_ROWS, MOST_SHARDS = 1_000_000, 1 << 16
+#: What a record weighs besides its payload.
+HEADERS = 500
+
+
+def _key() -> Column:
+    """The order of records, as a struct without nulls; rows that repeat are alike in it."""
+    return F.struct(
+        F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0)).alias("id"),
+        F.col("url").isNull().alias("no_url"), F.coalesce("url", F.lit("")).alias("u"), "digest",
+    )
+
+
+def _cuts(digests: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``(cuts, n)``: one row with the sorted array of the first keys of the n shards, bounded by ``MOST_SHARDS``.
+
+    Keys are range-sorted; the bytes before a key are those of the ranges before it and those before it in its range.
+    Where Spark draws the ranges makes no difference to these sums.
+    """
+    rows, total = digests.agg(F.count("*"), F.coalesce(F.sum(F.col("n_bytes") + HEADERS), F.lit(0))).first()
+    size = max(shard_bytes, -(-total // MOST_SHARDS))
+    weights = digests.groupBy(_key().alias("key")).agg(F.sum(F.col("n_bytes") + HEADERS).alias("w"))
+    ranged = weights.repartitionByRange(parts_for(rows, RANGE_ROWS), "key").withColumn("range", F.spark_partition_id())
+    ranged = materialise(ranged, "warc-ranges")
+    sums = ranged.groupBy("range").agg(F.sum("w").alias("w"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("range", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("w").over(inside), F.lit(0))).join(F.broadcast(sums), "range")
+    shard = F.floor((F.col("base") + F.col("inside")) / F.lit(size)).cast("long")
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min("key").alias("key"))
+    cuts = materialise(firsts.agg(F.array_sort(F.collect_list("key")).alias("cuts")), "warc-cuts")
+    return cuts, int(cuts.select(F.size("cuts")).first()[0])
+
+
+def _shard_of(key: Column, cuts: Column, n: int) -> Column:
+    """How many of the sorted ``cuts`` are at or before the key, less one: a binary search."""
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"] + 1, 1)
+        here = F.get(cuts, middle) <= key
+        return F.struct(F.when(here, middle).otherwise(span["low"]).alias("low"), F.when(here, span["high"]).otherwise(middle - 1).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(max(0, n - 1)).alias("high")), halve)["low"]
 
 
 def write_archives(
@@ -158,9 +188,9 @@ def write_archives(
 
     Ids are integers or null. Of records with equal payloads of at least ``SMALLEST`` bytes that with the smallest id
     is the response (ties: smallest url; of repeated rows one), a null id comes last; the others are revisits. Null
-    html is an empty payload, null urls are left out of the header, an empty table writes no file.
+    html is an empty payload, null urls are left out of the header, an empty table writes no file. Rows that repeat
+    with id, url and html stay together in a shard. Extra columns are ignored.
     """
-    spark = pages.sparkSession
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     payload = text_of(html_col).cast("binary")
@@ -181,15 +211,15 @@ def write_archives(
     both = verdicts.unionByName(
         rows.withColumns({"is_page": F.lit(True), "refers": none.cast("long"), "refers_url": none.cast("string")})
     )
-    bin_of, bins = _shards(digests, shard_bytes)
-    placed = both.withColumn("bin", bin_of).join(F.broadcast(bins), "bin")  # one row an id range
-    placed = placed.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("url", "digest"), F.col("n")))
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "digest", "is_page")
+    cuts, n = _cuts(digests, shard_bytes)
+    # One row that every row meets by an equal key; it is broadcast.
+    placed = both.withColumn("one", F.lit(1)).join(F.broadcast(cuts.withColumn("one", F.lit(1))), "one")
+    placed = placed.withColumn("shard", _shard_of(_key(), F.col("cuts"), n).cast("long")).drop("cuts", "one")
+    ordered = placed.repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", _key(), "is_page")
     manifest = ordered.select("shard", "page_id", "url", "digest", "is_page", "refers", "refers_url", "payload").mapInArrow(
         _write(folder, roll_bytes, date), MANIFEST
     )
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    return save(manifest, f"{folder}/manifest")
 
 
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -215,7 +245,7 @@ def parse(head: dict[str, str], block: bytes) -> tuple:
     if head["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload differs: {head['WARC-Record-ID']}")
     number = lambda k: int(head[k]) if k in head else None
-    url = urllib.parse.unquote(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None
+    url = json.loads(head["X-Page-URL"]) if "X-Page-URL" in head else head.get("WARC-Target-URI")
     return number("X-Page-ID"), url, head["WARC-Type"], n, digest, number("X-Refers-To-Page-ID"), head["WARC-Record-ID"], payload
 
 
@@ -246,9 +276,10 @@ def _read(folder_uri: str, with_payload: bool):
     return run
 
 
-def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Every record of the files that the manifest lists; every digest is verified."""
-    files = manifest.repartition("file").select("file", "n_records")
+def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False, most_tasks: int = 100_000) -> DataFrame:
+    """Every record of the files that the manifest lists; every digest is verified. A file is a task, up to ``most_tasks``."""
+    tasks = min(max(1, manifest.count()), most_tasks)
+    files = manifest.select("file", "n_records").repartition(tasks)
     return files.mapInArrow(_read(folder, with_payload), RECORD + ", payload binary" * with_payload)
 
 
