@@ -212,9 +212,7 @@ def write_archives(
         rows.withColumns({"is_page": F.lit(True), "refers": none.cast("long"), "refers_url": none.cast("string")})
     )
     cuts, n = _cuts(digests, shard_bytes)
-    # One row that every row meets by an equal key; it is broadcast.
-    placed = both.withColumn("one", F.lit(1)).join(F.broadcast(cuts.withColumn("one", F.lit(1))), "one")
-    placed = placed.withColumn("shard", _shard_of(_key(), F.col("cuts"), n).cast("long")).drop("cuts", "one")
+    placed = both.withColumn("cuts", cuts.scalar()).withColumn("shard", _shard_of(_key(), F.col("cuts"), n).cast("long")).drop("cuts")
     ordered = placed.repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", _key(), "is_page")
     manifest = ordered.select("shard", "page_id", "url", "digest", "is_page", "refers", "refers_url", "payload").mapInArrow(
         _write(folder, roll_bytes, date), MANIFEST
