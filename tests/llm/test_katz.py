@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,37 +26,52 @@ def words(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
+    """Katz's model by its definition, of any order."""
+
+    def __init__(self, texts, order=2):
+        self.order, self.count, self.begin = order, {n: Counter() for n in range(1, order + 1)}, len(texts)
         for t in texts:
-            ws = words(t)
-            self.uni.update(ws)
-            self.bi.update(zip(["<s>", *ws], ws))
+            padded = ["<s>"] * (order - 1) + words(t)
+            for i in range(order - 1, len(padded)):
+                for n in self.count:
+                    self.count[n][tuple(padded[i - n + 1 : i + 1])] += 1
+        self.uni = {w: c for (w,), c in self.count[1].items()}
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.hist = Counter()
-        for (h, _), c in self.bi.items():
-            self.hist[h] += c
-        tot = [[sum(c.values()), len(c), *(sum(x == r for x in c.values()) for r in range(1, katz.GOOD_TURING + 2))] for c in (self.uni, self.bi)]
-        self.d1, self.d2 = (katz.discounts(t) for t in tot)
-        import numpy as np
-
-        self.f = lambda d, r: float(d.freed(np.array([r]))[0])
-        self.unk = sum(self.f(self.d1, c) for c in self.uni.values()) / self.n if self.n else 1.0
-
-    def p1(self, w):
-        c = self.uni[w]
-        return (c - self.f(self.d1, c)) / self.n if c else self.unk
-
-    def p2(self, h, w):
-        c = self.hist[h]
+        self.hist = {n: Counter() for n in range(2, order + 1)}
+        for n in self.hist:
+            for g, c in self.count[n].items():
+                self.hist[n][g[:-1]] += c
+        self.d = {
+            n: katz.discounts([sum(c.values()), len(c), *(sum(x == r for x in c.values()) for r in range(1, katz.GOOD_TURING + 2))])
+            for n, c in self.count.items()
+        }
+        self.unk = sum(self.f(1, c) for c in self.uni.values()) / self.n if self.n else 1.0
+
+    def f(self, n, r):
+        return float(self.d[n].freed(np.array([r]))[0])
+
+    def p(self, h, w):
+        n = len(h) + 1
+        if n == 1:
+            c = self.uni.get(w, 0)
+            return (c - self.f(1, c)) / self.n if c else self.unk
+        c = self.hist[n][h]
         if not c:
-            return self.p1(w)
-        r = self.bi[h, w]
+            return self.p(h[1:], w)
+        r = self.count[n][*h, w]
         if r:
-            return (r - self.f(self.d2, r)) / c
-        after = [x for (g, x) in self.bi if g == h]
-        freed = sum(self.f(self.d2, self.bi[h, x]) for x in after) / c
-        return freed / (1 - sum(self.p1(x) for x in after)) * self.p1(w)
+            return (r - self.f(n, r)) / c
+        after = [g[-1] for g in self.count[n] if g[:-1] == h]
+        freed = sum(self.f(n, self.count[n][*h, x]) for x in after) / c
+        return freed / (1 - sum(self.p(h[1:], x) for x in after)) * self.p(h[1:], w)
+
+    def log10(self, text):
+        padded = ["<s>"] * (self.order - 1) + words(text)
+        k = self.order - 1
+        return sum(math.log10(self.p(tuple(padded[i - k : i]), padded[i])) for i in range(k, len(padded)))
+
+    def base(self, text):
+        return sum(math.log10((self.uni.get(w, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))) for w in words(text))
 
 
 @pytest.fixture(scope="module")
@@ -67,28 +84,39 @@ def corpus():
     return [(i if i != 5 else None, t, i % 5 == 1 or i == 63, "clash") for i, t in enumerate(texts)]
 
 
-def test_against_brute_force(spark, corpus, monkeypatch):
-    monkeypatch.setattr(katz, "UNIT_BYTES", 700)  # many units
-    got = katz.score(spark.createDataFrame(corpus, SCHEMA).repartition(3), F.col("held")).collect()
-    model = Brute([t for _, t, held, _ in corpus if not held])
-    assert len(got) == len(corpus)
-    want = {}
-    for i, t, held, _ in corpus:
-        ws = words(t)
-        s = sum(math.log10(model.p2(h, w)) for h, w in zip(["<s>", *ws], ws))
-        b = sum(math.log10((model.uni[w] + 0.5) / (model.n + 0.5 * (model.v + 1))) for w in ws)
-        want[i] = (held, len(ws), sum(model.uni[w] > 0 for w in ws), model.n, b, s)
+def check(got, model, rows):
+    assert len(got) == len(rows)
+    want = {i: (held, len(words(t)), sum(w in model.uni for w in words(t)), model.n, model.base(t), model.log10(t)) for i, t, held, _ in rows}
     for r in got:
         assert list(r)[1:5] == list(want[r["doc_id"]][:4])
         assert list(r)[5:] == pytest.approx(want[r["doc_id"]][4:], rel=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_against_brute_force(spark, corpus, monkeypatch, order):
+    monkeypatch.setattr(katz, "UNIT_BYTES", 700)  # many units
+    monkeypatch.setattr(katz, "PART_KEYS", 40)  # many partitions
+    rows, model = katz.fit_score(spark.createDataFrame(corpus, SCHEMA).repartition(3), F.col("held"), order=order)
+    brute = Brute([t for _, t, held, _ in corpus if not held], order)
+    check(rows.collect(), brute, corpus)
+    # Texts that the model never saw, from its tables alone.
+    later = [(1, "w0 w1 new words w2 w0", True, ""), (2, None, True, ""), (3, corpus[3][1], True, ""), (4, "w0 " * 300, True, "")]
+    check(model.score(spark.createDataFrame(later, SCHEMA)).collect(), brute, later)
+    # The tables hold every gram seen in training, once.
+    for n, table in model.counts.items():
+        found = Counter()
+        for r in table.collect():
+            keys, counts = katz.unpack_sorted(r["keys"]), katz.unpack_counts(r["counts"])
+            assert len(keys) == len(set(keys.tolist())) and (not len(keys) or set((keys >> np.uint64(64 - model.bits[n])).tolist()) == {r["part"]})
+            found.update(counts.tolist())
+        assert found == Counter(brute.count[n].values())
+
+
 def test_weights_are_exactly_normalised(corpus):
-    model = Brute([t for _, t, held, _ in corpus if not held])
+    model = Brute([t for _, t, held, _ in corpus if not held], 3)
     every = [*model.uni, "never-seen"]
-    assert sum(map(model.p1, every)) == pytest.approx(1)
-    for h in ["<s>", "w0", "w1", "averyveryverylongword" * 3, "other"]:
-        assert sum(model.p2(h, w) for w in every) == pytest.approx(1)
+    for h in [(), ("<s>",), ("w0",), ("w1",), ("other",), ("<s>", "<s>"), ("<s>", "w0"), ("w0", "w1"), ("w1", "w0"), ("no", "w0")]:
+        assert sum(model.p(h, w) for w in every) == pytest.approx(1)
 
 
 def test_nothing_to_learn_and_nothing_to_score(spark):
@@ -97,22 +125,14 @@ def test_nothing_to_learn_and_nothing_to_score(spark):
     assert katz.score(spark.createDataFrame([], SCHEMA), F.col("held")).count() == 0
 
 
-def test_counts_beyond_31_bits():
-    import numpy as np
-    import pyarrow as pa
-
-    keys = [np.array([5, 9], np.uint64), np.array([9], np.uint64), np.array([5], np.uint64)]
-    counts = [np.array([3, 1 << 31], np.uint32), np.array([(1 << 32) - 1], np.uint32), np.array([4], np.uint32)]
-    table = pa.table(
-        {
-            "n": [1] * 3,
-            "part": [0] * 3,
-            "unit": [0, 1, 2],
-            "keys": [katz.pack_sorted(k) for k in keys],
-            "counts": [katz.pack(c) for c in counts],
-        }
-    )
-    answers = [katz.unpack_counts(a).tolist() for a in katz._add_up(table)["answers"].to_pylist()[:3]]
-    both = (1 << 31) + (1 << 32) - 1
-    assert [[a >> 1 for a in x] for x in answers] == [[7, both], [both], [7]]
-    assert [[a & 1 for a in x] for x in answers] == [[1, 1], [0], [0]]
+def test_counts_beyond_31_and_32_bits():
+    for big in ((1 << 31) - 1, 1 << 31, 1 << 32):
+        keys = [np.array([5, 9], np.uint64), np.array([9], np.uint64), np.array([5], np.uint64)]
+        counts = [np.array([3, big], np.uint64), np.array([1], np.uint64), np.array([4], np.uint64)]
+        table = pa.table(
+            {"part": [0] * 3, "unit": [0, 1, 2], "keys": [katz.pack_sorted(k) for k in keys], "counts": [katz.pack_counts(c) for c in counts]}
+        )
+        rows = katz._add_up(table).to_pylist()
+        assert [katz.unpack_counts(r["counts"]).tolist() for r in rows] == [[7, big + 1], [big + 1], [7], [7, big + 1]]
+        assert [np.unpackbits(katz.unpack(r["owns"], np.uint8), count=2).tolist() for r in rows[:3]] == [[1, 1], [0, 0], [0, 0]]
+        assert katz.unpack_sorted(rows[3]["keys"]).tolist() == [5, 9] and rows[3]["totals"][:2] == [big + 8, 2]

@@ -1,20 +1,22 @@
 """Katz backoff language model over the corpus: Good-Turing counts, exactly normalised backoff weights.
 
-P(w|h) = d_r r / c(h) for a pair seen r times in training, else alpha(h) P(w); P(w) = d_c c / N for a seen word, else the
-mass left over, which goes to one unknown word. alpha(h) is the mass that the discounts free over the mass of the words
-never seen after h. A text's first word follows a begin mark; an end mark follows its last.
+P(w|h) = d_r r / c(h) for a gram seen r times in training, else alpha(h) P(w|h'), h' without its first word; for words
+P(w) = d_c c / N, else the mass left over, which goes to one unknown word. alpha(h) is the mass that the discounts free
+over the mass, one order below, of the words never seen after h; an unseen history has weight one. Marks stand before
+the first word of a text, an end mark follows its last.
 
-How it runs: texts are cut to units of some MB. A unit asks, for each of its distinct words and pairs once, for the
+How it runs: texts are cut to units of some MB. For each order a unit asks, for each of its distinct grams once, for the
 training count; requests travel packed to the partition of the count table that the key's hash names, so a frequent
-word is one entry a unit and no key is hot. The partitions add up, keep the table's answers by unit, and let one unit
-own each pair. Units then know all but the backoff weights: owners send what pairs add to their history, texts ask for
-the weights that they need, and both meet in the partition of the history. All tables lie in the shared folder.
+gram is one entry a unit and no key is hot. The partitions add up, write the table of keys and counts and the answers
+by unit, and let one unit own each gram. Units then know all but the backoff weights: owners send what grams add to
+their history, texts ask for the weights that they need, and both meet in the partition of the history, which writes
+the table of weights. Texts seen later ask the same tables. All tables lie in the shared folder, partitioned by order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_slices, materialise, text_of
+from tracelake.llm.common import byte_slices, materialise, parts_for, text_of
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
+END, BEGIN = np.uint64(0x9AE16A3B2F90404F), 0xC949D7C7509E6557
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text in a unit, and distinct keys in a partition of a count table.
 UNIT_BYTES, PART_KEYS = 12 << 20, 3_000_000
@@ -107,47 +109,55 @@ class Unit:
     lengths: np.ndarray
     held: np.ndarray
 
-    def sorted_words(self) -> np.ndarray:
-        return np.argsort(self.words)
-
     def token_held(self) -> np.ndarray:
         return np.repeat(self.held, self.lengths)
 
-    def histories(self) -> np.ndarray:
-        """Number of the word before each token; ``len(words)`` is the begin mark."""
-        h = np.r_[0, self.tokens[:-1]].astype(np.int64)
-        h[np.cumsum(self.lengths) - self.lengths] = len(self.words)
-        return h
-
-    def hashes(self) -> np.ndarray:
-        return np.r_[self.words, BEGIN]
-
-    def pairs(self, histories: np.ndarray):
-        """``(keys, inverse)``: distinct hashes of (history, word), sorted."""
-        x = (self.hashes()[histories] * M1 + self.words[self.tokens]) * M2
-        return np.unique(x ^ (x >> np.uint64(32)), return_inverse=True)
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for b in byte_slices(batch, 2, UNIT_BYTES):
-            hashes, lengths = word_hashes([t.as_py() for t in b.column(2)])
-            words, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            unit = Unit(words[order], rank[inverse], lengths, b.column(1).to_numpy(zero_copy_only=False))
-            keys, _ = unit.pairs(unit.histories())
-            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number]), ids, pa.array([pack(unit.held.astype(np.uint8))]), pa.array([pack(lengths.astype(np.int64))]),
-                    pa.array([unit.words.tobytes()]), pa.array([pack(unit.tokens)]), pa.array([len(words)]), pa.array([len(keys)]),
-                ],
-                ["unit", "ids", "held", "lengths", "words", "tokens", "n_words", "n_pairs"],
-            )
-            number += 1
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def before(self, values: np.ndarray, begin) -> np.ndarray:
+        """What stands one token earlier in the same text; ``begin`` for the first token."""
+        out = np.r_[values[:1], values[:-1]]
+        out[self.starts()] = begin
+        return out
+
+    def grams(self, order: int) -> list[np.ndarray]:
+        """For every order from one: the hash of the gram that ends at each token."""
+        out = [self.words[self.tokens]]
+        for n in range(2, order + 1):
+            x = (self.before(out[-1], begin_mark(n - 1)) * M1 + out[0]) * M2
+            out.append(x ^ (x >> np.uint64(32)))
+        return out
+
+
+def begin_mark(n: int) -> np.uint64:
+    """The hash of n begin marks."""
+    return np.uint64(BEGIN * (2 * n - 1) % (1 << 64))
+
+
+def _units(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for b in byte_slices(batch, 2, UNIT_BYTES):
+                hashes, lengths = word_hashes([t.as_py() for t in b.column(2)])
+                words, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                by_count = np.argsort(-n, kind="stable")
+                rank = np.empty(len(by_count), np.uint32)
+                rank[by_count] = np.arange(len(by_count), dtype=np.uint32)
+                unit = Unit(words[by_count], rank[inverse], lengths, b.column(1).to_numpy(zero_copy_only=False))
+                sizes = [len(words), *(len(np.unique(g)) for g in unit.grams(order)[1:])]
+                ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number]), ids, pa.array([pack(unit.held.astype(np.uint8))]), pa.array([pack(lengths.astype(np.int64))]),
+                        pa.array([unit.words.tobytes()]), pa.array([pack(unit.tokens)]), pa.array([sizes], pa.list_(pa.int64())),
+                    ],
+                    ["unit", "ids", "held", "lengths", "words", "tokens", "sizes"],
+                )
+                number += 1
+
+    return run
 
 
 def _load(row: dict) -> Unit:
@@ -158,35 +168,34 @@ def _load(row: dict) -> Unit:
 # -- counts ---------------------------------------------------------------------------------------------------------
 
 
-def _requests(bits: dict[int, int]):
-    """Per unit and partition: the distinct keys of order one and two with their training counts in the unit."""
+def _requests(n: int, bits: int):
+    """Per unit and partition: the distinct grams of an order with their training counts in the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 unit = _load(row)
-                train = (~unit.token_held()).astype(np.float64)
-                order = unit.sorted_words()
-                keys2, inverse = unit.pairs(unit.histories())
-                asked = {
-                    1: (unit.words[order], np.bincount(unit.tokens, weights=train, minlength=len(order))[order]),
-                    2: (keys2, np.bincount(inverse, weights=train, minlength=len(keys2))),
-                }
-                for n, (keys, count) in asked.items():
-                    cuts = _cuts(keys, bits[n])
-                    part = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([n] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([row["unit"]] * len(part), pa.int64()),
-                            pa.array([pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in part], pa.binary()),
-                            pa.array([pack(count[cuts[k] : cuts[k + 1]].astype(np.uint32)) for k in part], pa.binary()),
-                        ],
-                        ["n", "part", "unit", "keys", "counts"],
-                    )
+                keys, inverse = np.unique(unit.grams(n)[-1], return_inverse=True)
+                count = np.bincount(inverse, weights=~unit.token_held(), minlength=len(keys)).astype(np.uint32)
+                part, cuts = _filled(keys, bits)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part, pa.int32()), pa.array([row["unit"]] * len(part), pa.int64()),
+                        pa.array([pack_sorted(keys[c]) for c in cuts], pa.binary()), pa.array([pack_counts(count[c]) for c in cuts], pa.binary()),
+                    ],
+                    ["part", "unit", "keys", "counts"],
+                )
 
     return run
 
 
+def _filled(keys: np.ndarray, bits: int) -> tuple[list[int], list[slice]]:
+    """The partitions that sorted keys fall into, and where each stands."""
+    cuts = _cuts(keys, bits)
+    part = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
+    return part, [slice(cuts[k], cuts[k + 1]) for k in part]
+
+
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where the partitions of sorted keys begin, by their top bits, and the end."""
     if not bits:
@@ -195,41 +204,41 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-ANSWERS = "n int, part int, unit long, answers binary, totals array<long>"
+#: Of unit ``TABLE``: keys seen in training with their counts, and totals; of units: a count and an owner bit for each key asked.
+ANSWERS = "part int, unit long, keys binary, counts binary, owns binary, totals array<long>"
+TABLE = -1
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """One partition of a count table: answers to each unit (count, and whether it owns the key) and totals."""
-    n, part = table["n"][0].as_py(), table["part"][0].as_py()
+    """One partition of a count table, from requests with counts and, where it stands already, the table itself."""
+    part = table["part"][0].as_py()
     rows = sorted(zip(table["unit"].to_pylist(), table["keys"], table["counts"]), key=lambda r: r[0])
     keys = [unpack_sorted(k.as_py()) for _, k, _ in rows]
     ends = np.cumsum([len(k) for k in keys])
-    count = np.concatenate([unpack(c.as_py(), np.uint32) for _, _, c in rows]).astype(np.int64)
+    count = np.concatenate([unpack_counts(c.as_py()) for _, _, c in rows]).astype(np.int64)
     flat = np.concatenate(keys)
     del keys
     order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    key = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1
-    total = np.bincount(key, weights=count[order]).astype(np.int64)
-    trains = np.flatnonzero(count[order] > 0)
+    flat, count = flat[order], count[order]
+    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+    key = np.cumsum(new) - 1
+    total = np.add.reduceat(count, np.flatnonzero(new)) if len(flat) else count
+    trains = np.flatnonzero(count > 0)
     _, first = np.unique(key[trains], return_index=True)
-    kind = np.uint32 if int(total.max(initial=0)) < 1 << 31 else np.uint64
-    answer = np.empty(len(order), kind)
-    answer[order] = (total[key] << 1).astype(kind)
-    answer[order[trains[first]]] |= kind(1)
-    seen = total[total > 0]
-    totals = [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, GOOD_TURING + 2))]
-    out = [pack_counts(a) for a in np.split(answer, ends[:-1])]
-    del flat, order, key, count
-    return pa.table(
-        {
-            "n": pa.array([n] * (len(rows) + 1), pa.int32()),
-            "part": pa.array([part] * (len(rows) + 1), pa.int32()),
-            "unit": pa.array([*(r[0] for r in rows), -1], pa.int64()),
-            "answers": pa.array([*out, None], pa.binary()),
-            "totals": pa.array([*[None] * len(rows), totals], pa.list_(pa.int64())),
-        }
-    )
+    answer, owns = np.empty(len(order), np.int64), np.zeros(len(order), np.uint8)
+    answer[order] = total[key]
+    owns[order[trains[first]]] = 1
+    seen = total > 0
+    known, total = flat[new][seen], total[seen]
+    totals = [int(total.sum()), len(total), *(int((total == r).sum()) for r in range(1, GOOD_TURING + 2))]
+    out = [
+        (part, unit, None, pack_counts(answer[s]), pack(np.packbits(owns[s])), None)
+        for (unit, _, _), s in zip(rows, map(slice, np.r_[0, ends[:-1]], ends))
+        if unit != TABLE
+    ]
+    out.append((part, TABLE, pack_sorted(known), pack_counts(total), None, totals))
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in ANSWERS.split(", ")])
 
 
 @dataclass
@@ -282,78 +291,100 @@ def unigrams(by: Discounts, totals: list[int]) -> Unigrams:
 
 # -- evaluation -----------------------------------------------------------------------------------------------------
 
-PARTS = "kind string, part int, unit long, a binary, b binary, c binary"
+PARTS = "kind string, n int, part int, unit long, a binary, b binary, c binary"
+
+
+@dataclass
+class Model:
+    """A trained model: small numbers here, tables of counts and weights by order in the shared folder.
+
+    ``counts[n]`` has ``part, keys, counts`` and ``weights`` has ``n, part, a (keys), b (log10 weights)``, packed and
+    sorted; ``bits[n]`` of a key's hash name its partition.
+    """
+
+    order: int
+    bits: dict[int, int]
+    totals: dict[int, list[int]]
+    begin: int
+    counts: dict[int, DataFrame] = field(default_factory=dict)
+    weights: DataFrame | None = None
 
+    def probabilities(self) -> tuple:
+        by = {n: discounts(self.totals[n]) for n in range(1, self.order + 1)}
+        return self.order, self.bits, unigrams(by[1], self.totals[1]), by, self.begin
 
-def _evaluate(ids_type: str, shared, bits: int):
-    """Per unit, with all its counts: text sums without backoff weights; what its own pairs add to histories; questions."""
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of texts that the model never saw."""
+        return _run(docs, F.lit(True), id_col, text_col, self)[0]
+
+
+def _evaluate(shared):
+    """Per unit, with all its counts: text sums without backoff weights; what its own grams add to histories; questions."""
 
     def run(unit_rows: pa.Table, answers: pa.Table) -> pa.Table:
-        words_of, pairs_of, begin = shared.value
+        order, bits, words_of, by, begin = shared.value
         row = unit_rows.to_pylist()[0]
         unit = _load(row)
-        got: dict[int, np.ndarray] = {}
-        for n in (1, 2):
-            mine = sorted((p, a) for m, p, a in zip(answers["n"].to_pylist(), answers["part"].to_pylist(), answers["answers"]) if m == n)
-            got[n] = np.concatenate([unpack_counts(a.as_py()) for _, a in mine])
-        count = np.empty(len(unit.words), np.int64)
-        count[unit.sorted_words()] = got[1] >> 1
-        as_history = np.r_[count, begin]
-        prob = words_of.prob(count)
-        histories = unit.histories()
-        keys, inverse = unit.pairs(histories)
-        r = (got[2] >> 1).astype(np.int64)
-        first = np.full(len(keys), len(unit.tokens))
-        np.minimum.at(first, inverse, np.arange(len(unit.tokens)))
-        h, w = histories[first], unit.tokens[first]
-        c = as_history[h]
-        seen = r > 0
-        pair_log = np.log10(np.where(seen, (r - pairs_of.freed(r)) / np.maximum(1, c), prob[w]))
-        starts = np.cumsum(unit.lengths) - unit.lengths
-        by_word = words_of.by
-        base = np.log10((count + 0.5) / (by_word.total + 0.5 * (by_word.distinct + 1)))
-        texts = {
-            "score": np.add.reduceat(pair_log[inverse], starts),
-            "base": np.add.reduceat(base[unit.tokens], starts),
-            "known": np.add.reduceat((count > 0)[unit.tokens].astype(np.int64), starts),
-        }
-        out = [("text", 0, row["unit"], pack(np.stack([texts["score"], texts["base"], texts["known"].astype(np.float64)], 1).reshape(-1)), row["held"], row["lengths"])]
-        # What the pairs that this unit owns free of their history, and the words that they take from its backoff.
-        own = seen & ((got[2] & 1) == 1)
-        freed = np.bincount(h[own], weights=pairs_of.freed(r)[own] / c[own], minlength=len(as_history))
-        taken = np.bincount(h[own], weights=prob[w][own], minlength=len(as_history))
-        touched = np.flatnonzero(taken)
-        out += _by_part("owned", row["unit"], unit.hashes()[touched], bits, freed[touched], taken[touched])
-        # Unseen pairs of a known history need its weight: how often, by text and history.
-        lack = np.flatnonzero((~seen & (c > 0))[inverse])
-        if len(lack):
-            text = np.repeat(np.arange(len(unit.lengths)), unit.lengths)[lack]
-            asked, times = np.unique(text.astype(np.int64) * len(as_history) + histories[lack], return_counts=True)
-            out += _by_part("asked", row["unit"], unit.hashes()[asked % len(as_history)], bits, (asked // len(as_history)).astype(np.uint32), times.astype(np.uint32))
-        cols = list(zip(*out))
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        arrays = [pa.array(x, k) for x, k in zip(cols, kinds)]
+        grams, starts = unit.grams(order), unit.starts()
+        r: list[np.ndarray] = []
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(1, order + 1):
+            mine = sorted((p, a, o) for m, p, a, o in zip(*(answers[c].to_pylist() for c in ("n", "part", "counts", "owns"))) if m == n)
+            count = np.concatenate([unpack_counts(a) for _, a, _ in mine]).astype(np.int64)
+            flags = np.concatenate([np.unpackbits(unpack(o, np.uint8), count=len(unpack_counts(a))) for _, a, o in mine])
+            _, first, inverse = np.unique(grams[n - 1], return_index=True, return_inverse=True)
+            r.append(count[inverse])
+            own.append(first[(flags == 1) & (count > 0)])
+        # c[n]: training count of the history; at[n]: its key, both by token.
+        c = {n: unit.before(r[n - 2], begin) for n in range(2, order + 1)}
+        at = {n: unit.before(grams[n - 2], begin_mark(n - 1)) for n in range(2, order + 1)}
+
+        def probability(n: int) -> np.ndarray:
+            """P of every token by order n, the weights of unseen grams left out."""
+            if n == 1:
+                return words_of.prob(r[0])
+            seen = r[n - 1] > 0
+            return np.where(seen, (r[n - 1] - by[n].freed(r[n - 1])) / np.maximum(1, c[n]), probability(n - 1))
+
+        total, distinct = by[1].total, by[1].distinct
+        base = np.log10((r[0] + 0.5) / (total + 0.5 * (distinct + 1)))
+        sums = [np.add.reduceat(x, starts) for x in (np.log10(probability(order)), base, (r[0] > 0).astype(np.float64))]
+        out = [("text", 0, 0, row["unit"], pack(np.stack(sums, 1).reshape(-1)), row["held"], row["lengths"])]
+        text = np.repeat(np.arange(len(unit.lengths)), unit.lengths)
+        for n in range(2, order + 1):
+            # What the grams that this unit owns free of their history, and take from its backoff.
+            t = own[n - 1]
+            keys, inverse = np.unique(at[n][t], return_inverse=True)
+            freed = np.bincount(inverse, weights=by[n].freed(r[n - 1][t]) / c[n][t], minlength=len(keys))
+            taken = np.bincount(inverse, weights=probability(n - 1)[t], minlength=len(keys))
+            out += _by_part("owned", n, row["unit"], keys, bits[n - 1], freed, taken)
+            # Unseen grams of a known history need its weight: how often, by text and history.
+            lack = np.flatnonzero((r[n - 1] == 0) & (c[n] > 0))
+            keys, inverse = np.unique(at[n][lack], return_inverse=True)
+            asked, times = np.unique(inverse.astype(np.int64) * len(unit.lengths) + text[lack], return_counts=True)
+            out += _by_part(
+                "asked", n, row["unit"], keys[asked // len(unit.lengths)], bits[n - 1], (asked % len(unit.lengths)).astype(np.uint32), times.astype(np.uint32)
+            )
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        arrays = [pa.array(x, k) for x, k in zip(zip(*out), kinds)]
         ids = [row["ids"], *[None] * (len(out) - 1)]
-        names = [f.split()[0] for f in PARTS.split(", ")]
-        return pa.table([*arrays, pa.array(ids, unit_rows.schema.field("ids").type)], names=[*names, "ids"])
+        return pa.table([*arrays, pa.array(ids, unit_rows.schema.field("ids").type)], names=[*(f.split()[0] for f in PARTS.split(", ")), "ids"])
 
     return run
 
 
-def _by_part(kind: str, unit: int, keys: np.ndarray, bits: int, b: np.ndarray, c: np.ndarray) -> list[tuple]:
-    order = np.argsort(keys, kind="stable")
-    keys, b, c = keys[order], b[order], c[order]
-    cuts = _cuts(keys, bits)
-    spans = [(k, slice(cuts[k], cuts[k + 1])) for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-    return [(kind, k, unit, pack_sorted(keys[s]), pack(b[s]), pack(c[s])) for k, s in spans]
+def _by_part(kind: str, n: int, unit: int, keys: np.ndarray, bits: int, b: np.ndarray, c: np.ndarray) -> list[tuple]:
+    """Rows by partition of sorted keys."""
+    return [(kind, n, k, unit, pack_sorted(keys[s]), pack(b[s]), pack(c[s])) for k, s in zip(*_filled(keys, bits))]
 
 
-WEIGHTS = "kind string, part int, unit long, a binary, b binary"
+WEIGHTS = "kind string, n int, part int, unit long, a binary, b binary"
 
 
 def _backoff(table: pa.Table) -> pa.Table:
-    """One partition of histories: exact weights from all that owners sent, kept as a table; questions answered as sums."""
+    """One partition of histories: exact weights from all that owners sent, or those of the table; questions answered as sums."""
     rows = table.to_pylist()
+    n, part = rows[0]["n"], rows[0]["part"]
     own = [r for r in rows if r["kind"] == "owned"]
     keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(r["a"]) for r in own)])
     known, inverse = np.unique(keys, return_inverse=True)
@@ -361,15 +392,18 @@ def _backoff(table: pa.Table) -> pa.Table:
         np.bincount(inverse, weights=np.concatenate([np.zeros(0), *(unpack(r[x], np.float64) for r in own)]), minlength=len(known)) for x in "bc"
     )
     weight = np.log10(freed / np.maximum(1 - taken, 1e-300))
-    out = [("weight", rows[0]["part"], -1, pack_sorted(known), pack(weight))]
+    for r in rows:
+        if r["kind"] == "weight":
+            known, weight = unpack_sorted(r["a"]), unpack(r["b"], np.float64)
+    out = [("weight", n, part, TABLE, pack_sorted(known), pack(weight))]
     for r in rows:
         if r["kind"] == "asked":
             at = np.searchsorted(known, unpack_sorted(r["a"]))
             text, times = unpack(r["b"], np.uint32), unpack(r["c"], np.uint32)
             sums = np.bincount(text, weights=weight[at] * times)
             some = np.unique(text)
-            out.append(("sum", r["part"], r["unit"], pack(some), pack(sums[some])))
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            out.append(("sum", n, part, r["unit"], pack(some), pack(sums[some])))
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in WEIGHTS.split(", ")])
 
 
@@ -378,18 +412,16 @@ def _finish(total: int):
         row = texts.to_pylist()[0]
         score, base, known = unpack(row["a"], np.float64).reshape(-1, 3).T
         score = score.copy()
-        rows = sorted(zip(sums["part"].to_pylist(), (x.as_py() for x in sums["a"]), (x.as_py() for x in sums["b"])))
-        for _, text, part in rows:
+        rows = sorted((n, p, a, b) for n, p, a, b in zip(*(sums[x].to_pylist() for x in ("n", "part", "a", "b"))))
+        for _, _, text, part in rows:
             np.add.at(score, unpack(text, np.uint32), unpack(part, np.float64))
-        n = len(score)
-        ids = texts["ids"].combine_chunks().flatten()
         return pa.table(
             {
-                "id": ids,
+                "id": texts["ids"].combine_chunks().flatten(),
                 "held_out": unpack(row["b"], np.uint8).astype(bool),
                 "n_tokens": unpack(row["c"], np.int64),
                 "n_known": known.astype(np.int64),
-                "train_tokens": np.full(n, total, np.int64),
+                "train_tokens": np.full(len(score), total, np.int64),
                 "base_score": base,
                 "score": score,
             }
@@ -398,45 +430,77 @@ def _finish(total: int):
     return run
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
-
-    ``held_out`` is a boolean column: rows where it is true are scored but not learned from. Null text counts as empty and
-    has the end mark only. Words without training count are the unknown word. Repeated rows count and come back as often
-    as they stand; without training rows every token has probability one (the unknown word). An empty table gives no rows.
-    """
+def _run(docs: DataFrame, held_out, id_col: str, text_col: str, model: Model | None, order: int = 2) -> tuple[DataFrame, Model]:
+    """Scores by ``model``, or by one that the rows not held out give."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(text_col).cast("binary").alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    order = model.order if model else order
     units = materialise(
-        rows.mapInArrow(_units, f"unit long, ids array<{kind}>, held binary, lengths binary, words binary, tokens binary, n_words long, n_pairs long"),
+        rows.mapInArrow(_units(order), f"unit long, ids array<{kind}>, held binary, lengths binary, words binary, tokens binary, sizes array<long>"),
         "katz-units",
     )
-    n_words, n_pairs = units.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
-    bits = {n: max(2, int(np.ceil(np.log2(max(1, k / PART_KEYS))))) for n, k in ((1, n_words), (2, n_pairs))}
-    asked = units.mapInArrow(_requests(bits), "n int, part int, unit long, keys binary, counts binary")
-    counts = materialise(asked.groupBy("n", "part").applyInArrow(_add_up, ANSWERS), "katz-counts", "n")
-    sums = [F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(GOOD_TURING + 3)]
-    totals = {r[0]: list(r[1:]) for r in counts.where("unit = -1").groupBy("n").agg(*sums).collect()}
-    none = [0] * (GOOD_TURING + 3)
-    one, two = totals.get(1, none), totals.get(2, none)
-    # The begin mark is a history once for every training text.
-    begin = rows.where("not held_out").count()
-    model = (unigrams(discounts(one), one), discounts(two), begin)
-    shared = spark.sparkContext.broadcast(model)
-    answers = counts.where("unit >= 0").select("unit", "n", "part", "answers")
+    # Groups of a step are whole partitions of a table or whole units: so many tasks, whatever the session's setting.
+    sizes = units.agg(F.count("*"), *[F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(order)]).first()
+    n_units = max(1, sizes[0])
+    bits = model.bits if model else {n: max(2, int(np.ceil(np.log2(max(1, sizes[n] / PART_KEYS))))) for n in range(1, order + 1)}
+    counts, answers, totals = {}, None, {}
+    for n in range(1, order + 1):  # an order at a time: its requests are gone when the next ones travel
+        asked = units.mapInArrow(_requests(n, bits[n]), "part int, unit long, keys binary, counts binary")
+        if model:
+            asked = asked.unionByName(model.counts[n].select("part", F.lit(TABLE).cast("long").alias("unit"), "keys", "counts"))
+        added = asked.repartition(1 << bits[n], "part").groupBy("part").applyInArrow(_add_up, ANSWERS)
+        added = materialise(added, f"katz-counts-{n}")
+        counts[n] = added.where(f"unit = {TABLE}").select("part", "keys", "counts", "totals")
+        mine = added.where(f"unit <> {TABLE}").select("unit", F.lit(n).alias("n"), "part", "counts", "owns")
+        answers = mine if answers is None else answers.unionByName(mine)
+        totals[n] = [x or 0 for x in counts[n].agg(*[F.sum(F.col("totals")[i]) for i in range(GOOD_TURING + 3)]).first()]
+    if not model:
+        # Begin marks are a history once for every training text.
+        model = Model(order, bits, totals, rows.where("not held_out").count(), counts)
+    shared = spark.sparkContext.broadcast(model.probabilities())
+    tasks = parts_for(n_units, 1)
     parts = materialise(
-        units.drop("n_words", "n_pairs").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-            _evaluate(kind, shared, bits[1]), f"{PARTS}, ids array<{kind}>"
+        units.drop("sizes").repartition(tasks, "unit").groupBy("unit").cogroup(answers.repartition(tasks, "unit").groupBy("unit")).applyInArrow(
+            _evaluate(shared), f"{PARTS}, ids array<{kind}>"
         ),
         "katz-parts",
+        "kind",
     )
-    weights = materialise(
-        parts.where("kind <> 'text'").drop("ids").groupBy("part").applyInArrow(_backoff, WEIGHTS), "katz-weights", "kind"
-    ).where("kind = 'sum'")
+    histories = parts.where("kind <> 'text'").drop("ids")
+    if model.weights is not None:
+        table = model.weights.withColumns({"unit": F.lit(TABLE).cast("long"), "c": F.lit(None).cast("binary"), "kind": F.lit("weight")})
+        histories = histories.where("kind <> 'owned'").unionByName(table.select(histories.columns))
+    groups = max(1, sum(1 << bits[n - 1] for n in range(2, order + 1)))
+    weights = materialise(histories.repartition(groups, "n", "part").groupBy("n", "part").applyInArrow(_backoff, WEIGHTS), "katz-weights", "kind")
+    if model.weights is None:
+        model.weights = weights.where("kind = 'weight'").select("n", "part", "a", "b")
     texts = parts.where("kind = 'text'").select("unit", "a", "b", "c", "ids")
-    out = texts.groupBy("unit").cogroup(weights.groupBy("unit")).applyInArrow(_finish(one[0]), schema)
-    return out.withColumnRenamed("id", id_col)
+    sums = weights.where("kind = 'sum'").select("unit", "n", "part", "a", "b")
+    out = texts.repartition(tasks, "unit").groupBy("unit").cogroup(sums.repartition(tasks, "unit").groupBy("unit")).applyInArrow(
+        _finish(model.totals[1][0]), schema
+    )
+    return out.withColumnRenamed("id", id_col), model
+
+
+def fit_score(
+    docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = 2
+) -> tuple[DataFrame, Model]:
+    """``(scores, model)`` of an order: the rows of ``score`` and the model that they were scored by, for later texts."""
+    if order < 1:
+        raise ValueError("the order is one or more")
+    return _run(docs, held_out, id_col, text_col, None, order)
+
+
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """One row per input row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    ``held_out`` is a boolean column: rows where it is true are scored but not learned from. Null text counts as empty and
+    has the end mark only. Words without training count are the unknown word. Repeated rows count and come back as often
+    as they stand; without training rows every token has probability one (the unknown word). An empty table gives no rows;
+    extra columns are ignored.
+    """
+    return fit_score(docs, held_out, id_col, text_col, order)[0]
