@@ -1,6 +1,6 @@
 """Deterministic sharded WARC archives: written in range order, committed by manifest, read back.
 
-Records are in the order of (id, url, digest). A shard is a range of that order, cut where the running sum of payload
+Records are in the order of (id, hash of url and digest). A shard is a range of that order, cut where the running sum of payload
 bytes passes a multiple of the shard size, so shards depend on the rows alone and hold equal bytes whatever the ids
 look like. Each shard is a task, which writes record by record, each record a gzip member, and starts a new file once
 the compressed size passes the limit. Files are written under temporary names and renamed when whole; the manifest,
@@ -126,22 +126,23 @@ def _write(folder_uri: str, roll_bytes: int, date: str):
 SMALLEST = 100
 
 
-#: Rows of a range whose payload bytes are summed by one task, and shards at most: their first keys are broadcast.
+#: Rows of a range whose payload bytes are summed by one task, and shards at most: their first keys go to all tasks.
 RANGE_ROWS, MOST_SHARDS = 1_000_000, 1 << 16
 #: What a record weighs besides its payload.
 HEADERS = 500
+KEY = "struct<no_id: boolean, id: bigint, h: bigint>"
 
 
 def _key() -> Column:
-    """The order of records, as a struct without nulls; rows that repeat are alike in it."""
+    """The order of records: 17 bytes without nulls. Only rows that repeat are alike in it, but for chance."""
     return F.struct(
-        F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0)).alias("id"),
-        F.col("url").isNull().alias("no_url"), F.coalesce("url", F.lit("")).alias("u"), "digest",
+        F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0)).cast("long").alias("id"),
+        F.xxhash64(F.col("url").isNull(), "url", "digest").alias("h"),
     )
 
 
-def _cuts(digests: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``(cuts, n)``: one row with the sorted array of the first keys of the n shards, bounded by ``MOST_SHARDS``.
+def _cuts(digests: DataFrame, shard_bytes: int) -> tuple[str, int]:
+    """``(cuts, n)``: the sorted first keys of the n shards as JSON; n is at most ``MOST_SHARDS``, so this is small.
 
     Keys are range-sorted; the bytes before a key are those of the ranges before it and those before it in its range.
     Where Spark draws the ranges makes no difference to these sums.
@@ -158,16 +159,16 @@ def _cuts(digests: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     placed = ranged.withColumn("inside", F.coalesce(F.sum("w").over(inside), F.lit(0))).join(F.broadcast(sums), "range")
     shard = F.floor((F.col("base") + F.col("inside")) / F.lit(size)).cast("long")
     firsts = placed.groupBy(shard.alias("shard")).agg(F.min("key").alias("key"))
-    cuts = materialise(firsts.agg(F.array_sort(F.collect_list("key")).alias("cuts")), "warc-cuts")
-    return cuts, int(cuts.select(F.size("cuts")).first()[0])
+    return tuple(firsts.select(F.array_sort(F.collect_list("key")).alias("c")).select(F.to_json("c"), F.size("c")).first())
 
 
-def _shard_of(key: Column, cuts: Column, n: int) -> Column:
-    """How many of the sorted ``cuts`` are at or before the key, less one: a binary search."""
+def _shard_of(key: Column, cuts: str, n: int) -> Column:
+    """How many of the sorted ``cuts`` are at or before the key, less one: a binary search in a constant."""
+    first = F.from_json(F.lit(cuts), f"array<{KEY}>")
 
     def halve(span: Column, _: Column) -> Column:
         middle = F.shiftright(span["low"] + span["high"] + 1, 1)
-        here = F.get(cuts, middle) <= key
+        here = F.get(first, middle) <= key
         return F.struct(F.when(here, middle).otherwise(span["low"]).alias("low"), F.when(here, span["high"]).otherwise(middle - 1).alias("high"))
 
     steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
@@ -212,8 +213,8 @@ def write_archives(
         rows.withColumns({"is_page": F.lit(True), "refers": none.cast("long"), "refers_url": none.cast("string")})
     )
     cuts, n = _cuts(digests, shard_bytes)
-    placed = both.withColumn("cuts", cuts.scalar()).withColumn("shard", _shard_of(_key(), F.col("cuts"), n).cast("long")).drop("cuts")
-    ordered = placed.repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", _key(), "is_page")
+    placed = both.withColumn("shard", _shard_of(_key(), cuts, n).cast("long"))
+    ordered = placed.repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", _key(), "url", "digest", "is_page")
     manifest = ordered.select("shard", "page_id", "url", "digest", "is_page", "refers", "refers_url", "payload").mapInArrow(
         _write(folder, roll_bytes, date), MANIFEST
     )
