@@ -62,6 +62,13 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def set_aside(df: DataFrame, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``keep`` under names that no operator uses, and the columns that name them back."""
+    private = {c: c if c in keep else f"__aside_{k}" for k, c in enumerate(df.columns)}
+    moved = df.select(*[F.col(f"`{c}`").alias(p) for c, p in private.items()])
+    return moved, [F.col(f"`{p}`").alias(c) for c, p in private.items()]
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import materialise, text_of
+from tracelake.llm.common import materialise, set_aside, text_of
 
 WINDOW = 13
 BLOCK = 3
@@ -163,6 +163,15 @@ def occurrences(
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The documents that are not contaminated, with the columns of ``docs`` as they are, whatever their names.
+
+    Null and empty texts have no words and stay, as do repeated rows; see ``occurrences``.
+    """
+    rows, back = set_aside(docs, text_col)
+    return occurrences(rows, benchmark, text_col, **how).where("not contaminated").select(*back)
+
+
 def _arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_slices
+from tracelake.llm.common import byte_slices, set_aside
 
 ORDER = 3
 UND = "und"
@@ -173,6 +173,24 @@ def _predict(shared):
     return run
 
 
+#: In no learned language are texts of at least so many bytes that cost more bits a byte under all of them; 8 is chance.
+FOREIGN_BYTES, FOREIGN_BITS = 128, 7.0
+
+
+def keep_known(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
+    """The documents in a learned language, with the columns of ``docs`` as they are, whatever their names.
+
+    Null, empty and letterless texts go, and those that no learned language shortens (``FOREIGN_BYTES``,
+    ``FOREIGN_BITS``). Where nothing was learned texts with a letter stay. Repeated rows are rows of their own.
+    """
+    if trees is None:
+        return docs.where(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    rows, back = set_aside(docs, text_col)
+    n = F.octet_length(F.col(text_col))
+    known = (n < FOREIGN_BYTES) | (F.col("bits") <= FOREIGN_BITS * n)
+    return predict(rows, trees, text_col).where((F.col("lang_pred") != UND) & known).select(*back)
+
+
 def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred, score`` (posterior of the prediction, languages alike beforehand) and ``bits``.
 
@@ -180,7 +198,7 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Dat
     Clashing columns of ``docs`` are replaced; repeated rows are rows of their own; an empty table gives none.
     """
     plain = [c for c in docs.columns if c not in ("lang_pred", "score", "bits", "__bytes", "__letter")]
-    if trees is None:
+    if trees is None:  # nothing to read a text by
         return docs.select(*plain, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     rows = docs.select(
         *plain,

@@ -169,7 +169,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every class of near-duplicates, that with the smallest id (ties: any one), with the columns of ``docs``."""
+    """One document of every class of near-duplicates, that with the smallest id, with the columns of ``docs``.
+
+    A null id loses to any other. Of rows with that id in a class the text of the smallest hash stays, and of those that
+    repeat it the row whose columns hash smallest, so reruns agree. Null and empty texts are a class. An empty table gives
+    no rows.
+    """
     found = near_duplicates(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     stay = found.groupBy(F.coalesce("root", "node").alias("class")).agg(first.alias("f"))
