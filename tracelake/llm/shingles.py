@@ -1,7 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands find candidates, texts decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and min-hash find candidates, texts decide.
 
-The index of ``simhash`` reaches two bits; texts of similarity 0.8 differ in up to a dozen. Here every text has
-``BANDS`` keys of ``ROWS`` minima each. Texts of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: all
+SimHash fingerprints of the shingles within two bits come from the Gray-order index of ``simhash``. Texts of similarity
+0.8 differ in up to a dozen bits, which that index cannot carry, so every text has ``BANDS`` keys of ``ROWS`` minima too. Texts of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: all
 but 5 of 100 million pairs at 0.8, fewer above. Every pair with a common key is decided by its shingles, in two steps, so
 that a large class of copies never gives all its pairs: first each text against one star of its group; then, in groups
 that are not of one class yet, the pairs across classes, found by their rare shingles.
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm import simhash
 from tracelake.llm.common import byte_slices, materialise, text_of
 from tracelake.llm.exact_dedup import _key, one_row_per_key
 from tracelake.llm.simhash import HASH, classes
@@ -49,9 +50,8 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return 10 * both >= TENTHS * (len(a) + len(b) - both)
 
 
-def band_keys(grams: set[bytes]) -> np.ndarray:
-    """One key per band."""
-    hashes = np.fromiter(map(HASH, grams), np.uint64, len(grams))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band, of the hashes of a text's shingles."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK, None] * FACTOR
@@ -64,14 +64,17 @@ def band_keys(grams: set[bytes]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, sizes = [], []
+        keys, sizes, prints = [], [], []
         for x in b.column(2):
             grams = shingles(x.as_py())
-            keys.append(band_keys(grams))
+            hashes = np.fromiter(map(HASH, grams), np.uint64, len(grams))
+            keys.append(band_keys(hashes))
             sizes.append(len(grams))
+            prints.append(simhash.majority(sum(simhash.ones_of(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), len(hashes)))
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), lists], ["id", "node", "n", "keys"])
+        fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), fps, lists], ["id", "node", "n", "fp", "keys"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +142,17 @@ def _similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFram
     return rows.select("a", "b", "x", "y").mapInArrow(_decide, "a long, b long")
 
 
+def _alike(single: DataFrame) -> DataFrame:
+    """``a, b``: texts of fingerprints within the radius of the index; each against the first text of its own and of a linked print."""
+    prints = materialise(single.groupBy("fp").agg(F.min("node").alias("node")), "shingles-prints")
+    own = single.select("fp", F.col("node").alias("a")).join(prints, "fp").select("a", F.col("node").alias("b"))
+    linked = simhash.links(prints.select("fp"))
+    for side in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
+    both = own.union(linked.select("a_node", "b_node")).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, node, root`` of every row: hash of the text and that of its class of similar texts (null where it is alone).
 
@@ -146,8 +160,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, node long, n long, keys array<long>"), "shingles")
-    nodes = rows.dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("band", "key"))
+    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, node long, n long, fp long, keys array<long>"), "shingles")
+    single = rows.dropDuplicates(["node"])
+    nodes = single.select("node", "n", F.posexplode("keys").alias("band", "key"))
     groups = nodes.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     nodes = materialise(nodes.join(groups, ["band", "key"]), "shingles-groups")
     # The star of a group is the member that meets most others: in a class of copies, the text they were made of.
@@ -155,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = met.groupBy("band", "key").agg(F.max(F.struct("met", "node", "n")).alias("m"))
     stars = nodes.join(star, ["band", "key"]).where("node <> m.node").where(FITS.format("n", "m.n", "n", "m.n"))
     stars = stars.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
-    stars = materialise(stars.distinct(), "shingles-pairs")
+    stars = materialise(stars.union(_alike(single)).distinct(), "shingles-pairs")
     links = materialise(_similar_pairs(stars, docs, text_col), "shingles-links")
     of = classes(links, "shingles-classes")
     labelled = nodes.join(of, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("label"))

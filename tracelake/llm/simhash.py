@@ -43,9 +43,17 @@ def fingerprint(text: bytes, k: int) -> int:
     for at in range(0, n, CHUNK):
         part = words[at : at + CHUNK + k - 1]
         grams = map(b" ".join, zip(*(part[j:] for j in range(k))))
-        hashes = np.fromiter(map(HASH, grams), np.uint64, len(part) - k + 1)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        ones += ones_of(np.fromiter(map(HASH, grams), np.uint64, len(part) - k + 1))
+    return majority(ones, n)
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes."""
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
