@@ -16,8 +16,9 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    found = toxicity.score(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), model)
+    docs = docs.withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    model = toxicity.train(docs.where("not held_out"), toxicity.learnable(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
