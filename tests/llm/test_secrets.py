@@ -38,5 +38,29 @@ def test_base_spans_and_ownership(spark):
     assert owned == {10, 11}  # few owners: live-looking; the copied example has five
 
 
+KEY40 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCY1a2b3c4d5e"
+UUID = "550e8400-e29b-41d4-a716-446655440000"
+
+
+def test_wide_tokens_and_the_verdict(spark):
+    placeholder, spread = "Pl4c3H0ld3rPl4c3H0ld3r", "Sp1r2e3a4d5Sp1r2e3a4d5"
+    texts = [f"key {KEY40} here", f"id {UUID}=", "see /blog/2024/05/12/some-long-title-of-words and some-very-long-hyphenated-words-1234"]
+    rows = [(k, t, "en", "s0", "") for k, t in enumerate(texts)]
+    rows += [(100 + k, f"{placeholder} text {k}", "en", "s0", "") for k in range(60)]  # one owner, many texts
+    rows += [(300 + k, f"the same {LIVE}", "en", "s0", "") for k in range(90)]  # one text, many copies
+    rows += [(500 + k, f"{spread} {k}", f"l{k % 4}", f"s{k % 2}", "") for k in range(4)]  # two owners, four repositories
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    values = {k: [s["value"] for s in r["spans"]] for k, r in got.items()}
+    assert values[0] == [KEY40] and values[1] == [UUID + "="] and values[2] == []
+    assert values[100] == [] and values[500] == []
+    assert values[300] == [LIVE] and (got[300]["spans"][0]["n_texts"], got[300]["spans"][0]["n_repos"]) == (1, 1)
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"passwd={k:014d}" for k in range(70_000))
+    got = secrets.scan(spark.createDataFrame([(1, text, "en", "s", "")], SCHEMA)).select(secrets.span_text("spans").alias("all")).first()
+    assert got["all"] == brute(text)
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0

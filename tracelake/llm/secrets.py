@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every whole text is scanned for the base kinds and for bare tokens of 20 or more characters, at least four digits
-and four letters among them. All candidate values are hashed and counted over the corpus by distinct repositories
-and owners. A value that many owners carry is a copied example; one that few owners carry looks live. Bare tokens
-have no context of their own, so only the live-looking ones become spans (kind ``owned``); base spans always stay.
+and four letters among them, both in one of their parts, so that paths and hyphenated words are none. All candidate
+values are hashed and counted over the corpus by distinct owners, repositories and texts. A value of many owners,
+repositories or texts is a copied example; one that few carry looks live. Bare tokens have no context of their own, so
+only the live-looking ones become spans (kind ``owned``); base spans always stay.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ PATTERNS = {
     # Runs are greedy, so a minimum in the pattern drops just the matches that the length rule drops.
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
-    "owned": r"[A-Za-z0-9+_]{20,}",
+    "owned": r"[A-Za-z0-9+/_-]{20,}={0,2}",
 }
+#: A part of a bare token that mixes digits and letters.
+MIXED = r"(?:^|[+/_-])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{5,}"
 ASSIGN_VALUE = 12
-#: Sums of lengths are kept for so many matches, so positions in a text with very many matches stay cheap.
+#: Sums of lengths are kept for so many matches and for so many of these, so positions stay cheap with very many matches.
 RUN = 256
 
 
@@ -32,6 +35,12 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 
 
+def _run_sums(of: str) -> Column:
+    """Sums of every ``RUN`` elements of an array; null for none."""
+    last = F.floor((F.size(of) - 1) / RUN).cast("int")
+    return F.when(F.size(of) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: _sum(F.slice(of, b * RUN + 1, F.lit(RUN)))))
+
+
 def _with_spans(df: DataFrame, kind: str, text: str) -> DataFrame:
     """Adds array column ``kind`` of (kind, start, end, value): all matches, by code points.
 
@@ -44,29 +53,24 @@ def _with_spans(df: DataFrame, kind: str, text: str) -> DataFrame:
         F.when(F.size("__m") > 0, F.transform(F.split(F.col(text), PATTERNS[kind], -1), F.length)),
     )
     df = df.withColumn("__len", F.zip_with(F.slice("__gap", F.lit(1), F.size("__m")), "__m", lambda g, m: g + F.length(m)))
-    last = F.floor((F.size("__m") - 1) / RUN).cast("int")
-    df = df.withColumn(
-        "__run",
-        F.when(
-            F.size("__m") > 0,
-            F.transform(F.sequence(F.lit(0), last), lambda b: _sum(F.slice("__len", b * RUN + 1, F.lit(RUN)))),
-        ),
-    )
+    df = df.withColumn("__run", _run_sums("__len"))
+    df = df.withColumn("__top", _run_sums("__run"))
 
     def span(m: Column, i: Column) -> Column:
-        run = F.floor(i / RUN).cast("int")
-        before = _sum(F.slice("__run", F.lit(1), run)) + _sum(F.slice("__len", run * RUN + 1, i - run * RUN))
+        run, top = (F.floor(i / n).cast("int") for n in (RUN, RUN * RUN))
+        before = _sum(F.slice("__top", F.lit(1), top)) + _sum(F.slice("__run", top * RUN + 1, run - top * RUN))
+        before += _sum(F.slice("__len", run * RUN + 1, i - run * RUN))
         start = before + F.element_at("__gap", i + 1)
         value = F.regexp_extract(m, ASSIGN, 2) if kind == "assign" else m
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), value.alias("value")
         )
 
-    return df.withColumn(kind, F.transform("__m", span)).drop("__m", "__gap", "__len", "__run")
+    return df.withColumn(kind, F.transform("__m", span)).drop("__m", "__gap", "__len", "__run", "__top")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """``rid, id, owner, repo, spans`` of every row; written once, so the texts are scanned once."""
+    """``rid, id, owner, repo, words (hash of the text), spans`` of every row; written once, so the texts are scanned once."""
     df = docs.select(
         F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), text_of(text_col).alias("text")
     )
@@ -76,10 +80,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
     def bare(s: Column) -> Column:
         mixed = s.value.rlike("^(?:[^0-9]*[0-9]){4}") & s.value.rlike("^(?:[^A-Za-z]*[A-Za-z]){4}")
-        return mixed & ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
+        return mixed & s.value.rlike(MIXED) & ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
 
     df = df.withColumn("spans", F.array_sort(F.concat("base", F.filter("owned", bare)), _by_start))
-    return materialise(with_row_id(df.select("id", "owner", "repo", "spans")), "secrets")
+    return materialise(with_row_id(df.select("id", "owner", "repo", F.xxhash64("text").alias("words"), "spans")), "secrets")
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -88,17 +92,19 @@ def _by_start(a: Column, b: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``digest, n_rows, n_repos, n_owners`` of every candidate value. A repository belongs to its owner.
+    """``digest, n_rows, n_texts, n_repos, n_owners`` of every candidate value. A repository belongs to its owner, a text
+    to its repository.
 
     Counted from the finest key up, each step combined before its shuffle: a value in every row is no hot key.
     """
-    values = found.select("owner", "repo", F.explode("spans").alias("s")).select(
-        "owner", "repo", F.sha2(F.col("s.value"), 256).alias("digest")
+    values = found.select("owner", "repo", "words", F.explode("spans").alias("s")).select(
+        "owner", "repo", "words", F.sha2(F.col("s.value"), 256).alias("digest")
     )
-    repos = values.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n"))
-    owners = repos.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    texts = values.groupBy("digest", "owner", "repo", "words").agg(F.count("*").alias("n"))
+    repos = texts.groupBy("digest", "owner", "repo").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    owners = repos.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("texts").alias("texts"), F.sum("n").alias("n"))
     return owners.groupBy("digest").agg(
-        F.sum("n").alias("n_rows"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")
+        F.sum("n").alias("n_rows"), F.sum("texts").alias("n_texts"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")
     )
 
 
@@ -109,19 +115,25 @@ def scan(
     owner_col: str = "source",
     repo_col: str = "lang",
     few_owners: int = 2,
+    few_repos: int = 3,
+    few_texts: int = 50,
 ) -> DataFrame:
-    """One row per input row: ``rid, id_col, spans`` with spans (kind, start, end, value, n_owners, n_repos, live).
+    """One row per input row: ``rid, id_col, spans`` with spans (kind, start, end, value, n_owners, n_repos, n_texts, live).
 
+    A value is live-looking if at most ``few_owners`` owners, ``few_repos`` repositories and ``few_texts`` different texts
+    of theirs have it; copies of one text in a repository count once.
     Null text counts as empty; a null owner or repository is one of its own. Repeated rows are rows of their own,
     of one owner. An empty table gives no rows; extra columns are ignored.
     """
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     each = found.select("rid", F.explode("spans").alias("s")).withColumn("digest", F.sha2(F.col("s.value"), 256))
-    judged = each.join(ownership(found), "digest").withColumn("live", F.col("n_owners") <= few_owners)
+    judged = each.join(ownership(found), "digest").withColumn(
+        "live", (F.col("n_owners") <= few_owners) & (F.col("n_repos") <= few_repos) & (F.col("n_texts") <= few_texts)
+    )
     spans = (
         judged.where((F.col("s.kind") < 3) | F.col("live"))
         .groupBy("rid")
-        .agg(F.collect_list(F.struct("s.start", "s.kind", "s.end", "s.value", "n_owners", "n_repos", "live")).alias("spans"))
+        .agg(F.collect_list(F.struct("s.start", "s.kind", "s.end", "s.value", "n_owners", "n_repos", "n_texts", "live")).alias("spans"))
     )
     out = found.select("rid", "id").join(spans, "rid", "left")
     return out.select(
