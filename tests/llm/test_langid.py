@@ -51,14 +51,16 @@ def test_code_lengths_are_exact():
     counts = [(k, *langid.grams_of(train[x])) for k, x in enumerate(langs)]
     lang = np.concatenate([np.full(len(g), k) for k, g, _ in counts])
     gram = np.concatenate([g for _, g, _ in counts])
-    trees = langid.freeze(langs, lang, gram, np.ones(len(gram)), 1 << 20)
+    trees = langid.freeze(langs, lang, gram, np.ones(len(gram)))
     texts = [text(rnd, x, 20).encode() for x in SYLLABLES] + [b"", b"k", b"\xff\x00 unseen ZZ", b"x" * 3000]
     got = trees.code_lengths(texts, cells=2000)
     for k, x in enumerate(langs):
         model = Brute(train[x])
         assert got[:, k] == pytest.approx([model.bits(t) for t in texts], rel=1e-4)
-    small = langid.freeze(langs, lang, gram, np.ones(len(gram)), 1)  # the bound is kept, shorter contexts stay whole
-    assert len(small.grams[3]) == 0 and np.isfinite(small.code_lengths(texts)).all()
+    # Tables split by language give the same lengths: nothing is left out.
+    split = langid.forest(langs, lang, gram, np.ones(len(gram)), 1)
+    assert len(split.groups) == len(langs) and split.langs == langs
+    assert split.code_lengths(texts) == pytest.approx(got, rel=1e-6)
 
 
 def test_held_out_accuracy_and_defined_cases(spark):

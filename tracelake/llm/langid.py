@@ -77,22 +77,42 @@ class Trees:
         return out
 
 
-def freeze(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, most_cells: int) -> Trees:
-    """Trees from counts of longest grams. Rare longest grams are left out until gram times language fits the bound."""
+@dataclass
+class Forest:
+    """Trees of groups of languages; a group shares one table of grams. No gram is left out, however many languages there are."""
+
+    groups: list[Trees]
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for g in self.groups for x in g.langs]
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of every text under every language."""
+        return np.hstack([g.code_lengths(texts) for g in self.groups])
+
+
+def forest(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, most_cells: int) -> Forest:
+    """Languages share a table as long as grams times languages are at most ``most_cells``; else each half has its own."""
+    if len(langs) > 1 and len(np.unique(gram)) * len(langs) > most_cells:
+        half, out = len(langs) // 2, []
+        for at, names in ((0, langs[:half]), (half, langs[half:])):
+            mine = (lang >= at) & (lang < at + len(names))
+            out += forest(names, lang[mine] - at, gram[mine], count[mine], most_cells).groups
+        return Forest(out)
+    return Forest([freeze(langs, lang, gram, count)])
+
+
+def freeze(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Trees:
+    """Trees from counts of longest grams."""
     n_langs = len(langs)
-    keep = np.ones(len(gram), bool)
-    least = 1
-    while len(np.unique(gram[keep])) * n_langs > most_cells:
-        least += 1
-        keep = count >= least
     grams, logp, contexts, escape = [], [], [], []
     below = np.full((256, n_langs), -8.0)  # order -1: all bytes alike
     below_keys = np.arange(256, dtype=np.uint32)
     for k in range(ORDER + 1):
         g = gram & np.uint32((1 << 8 * (k + 1)) - 1)
-        use = keep if k == ORDER else np.ones(len(g), bool)
-        both, inverse = np.unique(lang[use].astype(np.uint64) << np.uint64(32) | g[use], return_inverse=True)
-        n = np.bincount(inverse, weights=count[use])
+        both, inverse = np.unique(lang.astype(np.uint64) << np.uint64(32) | g, return_inverse=True)
+        n = np.bincount(inverse, weights=count)
         l, g = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         # Contexts: total T and distinct D by language.
         ctx = g >> np.uint32(8)
@@ -127,11 +147,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 8 << 20, most_cells: int = 16 << 20) -> Trees | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 8 << 20, most_cells: int = 16 << 20) -> Forest | None:
     """Freeze the trees of every non-null language of ``docs``; null without any text.
 
     The classifier is fitted on a bounded sample: rows are drawn by hash at a rate that gives every language an equal
-    share of ``sample_bytes``. ``most_cells`` bounds what is sent to the executors, whatever the sample holds.
+    share of ``sample_bytes``, which bounds the grams and so what is sent to the executors. ``most_cells`` bounds a table
+    that languages share; with more, tables are split by language, and nothing is left out.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).cast("binary").alias("text")
@@ -152,12 +173,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     langs = sorted(set(got["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
     lang = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
-    return freeze(langs, lang, got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy(), most_cells)
+    return forest(langs, lang, got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy(), most_cells)
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: Trees = shared.value
+        trees: Forest = shared.value
         for batch in batches:
             for b in byte_slices(batch, batch.num_columns - 2, 2 << 20):
                 bits = trees.code_lengths([x or b"" for x in b.column(b.num_columns - 2).to_pylist()])
@@ -177,7 +198,7 @@ def _predict(shared):
 FOREIGN_BYTES, FOREIGN_BITS = 128, 7.0
 
 
-def keep_known(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, trees: Forest | None, text_col: str = "text") -> DataFrame:
     """The documents in a learned language, with the columns of ``docs`` as they are, whatever their names.
 
     Null, empty and letterless texts go, and those that no learned language shortens (``FOREIGN_BYTES``,
@@ -191,7 +212,7 @@ def keep_known(docs: DataFrame, trees: Trees | None, text_col: str = "text") ->
     return predict(rows, trees, text_col).where((F.col("lang_pred") != UND) & known).select(*back)
 
 
-def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, trees: Forest | None, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred, score`` (posterior of the prediction, languages alike beforehand) and ``bits``.
 
     ``und`` with score zero where the text is null, empty or without a letter, and everywhere if nothing was learned.
