@@ -132,8 +132,8 @@ def test_voters_abstain_and_vote_both_ways():
     assert v.votes(b"GROLM you MORON, f**k licence kindly") == [2, 1, 0, 2, 1, 2, 2, 2, 1, 1, 2, 0, 2]
 
 
-def test_labels_only_choose_words(spark):
-    """Without gold labels in the fit the held-out rows come out as with them."""
+def test_with_and_without_gold_voter(spark):
+    """Clean votes tell the classes apart without gold labels in the fit too."""
     docs, labels = corpus()
     df, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
     for gold in (False, True):

@@ -4,8 +4,9 @@ Many voters read a text and vote toxic, vote clean or abstain: groups of a lexic
 sample of labelled rows sets apart, general patterns, and the absence of all of these. A generative label model takes
 the votes of labelled and unlabelled rows as observed and the class as hidden. Its parameters are the rates at which a
 voter votes each way in either class, hence its accuracy, and the correlations of voters: a voter may depend on one
-other, by a table for each class. Expectation maximisation estimates all of them from votes alone; gold labels choose
-words, and check the result. A linear classifier over words is trained on the posterior labels.
+other, by a table for each class. Expectation maximisation estimates all of them; gold labels choose words, tell the
+classes apart and are one more voter where a row has one. A linear classifier over words is trained on the posterior
+labels.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ class LabelModel:
         return out
 
 
-#: Votes each way added to every count, and how likely a gold label is right.
+#: Votes each way added to every count, and the first belief in a gold label.
 SMOOTH, TRUST = 0.1, 0.95
 
 
@@ -323,12 +324,15 @@ def train(
     label_col: str = "toxic",
     per_class: int = 6000,
     unlabelled: int = 12_000,
-    gold: bool = False,
+    gold: bool = True,
+    trust: float = 0.999,
+    share: float = 0.01,
 ) -> Model:
     """Fit on at most ``per_class`` labelled rows of either class and ``unlabelled`` others, whole texts, drawn by hash.
 
-    Labels choose the words that vote and are compared with the result; with ``gold`` they are one more voter of the
-    label model, by default they are none. Rows of ``labels`` with a null or other label are ignored, of repeated ones
+    Labels choose the words that vote, tell the classes apart and are compared with what votes alone say (``check``).
+    With ``gold`` a labelled row has one more voter, right with probability ``trust``. An unlabelled row weighs ``share``
+    of a labelled one for the classifier. Rows of ``labels`` with a null or other label are ignored, of repeated ones
     the larger label counts; labels without a document have no say. With rows of one class only the model is constant.
     """
     spark = docs.sparkSession
@@ -352,13 +356,14 @@ def train(
     toxic = rows["toxic"].to_numpy(zero_copy_only=False)[back].astype(np.float64)  # not a number where unlabelled
     weight = rows["weight"].to_numpy()[back]
     has = ~np.isnan(toxic)
-    sure = math.log(TRUST / (1 - TRUST))
+    sure = math.log(trust / (1 - trust))
     say = np.where(has, sure * (2 * np.nan_to_num(toxic) - 1), 0.0) if gold else 0.0
     estimated = label_model(votes, weight, np.where(toxic == 1, TRUST, np.where(toxic == 0, 1 - TRUST, np.nan)), say)
     p = estimated.posterior(votes, say)
-    check = float(np.average((p[has] > 0.5) == (toxic[has] == 1), weights=weight[has]))
+    check = float(np.average((estimated.posterior(votes[has]) > 0.5) == (toxic[has] == 1), weights=weight[has]))
     posterior = spark.createDataFrame(pa.table({"rid": rid, "p": p}))
-    soft = sample.join(F.broadcast(posterior), "rid").select("text", "p", "weight")
+    counted = F.when(F.col("toxic").isNull(), F.lit(share)).otherwise(F.lit(1.0)) * F.col("weight")
+    soft = sample.join(F.broadcast(posterior), "rid").select("text", "p", counted.alias("weight"))
     names = [f for f, _ in _telling(soft, "toxicity-features")]
     index = {f: i for i, f in enumerate(names)}
 
@@ -368,7 +373,7 @@ def train(
     coded = texts.mapInArrow(_lists(known, spark.sparkContext.broadcast(index)), "rid long, at array<int>").toArrow()
     order = np.argsort(coded["rid"].to_numpy())
     at = [np.array(coded["at"][int(i)].as_py(), np.int64) for i in order]
-    bias, weights = linear_classifier(at, p, weight, len(names))
+    bias, weights = linear_classifier(at, p, np.where(has, weight, share * weight), len(names))
     edges = [(int(k), j) for j, k in enumerate(estimated.parent) if k >= 0]
     return Model(float(bias), {f: float(w) for f, w in zip(names, weights)}, estimated.accuracies(votes, weight), edges, check)
 
