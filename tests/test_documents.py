@@ -139,7 +139,9 @@ def test_json_records(spark, tmp_path):
 
 def test_align_review_generate(spark):
     req = spark.createDataFrame([("p", "r", "handles overflow"), ("p", "s", "nothing like it")], "project string, requirement_id string, requirement string")
-    chunks = spark.createDataFrame([("p", "f", 0, "1: int overflow;\n2: x\n3: overflow")], "project string, file string, chunk_no int, content string")
+    chunks = spark.createDataFrame(
+        [("p", "f", 1, 2, "1: int overflow;\n2: x"), ("p", "f", 3, 3, "3: overflow")], "project string, file string, start_line int, end_line int, content string"
+    )
     lines = spark.createDataFrame([("p", "f", ["int overflow;", "x", "overflow"])], "project string, file string, lines array<string>")
     got = sorted((r["requirement_id"], r["start"], r["end"], r["content"]) for r in align.align(req, chunks, lines, align.overlap_stub).collect())
     assert got == [("r", 1, 1, "1: int overflow;"), ("r", 3, 3, "3: overflow")]

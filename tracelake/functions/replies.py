@@ -18,13 +18,26 @@ def related_intervals(reply: Column, tolerant: bool = True) -> Column:
     A reply of bare integers, or with any element that is no pair, has no intervals: null. ``tolerant`` accepts
     commas before closing brackets.
     """
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    body = F.when(fenced != "", fenced).otherwise(_strip(reply))
-    body = F.regexp_replace(body, r",\s*([\]}])", "$1") if tolerant else body
-    as_object = F.from_json(body, "related_code array<array<int>>")["related_code"]
-    as_list = F.from_json(F.when(body.startswith("["), body), PAIRS)
-    found = F.coalesce(as_object, as_list)
-    return F.when(F.forall(found, lambda p: p.isNotNull() & (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull()), found)
+
+    def parse(body: Column) -> Column:
+        body = F.regexp_replace(body, r",\s*([\]}])", "$1") if tolerant else body
+        # A list stands for an object that holds it, so every reply is parsed once.
+        whole = F.when(body.startswith("["), F.concat(F.lit('{"related_code": '), body, F.lit("}"))).otherwise(body)
+        return F.from_json(whole, f"related_code {PAIRS}")["related_code"]
+
+    def checked(found: Column) -> Column:
+        return F.when(F.forall(found, lambda p: p.isNotNull() & (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull()), found)
+
+    # What stands between fences, where it is an object; else the whole reply.
+    parts = F.transform(F.split(reply, "```", -1), lambda x: _strip(F.regexp_replace(x, "^json", "")))
+    fenced = F.filter(parts, lambda x, i: (i % 2 == 1) & x.startswith("{"))
+    body = F.when(reply.contains("```"), F.coalesce(F.get(fenced, F.lit(0)), _strip(reply))).otherwise(_strip(reply))
+    return once(once(body, parse), checked)
+
+
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def integers(reply: Column) -> Column:

@@ -138,9 +138,14 @@ def slice_ranges(source: Column, ranges: Column) -> Column:
 def clean_latex(text: Column) -> Column:
     """Spacing debris out, blank runs to one empty line, trimmed."""
     out = F.regexp_replace(text, r"\\kern-\\nulldelimiterspace|kern\{2pt\}", "")
-    return F.trim(F.regexp_replace(out, r"\n{2,}", "\n\n"))
 
+    def column_types(m: Column) -> Column:
+        """``{*{3}{c}}`` -> ``{ccc}``"""
+        n = F.regexp_extract(m, r"\{\*\{(\d{1,3})\}", 1).cast("int")
+        return F.concat(F.lit("\\begin{array}{"), F.repeat(F.regexp_extract(m, r"\}\{(\w+)\}\}$", 1), n), F.lit("}"))
 
-def decode_utf8_or_gbk(content: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else GBK (where the session allows that character set)."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "GBK"))
+    repeated = r"\\begin\{array\}\{\*\{\d{1,3}\}\{\w+\}\}"
+    found = F.regexp_extract_all(out, F.lit(repeated), F.lit(0))
+    between = F.split(out, repeated, -1)
+    pieces = F.zip_with(between, F.transform(found, column_types), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.trim(F.regexp_replace(F.array_join(pieces, ""), r"\n{2,}", "\n\n"))

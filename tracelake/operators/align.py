@@ -39,25 +39,53 @@ def prompt(template: str, **parts: Column) -> Column:
     return F.concat(*[parts[p] if k % 2 else F.lit(p) for k, p in enumerate(clean)])
 
 
-def ask(df: DataFrame, prompt_col: str, backend: Backend, reply_col: str = "reply", per_call: int = 16) -> DataFrame:
-    """``df`` plus the replies. Equal prompts are asked once; one client a task; failures are null."""
+def _answers(backend: Backend, make: Callable[..., str], keys: int, reply_col: str, per_call: int, tries: int):
+    """Rows of ``keys`` key columns and the parts of a prompt -> keys and reply. One client a task."""
+
+    def call(client, texts: list[str]) -> list[str | None]:
+        for _ in range(tries):
+            try:
+                out = list(client(texts))[: len(texts)]
+                return out + [None] * (len(texts) - len(out))
+            except Exception:  # a failed call is a null reply, as a failed row must not end the job
+                continue
+        return [None] * len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = backend()
         for b in batches:
-            texts, out = b.column(1).to_pylist(), []
+            texts, out = [make(*x) for x in zip(*(c.to_pylist() for c in b.columns[keys:]))], []
             for at in range(0, len(texts), per_call):
-                try:
-                    out += client(texts[at : at + per_call])
-                except Exception:  # a failed call is a null reply, as a failed row must not end the job
-                    out += [None] * len(texts[at : at + per_call])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["__key", reply_col])
-
-    keyed = df.withColumn("__key", F.sha2(F.coalesce(prompt_col, F.lit("")), 256))
-    asked = keyed.groupBy("__key").agg(F.first(prompt_col).alias("p")).mapInArrow(run, f"__key string, {reply_col} string")
+                out += call(client, texts[at : at + per_call])
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.array(out, pa.string())], [*b.schema.names[:keys], reply_col])
+
+    return run
+
+
+def ask(
+    df: DataFrame, prompt_col: str, backend: Backend, reply_col: str = "reply", per_call: int = 16, tries: int = 2, cache: DataFrame | None = None
+) -> DataFrame:
+    """``df`` plus the replies; a column of that name is replaced. Equal prompts are asked once.
+
+    A call that fails ``tries`` times, and what a client leaves out, is null. ``cache (prompt_key, reply)`` holds replies of
+    earlier runs by ``prompt_key``; what it has is not asked again.
+    """
+    keyed = df.drop(reply_col).withColumn("__key", prompt_key(F.col(prompt_col)))
+    wanted = keyed.groupBy("__key").agg(F.first(prompt_col).alias("p"))
+    if cache is not None:
+        had = cache.select(F.col("prompt_key").alias("__key"), F.col("reply").alias(reply_col)).where(F.col(reply_col).isNotNull()).dropDuplicates(["__key"])
+        wanted = wanted.join(had, "__key", "left_anti")
+    asked = wanted.mapInArrow(_answers(backend, lambda p: p, 1, reply_col, per_call, tries), f"__key string, {reply_col} string")
+    if cache is not None:
+        asked = asked.unionByName(had)
     return keyed.join(asked, "__key", "left").drop("__key")
 
 
+def prompt_key(text: Column) -> Column:
+    """What replies are cached by."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def related_code(answers: DataFrame, strict: bool = False) -> DataFrame:
     """``requirement_id, file, lines, reply`` rows to merged, extracted blocks: ``requirement_id, filename, content, start, end``.
 
@@ -68,28 +96,53 @@ def related_code(answers: DataFrame, strict: bool = False) -> DataFrame:
         bad = parsed.where("pairs is null").select("requirement_id").distinct()
         parsed = parsed.join(bad, "requirement_id", "left_anti")
     merged = parsed.select("requirement_id", "file", "lines", F.explode(intervals.merge_array(F.col("pairs"))).alias("b"))
-    return merged.select(
-        "requirement_id",
-        F.col("file").alias("filename"),
-        intervals.extract_from_lines(F.col("lines"), F.col("b")[0], F.col("b")[1]).alias("content"),
-        F.col("b")[0].alias("start"),
-        F.col("b")[1].alias("end"),
-    )
+    return merged.select("requirement_id", F.col("file").alias("filename"), *_block(F.col("lines"), F.col("b")))
 
 
-def align(requirements: DataFrame, chunks: DataFrame, lines: DataFrame, backend: Backend, strict: bool = False) -> DataFrame:
-    """Every requirement of a project against every chunk of its code.
+def _block(lines: Column, b: Column) -> tuple[Column, ...]:
+    return intervals.extract_from_lines(lines, b[0], b[1]).alias("content"), b[0].alias("start"), b[1].alias("end")
 
-    ``requirements (project, requirement_id, requirement)``, ``chunks (project, file, chunk_no, content)``,
-    ``lines (project, file, lines)``.
+
+#: Requirements of a project are dealt with its chunks in so many lots, so that a large project is no single key.
+LOTS = 8
+
+
+def align(requirements: DataFrame, chunks: DataFrame, lines: DataFrame, backend: Backend, strict: bool = False, per_call: int = 16, tries: int = 2) -> DataFrame:
+    """Every requirement of a project against every chunk of its code: ``requirement_id, filename, content, start, end``.
+
+    ``requirements (project, requirement_id, requirement)``, ``chunks (project, file, start_line, end_line, content)``,
+    ``lines (project, file, lines)``. Intervals of a reply are clipped to the lines of its chunk; those of all chunks of a
+    file are merged. Only keys are paired: texts come in once for each distinct pair of them, and lines only where a reply
+    names some. Files are known by project and path; equal requirement ids of one project are one requirement.
     """
-    pairs = requirements.join(chunks, "project")
-    asked = ask(pairs.withColumn("prompt", prompt(ALIGN, requirement=F.col("requirement"), code=F.col("content"))), "prompt", backend)
-    return related_code(asked.join(lines, ["project", "file"]), strict)
+    reqs = requirements.withColumn("r", F.sha2(F.coalesce("requirement", F.lit("")), 256))
+    parts = chunks.withColumn("c", F.sha2(F.coalesce("content", F.lit("")), 256))
+    lot = F.pmod(F.xxhash64("file", "start_line"), F.lit(LOTS)).cast("int")
+    keys = reqs.select("project", "requirement_id", "r", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
+    pairs = keys.join(parts.select("project", "file", "start_line", "end_line", "c", lot.alias("lot")), ["project", "lot"]).drop("lot")
+    wanted = pairs.select("r", "c").distinct()
+    wanted = wanted.join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r")
+    wanted = wanted.join(parts.groupBy("c").agg(F.first("content").alias("content")), "c").select("r", "c", "requirement", "content")
+    make = lambda requirement, code: ALIGN.format(requirement=requirement or "", code=code or "")
+    replied = wanted.mapInArrow(_answers(backend, make, 2, "reply", per_call, tries), "r string, c string, reply string")
+    replied = replied.select("r", "c", replies.related_intervals(F.col("reply"), tolerant=not strict).alias("pairs"))
+    named = pairs.join(replied.where("pairs is null or size(pairs) > 0"), ["r", "c"])
+    if strict:
+        bad = named.where("pairs is null").select("project", "requirement_id").distinct()
+        named = named.join(bad, ["project", "requirement_id"], "left_anti")
+
+    def clip(p: Column) -> Column:
+        return F.array(F.greatest(p[0], "start_line"), F.least(p[1], "end_line"))
+
+    clipped = F.filter(F.transform("pairs", clip), lambda p: p[0] <= p[1])
+    named = named.where("pairs is not null").withColumn("pairs", clipped).where("size(pairs) > 0")
+    per = named.groupBy("project", "requirement_id", "file").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    blocks = per.join(lines, ["project", "file"]).select("requirement_id", "file", "lines", F.explode(intervals.merge_array(F.col("pairs"))).alias("b"))
+    return blocks.select("requirement_id", F.col("file").alias("filename"), *_block(F.col("lines"), F.col("b")))
 
 
 def code_context(blocks: Column) -> Column:
-    """Blocks (filename, content) as one text."""
+    """Blocks (filename, content) as one text. Its wording."""
     return F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("所属文件: "), b["filename"], F.lit("\n代码:\n"), b["content"])), "\n\n")
 
 

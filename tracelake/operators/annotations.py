@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions import text as T
+from tracelake.operators import intervals, store
 
 
 def touching(annotations: DataFrame, document: Column) -> DataFrame:
@@ -76,6 +77,33 @@ def locate_after(text: Column, piece: Column, after: Column) -> Column:
     return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(piece)).alias("end")))
 
 
+def locate_in_turn(text: Column, pieces: Column) -> Column:
+    """``ARRAY<STRUCT<start, end>>`` of pieces, each looked for at or after the end of the last one found; null where absent."""
+    none = F.lit(None).cast("struct<start: int, end: int>")
+    first = F.struct(F.lit(0).alias("after"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("found"))
+
+    def step(done: Column, piece: Column) -> Column:
+        def add(at: Column) -> Column:
+            hit = F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(piece)).alias("end"))).otherwise(none)
+            after = F.when(at > 0, at - 1 + F.length(piece)).otherwise(done["after"])
+            return F.struct(after.cast("int").alias("after"), F.concat(done["found"], F.array(hit)).alias("found"))
+
+        return F.transform(F.array(F.position(piece, text, done["after"] + 1)), add)[0]
+
+    return F.aggregate(pieces, first, step)["found"]
+
+
+def selected_spans(selections: DataFrame, spans: DataFrame, key: str, width: int = 1000) -> DataFrame:
+    """``key, selection, start, end``: the whole spans that a selection touches, distinct, and from where to where they reach.
+
+    ``selections (key, selection, start, end)`` and ``spans (key, start, end)`` are half-open.
+    """
+    both = intervals.overlap_join(selections, spans, key, width)
+    hit = both.select(key, F.col("l_selection").alias("selection"), F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end")).alias("r"))
+    per = hit.groupBy(key, "selection").agg(F.array_sort(F.collect_set("r")).alias("spans"))
+    return per.withColumns({"start": F.array_min(F.transform("spans", lambda r: r["start"])), "end": F.array_max(F.transform("spans", lambda r: r["end"]))})
+
+
 def neighbour(index: Column, step: int, size: Column) -> Column:
     """Previous or next position, held inside the list."""
     return F.greatest(F.lit(0), F.least(size - 1, index + step))
@@ -91,23 +119,27 @@ def remove_block(blocks: Column, index: Column) -> Column:
 
 
 def add_block(blocks: Column, block: Column) -> Column:
-    """Blocks with one more, by file name and start."""
-
-    def order(a: Column, b: Column) -> Column:
-        x, y = F.struct(a["filename"], a["start"]), F.struct(b["filename"], b["start"])
-        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-    return F.array_sort(F.concat(F.coalesce(blocks, F.array()), F.array(block)), order)
+    """Blocks with one more, by file name in locale order and start."""
+    return store.sort_blocks(F.concat(F.coalesce(blocks, F.array()), F.array(block)))
 
 
 def upload(current: DataFrame, incoming: DataFrame, kind: str, root: str) -> DataFrame:
     """Files after an upload: code keeps its path below the root, documents their base name; other kinds are refused.
 
-    Paths that leave the root are dropped, a file of the same path is replaced.
+    Paths that leave the root are dropped, a file of the same path is replaced. Of several incoming files of one path
+    the last by ``ordinal`` stays, or without that column the last by content.
     """
     if kind not in ("code", "doc"):
         raise ValueError("kind is 'code' or 'doc'")
     full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
     ok = incoming.where(T.inside(full, F.lit(root))) if kind == "code" else incoming.where(T.extension(F.col("path")).isin("md", "docx"))
     named = ok if kind == "code" else ok.withColumn("path", T.folder_name(F.col("path")))
+    by = ["ordinal"] if "ordinal" in incoming.columns else ["content"]
+    last = Window.partitionBy("path").orderBy(*[F.desc(c) for c in by])
+    named = named.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(current.columns)
     return current.join(named, "path", "left_anti").unionByName(named)
+
+
+def upload_totals(files: DataFrame) -> DataFrame:
+    """One row after an upload: ``n_files, code_scale`` (non-blank lines) of the files that stand now."""
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(T.nonblank_count(F.col("content"))), F.lit(0)).alias("code_scale"))

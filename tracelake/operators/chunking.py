@@ -6,6 +6,7 @@ counts are columns, and a file is one row throughout: no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -15,20 +16,59 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 
-OPENERS = re.compile(r"\b(?:namespace|class|struct)\s+\w+\s*\{|\b[\w:<>]+\s+\w+\s*\([^)]*\)\s*\{")
-#: A branch looks like a function with a return type: the keyword stands where the name would.
-NO_FUNCTION = re.compile(r"\b(?:else|return)\s+(?:if|for|while|switch)\b|\b(?:if|for|while|switch|catch)\s*\(")
+#: What stands between statements: blanks, comments, preprocessor lines, labels of access.
+BETWEEN = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/|\#[^\n]*|\b(?:public|private|protected)\s*:(?!:))+", re.S)
+#: Words that open a block of their own, and words before a parenthesis that name no function.
+TYPES = set("namespace class struct union enum".split())
+CONTROL = set("if else for while do switch catch try return sizeof new delete throw case defined decltype alignas".split())
+WORD = re.compile(r"[A-Za-z_~]\w*|\S")
+
+
+#: A member of a constructor's list that is initialised by braces.
+MEMBER = re.compile(r"\)[^:;{}()]*:(?!:).*[\w>]\s*$", re.S)
+
+
+def opens_block(head: str) -> bool:
+    """Whether the statement before a brace declares a type, a name space or a function."""
+    words = WORD.findall(BETWEEN.sub(" ", head))
+    depth, name, before = 0, None, []
+    for k, w in enumerate(words):
+        if w == "(":
+            if depth == 0 and name is None:
+                name, before = (words[k - 1] if k else ""), words[: k - 1]
+            depth += 1
+        elif w == ")":
+            depth -= 1
+            if depth < 0:
+                return False  # the rest of a loop's head
+        elif w == "=" and depth == 0 and "operator" not in words:
+            return False
+    if depth or not words or CONTROL & set(words[: 1 + words.index("(") if "(" in words else None]):
+        return False
+    if name is None:
+        return bool(TYPES & set(words))
+    return name[:1].isalpha() or name[:1] in ("_", "~") or "operator" in before
 
 
 def protected_blocks(code: str) -> list[tuple[int, int]]:
-    """Outermost blocks as (first line, last line), from one; unbalanced ones are left out. One pass over the braces."""
-    opens = {m.end() - 1: m.start() for m in OPENERS.finditer(code) if not NO_FUNCTION.match(code, m.start())}
-    blocks, stack = [], []
-    for m in re.finditer(r"[{}]", code):
+    """Outermost blocks as (first line, last line), from one; unbalanced ones are left out. All braces count, one pass."""
+    ends = [m.start() for m in re.finditer("\n", code)]
+    blocks, stack, last = [], [], 0
+    for m in re.finditer(r"[{};]", code):
+        at = m.start()
         if m[0] == "{":
-            stack.append(opens.get(m.start()))
-        elif stack and (start := stack.pop()) is not None:
-            blocks.append((code.count("\n", 0, start) + 1, code.count("\n", 0, m.start()) + 1))
+            head = code[last:at]
+            skip = BETWEEN.match(head)
+            member = MEMBER.search(head) is not None
+            stack.append((None if member or not opens_block(head) else last + (skip.end() if skip else 0), last if member else None))
+        elif m[0] == "}" and stack:
+            start, resume = stack.pop()
+            if start is not None:
+                blocks.append((bisect.bisect_left(ends, start) + 1, bisect.bisect_left(ends, at) + 1))
+            if resume is not None:  # the statement goes on
+                last = resume
+                continue
+        last = at + 1
     outer: list[tuple[int, int]] = []
     for start, end in sorted(blocks, key=lambda b: (b[0], -b[1])):
         if not outer or start > outer[-1][1]:
@@ -78,6 +118,7 @@ def token_count(line):
 
 
 def token_budget_chunks(files: DataFrame, budget: int = 10_000, file_col: str = "file", content_col: str = "content", tokens=token_count) -> DataFrame:
+    """``file, chunk_no, start_line, end_line, content`` of every file. Null and empty contents have no chunk."""
     lines = T.lines(F.col(content_col))
     rows = files.select(
         F.col(file_col).alias("file"), lines.alias("lines"), F.transform(T.numbered(F.col(content_col)), tokens).alias("counts")

@@ -56,15 +56,16 @@ def extract_from_lines(lines: Column, start: Column, end: Column) -> Column:
 
 
 def extract_by_join(blocks: DataFrame, lines: DataFrame) -> DataFrame:
-    """``blocks (file, start, end, ...)`` with the content of their lines, for lines that are a table of their own."""
-    keys = blocks.columns
-    b, n = blocks.alias("b"), lines.alias("n")
+    """``blocks (file, start, end, ...)`` with the content of their lines, for lines that are a table of their own.
+
+    Equal blocks share one result, so each of them gets its own row; a block without lines has an empty content.
+    """
+    keys = ["file", "start", "end"]
+    b, n = blocks.select(*keys).distinct().alias("b"), lines.alias("n")
     on = (F.col("b.file") == F.col("n.file")) & F.col("n.line_no").between(F.col("b.start"), F.col("b.end"))
-    got = b.join(n, on, "left").select("b.*", "n.line_no", "n.text")
-    line = F.when(F.col("line_no").isNotNull(), F.struct("line_no", F.concat_ws(": ", "line_no", "text").alias("t")))
-    return got.groupBy(*keys).agg(F.collect_list(line).alias("l")).select(
-        *keys, F.array_join(F.transform(F.array_sort("l"), lambda r: r["t"]), "\n").alias("content")
-    )
+    got = b.join(n, on).select("b.*", F.struct("n.line_no", F.concat_ws(": ", "n.line_no", "n.text").alias("t")).alias("l"))
+    per = got.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda r: r["t"]), "\n").alias("content"))
+    return blocks.join(per, keys, "left").withColumn("content", F.coalesce("content", F.lit(""))).select(*blocks.columns, "content")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start: str = "start", end: str = "end") -> DataFrame:
@@ -91,12 +92,14 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
 
 
 def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str, ordinal: str = "ordinal") -> DataFrame:
-    """For each point the first block of its key, by ordinal, that holds it; null where none does."""
-    p, b = points.alias("p"), blocks.alias("b")
+    """Every row of ``points``, with all its columns, plus ``block_start, block_end``: the first block of its key, by
+    ordinal, that holds it; null where none does. Points of one place are looked up once and each keep their row."""
+    p, b = points.select(key, point).distinct().alias("p"), blocks.alias("b")
     on = (F.col(f"p.{key}") == F.col(f"b.{key}")) & F.col(f"p.{point}").between(F.col("b.start"), F.col("b.end"))
-    hit = p.join(b, on, "left").select(f"p.{key}", f"p.{point}", f"b.{ordinal}", "b.start", "b.end")
-    best = hit.groupBy(key, point).agg(F.min_by(F.struct("start", "end"), ordinal).alias("m"))
-    return best.select(key, point, F.col("m.start").alias("block_start"), F.col("m.end").alias("block_end"))
+    hit = p.join(b, on).select(f"p.{key}", f"p.{point}", f"b.{ordinal}", "b.start", "b.end")
+    best = hit.groupBy(key, point).agg(F.min_by(F.struct("start", "end"), ordinal).alias("__m"))
+    out = points.join(best, [key, point], "left")
+    return out.select(*points.columns, F.col("__m.start").alias("block_start"), F.col("__m.end").alias("block_end"))
 
 
 def overlaps(ranges: Column, start: Column, end: Column, document: Column | None = None) -> Column:

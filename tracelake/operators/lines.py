@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelake.functions import text as T
 
@@ -30,8 +34,25 @@ def fixed_chunks(files: DataFrame, size: int = 1000, file_col: str = "file", con
     )
 
 
-def line_offsets(lines: DataFrame) -> DataFrame:
-    """Half-open character ranges of the lines in their file, a terminator counting one."""
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
-    return lines.select("file", "line_no", start.alias("start_off"), (start + F.length("text")).alias("end_off"))
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        flat = b.column(1).flatten()
+        per = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy()
+        size = pc.utf8_length(flat).to_numpy().astype(np.int64)
+        first = np.cumsum(per) - per
+        line = np.arange(len(flat)) - np.repeat(first, per)
+        before = np.cumsum(size + 1) - size - 1
+        start = before - np.repeat(np.r_[before, 0][np.minimum(first, len(flat))], per)
+        files = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), per)))
+        cols = [files, pa.array((line + 1).astype(np.int32)), pa.array(start), pa.array(start + size)]
+        yield pa.RecordBatch.from_arrays(cols, ["file", "line_no", "start_off", "end_off"])
+
+
+def line_offsets(files: DataFrame, file_col: str = "file", content_col: str = "content") -> DataFrame:
+    """``file, line_no, start_off, end_off``: half-open character ranges of the lines in their file, a terminator counting one.
+
+    Summed inside the row: no shuffle. Null and empty contents have no lines.
+    """
+    rows = files.select(F.col(file_col).alias("file"), T.lines(F.col(content_col)).alias("lines"))
+    kind = rows.schema["file"].dataType.simpleString()
+    return rows.mapInArrow(_offsets, f"file {kind}, line_no int, start_off long, end_off long")

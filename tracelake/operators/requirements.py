@@ -1,124 +1,211 @@
 """Markdown documents to requirement points: text groups, tables, table rows, formulas, with their heading paths.
 
-Lines are classified and cut to segments with windows over a document's own lines; only the heading stack, whose state
-depends on all headings before, is folded, inside one row per document.
+A document is one row and stays one: its lines are folded in one pass by a small helper, as the heading path of a line
+depends on all headings before it. Formulas are found by a column expression, documents never shuffle.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelake.functions import text as T
-from tracelake.operators.lines import code_lines
 
 #: The types of points.
 TEXT, TABLE, ROW, FORMULA = "描述文本", "表格", "表格行", "公式"
-HEADING = r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
-RULE = r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
-ITEM = r"^\s*([-*+]|\d+[.)])\s+"
-
-
-def plain(line: Column) -> Column:
-    """A line without list marker and inline markup."""
-    out = F.regexp_replace(line, ITEM, "")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(\*\*|__)(\S.*?)\1", "$2")
-    return F.trim(F.regexp_replace(out, r"\*(\S[^*]*)\*|`([^`]*)`", "$1$2"))
+LINE_END = re.compile(T.LINE_END)
+HEADING = re.compile(r" {0,3}(#{1,6})(?!#)\s*(.*?)\s*#*\s*$")
+UNDERLINE = re.compile(r" {0,3}(=+|-+)\s*$")
+RULE = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
+BAR = re.compile(r"(?<!\\)\|")
+#: Inline markup in the order of its removal, and what stays of it.
+INLINE = [
+    (re.compile(r"!\[[^\]]*\]\([^)]*\)"), ""),
+    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
+    (re.compile(r"<(https?://[^<>\s]*|mailto:[^<>\s]*)>"), r"\1"),
+    (re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>"), ""),
+    (re.compile(r"(\*\*|__)(?=\S)(.*?\S)\1"), r"\2"),
+    (re.compile(r"\*(?=\S)([^*]*)\*|(?<!\w)_(?=\S)([^_]*)_(?!\w)"), r"\1\2"),
+]
+ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+.!|-])")
+#: Escaped characters stand in private code points until the markup is gone.
+PRIVATE = 0xE000
+HELD = re.compile("[\ue000-\ue07f]")
+
+
+def inline(line: str) -> str:
+    """The text that a line of Markdown shows: no markup, no tags, character references decoded; code spans as they are."""
+    out = []
+    for k, piece in enumerate(re.split(r"`([^`]+)`", line)):
+        if not k % 2:
+            piece = ESCAPE.sub(lambda m: chr(PRIVATE + ord(m[1])), piece)
+            for pattern, by in INLINE:
+                piece = pattern.sub(by, piece)
+            piece = HELD.sub(lambda m: chr(ord(m[0]) - PRIVATE), html.unescape(piece))
+        out.append(piece)
+    return "".join(out).replace("\u00a0", " ").strip()
+
+
+def table_cells(line: str) -> list[str]:
+    """Texts of the cells of a table line; bars at its ends open none."""
+    line = line.strip()
+    line = line[1:] if line.startswith("|") else line
+    line = line[:-1] if line.endswith("|") and not line.endswith(r"\|") else line
+    return [inline(c) for c in BAR.split(line)]
 
 
 def cells(line: Column) -> Column:
-    """Cells of a table line; bars at its ends open none."""
+    """Raw cells of a table line; bars at its ends open none."""
     inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
     return F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.trim(c))
 
 
-def _heading_paths(headings: DataFrame) -> DataFrame:
-    """``doc, heading, path``: a heading of level n keeps the first n - 1 entries of the path before it."""
-    item = F.struct("seg", "level", "title")
-    per = headings.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("h"))
-    empty = F.expr("cast(array() as array<struct<seg: bigint, path: array<string>>>)")
-
-    def push(done: Column, h: Column) -> Column:
-        before = F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1))["path"]).otherwise(F.expr("cast(array() as array<string>)"))
-        path = F.concat(F.slice(before, F.lit(1), h["level"] - 1), F.array(h["title"]))
-        return F.concat(done, F.array(F.struct(h["seg"].alias("seg"), path.alias("path"))))
-
-    return per.select("doc", F.explode(F.aggregate("h", empty, push)).alias("p")).select("doc", F.col("p.seg").alias("heading"), "p.path")
+def _row(row: list[str], tag: str) -> str:
+    return "<tr>" + "".join(f"<{tag}>{html.escape(c, quote=False)}</{tag}>" for c in row) + "</tr>"
+
+
+class Points:
+    """Points of one document, in order: (type, id, content, cells, context path)."""
+
+    def __init__(self, text: str, formulas: list[str]):
+        self.out: list[tuple] = []
+        self.path: list[str] = []
+        self.buffer: list[str] = []
+        lines = LINE_END.split(text)
+        self._fold(lines)
+        self._flush()
+        for k, f in enumerate(formulas):  # formulas stand after all other points and take the last heading's path
+            self.out.append((FORMULA, f"formula_{k}", f, None, self.path[:]))
+
+    def _flush(self) -> None:
+        if self.buffer:
+            self.out.append((TEXT, f"text_{len(self.out)}", "\n".join(self.buffer), None, self.path[:]))
+            self.buffer = []
+
+    def _heading(self, level: int, title: str) -> None:
+        self._flush()
+        self.path = [*self.path[: level - 1], inline(title)]
+
+    def _table(self, rows: list[list[str]]) -> None:
+        self._flush()
+        head, body = rows[0], rows[1:]
+        ident = f"table_{len(self.out)}"
+        markup = "<table>" + _row(head, "th") + "".join(_row(r, "td") for r in body) + "</table>"
+        self.out.append((TABLE, ident, markup, None, self.path[:]))
+        for k, row in enumerate(body):
+            self.out.append((ROW, f"{ident}_row_{k}", None, list(dict(zip(head, row)).items()), [*self.path, ident]))
+
+    def _fold(self, lines: list[str]) -> None:
+        at, fresh, listed = 0, True, False  # fresh: a block begins; listed: the block before was a list
+        while at < len(lines):
+            line, following = lines[at], lines[at + 1] if at + 1 < len(lines) else ""
+            at += 1
+            if not line.strip():
+                fresh = True
+            elif m := HEADING.match(line):
+                self._heading(len(m[1]), m[2])
+                fresh, listed = True, False
+            elif "|" in line and "|" in following and RULE.match(following) and not RULE.match(line):
+                rows = [table_cells(line)]
+                at += 1
+                while at < len(lines) and "|" in lines[at] and lines[at].strip():
+                    rows.append(table_cells(lines[at]))
+                    at += 1
+                self._table(rows)
+                fresh, listed = True, False
+            elif fresh and UNDERLINE.match(following) and not ITEM.match(line):
+                self._heading(1 if "=" in following else 2, line)
+                at += 1
+                listed = False
+            elif fresh and not listed and re.match(r" {4}|\t", line):
+                continue  # a block of code shows no text of its own
+            else:
+                item = ITEM.match(line)
+                listed = bool(item) or listed and line[:1].isspace()
+                if shown := inline(line[item.end() :] if item else line):
+                    self.buffer.append(shown)
+                fresh = False
+
+
+POINTS = "seq int, type string, id string, content string, cells map<string,string>, context_path array<string>"
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string())]
+    names = ["doc", *(x.split()[0] for x in POINTS.replace("map<string,string>", "map").split(", "))]
+    for b in batches:
+        docs, rows = [], []
+        for k, (text, formulas) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            mine = Points(text or "", formulas or []).out
+            rows += [(seq, *p) for seq, p in enumerate(mine)]
+            docs += [k] * len(mine)
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(docs, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names
+        )
 
 
 def requirement_points(docs: DataFrame, doc_col: str = "doc", content_col: str = "content") -> DataFrame:
-    """``doc, seq, type, id, content, cells, context, context_path`` in document order, formulas last."""
-    lines = code_lines(docs, doc_col, content_col).withColumnRenamed("file", "doc")
-    by_doc = Window.partitionBy("doc").orderBy("line_no")
-    so_far = by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    line, bar = F.col("text"), F.col("text").contains("|")
-    rule = line.rlike(RULE) & bar
-    df = lines.withColumn("level", F.length(F.regexp_extract("text", HEADING, 1)))
-    df = df.withColumn("cand", bar & (F.col("level") == 0)).withColumn("rule", rule)
-    df = df.withColumn("head", F.col("cand") & ~F.col("rule") & F.coalesce(F.lead("rule").over(by_doc), F.lit(False)))
-    df = df.withColumn("run", F.sum(F.when(F.col("cand"), 0).otherwise(1)).over(so_far))
-    first = F.min(F.when(F.col("head"), F.col("line_no"))).over(Window.partitionBy("doc", "run"))
-    df = df.withColumn("table_at", F.when(F.col("cand") & (F.col("line_no") >= first), first))
-    edge = (F.col("level") > 0) | (F.col("line_no") == F.col("table_at"))
-    df = df.withColumn("seg", F.sum(F.when(edge, 1).otherwise(0)).over(so_far))
-    df = df.withColumn("heading", F.max(F.when(F.col("level") > 0, F.col("seg"))).over(so_far))
-
-    paths = _heading_paths(
-        df.where("level > 0").select("doc", "seg", "level", plain(F.regexp_extract("text", HEADING, 2)).alias("title"))
-    )
-    body = df.where((F.col("level") == 0) & ~T.is_blank(line))
-    texts = (
-        body.where("table_at is null")
-        .groupBy("doc", "seg", "heading")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", plain(line).alias("t")))).alias("l"))
-        .select("doc", "seg", "heading", F.lit(2).alias("rank"), F.lit(0).alias("k"), F.lit(TEXT).alias("type"),
-                F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("content"), F.lit(None).cast("map<string,string>").alias("cells"))
-        .where("content <> ''")
-    )
-    tables = (
-        body.where("table_at is not null and not (rule and line_no = table_at + 1)")
-        .groupBy("doc", "seg", "heading")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", cells(line).alias("c")))), lambda x: x["c"]).alias("rows"))
-    )
-
-    def html(row: Column, tag: str) -> Column:
-        inner = F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))), "")
-        return F.concat(F.lit("<tr>"), inner, F.lit("</tr>"))
-
-    rest = F.slice("rows", F.lit(2), F.size("rows"))
-    markup = F.concat(
-        F.lit("<table>"), html(F.col("rows")[0], "th"), F.array_join(F.transform(rest, lambda r: html(r, "td")), ""), F.lit("</table>")
-    )
-    whole = tables.select(
-        "doc", "seg", "heading", F.lit(0).alias("rank"), F.lit(0).alias("k"), F.lit(TABLE).alias("type"), markup.alias("content"),
-        F.lit(None).cast("map<string,string>").alias("cells"),
-    )
-    rows = tables.select("doc", "seg", "heading", F.col("rows")[0].alias("h"), F.posexplode(rest).alias("k", "c")).select(
-        "doc", "seg", "heading", F.lit(1).alias("rank"), "k", F.lit(ROW).alias("type"), F.lit(None).cast("string").alias("content"),
-        T.row_map(F.col("h"), F.col("c")).alias("cells"),
-    )
-    order = Window.partitionBy("doc").orderBy("seg", "rank", "k")
-    points = texts.unionByName(whole).unionByName(rows).withColumn("seq", F.row_number().over(order) - 1)
-    table_no = F.max(F.when(F.col("rank") == 0, F.col("seq"))).over(Window.partitionBy("doc", "seg"))
-    points = points.withColumn("table_id", F.concat(F.lit("table_"), table_no.cast("string")))
-    points = points.join(paths, ["doc", "heading"], "left").withColumn("path", F.coalesce("path", F.expr("cast(array() as array<string>)")))
-    ident = (
-        F.when(F.col("rank") == 2, F.concat(F.lit("text_"), F.col("seq").cast("string")))
-        .when(F.col("rank") == 0, F.col("table_id"))
-        .otherwise(F.concat("table_id", F.lit("_row_"), F.col("k").cast("string")))
-    )
-    path = F.when(F.col("rank") == 1, F.concat("path", F.array("table_id"))).otherwise(F.col("path"))
-    points = points.select("doc", "seq", "type", ident.alias("id"), "content", "cells", path.alias("context_path"))
-
-    # Formulas stand after all other points and take the last heading's path.
-    found = docs.select(F.col(doc_col).alias("doc"), F.posexplode(T.formulas(F.coalesce(F.col(content_col), F.lit("")))).alias("k", "content"))
-    n_points = points.groupBy("doc").agg(F.count("*").alias("n"))
-    final = paths.groupBy("doc").agg(F.max_by("path", "heading").alias("context_path"))
-    math = found.join(n_points, "doc", "left").join(final, "doc", "left").select(
-        "doc", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("int").alias("seq"), F.lit(FORMULA).alias("type"),
-        F.concat(F.lit("formula_"), F.col("k").cast("string")).alias("id"), "content", F.lit(None).cast("map<string,string>").alias("cells"),
-        F.coalesce("context_path", F.expr("cast(array() as array<string>)")).alias("context_path"),
-    )
-    return points.unionByName(math).withColumn("context", F.array_join("context_path", " > "))
+    """``doc, seq, type, id, content, cells, context_path, context`` in document order, formulas last.
+
+    Null and empty documents have no points; rows that repeat a document repeat its points. Short table rows lack the
+    cells that they do not have, of equal headers the last cell counts.
+    """
+    text = F.col(content_col)
+    rows = docs.select(F.col(doc_col).alias("doc"), text.alias("text"), T.formulas(F.coalesce(text, F.lit(""))).alias("formulas"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(_points, f"doc {kind}, {POINTS}").withColumn("context", F.array_join("context_path", " > "))
+
+
+BLOCKS = "block int, kind string, start long, end long, text string"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of non-blank lines, headings apart, by character offsets in the text."""
+    for b in batches:
+        docs, rows = [], []
+        for k, text in enumerate(b.column(1).to_pylist()):
+            at, spans = 0, []
+            for line in (text or "").split("\n"):
+                if line.strip():
+                    kind = "heading" if HEADING.match(line) else "table" if "|" in line else "item" if ITEM.match(line) else "text"
+                    if spans and kind in ("text", "table") and spans[-1][0] == kind and spans[-1][2] == at - 1:
+                        spans[-1][2] = at + len(line)
+                    else:
+                        spans.append([kind, at, at + len(line)])
+                at += len(line) + 1
+            rows += [(n, kind, s, e, text[s:e]) for n, (kind, s, e) in enumerate(spans)]
+            docs += [k] * len(spans)
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(docs, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc", *(x.split()[0] for x in BLOCKS.split(", "))]
+        )
+
+
+def source_blocks(docs: DataFrame, doc_col: str = "doc", content_col: str = "content") -> DataFrame:
+    """``doc, block, kind, start, end, text``: the blocks of Markdown that a viewer shows, with the half-open ranges of
+    characters that they come from, in a text with Unix line ends. Null and empty documents have none."""
+    rows = docs.select(F.col(doc_col).alias("doc"), T.regularize(F.col(content_col), "plain").alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(_blocks, f"doc {kind}, {BLOCKS}")
+
+
+def heading_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``id, ordinal, level (0: paragraph), text``: headings and paragraphs of HTML in order, tags taken out.
+
+    A paragraph ends at its end tag or at the next paragraph or heading. Character references stay as they are.
+    """
+    body = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    found = F.regexp_extract_all(body, F.lit(r"(?is)<(h[1-6]|p)\b[^>]*>((?:(?!</?(?:h[1-6]|p)\b).)*)"), F.lit(0))
+    rows = pages.select(F.col(id_col).alias("id"), F.posexplode(found).alias("ordinal", "piece"))
+    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(h[1-6]|p)", 1))
+    shown = F.trim(F.regexp_replace(F.regexp_replace("piece", r"(?s)<[^>]*>", ""), r"\s+", " "))
+    level = F.when(tag == "p", 0).otherwise(F.substring(tag, 2, 1).cast("int"))
+    return rows.select("id", "ordinal", level.alias("level"), shown.alias("text"))

@@ -34,9 +34,14 @@ def _nth(df: DataFrame, key: str, ordinal: str) -> Column:
 
 
 def update_first(df: DataFrame, changes: DataFrame, key: str, ordinal: str, column: str) -> DataFrame:
-    """Set ``column`` of the first record of every key in ``changes (key, new)``; ids may repeat."""
+    """Set ``column`` of the first record of every key in ``changes (key, new)``; ids may repeat.
+
+    Of several changes of a key the one with the largest ``at`` counts, or without that column the largest value.
+    """
     numbered = df.withColumn("__n", _nth(df, key, ordinal))
-    got = numbered.join(changes.select(key, F.col("new").alias("__new")), key, "left")
+    by = F.struct("at", "new") if "at" in changes.columns else F.struct("new")
+    last = changes.groupBy(key).agg(F.max(by)["new"].alias("__new"))
+    got = numbered.join(last, key, "left")
     first = (F.col("__n") == 1) & F.col("__new").isNotNull()
     return got.withColumn(column, F.when(first, F.col("__new")).otherwise(F.col(column))).drop("__n", "__new").select(df.columns)
 
@@ -52,8 +57,45 @@ def missing(wanted: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame
     return wanted.join(current, keys, "left_anti")
 
 
-def confirm(issues: DataFrame, ids: DataFrame) -> DataFrame:
-    return update_first(issues, ids.select("id", F.lit("confirmed").alias("new")), "id", "createdDate", "status")
+def set_status(issues: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """Issues with the first record of every id in ``ids`` confirmed or ignored."""
+    if status not in ("confirmed", "ignored", "unconfirmed"):
+        raise ValueError("status is 'confirmed', 'ignored' or 'unconfirmed'")
+    return update_first(issues, ids.select("id", F.lit(status).alias("new")), "id", "createdDate", "status")
+
+
+def append_issues(issues: DataFrame, new: DataFrame) -> DataFrame:
+    """Issues with more of them: ids may repeat; columns that ``new`` lacks are null, others than those of an issue an error."""
+    unknown = set(new.columns) - set(issues.columns)
+    if unknown:
+        raise ValueError(f"no columns of an issue: {sorted(unknown)}")
+    return issues.unionByName(new, allowMissingColumns=True)
+
+
+def create_project(projects: DataFrame, new: DataFrame) -> DataFrame:
+    """Projects with the new ones whose location none has yet; of new ones at one location the first by name."""
+    w = Window.partitionBy("project_location").orderBy("project_name")
+    first = new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    fresh = first.join(projects.select("project_location"), "project_location", "left_anti")
+    return projects.unionByName(fresh, allowMissingColumns=True)
+
+
+def refused_projects(projects: DataFrame, new: DataFrame) -> DataFrame:
+    """New projects that are not created, as their location is taken."""
+    return new.join(projects.select("project_location"), "project_location", "left_semi").select(new.columns)
+
+
+def rename(records: DataFrame, names: DataFrame) -> DataFrame:
+    """Records (annotations, alignments) with the names that ``names (id, name)`` gives; blank names change nothing."""
+    given = names.where(F.trim("name") != "").groupBy("id").agg(F.max("name").alias("__name"))
+    out = records.join(given, "id", "left")
+    return out.withColumn("name", F.coalesce("__name", "name")).select(records.columns)
+
+
+def create_alignments(alignments: DataFrame, selections: DataFrame) -> DataFrame:
+    """Alignments with one more for every selection ``(project, doc, id, name, docRanges)``: named, unreviewed, without code."""
+    new = selections.withColumn("name", default_name(F.col("name"), F.col("id"))).withColumn("isReviewed", F.lit(False))
+    return alignments.unionByName(new, allowMissingColumns=True)
 
 
 def add_range(annotations: DataFrame, ranges: DataFrame, side: str) -> DataFrame:
@@ -74,6 +116,15 @@ def default_name(name: Column, ident: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("需求点_"), F.left(ident, F.lit(8))))
 
 
+def sort_blocks(blocks: Column) -> Column:
+    """An array of code blocks by file name in locale order, then start."""
+
+    def place(b: Column) -> Column:
+        return F.struct(F.collate(b["filename"], "UNICODE"), b["start"])
+
+    return F.array_sort(blocks, lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
+
+
 def sorted_blocks(blocks: DataFrame) -> DataFrame:
     """Code blocks by file name in locale order, then start."""
     return blocks.orderBy(F.collate("filename", "UNICODE"), "start")
@@ -84,8 +135,34 @@ def issue_document(summary: Column, issues: Column) -> Column:
     return F.concat(F.lit("<html><body><h1>"), summary, F.lit("</h1>"), F.replace(issues, F.lit("\n"), F.lit("<br>")), F.lit("</body></html>"))
 
 
+def _filled(items: Column, path: Column, side: str, **missing) -> Column:
+    """Items of an import: a missing id is a UUID made from file, side and place, so that a rerun gives the same."""
+
+    def fill(x: Column, i: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", path, F.lit(side), i.cast("string")), 256)
+        parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        out = x.withField("id", F.coalesce(F.nullif(x["id"], F.lit("")), F.concat_ws("-", *parts)))
+        for name, of in missing.items():
+            out = out.withField(name, F.coalesce(F.nullif(x[name], F.lit("")), x[of]))
+        return out
+
+    return F.transform(items, fill)
+
+
 def valid_annotations(files: DataFrame, schema) -> DataFrame:
-    """Annotation exports that have the three arrays they need, parsed; missing ids and paths are filled."""
+    """Annotation exports that have the three arrays they need, parsed; missing ids are made, missing paths are the names."""
     parsed = files.select("*", F.from_json("content", schema).alias("j"))
     ok = F.col("j.annotations").isNotNull() & F.col("j.docFiles").isNotNull() & F.col("j.codeFiles").isNotNull()
-    return parsed.where(ok).select("path", "j.*")
+    return parsed.where(ok).select(
+        "path",
+        _filled(F.col("j.annotations"), F.col("path"), "annotations").alias("annotations"),
+        _filled(F.col("j.docFiles"), F.col("path"), "docFiles", localPath="name").alias("docFiles"),
+        _filled(F.col("j.codeFiles"), F.col("path"), "codeFiles", localPath="name").alias("codeFiles"),
+    )
+
+
+def valid_requirement_points(files: DataFrame, schema) -> DataFrame:
+    """Exports with an array ``requirementPoints``, one row a point: ``path, ordinal`` and the fields of a point."""
+    parsed = files.select("path", F.from_json("content", schema)["requirementPoints"].alias("p")).where("p is not null")
+    made = _filled(F.col("p"), F.col("path"), "requirementPoints")
+    return parsed.select("path", F.posexplode(made).alias("ordinal", "r")).select("path", "ordinal", "r.*")

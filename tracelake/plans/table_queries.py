@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.functions import replies
 from tracelake.functions import text as T
-from tracelake.operators import align, annotations, intervals, stats, store
+from tracelake.operators import align, annotations, intervals, lines, stats, store
+from tracelake.sources import docx, json_files, repo
 
 
 def _t(spark, sf_dir, name):
@@ -52,11 +54,9 @@ def extract_related_code(spark, sf_dir):
 
 
 def extract_by_join(spark, sf_dir):
-    from tracelake.operators.lines import code_lines
-
     docs = _t(spark, sf_dir, "documents")
     blocks = docs.select(F.col("doc_id").alias("file"), (F.col("doc_id") % 3 + 1).cast("int").alias("start"), (F.col("doc_id") % 3 + 3).cast("int").alias("end"))
-    return intervals.extract_by_join(blocks, code_lines(docs, "doc_id", "text")).withColumnRenamed("file", "doc_id")
+    return intervals.extract_by_join(blocks, lines.code_lines(docs, "doc_id", "text")).withColumnRenamed("file", "doc_id")
 
 
 def interval_overlap_join(spark, sf_dir):
@@ -97,7 +97,7 @@ def _records(spark, sf_dir):
 
 def alignment_upsert(spark, sf_dir):
     cur, new = _records(spark, sf_dir)
-    return store.upsert(cur, new.where("user_id % 2 = 0"), ["user_id", "event_type"], ["event_id"])
+    return store.upsert(cur, new, ["user_id", "event_type"], ["event_id"])
 
 
 def alignment_delete(spark, sf_dir):
@@ -172,8 +172,11 @@ def remove_range(spark, sf_dir):
 
 
 def locale_sort_related(spark, sf_dir):
-    part = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("filename"), F.col("p_partkey").alias("start"))
-    return store.sorted_blocks(part)
+    """Blocks of every type of part in locale order: cases of a letter adjoin, which binary order would part."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand"))
+    b = F.struct(name.alias("filename"), F.col("p_partkey").alias("start"))
+    per = _t(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind")).agg(store.sort_blocks(F.collect_list(b)).alias("b"))
+    return per.select("kind", F.posexplode("b").alias("pos", "r")).select("kind", F.col("pos").cast("long").alias("pos"), "r.filename", "r.start")
 
 
 def align_with_stub(spark, sf_dir):
@@ -182,17 +185,25 @@ def align_with_stub(spark, sf_dir):
     items = _t(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project"), F.col("item_id").cast("string").alias("requirement_id"), F.col("text").alias("requirement")
     )
-    from tracelake.operators.lines import fixed_chunks
-
     files = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("file"), "text")
-    chunks = fixed_chunks(files, 1000, "file", "text").join(files.select("project", "file"), "file").select("project", "file", "chunk_no", "content")
+    chunks = lines.fixed_chunks(files, 1000, "file", "text").join(files.select("project", "file"), "file")
     return align.align(items, chunks, files.select("project", "file", T.lines(F.col("text")).alias("lines")), align.overlap_stub)
 
 
 def interval_replies(spark, sf_dir):
-    """How many conversation turns would parse as an interval reply at all."""
+    """Intervals in replies of every kind about each conversation turn: object, list, fenced object, prose, no pairs."""
     conv = _t(spark, sf_dir, "conversations")
-    return conv.select("conv_id", "turn", F.coalesce(F.size(replies.related_intervals(F.col("text"))), F.lit(0)).cast("long").alias("n_pairs"))
+    n = F.col("conv_id") % 50 + 1
+    kinds = [
+        F.format_string('{"related_code": [[%d, %d]]}', n, n + 1),
+        F.format_string("[[%d, %d], [%d, %d],]", n, n + 1, n + 5, n + 9),
+        F.concat("text", F.format_string('\n```json\n{"related_code": [[%d, %d]]}\n```\nas asked', n, n + 2)),
+        F.col("text"),
+        F.format_string("[%d, %d]", n, n + 1),
+    ]
+    reply = F.element_at(F.array(*kinds), (F.col("turn") % 5 + 1).cast("int"))
+    pairs = conv.select("conv_id", "turn", F.posexplode_outer(replies.related_intervals(reply)).alias("k", "p"))
+    return pairs.select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.col("p")[0].alias("start"), F.col("p")[1].alias("end"))
 
 
 def _notes(spark, sf_dir):
@@ -207,7 +218,7 @@ def annotations_touching(spark, sf_dir):
 
 
 def annotation_ranges(spark, sf_dir):
-    files = _t(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").alias("id"))
+    files = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").alias("id"))
     got = annotations.with_files(annotations.ranges(_notes(spark, sf_dir)), files)
     return got.select("id", "side", "documentId", "start", "end", "file_id")
 
@@ -218,8 +229,8 @@ def _marks(spark, sf_dir, flag):
 
 
 def highlight_flags(spark, sf_dir):
-    lines = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line_no"))
-    return annotations.highlight_flags(lines, _marks(spark, sf_dir, "R"), _marks(spark, sf_dir, "A"))
+    every = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line_no"))
+    return annotations.highlight_flags(every, _marks(spark, sf_dir, "R"), _marks(spark, sf_dir, "A"))
 
 
 def highlight_blocks(spark, sf_dir):
@@ -235,24 +246,157 @@ def distinct_blocks(spark, sf_dir):
 
 
 def selection_lines(spark, sf_dir):
+    """Lines of the second half of every text."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.regularize(F.col("text")), F.lit("")).alias("t"))
-    s = annotations.selection_lines(F.col("t"), F.lit(50), F.lit(400))
+    n = F.length("t")
+    s = annotations.selection_lines(F.col("t"), F.floor(n / 2).cast("int"), n)
     return docs.select("doc_id", s.alias("s")).select("doc_id", F.col("s.first").cast("long").alias("first_line"), F.col("s.last").cast("long").alias("last_line"))
 
 
 def upload_files(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages")
-    cur = pages.where("page_id % 2 = 0").select(F.concat(F.lit("f"), (F.col("page_id") % 40).cast("string"), F.lit(".md")).alias("path")).distinct().withColumn("content", F.lit("old"))
-    new = pages.where("page_id % 3 = 0").select(
-        F.concat(F.when(F.col("page_id") % 9 == 0, F.lit("../")).otherwise(F.lit("")), F.lit("f"), (F.col("page_id") % 40).cast("string"), F.lit(".md")).alias("path")
-    ).distinct().withColumn("content", F.lit("new"))
-    return annotations.upload(cur, new, "code", "/p/code_repo")
+    """Pages of even id stand; all pages arrive anew, some under paths that leave the root."""
+    pages = _t(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", "^https?://", ""))
+    cur = pages.where("page_id % 2 = 0").select("path", F.col("html").alias("content"))
+    out = F.when(F.col("page_id") % 9 == 0, F.lit("../")).otherwise(F.lit(""))
+    new = pages.select(F.concat(out, "path").alias("path"), F.concat(F.lit("new "), "html").alias("content"), F.col("page_id").alias("ordinal"))
+    got = annotations.upload(cur, new, "code", "/p/code_repo")
+    return got.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def issue_append(spark, sf_dir):
+    issues = _issues(spark, sf_dir)
+    new = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("event_id"))
+    return store.append_issues(issues, new)
+
+
+def project_create(spark, sf_dir):
+    have = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("project_name"), F.concat(F.lit("/p/"), "n_nationkey").alias("project_location"))
+    new = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("project_name"), F.concat(F.lit("/p/"), F.col("s_suppkey") % 60).alias("project_location"))
+    return store.create_project(have, new)
+
+
+def issue_status(spark, sf_dir):
+    issues = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("createdDate"), F.lit("unconfirmed").alias("status"))
+    ids = _t(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"))
+    return store.set_status(issues, ids, "ignored")
+
+
+def missing_keys(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+    return store.missing(wanted, _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")), ["key"])
+
+
+def annotation_rename(spark, sf_dir):
+    notes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.lit("  ")).otherwise(F.col("s_name"))
+    return store.rename(notes, _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name")))
+
+
+def alignment_create(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    cur = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit(True).alias("isReviewed"))
+    ident = F.sha2(F.col("s_suppkey").cast("string"), 256)
+    new = _t(spark, sf_dir, "supplier").select(ident.alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(none).alias("name"))
+    return store.create_alignments(cur, new)
+
+
+def neighbour(spark, sf_dir):
+    n = F.count("*").over(Window.partitionBy("l_orderkey")).cast("int")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"))
+    at = F.col("l_linenumber") - 1
+    return li.select("l_orderkey", "l_linenumber", annotations.neighbour(at, F.lit(-1), F.col("n")).alias("previous"), annotations.neighbour(at, F.lit(1), F.col("n")).alias("following"))
+
+
+def export_name(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", annotations.export_name("annotations", F.col("ts")).alias("name"))
+
+
+def edited_blocks(spark, sf_dir):
+    """Blocks of every order: sorted in, one removed, one more sorted in."""
+    b = F.struct(F.col("l_returnflag").alias("filename"), F.col("l_linenumber").alias("start"))
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(store.sort_blocks(F.collect_list(b)).alias("b"))
+    less = annotations.remove_block(F.col("b"), F.lit(0))
+    more = annotations.add_block(less, F.struct(F.lit("b").alias("filename"), F.lit(3).alias("start")))
+    rows = per.select("l_orderkey", F.posexplode(more).alias("pos", "r"))
+    return rows.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "r.filename", "r.start")
+
+
+def selected_spans(spark, sf_dir):
+    """Spans of purchases that selections of clicks of a user touch."""
+    ev = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("start"))
+    ev = ev.withColumn("end", F.col("start") + 1800)
+    clicks = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("selection"), "start", "end")
+    got = annotations.selected_spans(clicks, ev.where("event_type = 'purchase'").select("user_id", "start", "end"), "user_id", 3600)
+    return got.select("user_id", "selection", F.size("spans").cast("long").alias("n"), "start", "end")
+
+
+def upload_candidates(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, (".MD", ".docx", ".exe", ".cpp", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    files = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("a.b/"), F.col("page_id").cast("string"), ends).alias("path"))
+    return repo.upload_candidates(files, "doc").select("page_id", "path", repo.has_suffix(F.col("path"), "doc").alias("scanned"))
+
+
+def issue_document(spark, sf_dir):
+    conv = _t(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", store.issue_document(F.col("role"), F.col("text")).alias("page"))
+
+
+def json_records(spark, sf_dir):
+    """Alignments of every customer written as JSON, as a map for odd and a list for even ones, and read back."""
+    o = _t(spark, sf_dir, "orders")
+    made = o.select("o_custkey", F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_orderstatus") == "F").alias("isReviewed")).alias("r"))
+    per = made.groupBy("o_custkey").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    as_map = F.map_from_entries(F.transform("r", lambda r: F.struct(r["id"], r)))
+    text = F.when(F.col("o_custkey") % 2 == 1, F.to_json(as_map)).otherwise(F.to_json("r"))
+    got = json_files.records(per.select(F.col("o_custkey").cast("string").alias("path"), text.alias("content")), "alignments")
+    return got.select("path", F.col("ordinal").cast("long").alias("ordinal"), "id", "name", "isReviewed")
+
+
+def json_objects(spark, sf_dir):
+    """Projects written as JSON and read back; every third file is no object."""
+    c = _t(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_name").alias("project_name"), F.concat(F.lit("/p/"), "c_custkey").alias("project_location"), F.array("c_mktsegment").alias("code_files"), F.col("c_custkey").alias("code_scale"))
+    files = rows.select("project_location", F.when(F.col("code_scale") % 3 == 0, F.lit("not json")).otherwise(F.to_json(F.struct("project_name", "code_files", "code_scale"))).alias("content"))
+    got = json_files.objects(files.withColumnRenamed("project_location", "path"), "projects")
+    return got.select("path", "project_name", "code_scale", F.array_join("code_files", ",").alias("code_files"))
+
+
+def annotation_import(spark, sf_dir):
+    """Exports with missing ids and paths; those without all three arrays are refused."""
+    item = "array<struct<id: string, name: string, localPath: string>>"
+    files = _t(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("path"),
+        F.concat(
+            F.lit('{"annotations": [{"id": "a'), "s_suppkey", F.lit('"}, {}], "docFiles": [{"name": "d'), "s_suppkey", F.lit('"}]'),
+            F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.lit(', "codeFiles": [{"id": "c", "name": "n", "localPath": "p"}]')), F.lit("}"),
+        ).alias("content"),
+    )
+    got = store.valid_annotations(files, f"annotations array<struct<id: string>>, docFiles {item}, codeFiles {item}")
+    return got.select("path", F.col("annotations")[0]["id"].alias("first"), F.col("annotations")[1]["id"].alias("made"), F.col("docFiles")[0]["localPath"].alias("doc_path"),
+                      F.col("codeFiles")[0]["localPath"].alias("code_path"))
+
+
+def points_import(spark, sf_dir):
+    files = _t(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("path"),
+        F.when(F.col("s_suppkey") % 4 == 0, F.lit('{"other": 1}')).otherwise(F.concat(F.lit('{"requirementPoints": [{"id": "x", "text": "t'), "s_suppkey", F.lit('"}, {"id": "y"}]}'))).alias("content"),
+    )
+    got = store.valid_requirement_points(files, "requirementPoints array<struct<id: string, text: string>>")
+    return got.select("path", F.col("ordinal").cast("long").alias("ordinal"), "id", "text")
+
+
+def pending_documents(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    done = pages.where("page_id % 2 = 0").select(F.sha2("content", 256).alias("sha256")).distinct()
+    return docx.pending(pages, done).select("page_id", "sha256")
 
 
 QUERIES = [
     annotations_touching, annotation_ranges, highlight_flags, highlight_blocks, distinct_blocks, selection_lines, upload_files,
     merge_intervals, merge_intervals_in_row, consecutive_runs, extract_related_code, extract_by_join, interval_overlap_join, first_enclosing_block,
     annotation_overlap, history_top15, alignment_upsert, alignment_delete, issue_update_first, issue_delete_first, requirement_stats, totals_rollup,
+    issue_append, project_create, issue_status, missing_keys, annotation_rename, alignment_create, neighbour, export_name, edited_blocks, selected_spans,
+    upload_candidates, issue_document, json_records, json_objects, annotation_import, points_import, pending_documents,
     to_review, code_file_coverage, issue_alignment_join, issues_of_alignments, remove_range, locale_sort_related, align_with_stub, interval_replies,
 ]
 
@@ -297,7 +441,7 @@ ORACLE_SQL = {
         WHERE l.event_type = 'click' AND r.event_type = 'purchase'""",
     "first_enclosing_block": """
         WITH b AS (SELECT l_orderkey, l_linenumber AS o, least(CAST(l_quantity AS INTEGER), 20) AS s FROM lineitem),
-        p AS (SELECT DISTINCT o_orderkey, CAST(o_custkey % 40 AS INTEGER) AS line FROM orders)
+        p AS (SELECT o_orderkey, CAST(o_custkey % 40 AS INTEGER) AS line FROM orders)
         SELECT o_orderkey AS l_orderkey, line, arg_min(s, o) AS block_start, arg_min(s, o) + 15 AS block_end
         FROM p LEFT JOIN b ON o_orderkey = b.l_orderkey AND line BETWEEN s AND s + 15 GROUP BY 1, 2""",
     "annotation_overlap": """
@@ -308,7 +452,7 @@ ORACLE_SQL = {
     "alignment_upsert": f"""
         SELECT user_id, event_type, event_id, value FROM (
             SELECT *, 0 AS side FROM ({CUR}) UNION ALL
-            SELECT user_id, event_type, event_id, value, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 2 = 0)
+            SELECT user_id, event_type, event_id, value, 1 FROM events WHERE event_id % 2 = 1)
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY side DESC, event_id DESC) = 1""",
     "alignment_delete": f"""
         SELECT * FROM ({CUR}) c WHERE NOT EXISTS (
@@ -332,12 +476,69 @@ ORACLE_SQL = {
     "remove_range": """
         SELECT l_orderkey AS id, count(*) - 1 AS n_ranges FROM lineitem JOIN orders ON o_orderkey = l_orderkey
         WHERE l_returnflag <> 'N' GROUP BY 1 HAVING count(*) > 1""",
-    "locale_sort_related": "SELECT p_brand AS filename, p_partkey AS start FROM part",
-    "interval_replies": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS n_pairs FROM conversations",
+    "locale_sort_related": """
+        SELECT p_type AS kind, row_number() OVER (PARTITION BY p_type ORDER BY lower(f), f DESC, p_partkey) - 1 AS pos, f AS filename, p_partkey AS start
+        FROM (SELECT p_type, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END AS f FROM part)""",
+    "align_with_stub": f"""
+        WITH r AS (SELECT 'src' || (item_id % 20) AS project, CAST(item_id AS VARCHAR) AS requirement_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{5,}}')) AS w FROM benchmark),
+        rw AS (SELECT project, requirement_id, unnest(w) AS word FROM r),
+        l AS (SELECT d.source AS project, n.doc_id, line_no, line, list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]{{5,}}')) AS w FROM ({NL}) n JOIN documents d USING (doc_id)),
+        lw AS (SELECT project, doc_id, line_no, unnest(w) AS word FROM l),
+        h AS (SELECT DISTINCT requirement_id, doc_id, line_no FROM rw JOIN lw USING (project, word)),
+        g AS (SELECT *, line_no - row_number() OVER (PARTITION BY requirement_id, doc_id ORDER BY line_no) AS grp FROM h)
+        SELECT requirement_id, g.doc_id AS filename, string_agg(g.line_no || ': ' || line, chr(10) ORDER BY g.line_no) AS content,
+               CAST(min(g.line_no) AS INTEGER) AS start, CAST(max(g.line_no) AS INTEGER) AS "end"
+        FROM g JOIN l ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY requirement_id, g.doc_id, grp""",
+    "interval_replies": """
+        WITH c AS (SELECT conv_id, turn, turn % 5 AS kind, CAST(conv_id % 50 + 1 AS INTEGER) AS n FROM conversations)
+        SELECT conv_id, turn, CASE WHEN kind < 3 THEN CAST(0 AS BIGINT) END AS k, CASE WHEN kind < 3 THEN n END AS start,
+               CASE WHEN kind < 2 THEN n + 1 WHEN kind = 2 THEN n + 2 END AS "end" FROM c
+        UNION ALL SELECT conv_id, turn, 1, n + 5, n + 9 FROM c WHERE kind = 1""",
+    "issue_append": """
+        SELECT CAST(user_id AS VARCHAR) AS id, event_id, 'unconfirmed' AS status FROM events
+        UNION ALL SELECT CAST(o_custkey AS VARCHAR), o_orderkey, NULL FROM orders""",
+    "project_create": """
+        SELECT n_name AS project_name, '/p/' || n_nationkey AS project_location FROM nation
+        UNION ALL SELECT min(s_name), '/p/' || (s_suppkey % 60) FROM supplier WHERE s_suppkey % 60 NOT IN (SELECT n_nationkey FROM nation) GROUP BY s_suppkey % 60""",
+    "issue_status": """
+        SELECT user_id AS id, event_id AS "createdDate", CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1
+               AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') THEN 'ignored' ELSE 'unconfirmed' END AS status FROM events""",
+    "missing_keys": "SELECT o_custkey AS key, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "annotation_rename": "SELECT p_partkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE p_name END AS name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
+    "alignment_create": """
+        SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, true AS "isReviewed" FROM nation
+        UNION ALL SELECT sha256(CAST(s_suppkey AS VARCHAR)), CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '需求点_' || left(sha256(CAST(s_suppkey AS VARCHAR)), 8) END, false FROM supplier""",
+    "neighbour": """
+        SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(count(*) OVER (PARTITION BY l_orderkey) - 1, l_linenumber - 2)) AS INTEGER) AS previous,
+               CAST(least(count(*) OVER (PARTITION BY l_orderkey) - 1, l_linenumber) AS INTEGER) AS following FROM lineitem""",
+    "export_name": "SELECT event_id, 'annotations_' || strftime(ts, '%Y-%m-%d') || '.json' AS name FROM events",
+    "edited_blocks": """
+        WITH b AS (SELECT l_orderkey, l_returnflag AS f, l_linenumber AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY lower(l_returnflag), l_returnflag DESC, l_linenumber) AS n FROM lineitem),
+        e AS (SELECT l_orderkey, f, s FROM b WHERE n > 1 UNION ALL SELECT DISTINCT l_orderkey, 'b', 3 FROM lineitem)
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY lower(f), f DESC, s) - 1 AS pos, f AS filename, s AS start FROM e""",
+    "selected_spans": """
+        WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
+        SELECT c.user_id, c.event_id AS selection, count(DISTINCT p.s) AS n, min(p.s) AS start, max(p.s) + 1800 AS "end"
+        FROM e c JOIN e p ON c.user_id = p.user_id AND c.s + 1800 > p.s AND c.s < p.s + 1800
+        WHERE c.event_type = 'click' AND p.event_type = 'purchase' GROUP BY 1, 2""",
+    "upload_candidates": """
+        SELECT page_id, 'a.b/' || page_id || ['.MD', '.docx'][page_id % 5 + 1] AS path, page_id % 5 = 1 AS scanned FROM pages WHERE page_id % 5 < 2""",
+    "issue_document": "SELECT conv_id, turn, '<html><body><h1>' || role || '</h1>' || replace(text, chr(10), '<br>') || '</body></html>' AS page FROM conversations",
+    "json_records": """
+        SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS ordinal,
+               CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name, o_orderstatus = 'F' AS "isReviewed" FROM orders""",
+    "json_objects": "SELECT '/p/' || c_custkey AS path, c_name AS project_name, c_custkey AS code_scale, c_mktsegment AS code_files FROM customer WHERE c_custkey % 3 <> 0",
+    "annotation_import": """
+        SELECT p AS path, 'a' || p AS first, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS made, 'd' || p AS doc_path, 'p' AS code_path
+        FROM (SELECT CAST(s_suppkey AS VARCHAR) AS p, sha256(s_suppkey || '|annotations|1') AS h FROM supplier WHERE s_suppkey % 4 <> 0)""",
+    "points_import": """
+        SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(0 AS BIGINT) AS ordinal, 'x' AS id, 't' || s_suppkey AS text FROM supplier WHERE s_suppkey % 4 <> 0
+        UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 1, 'y', NULL FROM supplier WHERE s_suppkey % 4 <> 0""",
+    "pending_documents": "SELECT page_id, sha256(html) AS sha256 FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 2 = 0)",
     "annotations_touching": "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey = 7",
     "annotation_ranges": """
         SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'docRanges' ELSE 'codeRanges' END AS side, CAST(l_partkey AS VARCHAR) AS "documentId",
-               l_linenumber AS start, l_linenumber + 2 AS "end", CASE WHEN l_partkey % 3 = 0 THEN p_partkey END AS file_id
+               l_linenumber AS start, l_linenumber + 2 AS "end", p_partkey AS file_id
         FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
     "highlight_flags": f"{FLAGS}",
     "highlight_blocks": f"""
@@ -349,10 +550,11 @@ ORACLE_SQL = {
         FROM lineitem GROUP BY 1, 2, 3""",
     "selection_lines": f"""
         SELECT doc_id, length(s) - length(replace(s, chr(10), '')) + 1 AS first_line, length(e) - length(replace(e, chr(10), '')) + 1 AS last_line
-        FROM (SELECT doc_id, left(t, 50) AS s, left(t, 399) AS e FROM (
+        FROM (SELECT doc_id, left(t, length(t) // 2) AS s, left(t, greatest(length(t) // 2, length(t) - 1)) AS e FROM (
             SELECT doc_id, replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(8203), '') AS t FROM documents))""",
     "upload_files": """
-        WITH n AS (SELECT DISTINCT 'f' || (page_id % 40) || '.md' AS path FROM pages WHERE page_id % 3 = 0 AND page_id % 9 <> 0),
-        c AS (SELECT DISTINCT 'f' || (page_id % 40) || '.md' AS path FROM pages WHERE page_id % 2 = 0)
-        SELECT path, 'new' AS content FROM n UNION ALL SELECT path, 'old' FROM c WHERE path NOT IN (SELECT path FROM n)""",
+        WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path, html FROM pages),
+        n AS (SELECT path, html FROM p WHERE page_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id DESC) = 1)
+        SELECT path, sha256('new ' || html) AS sha256 FROM n
+        UNION ALL SELECT path, sha256(html) FROM p WHERE page_id % 2 = 0 AND path NOT IN (SELECT path FROM n)""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import replies
 from tracelake.functions import text as T
-from tracelake.operators import chunking, lines, requirements, stats
+from tracelake.operators import annotations, chunking, lines, requirements, stats
 
 UNIX = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 LINES = f"""
@@ -45,7 +45,7 @@ def fixed_line_chunks(spark, sf_dir):
 
 
 def line_offsets(spark, sf_dir):
-    got = lines.line_offsets(lines.code_lines(_docs(spark, sf_dir), "doc_id", "text"))
+    got = lines.line_offsets(_docs(spark, sf_dir), "doc_id", "text")
     return got.select(F.col("file").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "start_off", "end_off")
 
 
@@ -102,14 +102,76 @@ def regularize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.regularize(F.col("text"), "code").alias("content"))
 
 
+def _built(spark, sf_dir):
+    """A Markdown document for each customer: headings of both kinds, inline markup, a table of its orders, an item, formulas."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o")
+    )
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = F.array_join(F.transform("o", lambda x: F.concat(F.lit("| **"), x["o_orderkey"], F.lit("** | `"), x["o_orderstatus"], F.lit("` |\n"))), "")
+    text = F.concat(
+        F.lit("# Customer "), "c_custkey", F.lit("\n\nSegment **"), "c_mktsegment", F.lit("** of [nation](n/1) "), "c_nationkey",
+        F.lit(".\r\nCalled _"), "c_name", F.lit("_ &amp; *co*<br>.\n\n    code, no text\n\n## Orders ##\n\n| key | state |\n|:---|---:|\n"),
+        F.coalesce(rows, F.lit("")), F.lit("\n- 5 \\* 3, see $t_{"), "c_custkey", F.lit("}$\n\nTotals\n------\n$$ "), "c_custkey", F.lit(" + 1 $$\n"),
+    )
+    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left").select(F.col("c_custkey").alias("doc"), text.alias("content"))
+
+
 def requirement_points(spark, sf_dir):
+    got = requirements.requirement_points(_built(spark, sf_dir))
+    return got.select("doc", "seq", "type", "id", "content", F.to_json("cells").alias("cells"), "context")
+
+
+def point_counts(spark, sf_dir):
+    got = requirements.requirement_points(_built(spark, sf_dir))
+    return got.groupBy("doc", "type").agg(F.count("*").alias("n_points"), F.max("seq").alias("last_seq"))
+
+
+def document_points(spark, sf_dir):
     got = requirements.requirement_points(_docs(spark, sf_dir), "doc_id", "text")
     return got.select(F.col("doc").alias("doc_id"), "seq", "type", "id", "content", F.to_json("cells").alias("cells"), "context")
 
 
-def point_counts(spark, sf_dir):
-    got = requirements.requirement_points(_docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[|#$]", " ").alias("text")), "doc_id", "text")
-    return got.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_points"), F.max("id").alias("last_id"))
+def source_blocks(spark, sf_dir):
+    return requirements.source_blocks(_docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def heading_paragraphs(spark, sf_dir):
+    got = requirements.heading_paragraphs(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return got.select(F.col("id").alias("page_id"), F.col("ordinal").cast("long").alias("ordinal"), "level", "text")
+
+
+def protected_chunks(spark, sf_dir):
+    """Code of every customer: a function for each third order, a statement for the others; functions stay whole."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.when(
+        F.col("o_orderkey") % 3 == 0,
+        F.concat(F.lit("int f"), "o_orderkey", F.lit("(int a)\n{\n    return a + "), "o_custkey", F.lit(";\n}\n")),
+    ).otherwise(F.concat(F.lit("int v"), "o_orderkey", F.lit(" = "), "o_custkey", F.lit(";\n")))
+    code = o.groupBy(F.col("o_custkey").alias("file")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))).alias("l"))
+    code = code.select("file", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("content"))
+    return chunking.token_budget_chunks(code, 40)
+
+
+def formula_extract_display(spark, sf_dir):
+    got = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.formulas(F.concat(F.lit("$$ a $$ $b$ "), F.coalesce("text", F.lit(""))))).alias("k", "formula"))
+    return got.select("doc_id", F.col("k").cast("long").alias("k"), "formula")
+
+
+def slice_ranges(spark, sf_dir):
+    r = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((3, 9), (0, 5), (3, 9), (20, 40))])
+    return _docs(spark, sf_dir).select("doc_id", T.slice_ranges(F.coalesce("text", F.lit("")), r).alias("slices"))
+
+
+def clean_latex(spark, sf_dir):
+    text = F.concat(F.lit("\\kern-\\nulldelimiterspace \\begin{array}{*{3}{c}}"), F.coalesce("text", F.lit("")), F.lit("kern{2pt}\n\n\n\\end{array} "))
+    return _docs(spark, sf_dir).select("doc_id", T.clean_latex(text).alias("latex"))
+
+
+def locate_in_turn(spark, sf_dir):
+    pieces = F.array(F.lit("a"), F.lit("e "), F.lit("qzq"), F.lit("n"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.posexplode(annotations.locate_in_turn(F.coalesce("text", F.lit("")), pieces)).alias("k", "r"))
+    return docs.select("doc_id", F.col("k").cast("long").alias("k"), F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
 def table_row_map(spark, sf_dir):
@@ -145,9 +207,25 @@ def normalized_paths(spark, sf_dir):
 QUERIES = [
     nonblank_line_count, code_scale_by_source, numbered_lines, padded_lines, fixed_line_chunks, line_offsets, split_lines,
     token_counts, token_budget_chunks, parse_related_code_json, parse_related_code_fallback_ints, review_output_split, formula_extract,
-    regularize_text, requirement_points, point_counts, table_row_map, relative_time, path_tree, stems, normalized_paths,
+    regularize_text, requirement_points, point_counts, document_points, source_blocks, heading_paragraphs, protected_chunks, formula_extract_display,
+    slice_ranges, clean_latex, locate_in_turn, table_row_map, relative_time, path_tree, stems, normalized_paths,
 ]
 
+#: The points of the built documents, from the tables that they were built from.
+POINTS = """
+    WITH i AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) - 1 AS n, CAST(o_orderkey AS VARCHAR) AS p, o_orderstatus AS q FROM orders),
+    t AS (SELECT k, count(*) AS m, string_agg('<tr><td>' || p || '</td><td>' || q || '</td></tr>', '' ORDER BY n) AS body FROM i GROUP BY k),
+    c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_nationkey AS nk, c_name AS name, coalesce(m, 0) AS m, coalesce(body, '') AS body, 'Customer ' || c_custkey AS h
+          FROM customer LEFT JOIN t ON k = c_custkey)
+    SELECT k AS doc, 0 AS seq, '描述文本' AS type, 'text_0' AS id, 'Segment ' || s || ' of nation ' || nk || '.' || chr(10) || 'Called ' || name || ' & co.' AS content,
+           CAST(NULL AS VARCHAR) AS cells, h AS context FROM c
+    UNION ALL SELECT k, 1, '表格', 'table_1', '<table><tr><th>key</th><th>state</th></tr>' || body || '</table>', NULL, h || ' > Orders' FROM c
+    UNION ALL SELECT i.k, n + 2, '表格行', 'table_1_row_' || n, NULL, '{"key":"' || p || '","state":"' || q || '"}', h || ' > Orders > table_1' FROM i JOIN c ON c.k = i.k
+    UNION ALL SELECT k, m + 2, '描述文本', 'text_' || (m + 2), '5 * 3, see $t_{' || k || '}$', NULL, h || ' > Orders' FROM c
+    UNION ALL SELECT k, m + 3, '描述文本', 'text_' || (m + 3), '$$ ' || k || ' + 1 $$', NULL, h || ' > Totals' FROM c
+    UNION ALL SELECT k, m + 4, '公式', 'formula_0', '$t_{' || k || '}$', NULL, h || ' > Totals' FROM c
+    UNION ALL SELECT k, m + 5, '公式', 'formula_1', '$$ ' || k || ' + 1 $$', NULL, h || ' > Totals' FROM c"""
+
 ORACLE_SQL = {
     "nonblank_line_count": f"SELECT doc_id, CAST(len(list_filter(l, lambda x: regexp_matches(x, '\\S'))) AS BIGINT) AS n_lines FROM ({LINES})",
     "code_scale_by_source": f"""
@@ -209,7 +287,65 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, regexp_extract_all(text, '(?s)\\$(.*?)\\$|\\$\\$(.*?)\\$\\$', 1) AS a,
                      regexp_extract_all(text, '(?s)\\$(.*?)\\$|\\$\\$(.*?)\\$\\$', 2) AS b FROM documents)""",
     "regularize_text": "SELECT doc_id, replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(8203), '') AS content FROM documents",
-    "point_counts": "SELECT doc_id, CAST(1 AS BIGINT) AS n_points, 'text_0' AS last_id FROM documents WHERE regexp_matches(regexp_replace(text, '[|#$]', ' ', 'g'), '[^\\s*+.\\-]')",
+    "requirement_points": f"SELECT doc, CAST(seq AS INTEGER) AS seq, type, id, content, cells, context FROM ({POINTS})",
+    "point_counts": f"SELECT doc, type, count(*) AS n_points, CAST(max(seq) AS INTEGER) AS last_seq FROM ({POINTS}) GROUP BY ALL",
+    "source_blocks": """
+        WITH t AS (SELECT doc_id, string_split(replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(8203), ''), chr(10)) AS l FROM documents),
+        n AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM t),
+        o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos,
+                     CASE WHEN NOT regexp_matches(line, '\\S') THEN '' WHEN regexp_matches(line, '^ {0,3}#{1,6}([^#]|$)') THEN 'heading' WHEN contains(line, '|') THEN 'table'
+                          WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s+') THEN 'item' ELSE 'text' END AS kind FROM n),
+        f AS (SELECT *, CASE WHEN kind IN ('text', 'table') AND lag(kind) OVER (PARTITION BY doc_id ORDER BY k) = kind THEN 0 ELSE 1 END AS new FROM o),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS grp FROM f)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS INTEGER) AS block, any_value(kind) AS kind, min(pos) AS start,
+               max(pos + length(line)) AS "end", string_agg(line, chr(10) ORDER BY k) AS text
+        FROM g WHERE kind <> '' GROUP BY doc_id, grp""",
+    "heading_paragraphs": """
+        WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g') AS h FROM pages),
+        m AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<(h[1-6]|p)\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</(h[1-6]|p)\\b', chr(3), 'g') AS h FROM b),
+        s AS (SELECT page_id, string_split(h, chr(1))[2:] AS p FROM m),
+        u AS (SELECT page_id, unnest(p) AS p, unnest(range(len(p))) AS ordinal FROM s)
+        SELECT page_id, ordinal, CASE WHEN lower(p[1]) = 'p' THEN 0 ELSE CAST(p[2] AS INTEGER) END AS level,
+               trim(regexp_replace(regexp_replace(split_part(split_part(p, chr(2), 2), chr(3), 1), '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), ' ') AS text
+        FROM u""",
+    "protected_chunks": """
+        WITH RECURSIVE u AS (
+            SELECT o_custkey AS file, row_number() OVER w AS k, o_orderkey % 3 = 0 AS whole, o_orderkey AS ok,
+                   coalesce(sum(CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+        v AS (SELECT file, k, CAST(before + 1 AS INTEGER) AS s, CAST(before + CASE WHEN whole THEN 4 ELSE 1 END AS INTEGER) AS e, CASE WHEN whole THEN 21 ELSE 7 END AS c,
+                     CASE WHEN whole THEN (before + 1) || ': int f' || ok || '(int a)' || chr(10) || (before + 2) || ': {' || chr(10) || (before + 3) || ':     return a + ' || file
+                          || ';' || chr(10) || (before + 4) || ': }' || chr(10) ELSE (before + 1) || ': int v' || ok || ' = ' || file || ';' || chr(10) END AS t FROM u),
+        packed AS (
+            SELECT file, k, s, e, t, 0 AS chunk_no, 40 - c AS room FROM v WHERE k = 1
+            UNION ALL
+            SELECT n.file, n.k, n.s, n.e, n.t, p.chunk_no + CASE WHEN n.c <= p.room THEN 0 ELSE 1 END, CASE WHEN n.c <= p.room THEN p.room ELSE 40 END - n.c
+            FROM packed p JOIN v n ON n.file = p.file AND n.k = p.k + 1)
+        SELECT file, CAST(chunk_no AS INTEGER) AS chunk_no, min(s) AS start_line, max(e) AS end_line, string_agg(t, '' ORDER BY k) AS content
+        FROM packed GROUP BY file, chunk_no""",
+    "formula_extract_display": """
+        SELECT doc_id, unnest(range(len(a))) AS k,
+               unnest(list_transform(list_zip(a, b), lambda p: CASE WHEN coalesce(p[2], '') <> '' THEN '$' || regexp_replace(p[2], '^\\s+|\\s+$', '', 'g') || '$'
+                      ELSE '$$ ' || regexp_replace(coalesce(p[1], ''), '^\\s+|\\s+$', '', 'g') || ' $$' END)) AS formula
+        FROM (SELECT doc_id, regexp_extract_all('$$ a $$ $b$ ' || coalesce(text, ''), '(?s)\\$\\$(.*?)\\$\\$|\\$(.*?)\\$', 1) AS a,
+                     regexp_extract_all('$$ a $$ $b$ ' || coalesce(text, ''), '(?s)\\$\\$(.*?)\\$\\$|\\$(.*?)\\$', 2) AS b FROM documents)""",
+    "slice_ranges": """
+        SELECT doc_id, substr(t, 1, 5) || chr(10) || substr(t, 4, 6) || chr(10) || substr(t, 21, 20) AS slices FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "clean_latex": """
+        SELECT doc_id, trim(regexp_replace(' ' || chr(92) || 'begin{array}{ccc}' || coalesce(text, '') || chr(10) || chr(10) || chr(10) || chr(92) || 'end{array} ',
+               '\\n{2,}', chr(10) || chr(10), 'g'), ' ') AS latex FROM documents""",
+    "locate_in_turn": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        a AS (SELECT *, strpos(t, 'a') AS p, CASE WHEN strpos(t, 'a') > 0 THEN strpos(t, 'a') ELSE 0 END AS after1 FROM t),
+        b AS (SELECT *, strpos(substr(t, after1 + 1), 'e ') AS q0, after1 + strpos(substr(t, after1 + 1), 'e ') AS q FROM a),
+        c AS (SELECT *, CASE WHEN q0 > 0 THEN q + 1 ELSE after1 END AS after2 FROM b),
+        d AS (SELECT *, strpos(substr(t, after2 + 1), 'qzq') AS r0, after2 + strpos(substr(t, after2 + 1), 'qzq') AS r FROM c),
+        e AS (SELECT *, CASE WHEN r0 > 0 THEN r + 2 ELSE after2 END AS after3 FROM d),
+        f AS (SELECT *, strpos(substr(t, after3 + 1), 'n') AS s0, after3 + strpos(substr(t, after3 + 1), 'n') AS s FROM e)
+        SELECT doc_id, CAST(0 AS BIGINT) AS k, CASE WHEN p > 0 THEN p - 1 END AS start, CASE WHEN p > 0 THEN p END AS "end" FROM f
+        UNION ALL SELECT doc_id, 1, CASE WHEN q0 > 0 THEN q - 1 END, CASE WHEN q0 > 0 THEN q + 1 END FROM f
+        UNION ALL SELECT doc_id, 2, CASE WHEN r0 > 0 THEN r - 1 END, CASE WHEN r0 > 0 THEN r + 2 END FROM f
+        UNION ALL SELECT doc_id, 3, CASE WHEN s0 > 0 THEN s - 1 END, CASE WHEN s0 > 0 THEN s END FROM f""",
     "table_row_map": f"""
         SELECT doc_id, line_no, CASE WHEN len(c) >= 3 THEN trim(c[3], ' ') ELSE trim(c[1], ' ') END AS a, trim(c[2], ' ') AS b
         FROM (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(trim(line, ' '), '^[|]', ''), '[|]$', ''), '|') AS c

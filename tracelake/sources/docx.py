@@ -7,6 +7,7 @@ are listed, not converted (see the README).
 
 from __future__ import annotations
 
+import html
 import io
 import zipfile
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BLOCKS = "path string, seq int, kind string, level int, text string, cells array<string>, error string"
 
 
-def _run(run) -> str:
+def _run(run, media: dict[str, str], escape: bool) -> str:
     out = []
     for part in run:
         if part.tag == f"{W}t":
-            out.append((part.text or "").replace("\u00a0", "&nbsp;"))
+            text = html.escape(part.text or "", quote=False) if escape else part.text or ""
+            out.append(text.replace("\u00a0", "&nbsp;"))
         elif part.tag == f"{W}br" and part.get(f"{W}type") == "page":
             out.append('<div class="page"></div>')
         elif part.tag in (f"{W}br", f"{W}cr"):
@@ -37,18 +39,18 @@ def _run(run) -> str:
             out.append("\t")
         elif part.tag in (f"{W}drawing", f"{W}object", f"{W}pict"):
             ids = [v for x in part.iter() for k, v in x.attrib.items() if k in (f"{R}embed", f"{R}id")]
-            out += [f'<img src="{i}">' for i in ids[:1]]
+            out += [f'<img src="{media.get(i, i)}">' for i in ids[:1]]
     return "".join(out)
 
 
-def _text(node) -> str:
+def _text(node, media: dict[str, str], escape: bool = False) -> str:
     """Runs and formulas of a paragraph, inserted ones included; deleted and hyperlink runs are left out."""
     out = []
     for child in node:
         if child.tag == f"{W}r":
-            out.append(_run(child))
+            out.append(_run(child, media, escape))
         elif child.tag in (f"{W}ins", f"{W}smartTag"):
-            out += [_run(r) for r in child.findall(f"{W}r")]
+            out += [_run(r, media, escape) for r in child.findall(f"{W}r")]
         elif child.tag == f"{omml.M}oMath":
             out.append(f"${omml.latex(child).strip()}$")
         elif child.tag == f"{omml.M}oMathPara":
@@ -56,10 +58,17 @@ def _text(node) -> str:
     return "".join(out)
 
 
+def _media(z: zipfile.ZipFile) -> dict[str, str]:
+    """Relation id to path of a document's images and objects."""
+    if "word/_rels/document.xml.rels" not in z.namelist():
+        return {}
+    return {r.get("Id", ""): r.get("Target", "") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+
+
 def _blocks(content: bytes) -> Iterator[tuple]:
     """``(kind, level, text, cells)`` of the body's paragraphs and table rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        body, media = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _media(z)
     for node in body if body is not None else []:
         if node.tag == f"{W}p":
             style = node.find(f"{W}pPr/{W}pStyle")
@@ -67,17 +76,17 @@ def _blocks(content: bytes) -> Iterator[tuple]:
             item = node.find(f"{W}pPr/{W}numPr/{W}ilvl")
             digits = name.removeprefix("Heading")
             if digits.isdigit() and 1 <= int(digits) <= 8:
-                yield "heading", int(digits), _text(node), None
+                yield "heading", int(digits), _text(node, media), None
             elif item is not None:
-                yield "item", int(item.get(f"{W}val", "0")), _text(node), None
+                yield "item", int(item.get(f"{W}val", "0")), _text(node, media), None
             else:
-                yield "text", 0, _text(node), None
+                yield "text", 0, _text(node, media), None
         elif node.tag == f"{W}tbl":
             for k, row in enumerate(node.findall(f"{W}tr")):
                 cells = []
                 for cell in row.findall(f"{W}tc"):
                     span = cell.find(f"{W}tcPr/{W}gridSpan")
-                    text = " ".join(_text(p) for p in cell.iter(f"{W}p")).replace("|", r"\|")
+                    text = " ".join(_text(p, media) for p in cell.iter(f"{W}p")).replace("|", r"\|")
                     cells += [text] + [""] * (int(span.get(f"{W}val", "1")) - 1 if span is not None else 0)
                 yield "row", k, None, cells
 
@@ -101,7 +110,11 @@ def blocks(files: DataFrame) -> DataFrame:
 
 
 def to_markdown(files: DataFrame) -> DataFrame:
-    """``path, markdown, error``; no partial output: a file with an error has none."""
+    """``path, markdown, error``; no partial output: a file with an error has none.
+
+    A table's first row is its Markdown header, and merged cells leave empty ones. A formula that runs over paragraphs,
+    as an odd number of dollar signs says, stays one paragraph. Images name their path in the document (see ``media``).
+    """
     line = (
         F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), "text"))
         .when(F.col("kind") == "item", F.concat(F.repeat(F.lit("    "), F.col("level")), F.lit("- "), "text"))
@@ -113,8 +126,11 @@ def to_markdown(files: DataFrame) -> DataFrame:
         F.concat("line", F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("cells"))),
     ).otherwise(F.col("line"))
     # Rows of a table adjoin; everything else is parted by an empty line.
-    gap = F.when((F.col("kind") == "row") & (F.col("level") > 0), F.lit("\n")).otherwise(F.lit("\n\n"))
-    rows = blocks(files).withColumn("line", line).withColumn("piece", F.concat(gap, ruled))
+    dollars = F.when(F.col("kind") == "text", F.length(F.regexp_replace("text", r"[^$]", ""))).otherwise(0)
+    before = F.sum(dollars).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    open_formula = (F.col("kind") == "text") & (F.coalesce(before, F.lit(0)) % 2 == 1)
+    gap = F.when(open_formula | (F.col("kind") == "row") & (F.col("level") > 0), F.lit("\n")).otherwise(F.lit("\n\n"))
+    rows = blocks(files).withColumn("gap", gap).withColumn("line", line).withColumn("piece", F.concat("gap", ruled))
     per = rows.groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("p"), F.max("error").alias("error")
     )
@@ -162,6 +178,35 @@ def embedded_objects(files: DataFrame) -> DataFrame:
     return relations(files).where(F.col("target").rlike(r"^embeddings/.*\.bin$"))
 
 
+def _media_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in z.namelist():
+                        if name.startswith("word/media/") and not name.endswith("/"):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([path]), pa.array([name.removeprefix("word/")]), pa.array([z.read(name)], pa.binary())], ["path", "target", "content"]
+                            )
+            except (zipfile.BadZipFile, TypeError):
+                continue
+
+
+def media(files: DataFrame) -> DataFrame:
+    """``path, target, content``: the images in documents, under the paths that Markdown names; not transcoded."""
+    return files.select("path", "content").mapInArrow(_media_bytes, "path string, target string, content binary")
+
+
+def convert(files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write Markdown and media of documents as tables below a folder; returns both as read back."""
+    spark = files.sparkSession
+    out = []
+    for name, df in (("markdown", to_markdown(files)), ("media", media(files))):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out.append(spark.read.schema(df.schema).parquet(f"{folder}/{name}"))
+    return out[0], out[1]
+
+
 CELLS = "path string, tbl int, row int, cell int, span int, merge string, text string"
 
 
@@ -171,7 +216,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
+                    body, media = ET.fromstring(z.read("word/document.xml")).find(f"{W}body"), _media(z)
             except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError):
                 continue
             for t, table in enumerate(body.findall(f"{W}tbl") if body is not None else []):
@@ -180,7 +225,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
                         n = int(span.get(f"{W}val", "1")) if span is not None else 1
                         state = None if merge is None else merge.get(f"{W}val", "continue")
-                        rows.append((path, t, r, c, n, state, "<br>".join(_text(p) for p in cell.findall(f"{W}p"))))
+                        rows.append((path, t, r, c, n, state, "<br>".join(_text(p, media, escape=True) for p in cell.findall(f"{W}p"))))
         cols = list(zip(*rows)) or [()] * 7
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CELLS.split(", ")])

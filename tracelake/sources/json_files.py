@@ -11,8 +11,8 @@ from tracelake.schema import schema
 
 def objects(files: DataFrame, kind: str) -> DataFrame:
     """One object per file, ``path, content`` rows; what is no JSON object of the kind is dropped."""
-    parsed = files.select("path", F.from_json("content", schema(kind)).alias("r"))
-    return parsed.where("r is not null").select("path", "r.*")
+    valid = files.where(F.json_object_keys("content").isNotNull())
+    return valid.select("path", F.from_json("content", schema(kind)).alias("r")).select("path", "r.*")
 
 
 def records(files: DataFrame, kind: str) -> DataFrame:
@@ -27,13 +27,22 @@ def records(files: DataFrame, kind: str) -> DataFrame:
 
 def read_or_empty(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Records of a folder or file of JSON; an empty table where there is none."""
+    return records(_files(spark, path), kind)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
     try:
-        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-        return records(files, kind)
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return records(spark.createDataFrame([], "path string, content string"), kind)
+        return spark.createDataFrame([], "path string, content string")
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """Opened projects, newest first; an empty table where the file is missing or no JSON list."""
+    found = _files(spark, path).select(F.explode(F.from_json("content", T.ArrayType(schema("history")))).alias("r")).where("r.path is not null")
+    return found.select("r.*").orderBy(F.desc("last_opened"), "path")
 
 
 def export(df: DataFrame, name: str = "json") -> DataFrame:

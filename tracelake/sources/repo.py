@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,11 @@ def uploadable(name: Column, kind: str) -> Column:
     return T.extension(name).isin(*UPLOADS[kind])
 
 
+def upload_candidates(files: DataFrame, kind: str, name_col: str = "path") -> DataFrame:
+    """Files whose lower-cased extension may be uploaded as code or as documents."""
+    return files.where(uploadable(F.col(name_col), kind))
+
+
 def scan(spark: SparkSession, root: str, kind: str = "code") -> DataFrame:
     """``path, content (BINARY), length, modificationTime`` of the files of a kind below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -36,10 +44,29 @@ def scan(spark: SparkSession, root: str, kind: str = "code") -> DataFrame:
     return files.load(root).withColumn("path", relative_to(F.col("path"), root))
 
 
-def read_text(files: DataFrame) -> DataFrame:
-    """``path, content`` as text (UTF-8, else null) with Unix line ends."""
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select("path", T.regularize(text).alias("content"))
+def _decoded(fallback: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for data in b.column(1):
+                try:
+                    texts.append(None if data.as_py() is None else data.as_py().decode(fallback))
+                except UnicodeDecodeError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["path", "content"])
+
+    return run
+
+
+def read_text(files: DataFrame, fallback: str | None = None) -> DataFrame:
+    """``path, content`` as text with Unix line ends: UTF-8, else in the ``fallback`` encoding (such as GBK), else null."""
+    valid = F.try_validate_utf8(F.col("content").cast("string"))
+    if fallback is None:
+        return files.select("path", T.regularize(valid).alias("content"))
+    rows = files.select("path", "content", valid.alias("text"))
+    other = rows.where("text is null").select("path", "content").mapInArrow(_decoded(fallback), "path string, content string")
+    both = rows.where("text is not null").select("path", F.col("text").alias("content")).unionByName(other)
+    return both.select("path", T.regularize(F.col("content")).alias("content"))
 
 
 def line_counts(files: DataFrame) -> DataFrame:
