@@ -69,3 +69,33 @@ def test_permutation(n):
 
 def test_empty_table(spark):
     assert mixing.mix_taken(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_mix_as_text(spark):
+    docs = [(i, "\t".join(f"d{i}w{j}" for j in range(i * 13 % 90)), f"s{i % 4}" if i % 7 else None, "c") for i in range(60)] + [(None, None, "s1", "c")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = mixing.mix_text(df, block_words=20, shards=3).collect()
+    taken = mixing.mix_taken(df, block_words=20, shards=3).collect()
+    assert sum(len(r["text"].split(" ")) for r in got) == sum(r["taken"] for r in taken)
+    source_of = {i: s for i, _, s, _ in docs}
+    whole = {i: len((t or "").split()) for i, t, _, _ in docs}
+    for r in got:
+        words = [tuple(map(int, w[1:].split("w"))) for w in r["text"].split(" ")]
+        assert 0 < len(words) <= 20 and {source_of[d] for d, _ in words} == {r["source"]}
+        for (d, j), (e, k) in zip(words, words[1:]):  # words of a text in order, then the next text from its first word
+            assert (e, k) == (d, j + 1) or (j == whole[d] - 1 and k == 0)
+    assert mixing.mix_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:05d}": (i * 7919) % 1000 + (1 if i % 3 else 100_000) for i in range(700)} | {None: 5, "none": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df, (5, 2, 1), 1.5, 2.0).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_few_slots_over_many_shards(spark):
+    df = spark.createDataFrame([("a", 640, 0, 5.0, 960.0)], "source string, source_size long, rank int, weight double, target double")
+    slots = mixing.draw_slots(df, 64, 2.0, 1000, 3).collect()
+    assert len(slots) == 15 and sorted(r["slot"] for r in slots) == list(range(15)) and len({r["shard"] for r in slots}) > 5

@@ -23,53 +23,62 @@ from tracelake.llm.common import materialise, parts_for, with_row_id
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Sources of a range that one task numbers.
+RANGE_SOURCES = 100_000
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_ratio: float, most: float) -> DataFrame:
-    """``sizes (source, source_size)`` -> plus ``rank, weight, target``; one small row per source.
+    """``sizes (source, source_size)`` -> plus ``rank, weight, target``; one row per source, however many there are.
 
     Targets share ``total_ratio`` of all words by weight, none above ``most`` times its source. The excess is
-    reshared by weight until none is above, which is the level L with sum(min(cap, L * weight)) = total: with
-    the sources sorted by cap / weight, L follows from the first k being capped.
+    reshared by weight until none is above, which is the level L with sum(min(cap, L * weight)) = total. From below L
+    rises to it: each step caps what the level of the step before is above, until nothing new is capped.
     """
-    every = Window.partitionBy()
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "rank")
-    rows = Window.unboundedPreceding
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
-    t = (
-        sizes.withColumn("rank", (F.row_number().over(by_source) - 1).cast("int"))
-        .withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(float(most)))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(float(total_ratio)))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(rows, -1)), F.lit(0.0)))
-        .withColumn("weight_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("weight_from"))
-        # The level of the first source that stays under its cap holds for all that follow.
-        .withColumn("holds", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every))
-    )
-    free = F.coalesce(F.col("holds.level") * F.col("weight"), F.col("cap"))
-    return t.withColumn("target", F.least("cap", free)).select("source", "source_size", "rank", "weight", "target")
+    n = len(weights)
+    count, words = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    # Numbers by range: those of the ranges before, and the place in the range.
+    ranged = sizes.repartitionByRange(parts_for(count, RANGE_SOURCES), F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = materialise(ranged, "mix-sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    t = ranged.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("rank", (F.col("start") + F.col("place") - 1).cast("int"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(n)) + 1).cast("int"))
+    t = t.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).select("source", "source_size", "rank", "weight", "cap")
+    t = materialise(t, "mix-weights")
+    total, level, capped = words * float(total_ratio), 0.0, -1
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        now, used, free = t.agg(
+            F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))
+        ).first()
+        if now == capped or not free:
+            break
+        capped, level = now, (total - used) / free
+    target = F.when(F.lit(not free), F.col("cap")).otherwise(F.least("cap", F.lit(level) * F.col("weight")))
+    return t.select("source", "source_size", "rank", "weight", target.alias("target"))
+
+
+#: Buckets of a source at least, so that tasks are even on small tables too.
+LEAST_BUCKETS = 256
 
 
-def pack_blocks(docs: DataFrame, block_words: int, id_col: str, text_col: str, source_col: str, rows_per_bucket: int):
+def pack_blocks(docs: DataFrame, block_words: int, id_col: str, text_col: str, source_col: str, rows_per_bucket: int, rid_col: str | None = None):
     """``(rows, pieces)``: rows with size and offset in their source; pieces (source, block, rid, from_word, to_word).
 
     Offsets are running sums in the order of (bucket of the id, id, text hash). A source is cut to buckets, whose
     totals are summed first, so that no source has to pass one task however large it is.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = materialise(
-        with_row_id(
-            docs.select(
-                F.col(id_col).alias("id"),
-                F.col(source_col).alias("source"),
-                F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                F.xxhash64(text).alias("hash"),
-            )
-        ),
-        "mix-sizes",
-    )
-    buckets = parts_for(base.count(), rows_per_bucket, 16)
+    cols = [
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text).alias("hash"),
+    ]
+    base = docs.select(*cols, F.col(rid_col).alias("rid")) if rid_col else with_row_id(docs.select(*cols))
+    base = materialise(base, "mix-sizes")
+    buckets = parts_for(base.count(), rows_per_bucket, LEAST_BUCKETS)
     base = base.withColumn("bucket", F.pmod(F.xxhash64("id", "hash"), F.lit(buckets)))
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,19 +106,24 @@ def pack_blocks(docs: DataFrame, block_words: int, id_col: str, text_col: str, s
 
 
 def _shard_counts(shards: int, seed: int):
-    """Per source row: its slots drawn to the shards (multinomial), as runs of slot numbers."""
+    """Per source row: its slots drawn to the shards (multinomial), as runs of slot numbers; shards without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rank, blocks, slots in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                draw = np.random.default_rng([seed, rank]).multinomial(slots, np.full(shards, 1 / shards))
-                ends = np.cumsum(draw)
+                rng = np.random.default_rng([seed, rank])
+                if slots < shards:  # the same draw, slot by slot
+                    at, draw = np.unique(rng.integers(0, shards, slots), return_counts=True)
+                else:
+                    draw = rng.multinomial(slots, np.full(shards, 1 / shards))
+                    at = np.flatnonzero(draw)
+                    draw = draw[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(shards, rank, np.int32)),
-                        pa.array(np.full(shards, blocks, np.int64)),
-                        pa.array(np.arange(shards, dtype=np.int32)),
-                        pa.array(ends - draw),
+                        pa.array(np.full(len(at), rank, np.int32)),
+                        pa.array(np.full(len(at), blocks, np.int64)),
+                        pa.array(at.astype(np.int32)),
+                        pa.array(np.cumsum(draw) - draw),
                         pa.array(draw.astype(np.int64)),
                     ],
                     ["rank", "blocks", "shard", "first", "n"],
@@ -179,28 +193,37 @@ def draw_slots(targets: DataFrame, block_words: int, most: float, shards: int, s
     return slots.mapInArrow(_slot_blocks(seed), "rank int, shard int, slot long, block long")
 
 
+#: Words of an output shard, about.
+SHARD_WORDS = 100_000_000
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
     total_ratio: float = 1.5,
     most: float = 2.0,
     block_words: int = 64,
-    shards: int = 64,
+    shards: int | None = None,
     seed: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     rows_per_bucket: int = 50_000,
+    rid_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, targets, slots)`` of a mix: the documents with size and offset, the sources with their targets,
     and the mixed output as ``rank, source, shard, slot, rid, from_word, to_word`` (words of a document).
 
     Null text has no words; a null source is a source of its own, last in order. Documents without words and
     sources without words take nothing. Repeated rows are rows of their own. An empty table gives empty results.
+    Without ``shards`` there are 64, or so many that a shard gets about ``SHARD_WORDS`` words. ``rid_col`` names a key of
+    the rows, for those who join the result with texts (see ``mix_text``).
     """
-    rows, pieces = pack_blocks(docs, block_words, id_col, text_col, source_col, rows_per_bucket)
+    rows, pieces = pack_blocks(docs, block_words, id_col, text_col, source_col, rows_per_bucket, rid_col)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, total_ratio, most), "mix-targets")
+    if shards is None:
+        shards = parts_for(int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]), SHARD_WORDS, 64)
     slots = draw_slots(targets, block_words, most, shards, seed)
     ranked = pieces.alias("p").join(
         targets.select(F.col("source").alias("of"), "rank"), F.col("p.source").eqNullSafe(F.col("of"))
@@ -223,3 +246,29 @@ def mix_taken(docs: DataFrame, **how) -> DataFrame:
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         F.col("r.source").alias("source"),
     )
+
+
+def mix_text(docs: DataFrame, block_words: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``shard, slot, source, text``: the mix itself, a block of words (the last of a source may be shorter) per slot.
+
+    Words stand joined by one space. Each text is cut once; only the cut pieces meet the slots. See ``mix``.
+    """
+    kept = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = materialise(with_row_id(kept), "mix-texts")
+    rows, targets, _ = mix(kept, block_words=block_words, id_col="id", text_col="text", source_col="source", rid_col="rid", **how)
+    words = rows.where("size > 0").join(kept.select("rid", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")), "rid")
+    first = F.floor(F.col("offset") / block_words).cast("long")
+    last = F.floor((F.col("offset") + F.col("size") - 1) / block_words).cast("long")
+
+    def piece(block):
+        start = F.greatest(block * block_words - F.col("offset"), F.lit(0))
+        end = F.least((block + 1) * block_words - F.col("offset"), F.col("size"))
+        return F.struct(block.alias("block"), F.array_join(F.slice("words", start.cast("int") + 1, (end - start).cast("int")), " ").alias("piece"))
+
+    cut = words.select("source", "offset", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("source", "offset", "p.*")
+    blocks = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("p"))  # at most block_words pieces
+    blocks = blocks.select("source", "block", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("text"))
+    ranked = blocks.alias("b").join(targets.select(F.col("source").alias("of"), "rank"), F.col("b.source").eqNullSafe(F.col("of"))).drop("of")
+    shards = how.get("shards") or parts_for(int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]), SHARD_WORDS, 64)
+    slots = draw_slots(targets, block_words, how.get("most", 2.0), shards, how.get("seed", 20))
+    return slots.hint("merge").join(ranked, ["rank", "block"]).select("shard", "slot", "source", "text")
