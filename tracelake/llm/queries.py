@@ -10,11 +10,15 @@ from tracelake.llm.common import crc_mod, table
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by the model of those whose crc32(doc_id) modulo 5 is not 1. Null text is empty (end mark only), null
+    ids count as empty text in the remainder; repeated rows are scored each; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return katz.score(docs, crc_mod("doc_id", 5) == 1)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text; labels of rows whose crc32(doc_id) modulo 3 is 1 are not learned. Null text is empty and scored so;
+    of repeated labels the larger counts; with labels of one class, or none, all scores are alike; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", crc_mod("doc_id", 3) == 1)
     model = toxicity.train(docs.where("not held_out"), toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -23,15 +27,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; null counts as empty. The largest id stays, a null id loses, of rows that repeat it one stays."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("rid")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every text. Null and wordless texts have fingerprint zero; a class of null ids only has none; an
+    empty table gives no rows."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text; null text is empty and has none. A null owner or repository is one of its own; repeated rows are rows
+    of their own; an empty table gives no rows."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind < 3)
 
@@ -50,6 +59,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from rows whose crc32(doc_id) modulo 4 is not 2. ``und`` and score zero for null, empty and
+    letterless texts, and for all where nothing can be learned. Of languages that tie the first by code point is taken."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", crc_mod("doc_id", 4) == 2)
     trees = langid.train(docs.where("not held_out"))
@@ -57,6 +68,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every text. Null has no words; items without words or id are none; rows that repeat an item id are one item."""
     found = decontam.occurrences(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     )
@@ -71,6 +83,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back. Null html is empty; the smallest id answers for equal payloads, a null id
+    loses, and of rows that tie one is the response; an empty table writes no file and gives no rows."""
     folder = warc.archive_folder(spark)
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(manifest, folder).select(
@@ -79,10 +93,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Null text has no words; a null source is one of its own, last in order; documents
+    and sources without words take none."""
     return mixing.mix_taken(table(spark, sf_dir, "documents"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html is empty. Repeated rows are rows of their own; an empty table gives none."""
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 

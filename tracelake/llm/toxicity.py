@@ -333,7 +333,9 @@ def train(
     Labels choose the words that vote, tell the classes apart and are compared with what votes alone say (``check``).
     With ``gold`` a labelled row has one more voter, right with probability ``trust``. An unlabelled row weighs ``share``
     of a labelled one for the classifier. Rows of ``labels`` with a null or other label are ignored, of repeated ones
-    the larger label counts; labels without a document have no say. With rows of one class only the model is constant.
+    the larger label counts; labels without a document have no say. With rows of one class only the model is constant, with none all is clean.
+    Null text counts as empty; repeated documents count as often as they stand, near copies share one weight. Extra
+    columns of either table are ignored.
     """
     spark = docs.sparkSession
     sample, got = _drawn(docs, labels, id_col, text_col, label_col, per_class, unlabelled)
