@@ -178,8 +178,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars of links of the groups of one partition, which come sorted; a group is handled as soon as it is whole."""
 
     def stars(t: pa.Table) -> pa.RecordBatch:
-        gid, rest, fp = (t.column(c).to_numpy() for c in ("gid", "rest", "fp"))
-        group = np.cumsum(np.r_[False, gid[1:] != gid[:-1]])
+        rest, fp = (t.column(c).to_numpy() for c in ("rest", "fp"))
+        # The hash only brings a group together; what parts groups are its columns.
+        parts = [t.column(c).to_numpy() for c in ("view", "key", "part", "sub")]
+        group = np.cumsum(np.r_[False, np.any([x[1:] != x[:-1] for x in parts], axis=0)])
         label = group_links(group, rest.astype(np.uint64))
         far = label != np.arange(len(fp))
         return pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], ["a", "b"])
@@ -205,7 +207,7 @@ def links(fps: DataFrame, cut_above: int = 50_000) -> DataFrame:
     rows = _views(fps, cut_above).withColumn("gid", F.xxhash64("view", "key", "part", "sub"))
     rows = rows.withColumn("gray", _gray_rank(F.col("rest"))).select("gid", "view", "key", "part", "sub", "rest", "fp", "gray")
     rows = rows.repartition("gid").sortWithinPartitions("gid", "view", "key", "part", "sub", "gray")
-    return rows.select("gid", "rest", "fp").mapInArrow(_links, "a long, b long").where("a <> b").distinct()
+    return rows.select("gid", "view", "key", "part", "sub", "rest", "fp").mapInArrow(_links, "a long, b long").where("a <> b").distinct()
 
 
 def classes(edges: DataFrame, tag: str = "classes") -> DataFrame:
