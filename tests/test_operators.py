@@ -119,6 +119,14 @@ def test_selections_and_places(spark):
     assert [tuple(x) if x else None for x in found] == [(0, 1), (4, 5), None, (6, 7)]
 
 
+def test_long_ranges_make_no_flood_of_bins(spark):
+    left = spark.createDataFrame([("k", 1, 0, 10_000_000), ("k", 2, 5, 6), ("k", 3, 700, 1300)], "k string, i int, start long, end long")
+    right = spark.createDataFrame([("k", 1, 9_999_999, 20_000_000), ("k", 2, 0, 6), ("k", 3, 1299, 1301), ("j", 4, 0, 9)], "k string, i int, start long, end long")
+    got = intervals.overlap_join(left, right, "k", 1)
+    want = [(1, 1, 9_999_999, 10_000_000), (1, 2, 0, 6), (1, 3, 1299, 1301), (2, 2, 5, 6), (3, 3, 1299, 1300)]
+    assert rows(got, "l_i", "r_i", "clip_start", "clip_end") == sorted(map(repr, want))
+
+
 def test_statement_heads():
     code = """#include <x>
 // class in a comment {

@@ -68,25 +68,40 @@ def extract_by_join(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     return blocks.join(per, keys, "left").withColumn("content", F.coalesce("content", F.lit(""))).select(*blocks.columns, "content")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start: str = "start", end: str = "end") -> DataFrame:
+#: A range covers at most so many bins of its level; the next level's bins are so many times as wide.
+SPREAD = 256
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start: str = "start", end: str = "end", levels: int = 3) -> DataFrame:
     """Pairs of half-open ranges of a key that overlap, with the part they share.
 
-    Both sides are cut to bins of ``width`` and meet in an equi-join on (key, bin); a pair counts in the bin where the
-    later of the two starts. Neither a nested-loop join nor a broadcast; ``width`` near the usual length keeps both the
-    copies and the pairs tested few.
+    Both sides are cut to bins of ``width`` and meet in an equi-join on (key, level, bin); a pair counts in the bin where
+    the later of the two starts. Neither a nested-loop join nor a broadcast; ``width`` near the usual length keeps both
+    the copies and the pairs tested few. Longer ranges live on levels of wider bins, where shorter ones have a copy too,
+    so one long range makes no flood of rows; what is too long for all ``levels`` is cut by the widest bins. Empty and
+    null ranges meet nothing.
     """
 
+    def width_of(level: Column) -> Column:
+        return F.lit(width) * F.pow(F.lit(SPREAD), level).cast("long")
+
     def binned(df: DataFrame, side: str) -> DataFrame:
         df = df.where(F.col(end) > F.col(start))
         cols = [F.col(c).alias(c if c == key else f"{side}_{c}") for c in df.columns]
-        low, high = (F.floor(c / F.lit(width)).cast("long") for c in (F.col(start), F.col(end) - 1))
-        return df.select(*cols, F.explode(F.sequence(low, high)).alias("__bin"))
+        bins = (F.col(end) - F.col(start)) / F.lit(width)
+        own = F.lit(levels - 1)
+        for k in reversed(range(levels - 1)):
+            own = F.when(bins <= SPREAD ** (k + 1), F.lit(k)).otherwise(own)
+        df = df.select(*cols, own.alias(f"{side}__own"), F.explode(F.sequence(own, F.lit(levels - 1))).alias("__level"))
+        low, high = (F.floor(c / width_of(F.col("__level"))).cast("long") for c in (F.col(f"{side}_{start}"), F.col(f"{side}_{end}") - 1))
+        return df.withColumn("__bin", F.explode(F.sequence(low, high)))
 
     ls, le, rs, re = f"l_{start}", f"l_{end}", f"r_{start}", f"r_{end}"
-    both = binned(left, "l").join(binned(right, "r"), [key, "__bin"])
-    first = F.floor(F.greatest(ls, rs) / F.lit(width)).cast("long")
-    meet = (F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & (F.col("__bin") == first)
-    return both.where(meet).drop("__bin").withColumns(
+    both = binned(left, "l").join(binned(right, "r"), [key, "__level", "__bin"])
+    first = F.floor(F.greatest(ls, rs) / width_of(F.col("__level"))).cast("long")
+    level = F.col("__level") == F.greatest("l__own", "r__own")
+    meet = (F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & level & (F.col("__bin") == first)
+    return both.where(meet).drop("__bin", "__level", "l__own", "r__own").withColumns(
         {"clip_start": F.greatest(ls, rs), "clip_end": F.least(le, re)}
     )
 
