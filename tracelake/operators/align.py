@@ -75,6 +75,7 @@ def ask(
     if cache is not None:
         had = cache.select(F.col("prompt_key").alias("__key"), F.col("reply").alias(reply_col)).where(F.col(reply_col).isNotNull()).dropDuplicates(["__key"])
         wanted = wanted.join(had, "__key", "left_anti")
+    wanted = wanted.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     asked = wanted.mapInArrow(_answers(backend, lambda p: p, 1, reply_col, per_call, tries), f"__key string, {reply_col} string")
     if cache is not None:
         asked = asked.unionByName(had)
@@ -120,9 +121,11 @@ def align(requirements: DataFrame, chunks: DataFrame, lines: DataFrame, backend:
     lot = F.pmod(F.xxhash64("file", "start_line"), F.lit(LOTS)).cast("int")
     keys = reqs.select("project", "requirement_id", "r", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
     pairs = keys.join(parts.select("project", "file", "start_line", "end_line", "c", lot.alias("lot")), ["project", "lot"]).drop("lot")
-    wanted = pairs.select("r", "c").distinct()
-    wanted = wanted.join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r")
-    wanted = wanted.join(parts.groupBy("c").agg(F.first("content").alias("content")), "c").select("r", "c", "requirement", "content")
+    # Keys are few bytes for much work, so the number of tasks is set, not left to the size of the rows.
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = pairs.select("r", "c").distinct().join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r").repartition(tasks, "c")
+    texts = parts.select("c", "content").repartition(tasks, "c").dropDuplicates(["c"])
+    wanted = wanted.join(texts, "c").select("r", "c", "requirement", "content")
     make = lambda requirement, code: ALIGN.format(requirement=requirement or "", code=code or "")
     replied = wanted.mapInArrow(_answers(backend, make, 2, "reply", per_call, tries), "r string, c string, reply string")
     replied = replied.select("r", "c", replies.related_intervals(F.col("reply"), tolerant=not strict).alias("pairs"))
