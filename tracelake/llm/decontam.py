@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import materialise, set_aside, text_of
+from tracelake.llm.common import materialise, set_aside, text_of, with_row_id
 
 WINDOW = 13
 BLOCK = 3
@@ -121,7 +121,7 @@ def occurrences(
     """``docs`` plus ``n_words, n_hit, items, hit_from, hit_to, contaminated``; hits are merged spans of words.
 
     The benchmark is searched for in blocks of about ``words_per_block`` words, so what a task holds does not grow
-    with it; a second block searches what the first wrote. Null text has no words. Items without words or with a
+    with it; with several, texts are written once, each block gives the rows that it hits, and these meet at the end. Null text has no words. Items without words or with a
     null id are ignored; rows that repeat an item id count as one item. An empty table on either side gives no
     hits. Clashing column names of ``docs`` are replaced.
     """
@@ -143,14 +143,30 @@ def occurrences(
     )
     n_bytes = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-n_bytes // (6 * words_per_block)))
+    hits = None
+    if blocks > 1:  # texts are written once; each block gives but the rows that it hits
+        out = materialise(with_row_id(out, "__rid"), "decontam-docs")
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().orderBy("item", "text").collect()
         names: list[str] = [r["item"] for r in rows]
         tables = build([words_of(bytes(r["text"])) for r in rows], window)
         search = _search(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(names), "__bytes", schema)
-        if k:
-            out = materialise(out, "decontam-block")
-        out = out.mapInArrow(search, out.schema)
+        if blocks == 1:
+            out = out.mapInArrow(search, out.schema)
+            break
+        mine = out.select("__rid", "__bytes", "n_words", "hit_from", "hit_to", "items")
+        search = _search(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(names), "__bytes", _arrow_schema(mine))
+        mine = mine.mapInArrow(search, mine.schema).where(F.size("items") > 0).select("__rid", "hit_from", "hit_to", "items")
+        mine = materialise(mine, "decontam-hits")
+        hits = mine if hits is None else hits.unionByName(mine)
+    if hits is not None:
+        ours_of = ["hit_from", "hit_to", "items"]
+        hits = hits.groupBy("__rid").agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in ours_of])
+        out = out.join(hits, "__rid", "left").select(
+            *plain, "__bytes", "n_words", *[F.coalesce(f"__{c}", F.col(c)).alias(c) for c in ours_of]
+        )
+        none = spark.sparkContext.broadcast([])
+        out = out.mapInArrow(_search(none, none, "__bytes", schema), out.schema)
     hit = F.aggregate(F.zip_with("hit_to", "hit_from", lambda a, b: (a - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
         *plain,
