@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, exact_dedup, html_text, katz, langid, mixing, secrets, simhash, toxicity, warc
+from tracelake.llm import decontam, exact_dedup, html_text, katz, langid, merkle, mixing, secrets, simhash, toxicity, warc
 from tracelake.llm.common import crc_mod, table
 
 
@@ -104,6 +104,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in a tree for every language. Where 3 divides the crc32 of the id, the text is met in lower case.
+    A null language is a tree of its own; a null id stands first and is met as it was, as null and empty texts are."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verify(docs, found=F.when(hit, merkle.leaf_hash("doc_id", "source", "lang", "n_chars", lower)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -117,6 +126,7 @@ QUERIES = {
         op8_warc,
         op9_mixing,
         op10_html_text,
+        op12_merkle,
     )
 }
 
