@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontam, dialogue, exact_dedup, html_text, katz, langid, merkle, mixing, secrets, simhash, toxicity, warc
+from tracelake.llm import decontam, dialogue, exact_dedup, html_text, katz, langid, merkle, mixing, secrets, simhash, spotsigs, toxicity, warc
 from tracelake.llm.common import crc_mod, table
 
 
@@ -120,6 +120,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(docs, found=F.when(hit, merkle.leaf_hash("doc_id", "source", "lang", "n_chars", lower)))
 
 
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike it is to that and to the next one. Null text is empty; texts
+    without words are alike; a null id stands first, rows of one id go by the hash of their text; an empty table gives no rows."""
+    return spotsigs.with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -135,6 +141,7 @@ QUERIES = {
         op10_html_text,
         op11_conversation_repair,
         op12_merkle,
+        op13_spotsigs,
     )
 }
 
