@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_mixing": "doc_id size source_size target taken",
     "op10_html_text": "page_id url text n_chars",
+    "op11_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_spotsigs": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
@@ -45,7 +48,7 @@ def rest(i, n):
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_sql(results, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = duck.execute(queries.ORACLE_SQL[name]).fetchdf()
     cols = COLUMNS[name].split()
@@ -62,8 +65,9 @@ def test_sql(results, name):
 def test_columns_and_rows(results, name):
     cols = COLUMNS[name].split()
     assert list(results[name].columns)[: len(cols)] == cols
-    table = "pages" if cols[0] == "page_id" else "documents"
-    assert sorted(results[name][cols[0]]) == sorted(pd.read_parquet(f"{SF}/{table}.parquet")[cols[0]])
+    table = {"page_id": "pages", "conv_id": "conversations"}.get(cols[0], "documents")
+    ids = pd.read_parquet(f"{SF}/{table}.parquet")[cols[0]]
+    assert sorted(results[name][cols[0]]) == sorted(set(ids) if cols[0] == "conv_id" else ids)
 
 
 @pytest.mark.parametrize("name, n, held", [("op1_katz", 5, 1), ("op2_toxicity", 3, 1), ("op6_langid", 4, 2)])
