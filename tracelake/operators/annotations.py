@@ -42,11 +42,11 @@ def distinct_blocks(blocks: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def highlight_flags(lines: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:
-    """``lines (file, line_no)`` plus whether a current and a previous block (file, start, end) holds them."""
+    """``lines (file, line_no)`` plus whether a current and a previous block (file, start, end) holds them. A block whose ends
+    are exchanged holds no line."""
 
     def marked(blocks: DataFrame, name: str) -> DataFrame:
-        each = blocks.select("file", F.explode(F.sequence("start", "end")).alias("line_no")).distinct()
-        return each.withColumn(name, F.lit(True))
+        return intervals.held(lines, blocks, "file", "line_no").withColumn(name, F.lit(True))
 
     out = lines.join(marked(current, "is_current"), ["file", "line_no"], "left").join(marked(previous, "is_previous"), ["file", "line_no"], "left")
     return out.fillna(False, ["is_current", "is_previous"])

@@ -117,11 +117,16 @@ def token_count(line):
     return F.size(F.regexp_extract_all(line, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)))
 
 
-def token_budget_chunks(files: DataFrame, budget: int = 10_000, file_col: str = "file", content_col: str = "content", tokens=token_count) -> DataFrame:
-    """``file, chunk_no, start_line, end_line, content`` of every file. Null and empty contents have no chunk."""
-    lines = T.lines(F.col(content_col))
-    rows = files.select(
-        F.col(file_col).alias("file"), lines.alias("lines"), F.transform(T.numbered(F.col(content_col)), tokens).alias("counts")
-    )
+def token_budget_chunks(
+    files: DataFrame, budget: int = 10_000, file_col: str = "file", content_col: str = "content", tokens=token_count, line_tokens=None
+) -> DataFrame:
+    """``file, chunk_no, start_line, end_line, content`` of every file. Null and empty contents have no chunk.
+
+    ``tokens`` counts those of a line, by a column expression; ``line_tokens`` instead those of all lines at once, from an
+    array to an array, as ``bpe.counter`` does.
+    """
+    lines, numbered = T.lines(F.col(content_col)), T.numbered(F.col(content_col))
+    counts = line_tokens(numbered) if line_tokens else F.transform(numbered, tokens)
+    rows = files.select(F.col(file_col).alias("file"), lines.alias("lines"), counts.alias("counts"))
     kind = rows.schema["file"].dataType.simpleString()
     return rows.mapInArrow(_chunks(budget), f"file {kind}, chunk_no int, start_line int, end_line int, content string")

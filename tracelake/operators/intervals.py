@@ -18,21 +18,21 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
 
 
 def merge_array(pairs: Column) -> Column:
-    """The same for an ``array<array<int>>`` of one row, without a shuffle; null stays null."""
-    empty = F.expr("cast(array() as array<array<int>>)")
+    """The same for an ``array<array<int>>`` of one row, without a shuffle; null stays null.
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.array(last[0], F.greatest(last[1], p[1]))
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))[1] >= p[0] - 1)
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(
-            F.concat(done, F.array(p))
-        )
-
-    def step_safe(done: Column, p: Column) -> Column:
-        return F.when(F.size(done) == 0, F.array(p)).otherwise(step(done, p))
-
-    return F.aggregate(F.array_sort(pairs), empty, step_safe)
+    Work is that of two sorts. Of sorted intervals an island begins where a start lies beyond all ends before it. With the
+    starts and the ends sorted apart, that is where the k-th start is beyond the end before it: an island is closed when as
+    many intervals have ended as have begun. So its first start and last end stand at the same places of the two arrays.
+    """
+    some = F.filter(pairs, lambda p: p.isNotNull() & p[0].isNotNull() & p[1].isNotNull() & (p[0] <= p[1]))
+    starts = F.array_sort(F.transform(some, lambda p: p[0]))
+    ends = F.array_sort(F.transform(some, lambda p: p[1]))
+    before = F.concat(F.array(F.lit(None).cast("int")), F.transform(ends, lambda e: e + 1))  # one longer: the last end is in
+    first = F.filter(F.arrays_zip(starts.alias("s"), before.alias("b")), lambda x: x["s"].isNotNull() & (x["b"].isNull() | (x["s"] > x["b"])))
+    after = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.lit(None).cast("int")))
+    last = F.filter(F.arrays_zip(ends.alias("e"), after.alias("n")), lambda x: x["e"].isNotNull() & (x["n"].isNull() | (x["n"] > x["e"] + 1)))
+    both = F.arrays_zip(F.transform(first, lambda x: x["s"]).alias("s"), F.transform(last, lambda x: x["e"]).alias("e"))
+    return F.transform(both, lambda x: F.array(x["s"], x["e"]))
 
 
 def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,15 +55,23 @@ def extract_from_lines(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.transform(kept, lambda r: F.concat(r["n"].cast("string"), F.lit(": "), r["t"])), "\n")
 
 
+#: Lines of a bin of a file.
+LINES = 32
+
+
 def extract_by_join(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """``blocks (file, start, end, ...)`` with the content of their lines, for lines that are a table of their own.
 
-    Equal blocks share one result, so each of them gets its own row; a block without lines has an empty content.
+    A line is in one bin of its file and a block in those that it touches, so a block meets its own lines and less than two
+    bins of others, however large the file. Equal blocks share one result, so each of them gets its own row; a block without
+    lines, or with its ends exchanged, has an empty content.
     """
     keys = ["file", "start", "end"]
-    b, n = blocks.select(*keys).distinct().alias("b"), lines.alias("n")
-    on = (F.col("b.file") == F.col("n.file")) & F.col("n.line_no").between(F.col("b.start"), F.col("b.end"))
-    got = b.join(n, on).select("b.*", F.struct("n.line_no", F.concat_ws(": ", "n.line_no", "n.text").alias("t")).alias("l"))
+    bins = F.sequence(*[F.floor(F.col(c) / LINES).cast("long") for c in ("start", "end")])
+    b = blocks.select(*keys).where("start <= end").distinct().withColumn("bin", F.explode(bins)).alias("b")
+    n = lines.withColumn("bin", F.floor(F.col("line_no") / LINES).cast("long")).alias("n")
+    on = (F.col("b.file") == F.col("n.file")) & (F.col("b.bin") == F.col("n.bin")) & F.col("n.line_no").between(F.col("b.start"), F.col("b.end"))
+    got = b.join(n, on).select("b.file", "b.start", "b.end", F.struct("n.line_no", F.concat_ws(": ", "n.line_no", "n.text").alias("t")).alias("l"))
     per = got.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda r: r["t"]), "\n").alias("content"))
     return blocks.join(per, keys, "left").withColumn("content", F.coalesce("content", F.lit(""))).select(*blocks.columns, "content")
 
@@ -77,46 +85,134 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
 
     Both sides are cut to bins of ``width`` and meet in an equi-join on (key, level, bin); a pair counts in the bin where
     the later of the two starts. Neither a nested-loop join nor a broadcast; ``width`` near the usual length keeps both
-    the copies and the pairs tested few. Longer ranges live on levels of wider bins, where shorter ones have a copy too,
-    so one long range makes no flood of rows; what is too long for all ``levels`` is cut by the widest bins. Empty and
-    null ranges meet nothing.
+    the copies and the pairs tested few. Longer ranges live on levels of wider bins, so one long range makes no flood of
+    rows; what is too long for all ``levels`` is cut by the widest bins. A pair meets on the level of its longer range,
+    in one of three roles: both live there, or only the left or only the right one does, so two short ranges never
+    meet in a wide bin. Shorter ranges have copies only on levels where the other side has ranges; which these are is
+    looked up first, a number or two a side. Empty and null ranges meet nothing.
     """
-
-    def width_of(level: Column) -> Column:
-        return F.lit(width) * F.pow(F.lit(SPREAD), level).cast("long")
-
-    def binned(df: DataFrame, side: str) -> DataFrame:
-        df = df.where(F.col(end) > F.col(start))
+    bins = (F.col(end) - F.col(start)) / F.lit(width)
+    own = F.lit(levels - 1)
+    for k in reversed(range(levels - 1)):
+        own = F.when(bins <= SPREAD ** (k + 1), F.lit(k)).otherwise(own)
+    sides = [df.where(F.col(end) > F.col(start)) for df in (left, right)]
+    used = [sorted(r[0] for r in df.select(own).distinct().collect()) for df in sides]  # at most ``levels`` numbers
+
+    def binned(df: DataFrame, side: str, here: list[int], there: list[int], alone: int, guest: int) -> DataFrame:
+        """Copies by (level, role): 0 with ranges of its own level, ``alone`` with shorter ones, ``guest`` with longer ones."""
         cols = [F.col(c).alias(c if c == key else f"{side}_{c}") for c in df.columns]
-        bins = (F.col(end) - F.col(start)) / F.lit(width)
-        own = F.lit(levels - 1)
-        for k in reversed(range(levels - 1)):
-            own = F.when(bins <= SPREAD ** (k + 1), F.lit(k)).otherwise(own)
-        df = df.select(*cols, own.alias(f"{side}__own"), F.explode(F.sequence(own, F.lit(levels - 1))).alias("__level"))
-        low, high = (F.floor(c / width_of(F.col("__level"))).cast("long") for c in (F.col(f"{side}_{start}"), F.col(f"{side}_{end}") - 1))
+        places = F.array().cast("array<struct<__level: int, __role: int>>")
+        for k in here:
+            mine = [(k, 0)] * (k in there) + [(k, alone)] * any(v < k for v in there) + [(v, guest) for v in there if v > k]
+            if mine:
+                mine = F.array(*[F.struct(F.lit(v).alias("__level"), F.lit(r).alias("__role")) for v, r in mine])
+                places = F.when(own == k, mine).otherwise(places)
+        df = df.select(*cols, F.explode(places).alias("__at")).select("*", "__at.__level", "__at.__role").drop("__at")
+        wide = F.lit(width) * F.pow(F.lit(SPREAD), F.col("__level")).cast("long")
+        low, high = (F.floor(c / wide).cast("long") for c in (F.col(f"{side}_{start}"), F.col(f"{side}_{end}") - 1))
         return df.withColumn("__bin", F.explode(F.sequence(low, high)))
 
     ls, le, rs, re = f"l_{start}", f"l_{end}", f"r_{start}", f"r_{end}"
-    both = binned(left, "l").join(binned(right, "r"), [key, "__level", "__bin"])
-    first = F.floor(F.greatest(ls, rs) / width_of(F.col("__level"))).cast("long")
-    level = F.col("__level") == F.greatest("l__own", "r__own")
-    meet = (F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & level & (F.col("__bin") == first)
-    return both.where(meet).drop("__bin", "__level", "l__own", "r__own").withColumns(
-        {"clip_start": F.greatest(ls, rs), "clip_end": F.least(le, re)}
-    )
+    both = binned(sides[0], "l", used[0], used[1], 1, 2).join(binned(sides[1], "r", used[1], used[0], 2, 1), [key, "__level", "__role", "__bin"])
+    first = F.floor(F.greatest(ls, rs) / (F.lit(width) * F.pow(F.lit(SPREAD), F.col("__level")).cast("long"))).cast("long")
+    meet = (F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & (F.col("__bin") == first)
+    return both.where(meet).drop("__bin", "__level", "__role").withColumns({"clip_start": F.greatest(ls, rs), "clip_end": F.least(le, re)})
+
+
+#: Children of a node of the tree of bins in which points look for ranges.
+FAN = 4
+
+
+def _div(x: Column, width: Column) -> Column:
+    """Whole quotient, rounded down."""
+    return F.call_function("div", x - F.pmod(x, width), width)
+
+
+def cover(start: Column, end: Column) -> Column:
+    """``ARRAY<STRUCT<level, bin>>``: the fewest bins of width ``FAN ** level`` that make up a closed range exactly.
+
+    At most 2 * (FAN - 1) a level, and no level is wider than the range; none where the ends are exchanged or null.
+    """
+    low, high = start.cast("long"), end.cast("long") + 1
+    top = F.floor(F.log(float(FAN), F.greatest(high - low, F.lit(1)))).cast("int") + 1
+
+    def between(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    def on(level: Column) -> Column:
+        wide = F.pow(F.lit(FAN), level).cast("long")
+        a, b = -_div(-low, wide), _div(high, wide)  # whole bins of this level
+        up, down = -_div(-low, wide * FAN) * FAN, _div(high, wide * FAN) * FAN  # those that wider bins take
+        some = F.when(up < down, F.concat(between(a, up), between(down, b))).otherwise(between(a, b))
+        return F.transform(some, lambda x: F.struct(level.alias("level"), x.alias("bin")))
+
+    bins = F.flatten(F.transform(F.sequence(F.lit(0), top), on))
+    return F.when(low < high, bins)
+
+
+def _nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """A row a bin of the ranges: their columns, ``__level, __bin``."""
+    rows = ranges.withColumn("__n", F.explode(cover(F.col(start), F.col(end))))
+    return rows.select(*ranges.columns, F.col("__n.level").alias("__level"), F.col("__n.bin").alias("__bin"))
+
+
+def _asking(points: DataFrame, point: str, nodes: DataFrame) -> DataFrame:
+    """A row a point and level that the ranges use (looked up first: as many as the longest range has, by base ``FAN``)."""
+    used = sorted(r[0] for r in nodes.select("__level").distinct().collect())
+    if not used:
+        return points.withColumns({"__level": F.lit(0), "__bin": F.lit(0).cast("long")}).limit(0)
+    at = F.col(point).cast("long")
+    asked = F.array(*[F.struct(F.lit(v).alias("level"), _div(at, F.lit(FAN**v).cast("long")).alias("bin")) for v in used])
+    rows = points.withColumn("__n", F.explode(asked))
+    return rows.select(*points.columns, F.col("__n.level").alias("__level"), F.col("__n.bin").alias("__bin"))
+
+
+def stabbing_join(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Every point with every closed range of its key that holds it: columns of the points, then of the ranges as ``r_...``.
+
+    A range is cut to the few bins that make it up, a point asks its one bin of every width in use, and both meet in an
+    equi-join. As the bins of a range are disjoint, each pair is met once and no other pair is met at all, so a key with very many
+    of both costs what its result does. Ranges with exchanged or null ends hold nothing.
+    """
+    nodes = _nodes(ranges.select(key, *[F.col(c).alias(f"r_{c}") for c in ranges.columns if c != key]), f"r_{start}", f"r_{end}")
+    return _asking(points, point, nodes).join(nodes, [key, "__level", "__bin"]).drop("__level", "__bin")
+
+
+def held(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str = "start", end: str = "end") -> DataFrame:
+    """``key, point``, distinct, of the points that any range of their key holds: bins of ranges are merged before they meet."""
+    nodes = _nodes(ranges.select(key, start, end), start, end).select(key, "__level", "__bin").distinct()
+    return _asking(points.select(key, point).distinct(), point, nodes).join(nodes, [key, "__level", "__bin"], "left_semi").select(key, point).distinct()
 
 
 def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str, ordinal: str = "ordinal") -> DataFrame:
     """Every row of ``points``, with all its columns, plus ``block_start, block_end``: the first block of its key, by
-    ordinal, that holds it; null where none does. Points of one place are looked up once and each keep their row."""
-    p, b = points.select(key, point).distinct().alias("p"), blocks.alias("b")
-    on = (F.col(f"p.{key}") == F.col(f"b.{key}")) & F.col(f"p.{point}").between(F.col("b.start"), F.col("b.end"))
-    hit = p.join(b, on).select(f"p.{key}", f"p.{point}", f"b.{ordinal}", "b.start", "b.end")
-    best = hit.groupBy(key, point).agg(F.min_by(F.struct("start", "end"), ordinal).alias("__m"))
+    ordinal, then by start and end, that holds it; null where none does. A bin keeps its first block only, so a point meets
+    at most one block a width. Points of one place are looked up once and each keep their row."""
+    nodes = _nodes(blocks.select(key, ordinal, "start", "end"), "start", "end")
+    nodes = nodes.groupBy(key, "__level", "__bin").agg(F.min(F.struct(ordinal, "start", "end")).alias("__m"))
+    hit = _asking(points.select(key, point).distinct(), point, nodes).join(nodes, [key, "__level", "__bin"])
+    best = hit.groupBy(key, point).agg(F.min("__m").alias("__m"))
     out = points.join(best, [key, point], "left")
     return out.select(*points.columns, F.col("__m.start").alias("block_start"), F.col("__m.end").alias("block_end"))
 
 
+def segments(ranges: DataFrame, key: str, ident: str, width: int = 1 << 16, start: str = "start", end: str = "end") -> DataFrame:
+    """``key, start, end, ids``: the pieces that the ends of all half-open ranges of a key cut it to, each with the distinct
+    ids of the ranges that cover it, ascending; pieces that none covers are left out. Empty and null ranges cut nothing.
+
+    Ends are put in order within bins of ``width`` positions, and only the first end of every bin is put in order by key, so
+    a document of any number of ranges is no single task's; ranges find their pieces by ``stabbing_join``.
+    """
+    some = ranges.where(F.col(end) > F.col(start)).select(key, F.col(ident).alias("__id"), F.col(start).alias("__s"), F.col(end).alias("__e"))
+    cuts = some.select(key, F.explode(F.array("__s", "__e")).alias("start")).distinct().withColumn("__b", F.floor(F.col("start") / width).cast("long"))
+    firsts = cuts.groupBy(key, "__b").agg(F.min("start").alias("__first"))
+    firsts = firsts.select(key, "__b", F.lead("__first").over(Window.partitionBy(key).orderBy("__b")).alias("__next"))
+    near = F.lead("start").over(Window.partitionBy(key, "__b").orderBy("start"))
+    pieces = cuts.withColumn("__near", near).join(firsts, [key, "__b"]).select(key, "start", F.coalesce("__near", "__next").alias("end"))
+    held_by = stabbing_join(pieces.where("end is not null"), some.withColumn("__e", F.col("__e") - 1), key, "start", "__s", "__e")
+    return held_by.groupBy(key, "start", "end").agg(F.array_sort(F.collect_set("r___id")).alias("ids"))
+
+
 def overlaps(ranges: Column, start: Column, end: Column, document: Column | None = None) -> Column:
     """Whether any range of an array overlaps a half-open one; by document if one is given."""
 

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last record of every key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    """The last record of every key; of records that tie the one whose columns hash largest."""
+    plain = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.xxhash64(*plain).desc())
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -57,11 +58,14 @@ def missing(wanted: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame
     return wanted.join(current, keys, "left_anti")
 
 
-def set_status(issues: DataFrame, ids: DataFrame, status: str) -> DataFrame:
-    """Issues with the first record of every id in ``ids`` confirmed or ignored."""
-    if status not in ("confirmed", "ignored", "unconfirmed"):
-        raise ValueError("status is 'confirmed', 'ignored' or 'unconfirmed'")
-    return update_first(issues, ids.select("id", F.lit(status).alias("new")), "id", "createdDate", "status")
+def confirm(issues: DataFrame, ids: DataFrame) -> DataFrame:
+    """Issues with the first record of every id in ``ids`` confirmed."""
+    return update_first(issues, ids.select("id", F.lit("confirmed").alias("new")), "id", "createdDate", "status")
+
+
+def ignore(issues: DataFrame, ids: DataFrame) -> DataFrame:
+    """Issues without the first record of every id in ``ids``: an issue that is ignored is deleted."""
+    return delete_first(issues, ids, "id", "createdDate")
 
 
 def append_issues(issues: DataFrame, new: DataFrame) -> DataFrame:

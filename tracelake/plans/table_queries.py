@@ -225,7 +225,8 @@ def annotation_ranges(spark, sf_dir):
 
 def _marks(spark, sf_dir, flag):
     rows = _t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
-    return rows.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
+    end = F.col("l_linenumber") + F.when(F.col("l_partkey") % 5 == 0, -2).otherwise(1)  # some have their ends exchanged: they mark nothing
+    return rows.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start"), end.alias("end"))
 
 
 def highlight_flags(spark, sf_dir):
@@ -276,9 +277,10 @@ def project_create(spark, sf_dir):
 
 
 def issue_status(spark, sf_dir):
+    """Issues of purchases are confirmed, then those of clicks ignored: the first of every id goes."""
     issues = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("createdDate"), F.lit("unconfirmed").alias("status"))
-    ids = _t(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"))
-    return store.set_status(issues, ids, "ignored")
+    ids = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_type")
+    return store.ignore(store.confirm(issues, ids.where("event_type = 'purchase'")), ids.where("event_type = 'click' and id % 3 = 0"))
 
 
 def missing_keys(spark, sf_dir):
@@ -411,8 +413,8 @@ CUR = "SELECT user_id, event_type, event_id, value FROM events WHERE event_id %
 FIRSTS = "SELECT CAST(user_id AS VARCHAR) AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id IN (SELECT user_id FROM events WHERE event_id % 7 = 0) AS hit FROM events"
 FLAGS = """
     SELECT o_orderkey AS file, CAST(n AS INTEGER) AS line_no,
-           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_current,
-           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_previous
+           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_partkey % 5 <> 0 AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_current,
+           EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND l_partkey % 5 <> 0 AND n BETWEEN l_linenumber AND l_linenumber + 1) AS is_previous
     FROM orders, (SELECT unnest(range(1, 10)) AS n)"""
 NL = f"""SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM (
     SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (
@@ -442,7 +444,7 @@ ORACLE_SQL = {
     "first_enclosing_block": """
         WITH b AS (SELECT l_orderkey, l_linenumber AS o, least(CAST(l_quantity AS INTEGER), 20) AS s FROM lineitem),
         p AS (SELECT o_orderkey, CAST(o_custkey % 40 AS INTEGER) AS line FROM orders)
-        SELECT o_orderkey AS l_orderkey, line, arg_min(s, o) AS block_start, arg_min(s, o) + 15 AS block_end
+        SELECT o_orderkey AS l_orderkey, line, arg_min(s, o * 1000 + s) AS block_start, arg_min(s, o * 1000 + s) + 15 AS block_end
         FROM p LEFT JOIN b ON o_orderkey = b.l_orderkey AND line BETWEEN s AND s + 15 GROUP BY 1, 2""",
     "annotation_overlap": """
         SELECT l_orderkey AS id, bool_or(l_linenumber + 1 > 2 AND l_linenumber < 4) AS any_document,
@@ -501,8 +503,9 @@ ORACLE_SQL = {
         SELECT n_name AS project_name, '/p/' || n_nationkey AS project_location FROM nation
         UNION ALL SELECT min(s_name), '/p/' || (s_suppkey % 60) FROM supplier WHERE s_suppkey % 60 NOT IN (SELECT n_nationkey FROM nation) GROUP BY s_suppkey % 60""",
     "issue_status": """
-        SELECT user_id AS id, event_id AS "createdDate", CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1
-               AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') THEN 'ignored' ELSE 'unconfirmed' END AS status FROM events""",
+        SELECT id, "createdDate", CASE WHEN n = 1 AND id IN (SELECT user_id FROM events WHERE event_type = 'purchase') THEN 'confirmed' ELSE 'unconfirmed' END AS status
+        FROM (SELECT user_id AS id, event_id AS "createdDate", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+        WHERE NOT (n = 1 AND id % 3 = 0 AND id IN (SELECT user_id FROM events WHERE event_type = 'click'))""",
     "missing_keys": "SELECT o_custkey AS key, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "annotation_rename": "SELECT p_partkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE p_name END AS name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
     "alignment_create": """
