@@ -99,3 +99,13 @@ def test_few_slots_over_many_shards(spark):
     df = spark.createDataFrame([("a", 640, 0, 5.0, 960.0)], "source string, source_size long, rank int, weight double, target double")
     slots = mixing.draw_slots(df, 64, 2.0, 1000, 3).collect()
     assert len(slots) == 15 and sorted(r["slot"] for r in slots) == list(range(15)) and len({r["shard"] for r in slots}) > 5
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Thirty sources of a few words each: none misses its target by more than a word or a twentieth."""
+    rows = [(k, " ".join(["w"] * (5 + k * 7 % 90)), f"s{k:02}") for k in range(30)]
+    taken, target = {}, {}
+    for r in mixing.mix_taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r["source"]], target[r["source"]] = taken.get(r["source"], 0) + r["taken"], r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.05 * target[s]) for s in target)

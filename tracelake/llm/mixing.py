@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Words of each source are packed, document after document, into blocks of a fixed number of words. Every source
+Words of each source are packed, document after document, into blocks of a fixed number of words, a smaller one where a
+source would have few blocks. Every source
 gets a number of slots that meets its target; its slots are drawn to output shards by a multinomial draw, so
 each shard holds multinomial source counts whose sums over the shards are the slots of the sources. Slot j of
 a source with n blocks reads block ``permutation[j // n](j % n)``: a pseudorandom permutation of the indices
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,8 +64,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_ratio: fl
 LEAST_BUCKETS = 256
 
 
-def pack_blocks(docs: DataFrame, block_words: int, id_col: str, text_col: str, source_col: str, rows_per_bucket: int, rid_col: str | None = None):
-    """``(rows, pieces)``: rows with size and offset in their source; pieces (source, block, rid, from_word, to_word).
+#: A source of fewer words than so many blocks hold is cut to at least so many shorter ones, as far as it has words: in few
+#: blocks a small source would miss its target.
+FEW_BLOCKS, SMALL_BLOCKS = 10, 64
+
+
+def _block_length(source_size: Column, block_words: int) -> Column:
+    """Words of a block of a source: ``block_words``, or fewer for a small one."""
+    small = F.greatest(F.lit(1), F.floor(source_size / SMALL_BLOCKS))
+    return F.when(source_size < FEW_BLOCKS * block_words, F.least(F.lit(block_words), small)).otherwise(F.lit(block_words)).cast("long")
+
+
+def _quota(block_words: int, most: float) -> tuple[Column, Column, Column]:
+    """``blocks, slots, limit`` of a source from its ``source_size, target``: its blocks, the slots that it gets, and of how many
+    words its last slot is, if that is a part of a block."""
+    size, target = F.col("source_size"), F.col("target")
+    blocks = F.ceil(size / _block_length(size, block_words)).cast("long")
+    full = F.least(F.floor(target * blocks / size + 1e-9), F.floor(blocks * F.lit(float(most)))).cast("long")
+    rest = F.round(target - full * size / blocks).cast("long")
+    part = (rest > 0) & (full < F.floor(blocks * F.lit(float(most))))
+    return blocks, full + F.when(part, 1).otherwise(0), F.when(part, rest)
+
+
+def offsets(docs: DataFrame, id_col: str, text_col: str, source_col: str, rows_per_bucket: int, rid_col: str | None = None) -> DataFrame:
+    """``rid, id, source, size, offset`` of every row; the offset is that of its first word in its source.
 
     Offsets are running sums in the order of (bucket of the id, id, text hash). A source is cut to buckets, whose
     totals are summed first, so that no source has to pass one task however large it is.
@@ -90,19 +113,31 @@ def pack_blocks(docs: DataFrame, block_words: int, id_col: str, text_col: str, s
         F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.bucket") == F.col("s.bucket")),
     )
     rows = rows.select("rid", "id", "b.source", "size", (F.col("start") + F.col("inside")).alias("offset"))
-    rows = materialise(rows, "mix-offsets")
-    first = F.floor(F.col("offset") / block_words).cast("long")
-    last = F.floor((F.col("offset") + F.col("size") - 1) / block_words).cast("long")
-    pieces = rows.where("size > 0").select("source", "rid", "offset", "size", F.explode(F.sequence(first, last)).alias("block"))
-    low = F.col("block") * block_words
-    pieces = pieces.select(
-        "source",
-        "block",
-        "rid",
-        F.greatest(low - F.col("offset"), F.lit(0)).alias("from_word"),
-        F.least(low + block_words - F.col("offset"), F.col("size")).alias("to_word"),
-    )
-    return rows, pieces
+    return materialise(rows, "mix-offsets")
+
+
+def _ranked(rows: DataFrame, targets: DataFrame, block_words: int, most: float) -> DataFrame:
+    """``rows`` that have words with the ``rank`` of their source, the length of its blocks, ``per``, its ``last`` slot and the
+    ``limit`` of that (null: a whole block)."""
+    _, slots, limit = _quota(block_words, most)
+    per = _block_length(F.col("source_size"), block_words)
+    of = targets.where("source_size > 0").select(F.col("source").alias("of"), "rank", per.alias("per"), (slots - 1).alias("last"), limit.alias("limit"))
+    return rows.where("size > 0").join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _spanned() -> Column:
+    """Blocks that a row's words lie in, from its ``offset, size, per``."""
+    return F.sequence(*[F.floor(x / F.col("per")).cast("long") for x in (F.col("offset"), F.col("offset") + F.col("size") - 1)])
+
+
+def pack_blocks(rows: DataFrame, targets: DataFrame, block_words: int, most: float = 2.0) -> DataFrame:
+    """``rank, source, block, rid, from_word, to_word, at, last, limit``: the pieces of documents that make up the blocks of
+    sources, and where in its block a piece begins."""
+    pieces = _ranked(rows, targets, block_words, most).withColumn("block", F.explode(_spanned()))
+    low = F.col("block") * F.col("per")
+    first, last = F.greatest(low - F.col("offset"), F.lit(0)), F.least(low + F.col("per") - F.col("offset"), F.col("size"))
+    at = F.greatest(F.col("offset") - low, F.lit(0))
+    return pieces.select("rank", "source", "block", "rid", first.alias("from_word"), last.alias("to_word"), at.alias("at"), "last", "limit")
 
 
 def _shard_counts(shards: int, seed: int):
@@ -170,13 +205,8 @@ def _slot_blocks(seed: int):
 
 def draw_slots(targets: DataFrame, block_words: int, most: float, shards: int, seed: int) -> DataFrame:
     """``(rank, shard, slot, block)``: every slot of every shard with the block index that it reads."""
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    wanted = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
-    plan = (
-        targets.where("source_size > 0")
-        .withColumn("blocks", blocks)
-        .select("rank", "blocks", F.least(wanted, F.floor(F.col("blocks") * F.lit(float(most))).cast("long")).alias("slots"))
-    )
+    blocks, wanted, _ = _quota(block_words, most)
+    plan = targets.where("source_size > 0").select("rank", blocks.alias("blocks"), wanted.alias("slots"))
     counts = plan.mapInArrow(_shard_counts(shards, seed), "rank int, blocks long, shard int, first long, n long")
     # A run is cut to pieces, and these are dealt out, before it becomes slots: a shard may be long.
     cut = 100_000
@@ -219,17 +249,16 @@ def mix(
     Without ``shards`` there are 64, or so many that a shard gets about ``SHARD_WORDS`` words. ``rid_col`` names a key of
     the rows, for those who join the result with texts (see ``mix_text``).
     """
-    rows, pieces = pack_blocks(docs, block_words, id_col, text_col, source_col, rows_per_bucket, rid_col)
+    rows = offsets(docs, id_col, text_col, source_col, rows_per_bucket, rid_col)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, total_ratio, most), "mix-targets")
     if shards is None:
         shards = parts_for(int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]), SHARD_WORDS, 64)
     slots = draw_slots(targets, block_words, most, shards, seed)
-    ranked = pieces.alias("p").join(
-        targets.select(F.col("source").alias("of"), "rank"), F.col("p.source").eqNullSafe(F.col("of"))
-    )
     # Spark sees only the few rows that slots are made from, so it would broadcast them.
-    mixed = slots.hint("merge").join(ranked.drop("of"), ["rank", "block"])
+    mixed = slots.hint("merge").join(pack_blocks(rows, targets, block_words, most), ["rank", "block"])
+    cut = F.when((F.col("slot") == F.col("last")) & F.col("limit").isNotNull(), F.col("from_word") + F.col("limit") - F.col("at"))
+    mixed = mixed.withColumn("to_word", F.least("to_word", cut)).where("to_word > from_word").drop("at", "last", "limit")
     return rows, targets, mixed
 
 
@@ -256,19 +285,18 @@ def mix_text(docs: DataFrame, block_words: int = 64, id_col: str = "doc_id", tex
     kept = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = materialise(with_row_id(kept), "mix-texts")
     rows, targets, _ = mix(kept, block_words=block_words, id_col="id", text_col="text", source_col="source", rid_col="rid", **how)
-    words = rows.where("size > 0").join(kept.select("rid", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")), "rid")
-    first = F.floor(F.col("offset") / block_words).cast("long")
-    last = F.floor((F.col("offset") + F.col("size") - 1) / block_words).cast("long")
+    words = _ranked(rows, targets, block_words, how.get("most", 2.0)).join(kept.select("rid", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")), "rid")
 
     def piece(block):
-        start = F.greatest(block * block_words - F.col("offset"), F.lit(0))
-        end = F.least((block + 1) * block_words - F.col("offset"), F.col("size"))
+        start = F.greatest(block * F.col("per") - F.col("offset"), F.lit(0))
+        end = F.least((block + 1) * F.col("per") - F.col("offset"), F.col("size"))
         return F.struct(block.alias("block"), F.array_join(F.slice("words", start.cast("int") + 1, (end - start).cast("int")), " ").alias("piece"))
 
-    cut = words.select("source", "offset", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("source", "offset", "p.*")
-    blocks = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("p"))  # at most block_words pieces
-    blocks = blocks.select("source", "block", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("text"))
-    ranked = blocks.alias("b").join(targets.select(F.col("source").alias("of"), "rank"), F.col("b.source").eqNullSafe(F.col("of"))).drop("of")
+    cut = words.select("rank", "source", "offset", "last", "limit", F.explode(F.transform(_spanned(), piece)).alias("p")).select("rank", "source", "offset", "last", "limit", "p.*")
+    blocks = cut.groupBy("rank", "source", "last", "limit", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("p"))  # at most block_words pieces
+    blocks = blocks.select("rank", "source", "last", "limit", "block", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("text"))
     shards = how.get("shards") or parts_for(int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]), SHARD_WORDS, 64)
     slots = draw_slots(targets, block_words, how.get("most", 2.0), shards, how.get("seed", 20))
-    return slots.hint("merge").join(ranked, ["rank", "block"]).select("shard", "slot", "source", "text")
+    part = F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("limit").cast("int")), " ")
+    text = F.when((F.col("slot") == F.col("last")) & F.col("limit").isNotNull(), part).otherwise(F.col("text"))
+    return slots.hint("merge").join(blocks, ["rank", "block"]).select("shard", "slot", "source", text.alias("text"))
