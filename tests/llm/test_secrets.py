@@ -64,3 +64,25 @@ def test_very_many_matches(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_bare_tokens_among_base_spans(spark):
+    """Twice the tokens take about twice the time, and the tokens apart from base spans are those of a plain search."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"passwd=abcdefghijkl{k:06d}x token ZZ{k:08d}abcdEFGH{k:04d}" for k in range(n))
+        began = time.perf_counter()
+        got = secrets.scan(spark.createDataFrame([(1, text, "s", "l")], "doc_id long, text string, source string, lang string")).first()
+        return time.perf_counter() - began, got["spans"], text
+
+    seconds(10)
+    (few, _, _), (many, spans, text) = seconds(8000), seconds(16_000)
+    assert many < 2.5 * few + 2
+    base = [(s.start, s.end) for s in spans if s.kind < 3]
+    owned = [(s.start, s.end) for s in spans if s.kind == 3]
+    assert len(base) >= 16_000 and len(owned) == 16_000
+    taken = set()
+    for a, b in base:
+        taken.update(range(a, b))
+    assert all(a not in taken and b - 1 not in taken and text[a:b].startswith("ZZ") for a, b in owned)

@@ -79,13 +79,31 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     df = df.withColumn("base", F.concat(F.filter("assign", lambda s: F.length(s.value) >= ASSIGN_VALUE), "access", "hex"))
 
     def bare(s: Column) -> Column:
-        mixed = s.value.rlike("^(?:[^0-9]*[0-9]){4}") & s.value.rlike("^(?:[^A-Za-z]*[A-Za-z]){4}")
-        return mixed & s.value.rlike(MIXED) & ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
+        return s.value.rlike("^(?:[^0-9]*[0-9]){4}") & s.value.rlike("^(?:[^A-Za-z]*[A-Za-z]){4}") & s.value.rlike(MIXED)
 
-    df = df.withColumn("spans", F.array_sort(F.concat("base", F.filter("owned", bare)), _by_start))
+    df = df.withColumn("owned", _apart(F.filter("owned", bare), F.col("base")))
+    df = df.withColumn("spans", F.array_sort(F.concat("base", "owned"), _by_start))
     return materialise(with_row_id(df.select("id", "owner", "repo", F.xxhash64("text").alias("words"), "spans")), "secrets")
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans``, which are in order and apart from one another, that overlap none of ``base``, by two sorts.
+
+    Base spans that begin before a span ends, less those that end before it begins, are those that overlap it. In a sorted array of
+    such places the j-th span stands behind j others and as many base spans as its place tells.
+    """
+
+    def before(own: str, other: str, own_first: int) -> Column:
+        mine = F.transform(spans, lambda s: F.struct(s[own].alias("at"), F.lit(1 - own_first).alias("side"), F.lit(True).alias("own")))
+        theirs = F.transform(base, lambda b: F.struct(b[other].alias("at"), F.lit(own_first).alias("side"), F.lit(False).alias("own")))
+        places = F.transform(F.array_sort(F.concat(mine, theirs)), lambda x, i: F.struct(x["own"].alias("own"), i.alias("i")))
+        return F.transform(F.filter(places, lambda x: x["own"]), lambda x, j: x["i"] - j)
+
+    begun, over = before("end", "start", 1), before("start", "end", 0)
+    zipped = F.arrays_zip(spans.alias("s"), begun.alias("begun"), over.alias("over"))
+    return F.transform(F.filter(zipped, lambda x: x["begun"] == x["over"]), lambda x: x["s"])
+
+
 def _by_start(a: Column, b: Column) -> Column:
     x, y = F.struct(a.start, a.kind), F.struct(b.start, b.kind)
     return F.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(F.lit(0))
