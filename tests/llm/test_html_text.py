@@ -215,3 +215,16 @@ def test_many_open_elements():
         began = time.process_time()
         assert main_text(page) == ""
         assert time.process_time() - began < 10
+
+
+def test_words_take_no_text_that_is_most_of_the_page():
+    """Without an article, a class or id word, or a form, that holds the page's text does not take it away."""
+    prose = "<h2>Title</h2>" + "".join(f"<p>{'Some prose of the page that goes on. ' * 30}</p>" for _ in range(2))
+    around = "<nav><a href=1>x</a><a href=2>y</a></nav>{}<div class='cookie-notice'>We use cookies.</div><footer>Foot</footer>"
+    whole = "Title " + " ".join(["Some prose of the page that goes on."] * 60)
+    for start, end in (("<div class='related-work'>", "</div>"), ("<section id=public-notice>", "</section>"), ("<div class='share story'>", "</div>"), ("<form>", "</form>"), ("<form action=x><div class=related>", "</div></form>")):
+        assert html_text.main_text("<html><body>" + around.format(start + prose + end) + "</body></html>") == whole
+    page = "<form>" + around.format(f"<article>{prose}</article>") + f"<div class=comments>{'bad comment. ' * 400}</div></form>"
+    assert html_text.main_text(page) == whole
+    small = around.format(f"<article>{prose}</article><form><p>Your name please</p></form><div class=related><p>Other text here</p></div>")
+    assert html_text.main_text(small) == whole

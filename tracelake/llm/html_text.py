@@ -64,7 +64,8 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden|is-hidden|d-none)(?:\s|$)", re.I)
 PROSE = 9
 #: A section with a heading is prose from so many characters on, at most a quarter of them in links.
 SECTION = 200
-CLEAR, SUSPECT, DOUBTED, OUT = range(4)
+#: What words say of a node; ``LIKELY`` ones, forms among them, are furniture unless they hold most of the page.
+CLEAR, SUSPECT, DOUBTED, LIKELY, OUT = range(5)
 HEADERS = {"header", "masthead"}
 #: A start or end tag with quoted values; possessive, so that a tag that never ends costs one scan.
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
@@ -187,14 +188,14 @@ class Page:
     @staticmethod
     def _furniture(name: str, attrs: str, inside: bool) -> int:
         """What tag, class, id and role say of a node; between ``CLEAR`` and ``OUT`` the density decides."""
-        if name in FURNITURE:
+        if name in FURNITURE and name != "form":
             return OUT
         # An article's own header holds its title.
         if name == "header":
             return CLEAR if inside else OUT
         if not attrs or name in ("body", "html"):
-            return CLEAR
-        found = CLEAR
+            return LIKELY if name == "form" else CLEAR
+        found = LIKELY if name == "form" else CLEAR
         for key, value in ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -205,9 +206,13 @@ class Page:
                 return OUT
             if key in ("class", "id"):
                 words = {w.lower() for w in SPLIT.split(value)} & WORDS
-                if words & COMMENTS or words and not inside or HIDDEN.search(value):
+                if words & COMMENTS or HIDDEN.search(value):
                     return OUT
-                if words & SURE:
+                if words & SURE and not inside:
+                    return OUT
+                if words and not inside:
+                    found = max(found, LIKELY)
+                elif words & SURE:
                     found = max(found, DOUBTED)
                 elif not words <= HEADERS and name not in HEADINGS:
                     found = max(found, SUSPECT)
@@ -220,7 +225,9 @@ class Page:
             if piece:
                 own[node] += len(piece) - sum(map(str.isspace, piece)) if len(piece) < 200 else len("".join(piece.split()))
         # A marked wrapper of the page's heading or article is no furniture.
-        out = [v == OUT for v in self.verdict]
+        out = [v >= LIKELY for v in self.verdict]
+        cores = [t in ("article", "main") and v < LIKELY for t, v in zip(tag, self.verdict)]
+        cored = any(cores)
         total, holds = own[:], [t in ("main", "h1") or t == "article" and not o for t, o in zip(tag, out)]
         titled = [t in HEADINGS for t in tag]
         in_link, tags, link = [False] * n, [1] * n, [0] * n
@@ -232,6 +239,7 @@ class Page:
             total[p] += total[k]
             holds[p] |= holds[k] and tag[k] not in FURNITURE
             titled[p] |= titled[k]
+            cores[p] |= cores[k]
             link[p] += link[k]
             tags[p] += tags[k]
             if self.verdict[k] in (SUSPECT, DOUBTED):
@@ -241,6 +249,8 @@ class Page:
         gone = [False] * n
         for k in range(1, n):
             wrapper = holds[k] and tag[k] not in FURNITURE and 2 * total[k] > total[0]
+            # Words alone take no text away that is most of what the page says beside its links.
+            wrapper |= self.verdict[k] == LIKELY and 2 * (total[k] - link[k]) > total[0] - link[0] and (cores[k] or not cored)
             gone[k] = gone[parent[k]] or (out[k] and not wrapper)
         chars, tags, link, links = [0] * n, [0] * n, [0] * n, [0] * n
         for k in range(n - 1, -1, -1):
@@ -335,10 +345,10 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the markup, plus ``main_text`` (empty if there is none) and ``n_chars`` (code points).
 
     Null html counts as empty. Pages without a body, with open or crossed tags, cut in a tag or of one element give
-    what text they hold. Repeated rows are rows of their own; an empty table gives none. Clashing columns of ``pages``
-    are replaced.
+    what text they hold. Repeated rows are rows of their own; an empty table gives none. Clashing columns of ``pages``,
+    whatever their case, are replaced.
     """
-    plain = [c for c in pages.columns if c not in (html_col, "main_text", "n_chars")]
+    plain = [c for c in pages.columns if c != html_col and c.lower() not in ("main_text", "n_chars", "__html")]
     rows = pages.select(*plain, text_of(html_col).alias("__html"))
     schema = rows.withColumnRenamed("__html", "main_text").schema
     return rows.mapInArrow(_extract, schema).withColumn("n_chars", F.length("main_text").cast("long"))
