@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_slices, set_aside
+from tracelake.llm.common import byte_slices, set_aside, with_row_id, with_row_id
 
 ORDER = 3
 UND = "und"
@@ -150,19 +150,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 8 << 20, most_cells: int = 16 << 20) -> Forest | None:
     """Freeze the trees of every non-null language of ``docs``; null without any text.
 
-    The classifier is fitted on a bounded sample: rows are drawn by hash at a rate that gives every language an equal
+    The classifier is fitted on a bounded sample: rows are drawn by a hash of row and text at a rate that gives every language an equal
     share of ``sample_bytes``, which bounds the grams and so what is sent to the executors. ``most_cells`` bounds a table
     that languages share; with more, tables are split by language, and nothing is left out.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).cast("binary").alias("text")
     )
+    rows = with_row_id(rows)  # rows are drawn, not texts: copies come one by one, as often as they are in the corpus
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
     if not sizes:
         return None
     quota = sample_bytes / len(sizes)
     rates = docs.sparkSession.createDataFrame([(x, min(1.0, quota / n)) for x, n in sizes.items()], "lang string, rate double")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64("rid", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(rates), "lang").where(place < F.col("rate")).select("lang", "text")
     counted = "lang string, gram long, n long"
     got = sample.mapInArrow(_count, counted).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -216,9 +217,9 @@ def predict(docs: DataFrame, trees: Forest | None, text_col: str = "text") -> Da
     """``docs`` plus ``lang_pred, score`` (posterior of the prediction, languages alike beforehand) and ``bits``.
 
     ``und`` with score zero where the text is null, empty or without a letter, and everywhere if nothing was learned.
-    Clashing columns of ``docs`` are replaced; repeated rows are rows of their own; an empty table gives none.
+    Clashing columns of ``docs``, whatever their case, are replaced; repeated rows are rows of their own; an empty table gives none.
     """
-    plain = [c for c in docs.columns if c not in ("lang_pred", "score", "bits", "__bytes", "__letter")]
+    plain = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits", "__bytes", "__letter")]
     if trees is None:  # nothing to read a text by
         return docs.select(*plain, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     rows = docs.select(
