@@ -60,3 +60,11 @@ def test_empty_tables(spark):
     assert decontam.occurrences(docs, items).count() == 0
     one = decontam.occurrences(spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA), items).first()
     assert (one["n_words"], one["n_hit"], one["items"], one["contaminated"]) == (2, 0, [], False)
+
+
+def test_clashes_of_case(spark):
+    """``Items`` or ``N_HIT`` in the input are replaced like ``items``."""
+    docs = spark.createDataFrame([(1, "one two three", "x", 5)], "doc_id long, text string, Items string, N_HIT int")
+    bench = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
+    got = decontam.occurrences(docs, bench).select("items", "n_hit").first()
+    assert list(got["items"]) == ["7"] and got["n_hit"] == 3

@@ -123,11 +123,11 @@ def occurrences(
     The benchmark is searched for in blocks of about ``words_per_block`` words, so what a task holds does not grow
     with it; with several, texts are written once, each block gives the rows that it hits, and these meet at the end. Null text has no words. Items without words or with a
     null id are ignored; rows that repeat an item id count as one item. An empty table on either side gives no
-    hits. Clashing column names of ``docs`` are replaced.
+    hits. Columns of ``docs`` whose names clash, whatever their case, are replaced.
     """
     spark = docs.sparkSession
     ours = ["n_words", "n_hit", "items", "hit_from", "hit_to", "contaminated"]
-    plain = [c for c in docs.columns if c not in (*ours, "__bytes")]
+    plain = [c for c in docs.columns if c.lower() not in (*ours, "__bytes", "__rid")]
     empty = F.expr("cast(array() as array<int>)")
     out = docs.select(
         *plain,
