@@ -395,10 +395,10 @@ def _score(shared):
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` (without the text) plus ``score`` from 0 to 1 of every whole text.
 
-    Null counts as the empty text, which gets the score of no evidence. A clashing column is replaced; repeated rows
+    Null counts as the empty text, which gets the score of no evidence. A column of that name in any case is replaced; repeated rows
     are rows of their own; an empty table gives none.
     """
-    plain = [c for c in docs.columns if c not in (text_col, "score", "__bytes")]
+    plain = [c for c in docs.columns if c != text_col and c.lower() not in ("score", "__bytes")]
     rows = docs.select(*plain, text_of(text_col).cast("binary").alias("__bytes"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_score(shared), docs.select(*plain, F.lit(0.0).alias("score")).schema)
