@@ -49,3 +49,15 @@ def test_keep_one_and_empty(spark):
 def test_keep_is_checked(spark):
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(spark.createDataFrame([], SCHEMA), keep="first")
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Names that the dedup uses itself come out as they went in."""
+    from tracelake.llm import shingles
+
+    names = "doc_id long, text string, __id string, __digest string, __tie int, __nth int, __row string, c0 string"
+    rows = [(1, "a b", "mine", "d", 7, 9, "r", "c"), (2, "a b", "yours", "e", 8, 3, "q", "x"), (3, "z", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, exact_dedup.keep_one(df).collect())) == [rows[0], rows[2]]
+    got = shingles.keep_one(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

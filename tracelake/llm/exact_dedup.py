@@ -117,14 +117,18 @@ def _key(col: Column) -> Column:
 
 
 def one_row_per_key(docs: DataFrame, digest: Column, stay: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose (id, digest) is in ``stay (__id, __digest)``; of repeated rows one. One shuffle of the rows."""
+    """Rows of ``docs`` whose (id, digest) is in ``stay (__id, __digest)``; of repeated rows one. One shuffle of the rows.
+
+    A row travels as a struct, so no name of a column can clash with those that are used here.
+    """
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     mine = Window.partitionBy("__id", "__digest").orderBy("__tie")
     return (
-        docs.withColumns({"__id": _key(F.col(id_col)), "__digest": digest, "__tie": tie})
+        docs.select(_key(F.col(f"`{id_col}`")).alias("__id"), digest.alias("__digest"), tie.alias("__tie"), row.alias("__row"))
         .join(stay, ["__id", "__digest"], "left_semi")
         .withColumn("__nth", F.row_number().over(mine))
         .where("__nth = 1")
-        .select(*[f"`{c}`" for c in docs.columns])
+        .select(*[F.col(f"__row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
     )

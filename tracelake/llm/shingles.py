@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import simhash
@@ -36,6 +36,11 @@ _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * ROWS), np.ui
 FACTOR, OFFSET, MIX = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1], _SEEDS[2] * np.uint64(2) + np.uint64(1)
 
 
+def node_of(text: Column) -> Column:
+    """What a text is known by: half of its SHA-256, so that no two texts of any corpus are one."""
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
+
+
 def shingles(text: bytes, k: int = WORDS) -> set[bytes]:
     """Distinct shingles of k words in lower case; a shorter text is one shingle."""
     words = text.lower().split()
@@ -111,7 +116,7 @@ def _across(members: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     meet so, those go whose sizes or parity bits rule the similarity out.
     """
     rows = _texts(members.select("node"), docs, text_col).join(members, "node").select("node", "label", "text")
-    rows = rows.mapInArrow(_grams, "node long, label long, grams array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    rows = rows.mapInArrow(_grams, "node binary, label binary, grams array<long>, " + ", ".join(f"{c} long" for c in ODD))
     rows = materialise(rows.withColumn("n", F.size("grams")), "shingles-grams")
     odd = rows.drop("grams", "label", "n")
     rows = rows.select("node", "label", "n", F.explode("grams").alias("gram"))
@@ -129,7 +134,7 @@ def _across(members: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 def _texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """``node, text`` of the distinct texts that ``nodes (node)`` name."""
-    texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
+    texts = docs.select(node_of(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
     return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -139,7 +144,7 @@ def _similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFram
     texts = materialise(_texts(members, docs, text_col), "shingles-texts")
     rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(_decide, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(_decide, "a binary, b binary")
 
 
 def _alike(single: DataFrame) -> DataFrame:
@@ -158,9 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text counts as empty; texts without words are similar. Repeated rows are of one class.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), node_of(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, node long, n long, fp long, keys array<long>"), "shingles")
+    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, node binary, n long, fp long, keys array<long>"), "shingles")
     single = rows.dropDuplicates(["node"])
     nodes = single.select("node", "n", F.posexplode("keys").alias("band", "key"))
     groups = nodes.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -194,4 +199,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     stay = found.groupBy(F.coalesce("root", "node").alias("class")).agg(first.alias("f"))
     stay = stay.select(_key(F.col("f.id")).alias("__id"), F.col("f.node").alias("__digest"))
-    return one_row_per_key(docs, F.xxhash64(text_of(text_col)), stay, id_col)
+    return one_row_per_key(docs, node_of(text_of(text_col)), stay, id_col)
