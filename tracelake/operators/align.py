@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import replies
@@ -15,6 +16,9 @@ from tracelake.operators import intervals
 #: Makes a client, once per task; the client takes prompts and returns as many replies (None: failed).
 Backend = Callable[[], Callable[[list[str]], list[str | None]]]
 
+#: What replies are kept as.
+REPLIES = "prompt_key string, reply string"
+
 ALIGN = "Requirement:\n{requirement}\n\nNumbered code:\n{code}\n\nName the line intervals that implement it, as JSON: {{\"related_code\": [[first, last]]}}"
 REVIEW = "Requirement:\n{requirement}\n\nRelated code:\n{code}\n\nReview whether they agree; end the analysis with \"" + replies.END_OF_REVIEW + "\", then list the issues."
 GENERATE = "Related code:\n{code}\n\nState the requirement that this code implements."
@@ -62,24 +66,60 @@ def _answers(backend: Backend, make: Callable[..., str], keys: int, reply_col: s
     return run
 
 
+#: Prompts of a task that writes to a store: what a task that dies has to ask again.
+PER_TASK = 256
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """``prompt_key, reply``: what a store holds, one reply a key; nothing where there is none yet."""
+    try:
+        found = spark.read.schema(REPLIES).parquet(store)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], REPLIES)
+    return found.groupBy("prompt_key").agg(F.min("reply").alias("reply"))
+
+
+def _replies(wanted: DataFrame, texts, make: Callable[..., str], backend: Backend, per_call: int, tries: int, cache: DataFrame | None, store: str | None) -> DataFrame:
+    """``prompt_key, reply`` for the distinct keys of ``wanted (prompt_key, ...)``.
+
+    ``texts`` makes (prompt_key, parts of the prompt) from the rows that are left to ask. Replies of ``cache`` and ``store`` are not
+    asked again. With a store each task's replies are there as soon as the task ends (its files are moved in place when it
+    commits, not when the job does), so a run that fails is gone on with where it ended. Failed calls are not stored.
+    """
+    spark = wanted.sparkSession
+    had = [] if cache is None else [cache.select("prompt_key", "reply").where("reply is not null")]
+    had += [] if store is None else [stored(spark, store)]
+    left = wanted
+    for known in had:
+        left = left.join(known, "prompt_key", "left_anti")
+    rows = texts(left)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: their number is set
+    if store is not None:
+        tasks = max(tasks, -(-left.count() // PER_TASK))
+    asked = rows.repartition(tasks).mapInArrow(_answers(backend, make, 1, "reply", per_call, tries), REPLIES)
+    if store is not None:
+        asked.where("reply is not null").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+        asked, had = stored(spark, store), had[:-1]
+    for known in had:
+        asked = asked.unionByName(known)
+    return asked.groupBy("prompt_key").agg(F.min("reply").alias("reply"))
+
+
 def ask(
-    df: DataFrame, prompt_col: str, backend: Backend, reply_col: str = "reply", per_call: int = 16, tries: int = 2, cache: DataFrame | None = None
+    df: DataFrame, prompt_col: str, backend: Backend, reply_col: str = "reply", per_call: int = 16, tries: int = 2, cache: DataFrame | None = None, store: str | None = None
 ) -> DataFrame:
     """``df`` plus the replies; a column of that name is replaced. Equal prompts are asked once.
 
     A call that fails ``tries`` times, and what a client leaves out, is null. ``cache (prompt_key, reply)`` holds replies of
-    earlier runs by ``prompt_key``; what it has is not asked again.
+    earlier runs by ``prompt_key``, and ``store`` is a folder that all tasks see, where replies are kept as they come; what either
+    has is not asked again.
     """
     keyed = df.drop(reply_col).withColumn("__key", prompt_key(F.col(prompt_col)))
-    wanted = keyed.groupBy("__key").agg(F.first(prompt_col).alias("p"))
-    if cache is not None:
-        had = cache.select(F.col("prompt_key").alias("__key"), F.col("reply").alias(reply_col)).where(F.col(reply_col).isNotNull()).dropDuplicates(["__key"])
-        wanted = wanted.join(had, "__key", "left_anti")
-    wanted = wanted.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
-    asked = wanted.mapInArrow(_answers(backend, lambda p: p, 1, reply_col, per_call, tries), f"__key string, {reply_col} string")
-    if cache is not None:
-        asked = asked.unionByName(had)
-    return keyed.join(asked, "__key", "left").drop("__key")
+    wanted = keyed.groupBy(F.col("__key").alias("prompt_key")).agg(F.first(prompt_col).alias("p"))
+    got = _replies(wanted, lambda left: left, lambda p: p, backend, per_call, tries, cache, store)
+    return keyed.join(got.select(F.col("prompt_key").alias("__key"), F.col("reply").alias(reply_col)), "__key", "left").drop("__key")
 
 
 def prompt_key(text: Column) -> Column:
@@ -104,30 +144,55 @@ def _block(lines: Column, b: Column) -> tuple[Column, ...]:
     return intervals.extract_from_lines(lines, b[0], b[1]).alias("content"), b[0].alias("start"), b[1].alias("end")
 
 
-#: Requirements of a project are dealt with its chunks in so many lots, so that a large project is no single key.
-LOTS = 8
+#: Chunks of a lot of a project: its requirements are dealt with one lot at a time.
+LOT = 64
+
 
+def pair_key(requirement: Column, content: Column) -> Column:
+    """What replies about a requirement and a chunk are cached and stored by: hashes of the template and of both texts."""
+    return F.sha2(F.concat_ws("|", F.sha2(F.lit(ALIGN), 256), prompt_key(requirement), prompt_key(content)), 256)
 
-def align(requirements: DataFrame, chunks: DataFrame, lines: DataFrame, backend: Backend, strict: bool = False, per_call: int = 16, tries: int = 2) -> DataFrame:
+
+def align(
+    requirements: DataFrame, chunks: DataFrame, lines: DataFrame, backend: Backend, strict: bool = False, per_call: int = 16, tries: int = 2,
+    cache: DataFrame | None = None, store: str | None = None, candidates: DataFrame | None = None,
+) -> DataFrame:
     """Every requirement of a project against every chunk of its code: ``requirement_id, filename, content, start, end``.
 
     ``requirements (project, requirement_id, requirement)``, ``chunks (project, file, start_line, end_line, content)``,
     ``lines (project, file, lines)``. Intervals of a reply are clipped to the lines of its chunk; those of all chunks of a
     file are merged. Only keys are paired: texts come in once for each distinct pair of them, and lines only where a reply
     names some. Files are known by project and path; equal requirement ids of one project are one requirement.
+
+    ``candidates (project, requirement_id, file, start_line)`` limits the pairs (see ``retrieve``); without it every pair is asked.
+    ``cache (prompt_key, reply)`` by ``pair_key`` and the folder ``store`` hold replies that are not asked again; see ``ask``.
     """
     reqs = requirements.withColumn("r", F.sha2(F.coalesce("requirement", F.lit("")), 256))
     parts = chunks.withColumn("c", F.sha2(F.coalesce("content", F.lit("")), 256))
-    lot = F.pmod(F.xxhash64("file", "start_line"), F.lit(LOTS)).cast("int")
-    keys = reqs.select("project", "requirement_id", "r", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))).alias("lot"))
-    pairs = keys.join(parts.select("project", "file", "start_line", "end_line", "c", lot.alias("lot")), ["project", "lot"]).drop("lot")
-    # Keys are few bytes for much work, so the number of tasks is set, not left to the size of the rows.
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = pairs.select("r", "c").distinct().join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r").repartition(tasks, "c")
-    texts = parts.select("c", "content").repartition(tasks, "c").dropDuplicates(["c"])
-    wanted = wanted.join(texts, "c").select("r", "c", "requirement", "content")
+    places = parts.select("project", "file", "start_line", "end_line", "c")
+    if candidates is not None:
+        named = candidates.select("project", "requirement_id", "file", "start_line").distinct()
+        pairs = named.join(reqs.select("project", "requirement_id", "r"), ["project", "requirement_id"]).join(places, ["project", "file", "start_line"])
+    else:
+        # A project of many chunks has as many lots, so that it is no single key however large it is.
+        lots = F.ceil(F.count("*") / LOT).cast("int")
+        sizes = places.groupBy("project").agg(lots.alias("lots"))
+        dealt = places.join(sizes, "project").withColumn("lot", F.pmod(F.xxhash64("file", "start_line"), F.col("lots")).cast("int")).drop("lots")
+        keys = reqs.select("project", "requirement_id", "r").join(sizes, "project")
+        keys = keys.select("project", "requirement_id", "r", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+        pairs = keys.join(dealt, ["project", "lot"]).drop("lot")
+    wanted = pairs.select("r", "c").distinct()
+    wanted = wanted.withColumn("prompt_key", F.sha2(F.concat_ws("|", F.sha2(F.lit(ALIGN), 256), "r", "c"), 256))
+
+    def texts(left: DataFrame) -> DataFrame:
+        # Keys are few bytes for much work, so the number of tasks is set, not left to the size of the rows.
+        tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = left.join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r").repartition(tasks, "c")
+        codes = parts.select("c", "content").repartition(tasks, "c").dropDuplicates(["c"])
+        return left.join(codes, "c").select("prompt_key", "requirement", "content")
+
     make = lambda requirement, code: ALIGN.format(requirement=requirement or "", code=code or "")
-    replied = wanted.mapInArrow(_answers(backend, make, 2, "reply", per_call, tries), "r string, c string, reply string")
+    replied = wanted.join(_replies(wanted, texts, make, backend, per_call, tries, cache, store), "prompt_key", "left")
     replied = replied.select("r", "c", replies.related_intervals(F.col("reply"), tolerant=not strict).alias("pairs"))
     named = pairs.join(replied.where("pairs is null or size(pairs) > 0"), ["r", "c"])
     if strict:

@@ -30,6 +30,20 @@ def open_history(opened: DataFrame, most: int = 15, key: str = "path", when: str
     return latest(opened, [key], [when]).orderBy(F.desc(when), key).limit(most)
 
 
+def open_projects(history: DataFrame, projects: DataFrame, opened: DataFrame, most: int = 15) -> DataFrame:
+    """The history ``(name, path, last_opened)`` after projects were opened: only those whose location there is, with a name."""
+    there = projects.select(F.col("project_location").alias("path")).distinct()
+    good = opened.where(F.trim("name") != "").join(there, "path", "left_semi").select(history.columns)
+    return open_history(history.unionByName(good), most)
+
+
+def not_opened(projects: DataFrame, opened: DataFrame) -> DataFrame:
+    """What is refused of them: projects without a name or path, or that have been moved or deleted."""
+    there = projects.select(F.col("project_location").alias("path"), F.lit(True).alias("there")).distinct()
+    good = (F.trim(F.coalesce("name", F.lit(""))) != "") & F.coalesce("there", F.lit(False))
+    return opened.join(there, "path", "left").where(~good).select(opened.columns)
+
+
 def _nth(df: DataFrame, key: str, ordinal: str) -> Column:
     return F.row_number().over(Window.partitionBy(key).orderBy(ordinal))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,43 @@ def valid_project(files: DataFrame, metadata: DataFrame) -> DataFrame:
     return have.crossJoin(named).select((F.coalesce("code_repo", F.lit(False)) & F.coalesce("doc_repo", F.lit(False)) & F.col("named")).alias("valid"))
 
 
+class Refused(ValueError):
+    """A folder that cannot become a project."""
+
+
+def _paths(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of all files below a folder; an error where there is none."""
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative_to(F.col("path"), root).alias("path"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise Refused(f"no folder: {root}") from e
+
+
+def refusal(spark: SparkSession, location: str) -> str | None:
+    """Why a folder cannot become a project: it lacks a repository of code or of documents, or is a project already."""
+    have = _paths(spark, location).select(F.substring_index("path", "/", 1).alias("top"), F.startswith("path", F.lit("metadata.json")).alias("meta"))
+    tops = {r["top"]: r["meta"] for r in have.where("top in ('code_repo', 'doc_repo') or meta").groupBy("top").agg(F.bool_or("meta").alias("meta")).collect()}
+    if any(tops.values()):
+        return "it is a project already"
+    return None if {"code_repo", "doc_repo"} <= set(tops) else "it lacks code_repo or doc_repo"
+
+
+def create_from_folder(spark: SparkSession, name: str, location: str, now: Column) -> DataFrame:
+    """A project from a folder: checked, its Word documents converted below ``doc_repo_converted``, its metadata written as
+    ``metadata.json`` (a folder of one JSON file, as Spark writes it) and returned. A folder that cannot is ``Refused``."""
+    from tracelake.sources import docx
+
+    if why := refusal(spark, location):
+        raise Refused(f"{location}: {why}")
+    documents = scan(spark, f"{location}/doc_repo", "doc").where(F.endswith("path", F.lit(".docx")))
+    docx.convert(documents, f"{location}/doc_repo_converted")
+    made = project(spark, name, location, now)
+    made.coalesce(1).write.mode("overwrite").json(f"{location}/metadata.json")
+    return spark.read.schema(made.schema).json(f"{location}/metadata.json")
+
+
 def project(spark: SparkSession, name: str, location: str, now: Column) -> DataFrame:
     """A project's metadata from its folder: files of both kinds and the sum of non-blank code lines."""
     code, doc = scan(spark, f"{location}/code_repo", "code"), scan(spark, f"{location}/doc_repo", "doc")
