@@ -24,8 +24,17 @@ CONTROL = set("if else for while do switch catch try return sizeof new delete th
 WORD = re.compile(r"[A-Za-z_~]\w*|\S")
 
 
-#: A member of a constructor's list that is initialised by braces.
-MEMBER = re.compile(r"\)[^:;{}()]*:(?!:).*[\w>]\s*$", re.S)
+#: What begins the list of a constructor.
+LIST = re.compile(r"\)[^:;{}()]*:(?!:)")
+
+
+def is_member(head: str) -> bool:
+    """Whether the name before a brace is a member of a constructor's list, which the braces initialise."""
+    named = head.rstrip()
+    if not named or not (named[-1] == ">" or named[-1].isalnum() or named[-1] == "_"):
+        return False
+    m = LIST.search(head)
+    return m is not None and m.end() < len(named)
 
 
 def opens_block(head: str) -> bool:
@@ -59,7 +68,7 @@ def protected_blocks(code: str) -> list[tuple[int, int]]:
         if m[0] == "{":
             head = code[last:at]
             skip = BETWEEN.match(head)
-            member = MEMBER.search(head) is not None
+            member = is_member(head)
             stack.append((None if member or not opens_block(head) else last + (skip.end() if skip else 0), last if member else None))
         elif m[0] == "}" and stack:
             start, resume = stack.pop()

@@ -24,29 +24,63 @@ UNDERLINE = re.compile(r" {0,3}(=+|-+)\s*$")
 RULE = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
 BAR = re.compile(r"(?<!\\)\|")
-#: Inline markup in the order of its removal, and what stays of it.
-INLINE = [
-    (re.compile(r"!\[[^\]]*\]\([^)]*\)"), ""),
-    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"<(https?://[^<>\s]*|mailto:[^<>\s]*)>"), r"\1"),
-    (re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>"), ""),
-    (re.compile(r"(\*\*|__)(?=\S)(.*?\S)\1"), r"\2"),
-    (re.compile(r"\*(?=\S)([^*]*)\*|(?<!\w)_(?=\S)([^_]*)_(?!\w)"), r"\1\2"),
-]
+#: Inline markup whose end is the next sign of some kind, so that a look for it is short.
+AUTOLINK = re.compile(r"<(https?://[^<>\s]*|mailto:[^<>\s]*)>")
+TAG, COMMENT = re.compile(r"</?[A-Za-z][^<>]*>"), re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>")
+EMPHASIS = re.compile(r"\*(?=\S)([^*]*)\*|(?<!\w)_(?=\S)([^_]*)_(?!\w)")
+STRONG = re.compile(r"(\*\*|__)(?=\S)")
+CLOSED = {"**": re.compile(r"\S\*\*"), "__": re.compile(r"\S__")}
 ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+.!|-])")
 #: Escaped characters stand in private code points until the markup is gone.
 PRIVATE = 0xE000
 HELD = re.compile("[\ue000-\ue07f]")
 
 
+def _links(text: str, sign: str, keep: bool) -> str:
+    """Without links (or images) that begin with a sign, their texts kept or not. What ends at a bracket that opens no address is none, nor
+    is what begins before that, so each place is looked at once."""
+    out, at = [], 0
+    while (start := text.find(sign, at)) >= 0 and (end := text.find("]", start)) >= 0:
+        if text[end + 1 : end + 2] != "(":
+            out.append(text[at : end + 1])
+            at = end + 1
+            continue
+        if (close := text.find(")", end)) < 0:
+            break
+        out += [text[at:start], text[start + len(sign) : end] if keep else ""]
+        at = close + 1
+    return "".join(out) + text[at:]
+
+
+def _strong(text: str) -> str:
+    """Without signs of strong text. Where nothing closes one, nothing closes a later one of its kind either."""
+    out, at, place, dead = [], 0, 0, set()
+    while len(dead) < len(CLOSED) and (m := STRONG.search(text, place)):
+        sign = m[1]
+        close = None if sign in dead else CLOSED[sign].search(text, m.end())
+        if close is None:
+            dead.add(sign)
+            place = m.start() + 1
+            continue
+        out += [text[at : m.start()], text[m.end() : close.end() - 2]]
+        at = place = close.end()
+    return "".join(out) + text[at:]
+
+
+def _untagged(text: str) -> str:
+    """Without tags and comments; no comment begins behind the last end of one."""
+    last = text.rfind("-->") + 3
+    return COMMENT.sub("", text[:last]) + TAG.sub("", text[last:]) if last > 2 else TAG.sub("", text)
+
+
 def inline(line: str) -> str:
     """The text that a line of Markdown shows: no markup, no tags, character references decoded; code spans as they are."""
     out = []
     for k, piece in enumerate(re.split(r"`([^`]+)`", line)):
         if not k % 2:
             piece = ESCAPE.sub(lambda m: chr(PRIVATE + ord(m[1])), piece)
-            for pattern, by in INLINE:
-                piece = pattern.sub(by, piece)
+            piece = _links(_links(piece, "![", False), "[", True)
+            piece = EMPHASIS.sub(r"\1\2", _strong(_untagged(AUTOLINK.sub(r"\1", piece))))
             piece = HELD.sub(lambda m: chr(ord(m[0]) - PRIVATE), html.unescape(piece))
         out.append(piece)
     return "".join(out).replace("\u00a0", " ").strip()

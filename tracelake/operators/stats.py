@@ -56,6 +56,50 @@ def issues_of_alignments(alignments: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
+def _parts(path_col: str) -> Column:
+    return F.filter(F.split(path_col, r"[\\/]+"), lambda p: p != "")
+
+
+def folder_totals(files: DataFrame, path_col: str = "path", size_col: str = "size") -> DataFrame:
+    """``folder, depth, n_files, size`` of every folder, the root (empty, depth 0) included: files and sizes of all that lies below.
+
+    A file counts in each of its folders; counts are combined before they are shuffled, so the root is no hot key.
+    """
+    rows = files.select(_parts(path_col).alias("parts"), F.col(size_col).alias("size")).where(F.size("parts") > 0)
+    each = rows.select("parts", "size", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth"))
+    each = each.select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("folder"), "depth", "size")
+    return each.groupBy("folder", "depth").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
+
+
+def nested_tree(files: DataFrame, path_col: str = "path", size_col: str = "size", top: int = 1) -> DataFrame:
+    """``path, tree``: each file and folder of depth ``top`` as nested JSON records, with all that lies below.
+
+    A record has label, path, type (file or directory), n_files and size of its subtree, and a directory its children by label.
+    Assembled bottom-up, a level at a time, so a step moves each record once. A row holds a whole subtree: ``top`` chooses of what size.
+    Files that repeat a path are one, the largest; a path that is both a file and a folder is both.
+    """
+    parts = _parts(path_col)
+    rows = files.select(parts.alias("parts"), F.col(size_col).cast("long").alias("size")).where(F.size("parts") >= top)
+    rows = rows.groupBy("parts").agg(F.coalesce(F.max("size"), F.lit(0)).alias("size"))
+    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0  # levels: as many as the longest path has names
+
+    def record(kind: str, *more: Column) -> Column:
+        label, path = F.element_at("parts", -1), F.array_join("parts", "/")
+        head = F.to_json(F.struct(label.alias("label"), path.alias("path"), F.lit(kind).alias("type"), "n_files", "size"))
+        return F.concat(F.left(head, F.length(head) - 1), *more, F.lit("}"))
+
+    leaves = rows.withColumn("n_files", F.lit(1).cast("long")).select("parts", "n_files", "size", record("file").alias("tree"))
+    level = leaves.where(F.size("parts") == deepest)
+    for depth in range(deepest - 1, top - 1, -1):
+        child = F.struct(F.element_at("parts", -1).alias("label"), "tree")
+        per = level.groupBy(F.slice("parts", F.lit(1), F.lit(depth)).alias("parts")).agg(
+            F.sum("n_files").alias("n_files"), F.sum("size").alias("size"), F.array_sort(F.collect_list(child)).alias("c")
+        )
+        children = F.concat(F.lit(',"children":['), F.array_join(F.transform("c", lambda x: x["tree"]), ","), F.lit("]"))
+        level = per.select("parts", "n_files", "size", record("directory", children).alias("tree")).unionByName(leaves.where(F.size("parts") == depth))
+    return level.select(F.array_join("parts", "/").alias("path"), "tree")
+
+
 def path_tree(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """``node, parent, label, depth, is_leaf``: every folder and file of a list of paths once."""
     parts = F.filter(F.split(path_col, r"[\\/]+"), lambda p: p != "")

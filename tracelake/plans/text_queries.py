@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import replies
 from tracelake.functions import text as T
-from tracelake.operators import annotations, chunking, lines, requirements, stats
+from tracelake.operators import annotations, blocks, chunking, lines, requirements, stats
 
 UNIX = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 LINES = f"""
@@ -136,6 +136,41 @@ def source_blocks(spark, sf_dir):
     return requirements.source_blocks(_docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
+def _outlines(spark, sf_dir):
+    """A Markdown document for each customer: a list of its orders with lists in its items, a quote, fenced code."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    item = lambda x: F.concat(F.lit("- order "), x["o_orderkey"], F.lit("\n  - state\n    "), x["o_orderstatus"], F.lit("\n  - more\n"))
+    items = F.array_join(F.transform("o", item), "")
+    text = F.concat(
+        F.lit("# Customer "), "c_custkey", F.lit("\r\n\nSegment "), "c_mktsegment", F.lit("\n\n"), F.coalesce(items, F.lit("")),
+        F.lit("\n> called "), "c_name", F.lit("\nand so on\n\n```py\nx = "), "c_custkey", F.lit("\n\n- no item\n```\n"),
+    )
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left").select(F.col("c_custkey").alias("doc"), text.alias("content"))
+
+
+def block_tree(spark, sf_dir):
+    return blocks.block_tree(_outlines(spark, sf_dir))
+
+
+def document_blocks(spark, sf_dir):
+    """Blocks of all documents by kind: how many a document has, how deep they lie."""
+    got = blocks.block_tree(_docs(spark, sf_dir), "doc_id", "text")
+    return got.groupBy(F.col("doc").alias("doc_id"), "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.max("end").alias("last"))
+
+
+def _page_files(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", "^https?://", "").alias("path"), F.length("html").alias("size"))
+
+
+def folder_totals(spark, sf_dir):
+    return stats.folder_totals(_page_files(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
+
+
+def nested_tree(spark, sf_dir):
+    return stats.nested_tree(_page_files(spark, sf_dir))
+
+
 def heading_paragraphs(spark, sf_dir):
     got = requirements.heading_paragraphs(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return got.select(F.col("id").alias("page_id"), F.col("ordinal").cast("long").alias("ordinal"), "level", "text")
@@ -207,7 +242,7 @@ def normalized_paths(spark, sf_dir):
 QUERIES = [
     nonblank_line_count, code_scale_by_source, numbered_lines, padded_lines, fixed_line_chunks, line_offsets, split_lines,
     token_counts, token_budget_chunks, parse_related_code_json, parse_related_code_fallback_ints, review_output_split, formula_extract,
-    regularize_text, requirement_points, point_counts, document_points, source_blocks, heading_paragraphs, protected_chunks, formula_extract_display,
+    regularize_text, requirement_points, point_counts, document_points, source_blocks, block_tree, document_blocks, folder_totals, nested_tree, heading_paragraphs, protected_chunks, formula_extract_display,
     slice_ranges, clean_latex, locate_in_turn, table_row_map, relative_time, path_tree, stems, normalized_paths,
 ]
 
@@ -226,6 +261,26 @@ POINTS = """
     UNION ALL SELECT k, m + 4, '公式', 'formula_0', '$t_{' || k || '}$', NULL, h || ' > Totals' FROM c
     UNION ALL SELECT k, m + 5, '公式', 'formula_1', '$$ ' || k || ' + 1 $$', NULL, h || ' > Totals' FROM c"""
 
+#: Paths of up to so many names.
+DEEP = 6
+
+
+def _level(d: int) -> str:
+    """Records of depth d, from those of the next depth."""
+    head = """'{"label":"' || parts[len(parts)] || '","path":"' || array_to_string(parts, '/') || '","type":"'"""
+    file = f"SELECT parts, CAST(1 AS BIGINT) AS n, size, {head} || 'file\",\"n_files\":1,\"size\":' || size || '}}' AS tree FROM files WHERE len(parts) = {d}"
+    if d == DEEP:
+        return file
+    per = f"SELECT parts[1:{d}] AS parts, sum(n) AS n, sum(size) AS size, string_agg(tree, ',' ORDER BY parts[{d + 1}], tree) AS c FROM l{d + 1} GROUP BY 1"
+    return f"SELECT parts, CAST(n AS BIGINT) AS n, CAST(size AS BIGINT) AS size, {head} || 'directory\",\"n_files\":' || n || ',\"size\":' || size || ',\"children\":[' || c || ']}}' AS tree FROM ({per}) UNION ALL {file}"
+
+
+NESTED = (
+    "WITH files AS (SELECT list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS parts, max(length(html)) AS size FROM pages GROUP BY 1), "
+    + ", ".join(f"l{d} AS ({_level(d)})" for d in range(DEEP, 0, -1))
+    + " SELECT array_to_string(parts, '/') AS path, tree FROM l1"
+)
+
 ORACLE_SQL = {
     "nonblank_line_count": f"SELECT doc_id, CAST(len(list_filter(l, lambda x: regexp_matches(x, '\\S'))) AS BIGINT) AS n_lines FROM ({LINES})",
     "code_scale_by_source": f"""
@@ -300,6 +355,35 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS INTEGER) AS block, any_value(kind) AS kind, min(pos) AS start,
                max(pos + length(line)) AS "end", string_agg(line, chr(10) ORDER BY k) AS text
         FROM g WHERE kind <> '' GROUP BY doc_id, grp""",
+    "block_tree": """
+        WITH i AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) - 1 AS n, length('- order ' || o_orderkey) AS a FROM orders),
+        s AS (SELECT k, n, a, coalesce(sum(a + 26) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
+        t AS (SELECT k, count(*) AS m, sum(a + 26) AS whole FROM i GROUP BY k),
+        c AS (SELECT c_custkey AS k, length('# Customer ' || c_custkey) AS h, length('Segment ' || c_mktsegment) AS g, coalesce(m, 0) AS m, coalesce(whole, 0) AS whole,
+                     length('> called ' || c_name || chr(10) || 'and so on') AS q, length('```py' || chr(10) || 'x = ' || c_custkey || chr(10) || chr(10) || '- no item' || chr(10) || '```') AS f
+              FROM customer LEFT JOIN t ON k = c_custkey),
+        d AS (SELECT *, h + 2 + g + 2 AS base, h + 2 + g + 2 + whole + 1 AS quote, CASE WHEN m > 0 THEN 3 + 7 * m ELSE 2 END AS nq FROM c),
+        o AS (SELECT d.k, 3 + 7 * n AS node, base + before AS p, a FROM s JOIN d USING (k)),
+        x AS (
+            SELECT k AS doc, 0 AS node, NULL AS parent, 0 AS depth, 'heading' AS kind, 0 AS s, h AS e, '1' AS info FROM d
+            UNION ALL SELECT k, 1, NULL, 0, 'paragraph', h + 2, h + 2 + g, '' FROM d
+            UNION ALL SELECT k, 2, NULL, 0, 'list', base, base + whole - 1, '-' FROM d WHERE m > 0
+            UNION ALL SELECT k, node, 2, 1, 'item', p, p + a + 25, '' FROM o
+            UNION ALL SELECT k, node + 1, node, 2, 'paragraph', p + 2, p + a, '' FROM o
+            UNION ALL SELECT k, node + 2, node, 2, 'list', p + a + 3, p + a + 25, '-' FROM o
+            UNION ALL SELECT k, node + 3, node + 2, 3, 'item', p + a + 3, p + a + 16, '' FROM o
+            UNION ALL SELECT k, node + 4, node + 3, 4, 'paragraph', p + a + 5, p + a + 16, '' FROM o
+            UNION ALL SELECT k, node + 5, node + 2, 3, 'item', p + a + 19, p + a + 25, '' FROM o
+            UNION ALL SELECT k, node + 6, node + 5, 4, 'paragraph', p + a + 21, p + a + 25, '' FROM o
+            UNION ALL SELECT k, nq, NULL, 0, 'quote', quote, quote + q, '' FROM d
+            UNION ALL SELECT k, nq + 1, nq, 1, 'paragraph', quote + 2, quote + q, '' FROM d
+            UNION ALL SELECT k, nq + 2, NULL, 0, 'code', quote + q + 2, quote + q + 2 + f, 'py' FROM d)
+        SELECT doc, CAST(node AS INTEGER) AS node, CAST(parent AS INTEGER) AS parent, CAST(depth AS INTEGER) AS depth, kind, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", info FROM x""",
+    "folder_totals": """
+        WITH p AS (SELECT list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS parts, length(html) AS size FROM pages),
+        n AS (SELECT parts, size, unnest(range(len(parts))) AS depth FROM p)
+        SELECT array_to_string(parts[1:depth], '/') AS folder, depth, count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS size FROM n GROUP BY 1, 2""",
+    "nested_tree": NESTED,
     "heading_paragraphs": """
         WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g') AS h FROM pages),
         m AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<(h[1-6]|p)\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</(h[1-6]|p)\\b', chr(3), 'g') AS h FROM b),
