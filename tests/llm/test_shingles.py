@@ -79,3 +79,14 @@ def test_a_band_in_common():
 
 def test_empty_table(spark):
     assert shingles.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_that_share_a_hash_have_names_of_their_own(spark):
+    """With six bits a hash hundreds of texts share one; all their names differ."""
+    docs = spark.range(500).selectExpr("concat('text ', id % 400) AS text")
+    digests = docs.select(shingles.digest_of(docs["text"]).alias("digest"))
+    names = shingles.Names(digests.distinct(), bits=6)
+    assert len(names.listed) > 300
+    named = digests.withColumn("node", names.of(digests["digest"]))
+    assert named.select("node").distinct().count() == named.distinct().count() == 400
+    assert shingles.Names(digests.distinct()).listed == []

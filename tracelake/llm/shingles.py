@@ -36,11 +36,30 @@ _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * ROWS), np.ui
 FACTOR, OFFSET, MIX = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1], _SEEDS[2] * np.uint64(2) + np.uint64(1)
 
 
-def node_of(text: Column) -> Column:
+def digest_of(text: Column) -> Column:
     """What a text is known by: half of its SHA-256, so that no two texts of any corpus are one."""
     return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
 
 
+class Names:
+    """Short names of texts: 64-bit hashes of their digests, and hashes of another kind for digests that share one.
+
+    Such digests are looked for among all and listed; of n texts there are about n * n / 2**64, three in ten thousand million.
+    """
+
+    def __init__(self, digests: DataFrame, bits: int = 64):
+        self.bits = bits  # fewer of them only make more texts share a name
+        shared = digests.groupBy(self._plain(F.col("digest")).alias("node")).agg(F.count("*").alias("c"), F.collect_list("digest").alias("d")).where("c > 1")
+        self.listed = [bytes(x) for r in shared.select("d").collect() for x in r["d"]]
+
+    def _plain(self, digest: Column) -> Column:
+        return F.shiftright(F.xxhash64(digest), 64 - self.bits)
+
+    def of(self, digest: Column) -> Column:
+        plain = self._plain(digest)
+        return F.when(digest.isin(self.listed), F.xxhash64(digest, F.lit(1))).otherwise(plain) if self.listed else plain
+
+
 def shingles(text: bytes, k: int = WORDS) -> set[bytes]:
     """Distinct shingles of k words in lower case; a shorter text is one shingle."""
     words = text.lower().split()
@@ -79,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, np.int32)), pa.array(flat))
         fps = pa.array(np.array(prints, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), fps, lists], ["id", "node", "n", "fp", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), fps, lists], ["id", "digest", "n", "fp", "keys"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +127,15 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*slim.columns[:2], grams, *odd], ["node", "label", "grams", *ODD])
 
 
-def _across(members: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _across(members: DataFrame, docs: DataFrame, text_col: str, names: Names) -> DataFrame:
     """``a, b``: pairs of ``members (node, label)`` of different labels, all that can be similar.
 
     Shingles of one member only are in no pair. Of the c others a similar text has at least 0.8 * n, so the two
     share one of the first c - 0.8 * n + 1 in any order that is the same for all; rare ones come first. Of the pairs that
     meet so, those go whose sizes or parity bits rule the similarity out.
     """
-    rows = _texts(members.select("node"), docs, text_col).join(members, "node").select("node", "label", "text")
-    rows = rows.mapInArrow(_grams, "node binary, label binary, grams array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    rows = _texts(members.select("node"), docs, text_col, names).join(members, "node").select("node", "label", "text")
+    rows = rows.mapInArrow(_grams, "node long, label long, grams array<long>, " + ", ".join(f"{c} long" for c in ODD))
     rows = materialise(rows.withColumn("n", F.size("grams")), "shingles-grams")
     odd = rows.drop("grams", "label", "n")
     rows = rows.select("node", "label", "n", F.explode("grams").alias("gram"))
@@ -132,19 +151,19 @@ def _across(members: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _texts(nodes: DataFrame, docs: DataFrame, text_col: str, names: Names) -> DataFrame:
     """``node, text`` of the distinct texts that ``nodes (node)`` name."""
-    texts = docs.select(node_of(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
+    texts = docs.select(names.of(digest_of(text_of(text_col))).alias("node"), text_of(text_col).cast("binary").alias("text"))
     return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, names: Names) -> DataFrame:
     """Those of ``pairs (a, b)`` whose texts are similar; only texts that occur in pairs are moved."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialise(_texts(members, docs, text_col), "shingles-texts")
+    texts = materialise(_texts(members, docs, text_col, names), "shingles-texts")
     rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(_decide, "a binary, b binary")
+    return rows.select("a", "b", "x", "y").mapInArrow(_decide, "a long, b long")
 
 
 def _alike(single: DataFrame) -> DataFrame:
@@ -159,13 +178,16 @@ def _alike(single: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, node, root`` of every row: hash of the text and that of its class of similar texts (null where it is alone).
+    """``id, digest, node, root`` of every row: digest and name of the text and the name of its class of similar texts (null where
+    it is alone).
 
     Null text counts as empty; texts without words are similar. Repeated rows are of one class.
     """
-    rows = docs.select(F.col(id_col).alias("id"), node_of(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), digest_of(text_of(text_col)).alias("digest"), text_of(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, node binary, n long, fp long, keys array<long>"), "shingles")
+    rows = materialise(rows.mapInArrow(_sketch, f"id {kind}, digest binary, n long, fp long, keys array<long>"), "shingles")
+    names = Names(rows.select("digest").distinct())
+    rows = rows.withColumn("node", names.of(F.col("digest")))
     single = rows.dropDuplicates(["node"])
     nodes = single.select("node", "n", F.posexplode("keys").alias("band", "key"))
     groups = nodes.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -176,16 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = nodes.join(star, ["band", "key"]).where("node <> m.node").where(FITS.format("n", "m.n", "n", "m.n"))
     stars = stars.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
     stars = materialise(stars.union(_alike(single)).distinct(), "shingles-pairs")
-    links = materialise(_similar_pairs(stars, docs, text_col), "shingles-links")
+    links = materialise(_similar_pairs(stars, docs, text_col, names), "shingles-links")
     of = classes(links, "shingles-classes")
     labelled = nodes.join(of, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("label"))
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     members = labelled.join(mixed, ["band", "key"], "left_semi").select("node", "label").distinct()
-    across = _across(materialise(members, "shingles-mixed"), docs, text_col).join(stars, ["a", "b"], "left_anti")
+    across = _across(materialise(members, "shingles-mixed"), docs, text_col, names).join(stars, ["a", "b"], "left_anti")
     across = materialise(across, "shingles-pairs")
     if across.count():
-        of = classes(links.union(_similar_pairs(across, docs, text_col)), "shingles-classes")
-    return rows.select("id", "node").join(of, "node", "left").select("id", "node", "root")
+        of = classes(links.union(_similar_pairs(across, docs, text_col, names)), "shingles-classes")
+    return rows.select("id", "digest", "node").join(of, "node", "left").select("id", "digest", "node", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +218,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     no rows.
     """
     found = near_duplicates(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
     stay = found.groupBy(F.coalesce("root", "node").alias("class")).agg(first.alias("f"))
-    stay = stay.select(_key(F.col("f.id")).alias("__id"), F.col("f.node").alias("__digest"))
-    return one_row_per_key(docs, node_of(text_of(text_col)), stay, id_col)
+    stay = stay.select(_key(F.col("f.id")).alias("__id"), F.col("f.digest").alias("__digest"))
+    return one_row_per_key(docs, digest_of(text_of(text_col)), stay, id_col)
