@@ -313,7 +313,8 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = rows.withColumn("share", share).withColumn("cls", F.coalesce("toxic", F.lit(-1)))
     copies = rows.groupBy("cls", "kind").agg(F.count("*").alias("copies"))
     out = rows.join(copies, ["cls", "kind"]).select("rid", F.col("text").cast("binary").alias("text"), "toxic", (F.col("share") / F.col("copies")).alias("weight"))
-    return materialise(out, "toxicity-sample"), got
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would make one task of them
+    return materialise(out.repartition(tasks, "rid"), "toxicity-sample"), got
 
 
 def train(
