@@ -119,52 +119,59 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
     return both.where(meet).drop("__bin", "__level", "__role").withColumns({"clip_start": F.greatest(ls, rs), "clip_end": F.least(le, re)})
 
 
-#: Children of a node of the tree of bins in which points look for ranges.
-FAN = 4
+#: Bins of the tree in which points look for ranges have 4 ** level places: their numbers are shifts.
+BITS = 2
 
 
-def _div(x: Column, width: Column) -> Column:
-    """Whole quotient, rounded down."""
-    return F.call_function("div", x - F.pmod(x, width), width)
+def _bin(x: Column, level: Column | int) -> Column:
+    """The bin of a place, by shifts, which round down below zero too."""
+    return F.call_function("shiftright", x, (F.lit(level) if isinstance(level, int) else level) * BITS)
 
 
-def cover(start: Column, end: Column) -> Column:
-    """``ARRAY<STRUCT<level, bin>>``: the fewest bins of width ``FAN ** level`` that make up a closed range exactly.
+def _top(start: Column, end: Column) -> Column:
+    """The level whose bins are wider than a closed range."""
+    return F.floor(F.log2(F.greatest(end.cast("long") - start.cast("long") + 1, F.lit(1))) / BITS).cast("int") + 1
 
-    At most 2 * (FAN - 1) a level, and no level is wider than the range; none where the ends are exchanged or null.
-    """
+
+def _bins(level: Column, start: Column, end: Column) -> Column:
+    """Numbers of the bins of a level that lie in a closed range, but for those that wider bins in it take."""
     low, high = start.cast("long"), end.cast("long") + 1
-    top = F.floor(F.log(float(FAN), F.greatest(high - low, F.lit(1)))).cast("int") + 1
 
     def between(a: Column, b: Column) -> Column:
         return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
+    first, last = -_bin(-low, level), _bin(high, level)
+    up, down = F.shiftleft(-_bin(-low, level + 1), BITS), F.shiftleft(_bin(high, level + 1), BITS)
+    return F.when(up < down, F.concat(between(first, up), between(down, last))).otherwise(between(first, last))
+
+
+def cover(start: Column, end: Column) -> Column:
+    """``ARRAY<STRUCT<level, bin>>``: the fewest bins of 4 ** level places that make up a closed range exactly.
+
+    At most six a level, and no level is wider than the range; none where the ends are exchanged, null where one is.
+    """
+
     def on(level: Column) -> Column:
-        wide = F.pow(F.lit(FAN), level).cast("long")
-        a, b = -_div(-low, wide), _div(high, wide)  # whole bins of this level
-        up, down = -_div(-low, wide * FAN) * FAN, _div(high, wide * FAN) * FAN  # those that wider bins take
-        some = F.when(up < down, F.concat(between(a, up), between(down, b))).otherwise(between(a, b))
-        return F.transform(some, lambda x: F.struct(level.alias("level"), x.alias("bin")))
+        return F.transform(_bins(level, start, end), lambda x: F.struct(level.alias("level"), x.alias("bin")))
 
-    bins = F.flatten(F.transform(F.sequence(F.lit(0), top), on))
-    return F.when(low < high, bins)
+    return F.flatten(F.transform(F.sequence(F.lit(0), _top(start, end)), on))
 
 
 def _nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
-    """A row a bin of the ranges: their columns, ``__level, __bin``."""
-    rows = ranges.withColumn("__n", F.explode(cover(F.col(start), F.col(end))))
-    return rows.select(*ranges.columns, F.col("__n.level").alias("__level"), F.col("__n.bin").alias("__bin"))
+    """A row a bin of the ranges: their columns, ``__level, __bin``. As ``cover`` has them, but rows from the first on."""
+    s, e = F.col(start), F.col(end)
+    rows = ranges.where(s <= e).withColumn("__level", F.explode(F.sequence(F.lit(0), _top(s, e))))
+    return rows.withColumn("__bin", F.explode(_bins(F.col("__level"), s, e)))
 
 
-def _asking(points: DataFrame, point: str, nodes: DataFrame) -> DataFrame:
-    """A row a point and level that the ranges use (looked up first: as many as the longest range has, by base ``FAN``)."""
-    used = sorted(r[0] for r in nodes.select("__level").distinct().collect())
-    if not used:
+def _asking(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """A row a point and level that the ranges use; the widest is looked up first, one number."""
+    s, e = F.col(start), F.col(end)
+    top = ranges.where(s <= e).agg(F.max(_top(s, e))).first()[0]
+    if top is None:
         return points.withColumns({"__level": F.lit(0), "__bin": F.lit(0).cast("long")}).limit(0)
-    at = F.col(point).cast("long")
-    asked = F.array(*[F.struct(F.lit(v).alias("level"), _div(at, F.lit(FAN**v).cast("long")).alias("bin")) for v in used])
-    rows = points.withColumn("__n", F.explode(asked))
-    return rows.select(*points.columns, F.col("__n.level").alias("__level"), F.col("__n.bin").alias("__bin"))
+    rows = points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in range(top + 1)])))
+    return rows.withColumn("__bin", _bin(F.col(point).cast("long"), F.col("__level")))
 
 
 def stabbing_join(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -175,25 +182,28 @@ def stabbing_join(points: DataFrame, ranges: DataFrame, key: str, point: str, st
     of both costs what its result does. Ranges with exchanged or null ends hold nothing.
     """
     nodes = _nodes(ranges.select(key, *[F.col(c).alias(f"r_{c}") for c in ranges.columns if c != key]), f"r_{start}", f"r_{end}")
-    return _asking(points, point, nodes).join(nodes, [key, "__level", "__bin"]).drop("__level", "__bin")
+    return _asking(points, point, ranges, start, end).join(nodes, [key, "__level", "__bin"]).drop("__level", "__bin")
 
 
 def held(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str = "start", end: str = "end") -> DataFrame:
     """``key, point``, distinct, of the points that any range of their key holds: bins of ranges are merged before they meet."""
     nodes = _nodes(ranges.select(key, start, end), start, end).select(key, "__level", "__bin").distinct()
-    return _asking(points.select(key, point).distinct(), point, nodes).join(nodes, [key, "__level", "__bin"], "left_semi").select(key, point).distinct()
+    asked = _asking(points.select(key, point).distinct(), point, ranges, start, end)
+    return asked.join(nodes, [key, "__level", "__bin"], "left_semi").select(key, point).distinct()
 
 
 def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str, ordinal: str = "ordinal") -> DataFrame:
     """Every row of ``points``, with all its columns, plus ``block_start, block_end``: the first block of its key, by
-    ordinal, then by start and end, that holds it; null where none does. A bin keeps its first block only, so a point meets
-    at most one block a width. Points of one place are looked up once and each keep their row."""
-    nodes = _nodes(blocks.select(key, ordinal, "start", "end"), "start", "end")
-    nodes = nodes.groupBy(key, "__level", "__bin").agg(F.min(F.struct(ordinal, "start", "end")).alias("__m"))
-    hit = _asking(points.select(key, point).distinct(), point, nodes).join(nodes, [key, "__level", "__bin"])
-    best = hit.groupBy(key, point).agg(F.min("__m").alias("__m"))
+    ordinal, that holds it; null where none does. Ordinals tell the blocks of a key apart; those that tie go by start and end,
+    and a block without one is none. A bin keeps its first ordinal only, so a point meets at most one block a width however
+    many hold it. Points of one place are looked up once and each keep their row."""
+    nodes = _nodes(blocks.select(key, ordinal, "start", "end"), "start", "end").groupBy(key, "__level", "__bin").agg(F.min(ordinal).alias("__o"))
+    hit = _asking(points.select(key, point).distinct(), point, blocks, "start", "end").join(nodes, [key, "__level", "__bin"])
+    first = hit.groupBy(key, point).agg(F.min("__o").alias("__o"))
+    named = blocks.select(key, F.col(ordinal).alias("__o"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    best = first.join(named, [key, "__o"]).where(F.col(point).between(F.col("__s"), F.col("__e"))).groupBy(key, point).agg(F.min(F.struct("__s", "__e")).alias("__m"))
     out = points.join(best, [key, point], "left")
-    return out.select(*points.columns, F.col("__m.start").alias("block_start"), F.col("__m.end").alias("block_end"))
+    return out.select(*points.columns, F.col("__m.__s").alias("block_start"), F.col("__m.__e").alias("block_end"))
 
 
 def segments(ranges: DataFrame, key: str, ident: str, width: int = 1 << 16, start: str = "start", end: str = "end") -> DataFrame:
