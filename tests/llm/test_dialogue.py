@@ -92,7 +92,7 @@ def repaired(df):
 def test_brute_force(spark, seed):
     rnd = random.Random(seed)
     rows = [
-        (rnd.choice([1, 1, 1, 2, None, 3, *range(10, 60)]), rnd.choice([None, *range(40)]), rnd.choice(["user", "assistant", "system", "tool", "", None]), rnd.choice(["a.", "b", "", None, "c!", "d?", " \t", "e.\n", "é。"]))
+        (rnd.choice([1, 1, 1, 2, None, 3, *range(10, 60)]), rnd.choice([None, *range(40)]), rnd.choice(["user", "assistant", "system", "tool", "", None]), rnd.choice(["a.", "b", "", None, "c!", "d?", " \t", "e.\n", "é。", "\u2028", "f.\u0085", " \u2029\n"]))
         for _ in range(700)
     ]
     df = spark.createDataFrame(rows, SCHEMA)

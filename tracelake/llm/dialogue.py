@@ -33,9 +33,9 @@ LEGAL = ("su", "ua", "au")
 STEP = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
 ENDS = (0, 3)
 STATES = range(4)
-#: White space between words; a text of nothing else is blank.
-BLANK = r"^[\x20\x09-\x0D]*$"
-WHOLE = r"[.!?][\x20\x09-\x0D]*$"
+#: A text of nothing but white space, and one that ends a sentence; other line ends than these are characters like any.
+BLANK = r"^[\x20\x09-\x0D]*\z"
+WHOLE = r"[.!?][\x20\x09-\x0D]*\z"
 RADIX = 8
 #: Symbols of a run that are remembered with their matrix.
 LEAF = 16
