@@ -96,7 +96,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
     for k in reversed(range(levels - 1)):
         own = F.when(bins <= SPREAD ** (k + 1), F.lit(k)).otherwise(own)
     sides = [df.where(F.col(end) > F.col(start)) for df in (left, right)]
-    used = [sorted(r[0] for r in df.select(own).distinct().collect()) for df in sides]  # at most ``levels`` numbers
+    both_used = sides[0].select(F.lit(0), own).unionAll(sides[1].select(F.lit(1), own)).distinct().collect()  # at most ``levels`` a side
+    used = [sorted(r[1] for r in both_used if r[0] == side) for side in (0, 1)]
 
     def binned(df: DataFrame, side: str, here: list[int], there: list[int], alone: int, guest: int) -> DataFrame:
         """Copies by (level, role): 0 with ranges of its own level, ``alone`` with shorter ones, ``guest`` with longer ones."""
