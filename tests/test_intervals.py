@@ -54,10 +54,10 @@ def test_segments(spark, width):
     assert sorted((r.k, r.start, r.end, r.ids) for r in got.where("k is not null").collect()) == want
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_overlap_join(spark, levels):
+@pytest.mark.parametrize("levels, longest", [(1, None), (2, None), (3, None), (3, 20_000)])
+def test_overlap_join(spark, levels, longest):
     left, right = made(5), made(6, lengths=(0, 1, 7, 60, 900))
-    got = intervals.overlap_join(spark.createDataFrame(left, RANGES), spark.createDataFrame(right, RANGES), "k", 2, levels=levels)
+    got = intervals.overlap_join(spark.createDataFrame(left, RANGES), spark.createDataFrame(right, RANGES), "k", 2, levels=levels, longest=longest)
     want = [(a[1], b[1], max(a[2], b[2]), min(a[3], b[3])) for a in left for b in right if a[0] == b[0] and a[2] < a[3] and b[2] < b[3] and a[3] > b[2] and a[2] < b[3]]
     assert sorted((r.l_id, r.r_id, r.clip_start, r.clip_end) for r in got.collect()) == sorted(want)
 
@@ -75,13 +75,16 @@ def test_short_ranges_never_meet_in_wide_bins(spark):
     assert time.perf_counter() - began < 12
 
 
-def test_first_enclosing_takes_the_first_by_ordinal(spark):
+@pytest.mark.parametrize("many", [5, 256])
+def test_first_enclosing_takes_the_first_by_ordinal(spark, monkeypatch, many):
+    monkeypatch.setattr(intervals, "MANY", many)
     rnd = random.Random(8)
     blocks = [("f", rnd.randrange(9), s, s + rnd.randrange(-2, 40)) for s in (rnd.randrange(60) for _ in range(60))]
-    points = [("f", p) for p in range(-3, 110)]
+    blocks += [("g", k, k, k + 1) for k in range(3)]  # a key of few blocks beside one of many
+    points = [(k, p) for k in "fg" for p in range(-3, 110)]
     got = intervals.first_enclosing(spark.createDataFrame(points, "k string, line int"), spark.createDataFrame(blocks, "k string, ordinal int, start int, end int"), "k", "line")
     for r in got.collect():
-        want = min(((o, s, e) for _, o, s, e in blocks if s <= r.line <= e), default=(None, None, None))
+        want = min(((o, s, e) for k, o, s, e in blocks if k == r.k and s <= r.line <= e), default=(None, None, None))
         assert (r.block_start, r.block_end) == want[1:]
 
 

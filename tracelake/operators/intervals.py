@@ -80,7 +80,7 @@ def extract_by_join(blocks: DataFrame, lines: DataFrame) -> DataFrame:
 SPREAD = 256
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start: str = "start", end: str = "end", levels: int = 3) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start: str = "start", end: str = "end", levels: int = 3, longest: int | None = None) -> DataFrame:
     """Pairs of half-open ranges of a key that overlap, with the part they share.
 
     Both sides are cut to bins of ``width`` and meet in an equi-join on (key, level, bin); a pair counts in the bin where
@@ -89,15 +89,20 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
     rows; what is too long for all ``levels`` is cut by the widest bins. A pair meets on the level of its longer range,
     in one of three roles: both live there, or only the left or only the right one does, so two short ranges never
     meet in a wide bin. Shorter ranges have copies only on levels where the other side has ranges; which these are is
-    looked up first, a number or two a side. Empty and null ranges meet nothing.
+    looked up first, a number or two a side, unless ``longest`` tells that no range is longer: then the levels
+    that such ranges use are taken. Empty and null ranges meet nothing.
     """
+    if longest is not None:
+        levels = 1 + next((k for k in range(levels - 1) if longest <= width * SPREAD ** (k + 1)), levels - 1)
     bins = (F.col(end) - F.col(start)) / F.lit(width)
     own = F.lit(levels - 1)
     for k in reversed(range(levels - 1)):
         own = F.when(bins <= SPREAD ** (k + 1), F.lit(k)).otherwise(own)
     sides = [df.where(F.col(end) > F.col(start)) for df in (left, right)]
-    both_used = sides[0].select(F.lit(0), own).unionAll(sides[1].select(F.lit(1), own)).distinct().collect()  # at most ``levels`` a side
-    used = [sorted(r[1] for r in both_used if r[0] == side) for side in (0, 1)]
+    used = [list(range(levels))] * 2
+    if longest is None and levels > 1:
+        found = sides[0].select(F.lit(0), own).unionAll(sides[1].select(F.lit(1), own)).distinct().collect()  # at most ``levels`` a side
+        used = [sorted(r[1] for r in found if r[0] == side) for side in (0, 1)]
 
     def binned(df: DataFrame, side: str, here: list[int], there: list[int], alone: int, guest: int) -> DataFrame:
         """Copies by (level, role): 0 with ranges of its own level, ``alone`` with shorter ones, ``guest`` with longer ones."""
@@ -108,7 +113,10 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int, start:
             if mine:
                 mine = F.array(*[F.struct(F.lit(v).alias("__level"), F.lit(r).alias("__role")) for v, r in mine])
                 places = F.when(own == k, mine).otherwise(places)
-        df = df.select(*cols, F.explode(places).alias("__at")).select("*", "__at.__level", "__at.__role").drop("__at")
+        if here == there == [0]:  # nothing to choose
+            df = df.select(*cols, F.lit(0).alias("__level"), F.lit(0).alias("__role"))
+        else:
+            df = df.select(*cols, F.explode(places).alias("__at")).select("*", "__at.__level", "__at.__role").drop("__at")
         wide = F.lit(width) * F.pow(F.lit(SPREAD), F.col("__level")).cast("long")
         low, high = (F.floor(c / wide).cast("long") for c in (F.col(f"{side}_{start}"), F.col(f"{side}_{end}") - 1))
         return df.withColumn("__bin", F.explode(F.sequence(low, high)))
@@ -193,16 +201,33 @@ def held(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str
     return asked.join(nodes, [key, "__level", "__bin"], "left_semi").select(key, point).distinct()
 
 
+#: A key of more blocks than this has them in a tree of bins; up to it a point is compared with each.
+MANY = 256
+
+
 def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str, ordinal: str = "ordinal") -> DataFrame:
     """Every row of ``points``, with all its columns, plus ``block_start, block_end``: the first block of its key, by
     ordinal, that holds it; null where none does. Ordinals tell the blocks of a key apart; those that tie go by start and end,
-    and a block without one is none. A bin keeps its first ordinal only, so a point meets at most one block a width however
-    many hold it. Points of one place are looked up once and each keep their row."""
-    nodes = _nodes(blocks.select(key, ordinal, "start", "end"), "start", "end").groupBy(key, "__level", "__bin").agg(F.min(ordinal).alias("__o"))
-    hit = _asking(points.select(key, point).distinct(), point, blocks, "start", "end").join(nodes, [key, "__level", "__bin"])
-    first = hit.groupBy(key, point).agg(F.min("__o").alias("__o"))
-    named = blocks.select(key, F.col(ordinal).alias("__o"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    best = first.join(named, [key, "__o"]).where(F.col(point).between(F.col("__s"), F.col("__e"))).groupBy(key, point).agg(F.min(F.struct("__s", "__e")).alias("__m"))
+    and a block without one is none. Points of one place are looked up once and each keep their row.
+
+    Keys of more than ``MANY`` blocks, looked up first, have a tree of bins: a bin keeps its first ordinal only, so a point
+    meets at most one block a width however many hold it. In the others a point meets at most ``MANY`` blocks.
+    """
+    named = blocks.where(F.col(ordinal).isNotNull()).select(key, F.col(ordinal).alias("__o"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    asked = points.select(key, point).distinct()
+    holds = F.col(point).between(F.col("__s"), F.col("__e"))
+    large = named.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(key)
+    few = named
+    hits = []
+    if not large.isEmpty():
+        many, few = named.join(large, key, "left_semi"), named.join(large, key, "left_anti")
+        nodes = _nodes(many, "__s", "__e").groupBy(key, "__level", "__bin").agg(F.min("__o").alias("__o"))
+        met = _asking(asked.join(large, key, "left_semi"), point, many, "__s", "__e").join(nodes, [key, "__level", "__bin"])
+        first = met.groupBy(key, point).agg(F.min("__o").alias("__o"))
+        hits.append(first.join(many, [key, "__o"]).where(holds).select(key, point, "__o", "__s", "__e"))
+    hits.append(asked.join(few, key).where(holds).select(key, point, "__o", "__s", "__e"))
+    hit = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    best = hit.groupBy(key, point).agg(F.min(F.struct("__o", "__s", "__e")).alias("__m"))
     out = points.join(best, [key, point], "left")
     return out.select(*points.columns, F.col("__m.__s").alias("block_start"), F.col("__m.__e").alias("block_end"))
 

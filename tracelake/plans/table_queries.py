@@ -63,7 +63,7 @@ def interval_overlap_join(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("start"))
     ev = ev.withColumn("end", F.col("start") + 1800)
     left, right = ev.where("event_type = 'click'").drop("event_type"), ev.where("event_type = 'purchase'").drop("event_type")
-    got = intervals.overlap_join(left, right, "user_id", 3600)
+    got = intervals.overlap_join(left, right, "user_id", 3600, longest=1800)
     return got.select("user_id", F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), "clip_start", "clip_end")
 
 
