@@ -299,7 +299,8 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     others = base.select("id").join(labels.select(F.col(id_col).alias("id")), "id", "left_anti")
     others = others.distinct().withColumn("place", place).orderBy("place", "id").limit(unlabelled).withColumn("toxic", F.lit(None).cast("int"))
     ids = materialise(drawn[0].unionByName(drawn[1]).unionByName(others).select("id", "toxic"), "toxicity-ids")
-    rows = base.join(F.broadcast(ids), "id")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would make one task of them
+    rows = base.join(F.broadcast(ids), "id").repartition(tasks, "id")
     words = F.split(F.lower("text"), r"\s+")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))
     rows = rows.withColumn("w", words).withColumn("g", F.transform(grams, lambda g: F.xxhash64(g)))
@@ -313,7 +314,6 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = rows.withColumn("share", share).withColumn("cls", F.coalesce("toxic", F.lit(-1)))
     copies = rows.groupBy("cls", "kind").agg(F.count("*").alias("copies"))
     out = rows.join(copies, ["cls", "kind"]).select("rid", F.col("text").cast("binary").alias("text"), "toxic", (F.col("share") / F.col("copies")).alias("weight"))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would make one task of them
     return materialise(out.repartition(tasks, "rid"), "toxicity-sample"), got
 
 
