@@ -54,6 +54,20 @@ def test_segments(spark, width):
     assert sorted((r.k, r.start, r.end, r.ids) for r in got.where("k is not null").collect()) == want
 
 
+def test_ranges_that_explode_are_not_broadcast(spark):
+    """Spark takes what is behind an explode for as small as what is before it; the driver would hold it whole."""
+    ranges = spark.createDataFrame(made(4), RANGES)
+    for got in (intervals.segments(ranges, "k", "id"), intervals.stabbing_join(ranges.selectExpr("k", "start as at"), ranges, "k", "at")):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_of_many_ranges_at_one_place(spark):
+    """Three thousand ranges that begin at one place and end at five hundred; ids repeat."""
+    rows = [("a", k % 1000, 7, 8 + k % 500) for k in range(3000)]
+    got = {r.start: (r.end, r.ids) for r in intervals.segments(spark.createDataFrame(rows, RANGES), "k", "id", 64).collect()}
+    assert got == {s: (s + 1 if s > 7 else 8, sorted({k % 1000 for k in range(3000) if 8 + k % 500 > s})) for s in range(7, 507)}
+
+
 @pytest.mark.parametrize("levels, longest", [(1, None), (2, None), (3, None), (3, 20_000)])
 def test_overlap_join(spark, levels, longest):
     left, right = made(5), made(6, lengths=(0, 1, 7, 60, 900))

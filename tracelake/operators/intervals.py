@@ -188,10 +188,11 @@ def stabbing_join(points: DataFrame, ranges: DataFrame, key: str, point: str, st
 
     A range is cut to the few bins that make it up, a point asks its one bin of every width in use, and both meet in an
     equi-join. As the bins of a range are disjoint, each pair is met once and no other pair is met at all, so a key with very many
-    of both costs what its result does. Ranges with exchanged or null ends hold nothing.
+    of both costs what its result does. Ranges with exchanged or null ends hold nothing. Neither side is broadcast: sizes before
+    ``explode`` say little of those behind it.
     """
     nodes = _nodes(ranges.select(key, *[F.col(c).alias(f"r_{c}") for c in ranges.columns if c != key]), f"r_{start}", f"r_{end}")
-    return _asking(points, point, ranges, start, end).join(nodes, [key, "__level", "__bin"]).drop("__level", "__bin")
+    return _asking(points, point, ranges, start, end).join(nodes.hint("merge"), [key, "__level", "__bin"]).drop("__level", "__bin")
 
 
 def held(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -232,21 +233,41 @@ def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str,
     return out.select(*points.columns, F.col("__m.__s").alias("block_start"), F.col("__m.__e").alias("block_end"))
 
 
+#: Pieces of a lot: ranges meet the pieces that they cover a lot at a time.
+PIECES = 32
+
+
 def segments(ranges: DataFrame, key: str, ident: str, width: int = 1 << 16, start: str = "start", end: str = "end") -> DataFrame:
     """``key, start, end, ids``: the pieces that the ends of all half-open ranges of a key cut it to, each with the distinct
     ids of the ranges that cover it, ascending; pieces that none covers are left out. Empty and null ranges cut nothing.
 
-    Ends are put in order within bins of ``width`` positions, and only the first end of every bin is put in order by key, so
-    a document of any number of ranges is no single task's; ranges find their pieces by ``stabbing_join``.
+    Ends are put in order within bins of ``width`` positions, and only a row for each bin is put in order by key, so a document
+    of any number of ranges is no single task's. The ends of a key are numbered through; a range looks the numbers of its two ends up and
+    goes to the lots of ``PIECES`` numbers between them, where it is laid on their pieces within one row. So pairs of a range and a
+    piece are never rows, and nothing is broadcast, as sizes before ``explode`` say little of those behind it.
     """
     some = ranges.where(F.col(end) > F.col(start)).select(key, F.col(ident).alias("__id"), F.col(start).alias("__s"), F.col(end).alias("__e"))
     cuts = some.select(key, F.explode(F.array("__s", "__e")).alias("start")).distinct().withColumn("__b", F.floor(F.col("start") / width).cast("long"))
-    firsts = cuts.groupBy(key, "__b").agg(F.min("start").alias("__first"))
-    firsts = firsts.select(key, "__b", F.lead("__first").over(Window.partitionBy(key).orderBy("__b")).alias("__next"))
-    near = F.lead("start").over(Window.partitionBy(key, "__b").orderBy("start"))
-    pieces = cuts.withColumn("__near", near).join(firsts, [key, "__b"]).select(key, "start", F.coalesce("__near", "__next").alias("end"))
-    held_by = stabbing_join(pieces.where("end is not null"), some.withColumn("__e", F.col("__e") - 1), key, "start", "__s", "__e")
-    return held_by.groupBy(key, "start", "end").agg(F.array_sort(F.collect_set("r___id")).alias("ids"))
+    bins = cuts.groupBy(key, "__b").agg(F.min("start").alias("__first"), F.count("*").alias("__n"))
+    along = Window.partitionBy(key).orderBy("__b")
+    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(key, "__b", F.lead("__first").over(along).alias("__next"), before.alias("__before"))
+    own = Window.partitionBy(key, "__b").orderBy("start")
+    placed = cuts.withColumns({"__near": F.lead("start").over(own), "__k": F.row_number().over(own)}).join(bins.hint("merge"), [key, "__b"])
+    placed = placed.select(key, "start", F.coalesce("__near", "__next").alias("end"), (F.col("__before") + F.col("__k") - 1).alias("__k"))
+    for place, number in (("__s", "__from"), ("__e", "__to")):
+        some = some.join(placed.select(key, F.col("start").alias(place), F.col("__k").alias(number)).hint("merge"), [key, place])
+    lot = lambda x: F.floor(x / PIECES).cast("long")
+    laid = some.select(key, F.explode(F.sequence(lot(F.col("__from")), lot(F.col("__to") - 1))).alias("__lot"), F.struct("__id", "__from", "__to").alias("__r"))
+    pieces = placed.where("end is not null").select(key, lot(F.col("__k")).alias("__lot"), F.struct("start", "end", "__k").alias("__p"))
+    lots = laid.unionByName(pieces, allowMissingColumns=True).groupBy(key, "__lot").agg(F.sort_array(F.collect_list("__r")).alias("__r"), F.collect_list("__p").alias("__p"))
+
+    def covered(p: Column) -> Column:
+        on = F.filter("__r", lambda r: (r["__from"] <= p["__k"]) & (r["__to"] > p["__k"]))
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.transform(on, lambda r: r["__id"]).alias("ids"))
+
+    got = lots.select(key, F.inline(F.transform("__p", covered))).where(F.size("ids") > 0)
+    return got.select(key, "start", "end", F.array_compact(F.array_distinct("ids")).alias("ids"))
 
 
 def overlaps(ranges: Column, start: Column, end: Column, document: Column | None = None) -> Column:
