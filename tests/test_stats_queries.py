@@ -12,7 +12,7 @@ ORDERS = "SELECT * FROM (VALUES (10, 1, 'F'), (11, 1, 'O'), (12, 2, 'F')) t (o_o
 LINES = "SELECT * FROM (VALUES (10, 5, 1, 'R'), (11, 6, 1, 'N'), (12, 5, 1, 'N')) t (l_orderkey, l_partkey, l_linenumber, l_returnflag)"
 
 
-@pytest.mark.parametrize("name", ["totals_rollup"])
+@pytest.mark.parametrize("name", ["totals_rollup", "requirement_stats"])
 def test_customers_without_orders(spark, tmp_path, name):
     duck = duckdb.connect()
     for table, made in (("customer", CUSTOMERS), ("orders", ORDERS), ("lineitem", LINES)):
