@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelake.functions import replies
+from tracelake.functions.batches import parts
 from tracelake.functions.text import regularize
 from tracelake.operators import align, annotations
 from tracelake.sources import docx, json_files, repo, scratch
@@ -24,19 +25,19 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@F.arrow_udf(T.BinaryType())
-def _package(body: pa.Array, relations: pa.Array, image: pa.Array) -> pa.Array:
-    """Word packages from the markup of their bodies; a null body is a file that is none."""
-    out = []
-    for b, r, i in zip(body.to_pylist(), relations.to_pylist(), image.to_pylist()):
-        data = io.BytesIO()
-        if b is not None:
-            with zipfile.ZipFile(data, "w") as z:
-                z.writestr("word/document.xml", f"<w:document {SPACES}><w:body>{b}</w:body></w:document>")
-                z.writestr("word/_rels/document.xml.rels", f"<Relationships>{r}</Relationships>")
-                z.writestr("word/media/i.png", i)
-        out.append(data.getvalue() if b is not None else b"no package")
-    return pa.array(out, pa.binary())
+def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word packages from (path, markup of the body, relations, image); a null body is a file that is none."""
+    for part in parts(batches):
+        out = []
+        for b, r, i in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+            data = io.BytesIO()
+            if b is not None:
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr("word/document.xml", f"<w:document {SPACES}><w:body>{b}</w:body></w:document>")
+                    z.writestr("word/_rels/document.xml.rels", f"<Relationships>{r}</Relationships>")
+                    z.writestr("word/media/i.png", i)
+            out.append(data.getvalue() if b is not None else b"no package")
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
 
 def _p(*runs, style=""):
@@ -74,8 +75,9 @@ def _documents(spark, sf_dir):
     links = F.concat(
         F.lit(rel.format("r1", "image", "media/i.png") + rel.format("r2", "oleObject", "embeddings/o.bin")), F.lit('<Relationship Id="r3" Type="http://t/hyperlink" Target="http://x/'), k, F.lit('"/>')
     )
-    content = _package(F.when(F.col("c_custkey") % 10 != 9, body), links, F.concat(F.lit("image "), k))
-    return c.select(F.concat(F.lit("d"), k, F.lit(".docx")).alias("path"), content.alias("content"))
+    path, image = F.concat(F.lit("d"), k, F.lit(".docx")), F.concat(F.lit("image "), k)
+    made = c.select(path.alias("path"), F.when(F.col("c_custkey") % 10 != 9, body).alias("body"), links.alias("links"), image.alias("image"))
+    return made.mapInArrow(_packages, "path string, content binary")
 
 
 def docx_markdown(spark, sf_dir):

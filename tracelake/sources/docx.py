@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions import omml
+from tracelake.functions.batches import PART, parts
 
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -92,7 +93,7 @@ def _blocks(content: bytes) -> Iterator[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         rows = []
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
@@ -149,7 +150,7 @@ RELATIONS = "path string, id string, kind string, target string, n_bytes long"
 
 
 def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         rows = []
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
@@ -179,17 +180,25 @@ def embedded_objects(files: DataFrame) -> DataFrame:
 
 
 def _media_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], ["path", "target", "content"])
+
+    for b in parts(batches):
+        rows, held = [], 0
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for name in z.namelist():
                         if name.startswith("word/media/") and not name.endswith("/"):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([path]), pa.array([name.removeprefix("word/")]), pa.array([z.read(name)], pa.binary())], ["path", "target", "content"]
-                            )
+                            rows.append((path, name.removeprefix("word/"), z.read(name)))
+                            held += len(rows[-1][2])
+                            if held > PART:  # images may be compressed, so many are more than the part they come from
+                                yield batch(rows)
+                                rows, held = [], 0
             except (zipfile.BadZipFile, TypeError):
                 continue
+        if rows:
+            yield batch(rows)
 
 
 def media(files: DataFrame) -> DataFrame:
@@ -211,7 +220,7 @@ CELLS = "path string, tbl int, row int, cell int, span int, merge string, text s
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         rows = []
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             try:
