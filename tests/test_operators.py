@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.operators import align, annotations, chunking, intervals, requirements, store
+from tracelake.operators import align, annotations, chunking, intervals, requirements, retrieve, store
 from tracelake.sources import docx, json_files, repo
 
 
@@ -212,3 +212,12 @@ def test_latex_and_offsets(spark):
 
     docs = spark.createDataFrame([("a", "é\nbc\r\n"), ("b", None), ("c", ""), ("d", "\n\nx")], "file string, content string")
     assert rows(lines.line_offsets(docs)) == sorted(map(repr, [("a", 1, 0, 1), ("a", 2, 2, 4), ("d", 1, 0, 0), ("d", 2, 1, 1), ("d", 3, 2, 3)]))
+
+
+def test_candidates_look_up_asked_words_only(spark):
+    """Words that no requirement has never reach a shuffle; weights are those of the whole index."""
+    chunks = spark.createDataFrame([("p", k, 1, f"common alpha{k % 3} own{k} " + " ".join(f"w{k}x{j}" for j in range(50))) for k in range(40)], "project string, file int, start_line int, content string")
+    asked = spark.createDataFrame([("p", "alpha1"), ("p", "own7"), ("q", "own8")], "project string, word string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("project", "word", "file", "start_line", "weight").collect())
+    want = [r for r in rows(retrieve.index(chunks, 0.5)) if r[1] in ("alpha1", "own7")]
+    assert len(want) == 14 and rows(retrieve.index(chunks, 0.5, asked)) == want

@@ -17,10 +17,14 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
 
 
-def index(chunks: DataFrame, common: float = COMMON) -> DataFrame:
+def index(chunks: DataFrame, common: float = COMMON, only: DataFrame | None = None) -> DataFrame:
     """``project, word, file, start_line, weight`` of ``chunks (project, file, start_line, content)``: the postings of every word
-    but the common ones. A word weighs floor(1000 * ln(1 + chunks of the project / chunks that have it))."""
-    rows = chunks.select("project", "file", "start_line", F.explode(words(F.col("content"))).alias("word")).distinct()
+    but the common ones; of the words ``only (project, word)``, if given. A word weighs floor(1000 * ln(1 + chunks of the project / chunks
+    that have it))."""
+    rows = chunks.select("project", "file", "start_line", F.explode(words(F.col("content"))).alias("word"))
+    if only is not None:  # before any shuffle: what nobody asks for is most of the words
+        rows = rows.join(only.select("project", "word").distinct(), ["project", "word"], "left_semi")
+    rows = rows.select("project", "file", "start_line", "word").distinct()
     sizes = chunks.select("project", "file", "start_line").distinct().groupBy("project").agg(F.count("*").alias("n"))
     often = rows.groupBy("project", "word").agg(F.count("*").alias("df")).join(sizes, "project")
     often = often.where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * common)))
@@ -36,7 +40,7 @@ def candidates(requirements: DataFrame, chunks: DataFrame, k: int = 20, common:
     a fraction of the product; a requirement that shares no such word with any chunk has no candidate.
     """
     asked = requirements.select("project", "requirement_id", F.explode(words(F.col("requirement"))).alias("word")).distinct()
-    met = asked.join(index(chunks, common), ["project", "word"])
+    met = asked.join(index(chunks, common, asked), ["project", "word"])
     scored = met.groupBy("project", "requirement_id", "file", "start_line").agg(F.sum("weight").alias("score"))
     best = Window.partitionBy("project", "requirement_id").orderBy(F.desc("score"), "file", "start_line")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
