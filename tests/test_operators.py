@@ -221,3 +221,26 @@ def test_candidates_look_up_asked_words_only(spark):
     rows = lambda df: sorted(tuple(r) for r in df.select("project", "word", "file", "start_line", "weight").collect())
     want = [r for r in rows(retrieve.index(chunks, 0.5)) if r[1] in ("alpha1", "own7")]
     assert len(want) == 14 and rows(retrieve.index(chunks, 0.5, asked)) == want
+
+
+def test_prompts_about_a_chunk_follow_one_another(spark):
+    """A client sees the prompts about one chunk together, so that what it makes of the code can serve them all."""
+    reqs = spark.createDataFrame([("p", str(k), f"word{k:04d} of it") for k in range(30)], "project string, requirement_id string, requirement string")
+    chunks = spark.createDataFrame([("p", f"f{k}", 1, 1, f"1: word{k:04d} {k}") for k in range(40)], "project string, file string, start_line int, end_line int, content string")
+    code = chunks.selectExpr("project", "file", "array(concat('word', lpad(substr(file, 2), 4, '0'))) as lines")
+
+    def client():
+        turns = []
+
+        def ask(prompts):
+            for p in prompts:
+                turns.append(p.partition("Numbered code:\n")[2])
+            changes = sum(a != b for a, b in zip(turns, turns[1:])) + 1
+            return ['{"related_code": [[1, 1]]}' if changes == len(set(turns)) else "{}" for _ in prompts]
+
+        return ask
+
+    got = align.align(reqs, chunks, code, client)
+    assert got.count() == 30 * 40
+    named = align.align(reqs, chunks, code, align.overlap_stub).select("requirement_id", "filename").collect()
+    assert sorted((int(r[0]), r[1]) for r in named) == [(k, f"f{k}") for k in range(30)]

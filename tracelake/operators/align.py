@@ -27,10 +27,14 @@ GENERATE = "Related code:\n{code}\n\nState the requirement that this code implem
 def overlap_stub():
     """A client without a model: names the lines that share a long word with the requirement."""
 
+    last: list = [None, []]  # prompts about one chunk follow one another, so its lines are read once
+
     def reply(prompt: str) -> str:
         head, _, code = prompt.partition("\n\nNumbered code:\n")
         wanted = set(re.findall(r"\w{5,}", head.partition("\n")[2].lower()))
-        hits = [int(n) for n, t in re.findall(r"^(\d+): (.*)$", code, re.M) if wanted & set(re.findall(r"\w{5,}", t.lower()))]
+        if last[0] != code:
+            last[:] = code, [(n, set(re.findall(r"\w{5,}", t.lower()))) for n, t in re.findall(r"^(\d+): (.*)$", code, re.M)]
+        hits = [int(n) for n, found in last[1] if wanted & found]
         return '{"related_code": [' + ", ".join(f"[{n}, {n}]" for n in hits) + "]}"
 
     return lambda prompts: [reply(p) for p in prompts]
@@ -84,7 +88,7 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
 def _replies(wanted: DataFrame, texts, make: Callable[..., str], backend: Backend, per_call: int, tries: int, cache: DataFrame | None, store: str | None) -> DataFrame:
     """``prompt_key, reply`` for the distinct keys of ``wanted (prompt_key, ...)``.
 
-    ``texts`` makes (prompt_key, parts of the prompt) from the rows that are left to ask. Replies of ``cache`` and ``store`` are not
+    ``texts`` makes (prompt_key, parts of the prompt) from the rows that are left to ask, dealt to so many tasks. Replies of ``cache`` and ``store`` are not
     asked again. With a store each task's replies are there as soon as the task ends (its files are moved in place when it
     commits, not when the job does), so a run that fails is gone on with where it ended. Failed calls are not stored.
     """
@@ -94,11 +98,10 @@ def _replies(wanted: DataFrame, texts, make: Callable[..., str], backend: Backen
     left = wanted
     for known in had:
         left = left.join(known, "prompt_key", "left_anti")
-    rows = texts(left)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: their number is set
     if store is not None:
         tasks = max(tasks, -(-left.count() // PER_TASK))
-    asked = rows.repartition(tasks).mapInArrow(_answers(backend, make, 1, "reply", per_call, tries), REPLIES)
+    asked = texts(left, tasks).mapInArrow(_answers(backend, make, 1, "reply", per_call, tries), REPLIES)
     if store is not None:
         asked.where("reply is not null").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
         asked, had = stored(spark, store), had[:-1]
@@ -118,7 +121,7 @@ def ask(
     """
     keyed = df.drop(reply_col).withColumn("__key", prompt_key(F.col(prompt_col)))
     wanted = keyed.groupBy(F.col("__key").alias("prompt_key")).agg(F.first(prompt_col).alias("p"))
-    got = _replies(wanted, lambda left: left, lambda p: p, backend, per_call, tries, cache, store)
+    got = _replies(wanted, lambda left, tasks: left.repartition(tasks), lambda p: p, backend, per_call, tries, cache, store)
     return keyed.join(got.select(F.col("prompt_key").alias("__key"), F.col("reply").alias(reply_col)), "__key", "left").drop("__key")
 
 
@@ -144,7 +147,7 @@ def _block(lines: Column, b: Column) -> tuple[Column, ...]:
     return intervals.extract_from_lines(lines, b[0], b[1]).alias("content"), b[0].alias("start"), b[1].alias("end")
 
 
-#: Chunks of a lot of a project: its requirements are dealt with one lot at a time.
+#: Chunks of a lot of a project: its requirements are dealt with one lot at a time. Also, requirements of a lot that meet a chunk in one task.
 LOT = 64
 
 
@@ -184,12 +187,15 @@ def align(
     wanted = pairs.select("r", "c").distinct()
     wanted = wanted.withColumn("prompt_key", F.sha2(F.concat_ws("|", F.sha2(F.lit(ALIGN), 256), "r", "c"), 256))
 
-    def texts(left: DataFrame) -> DataFrame:
-        # Keys are few bytes for much work, so the number of tasks is set, not left to the size of the rows.
-        tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = left.join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r").repartition(tasks, "c")
-        codes = parts.select("c", "content").repartition(tasks, "c").dropDuplicates(["c"])
-        return left.join(codes, "c").select("prompt_key", "requirement", "content")
+    def texts(left: DataFrame, tasks: int) -> DataFrame:
+        # Keys are few bytes for much work, so the number of tasks is set, not left to the size of the rows. A chunk comes in once for
+        # each LOT of its project's requirements, and its prompts are made where it is: texts of prompts are not shuffled.
+        most = reqs.groupBy("project").count().agg(F.max("count")).first()[0] or 1
+        lots = -(-most // LOT)
+        left = left.join(reqs.groupBy("r").agg(F.first("requirement").alias("requirement")), "r")
+        left = left.withColumn("lot", F.pmod(F.xxhash64("r"), F.lit(lots)).cast("int")).repartition(tasks, "c", "lot")
+        codes = parts.select("c", "content").dropDuplicates(["c"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).repartition(tasks, "c", "lot")
+        return left.join(codes.hint("merge"), ["c", "lot"]).select("prompt_key", "requirement", "content")
 
     make = lambda requirement, code: ALIGN.format(requirement=requirement or "", code=code or "")
     replied = wanted.join(_replies(wanted, texts, make, backend, per_call, tries, cache, store), "prompt_key", "left")
