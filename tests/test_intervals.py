@@ -3,9 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import pieces
 from tracelake.operators import annotations, intervals
 
 RANGES = "k string, id int, start long, end long"
@@ -141,3 +143,41 @@ def test_merge_of_a_row(spark):
 
     seconds(1000)
     assert seconds(64_000) < 10
+
+
+def test_segments_shuffle_little(spark):
+    """Ranges are shuffled to their bins, long ones to their bins of bins before; all else that moves is a row a bin."""
+    got = intervals.segments(spark.createDataFrame(made(4), RANGES), "k", "id", 64)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 7 and "collect_list" not in plan
+
+
+def test_segments_of_long_ranges_over_empty_bins(spark):
+    """A range over 10 ** 15 places: it meets the bins in which ranges end, not those between."""
+    rows = [("a", 1, 0, 10**15), ("a", 2, -(10**15), 5), ("a", 3, 10**9, 10**9 + 3), ("a", 1, 4, 10**9 + 1)]
+    got = intervals.segments(spark.createDataFrame(rows, RANGES), "k", "id", 10)
+    cuts = sorted({x for r in rows for x in r[2:]})
+    want = [(s, e, sorted({r[1] for r in rows if r[2] <= s and r[3] >= e})) for s, e in zip(cuts, cuts[1:])]
+    assert sorted((r.start, r.end, r.ids) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("ids", [1, 7, 1 << 19])
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+def test_pieces_of_any_batches(monkeypatch, size, ids):
+    """Bins that reach over batches, ids that are given back a few at a time, repeated and null ids."""
+    monkeypatch.setattr(pieces, "IDS", ids)
+    rnd = random.Random(9)
+    ranges = [(k, rnd.choice([None, "x", "y", "z", "w"]), a, a + rnd.randrange(1, 30)) for k in "ab" for a in (rnd.randrange(-40, 60) for _ in range(25))]
+    rows, want = [], []
+    for k in "ab":
+        own = [r for r in ranges if r[0] == k]
+        cuts = sorted({x for r in own for x in r[2:]})
+        want += [(k, s, e, sorted({r[1] for r in own if r[2] <= s and r[3] >= e} - {None})) for s, e in zip(cuts, cuts[1:]) if any(r[2] <= s and r[3] >= e for r in own)]
+        places = sorted({x // 8 for x in cuts})
+        rows += [(k, b, None, None, None, min((x for x in cuts if x // 8 > b), default=None)) for b in places]
+        rows += [(k, b, i, s, e, None) for _, i, s, e in own for b in range(s // 8, e // 8 + 1)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] or "", rnd.random()))
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size]), types)], names=list("kbisen")) for at in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in pieces.pieces(8, ["k", "start", "end", "ids"])(iter(batches)) for r in b.to_pylist()]
+    assert got == want

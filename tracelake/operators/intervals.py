@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.functions.pieces import pieces
+
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Closed integer intervals of a key, merged where they meet or adjoin. Islands over the running maximum of ends."""
@@ -233,41 +235,38 @@ def first_enclosing(points: DataFrame, blocks: DataFrame, key: str, point: str,
     return out.select(*points.columns, F.col("__m.__s").alias("block_start"), F.col("__m.__e").alias("block_end"))
 
 
-#: Pieces of a lot: ranges meet the pieces that they cover a lot at a time.
-PIECES = 32
+#: A range goes straight to so many bins behind its first; longer ones look up which bins there are.
+NEAR = 8
 
 
 def segments(ranges: DataFrame, key: str, ident: str, width: int = 1 << 16, start: str = "start", end: str = "end") -> DataFrame:
     """``key, start, end, ids``: the pieces that the ends of all half-open ranges of a key cut it to, each with the distinct
-    ids of the ranges that cover it, ascending; pieces that none covers are left out. Empty and null ranges cut nothing.
+    ids of the ranges that cover it, ascending; pieces that none covers are left out. Empty and null ranges cut nothing. Ends
+    are whole numbers.
 
-    Ends are put in order within bins of ``width`` positions, and only a row for each bin is put in order by key, so a document
-    of any number of ranges is no single task's. The ends of a key are numbered through; a range looks the numbers of its two ends up and
-    goes to the lots of ``PIECES`` numbers between them, where it is laid on their pieces within one row. So pairs of a range and a
-    piece are never rows, and nothing is broadcast, as sizes before ``explode`` say little of those behind it.
+    Ranges are dealt to the bins of ``width`` positions that they touch, in one shuffle, and each bin is cut by the ends in it,
+    so a document of any number of ranges is no single task's; only a row for each bin is put in order by key, to learn where its last
+    piece ends. A long range goes only to bins with ends, found by ``stabbing_join``: no more rows than pieces that it covers, and its last bin.
+    Nothing is broadcast, as sizes before ``explode`` say little of those behind it.
     """
-    some = ranges.where(F.col(end) > F.col(start)).select(key, F.col(ident).alias("__id"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    cuts = some.select(key, F.explode(F.array("__s", "__e")).alias("start")).distinct().withColumn("__b", F.floor(F.col("start") / width).cast("long"))
-    bins = cuts.groupBy(key, "__b").agg(F.min("start").alias("__first"), F.count("*").alias("__n"))
-    along = Window.partitionBy(key).orderBy("__b")
-    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.select(key, "__b", F.lead("__first").over(along).alias("__next"), before.alias("__before"))
-    own = Window.partitionBy(key, "__b").orderBy("start")
-    placed = cuts.withColumns({"__near": F.lead("start").over(own), "__k": F.row_number().over(own)}).join(bins.hint("merge"), [key, "__b"])
-    placed = placed.select(key, "start", F.coalesce("__near", "__next").alias("end"), (F.col("__before") + F.col("__k") - 1).alias("__k"))
-    for place, number in (("__s", "__from"), ("__e", "__to")):
-        some = some.join(placed.select(key, F.col("start").alias(place), F.col("__k").alias(number)).hint("merge"), [key, place])
-    lot = lambda x: F.floor(x / PIECES).cast("long")
-    laid = some.select(key, F.explode(F.sequence(lot(F.col("__from")), lot(F.col("__to") - 1))).alias("__lot"), F.struct("__id", "__from", "__to").alias("__r"))
-    pieces = placed.where("end is not null").select(key, lot(F.col("__k")).alias("__lot"), F.struct("start", "end", "__k").alias("__p"))
-    lots = laid.unionByName(pieces, allowMissingColumns=True).groupBy(key, "__lot").agg(F.sort_array(F.collect_list("__r")).alias("__r"), F.collect_list("__p").alias("__p"))
-
-    def covered(p: Column) -> Column:
-        on = F.filter("__r", lambda r: (r["__from"] <= p["__k"]) & (r["__to"] > p["__k"]))
-        return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.transform(on, lambda r: r["__id"]).alias("ids"))
-
-    got = lots.select(key, F.inline(F.transform("__p", covered))).where(F.size("ids") > 0)
-    return got.select(key, "start", "end", F.array_compact(F.array_distinct("ids")).alias("ids"))
+    kind = ranges.select(F.coalesce(start, end)).schema[0].dataType
+    at = lambda c: F.call_function("div", F.col(c) - F.pmod(F.col(c), F.lit(width)), F.lit(width)).cast("long")
+    ends = {"__s": F.col(start).cast("long"), "__e": F.col(end).cast("long")}
+    some = ranges.where(F.col(key).isNotNull() & (F.col(end) > F.col(start))).select(key, F.col(ident).alias("__id"), *[c.alias(n) for n, c in ends.items()])
+    some = some.withColumns({"__from": at("__s"), "__to": at("__e")})
+    cuts = some.select(key, F.inline(F.array(*[F.struct(F.col(b).alias("__b"), F.col(c).alias("__x")) for b, c in (("__from", "__s"), ("__to", "__e"))])))
+    bins = cuts.groupBy(key, "__b").agg(F.min("__x").alias("__x"))
+    bins = bins.select(key, "__b", F.lead("__x").over(Window.partitionBy(key).orderBy("__b")).alias("__next"))
+
+    near = F.col("__to") - F.col("__from") <= NEAR
+    columns = [key, "__b", "__id", "__s", "__e"]
+    laid = some.where(near).withColumn("__b", F.explode(F.sequence("__from", "__to"))).select(*columns)
+    far = stabbing_join(bins.select(key, "__b"), some.where(~near), key, "__b", "__from", "__to")
+    laid = laid.unionByName(far.select(key, "__b", *[F.col(f"r_{c}").alias(c) for c in columns[2:]])).unionByName(bins, allowMissingColumns=True)
+    ordered = laid.repartition(key, "__b").sortWithinPartitions(key, "__b", "__id")
+    shape = some.select(key, F.col("__s").alias("start"), F.col("__e").alias("end"), F.array("__id").alias("ids")).schema
+    got = ordered.mapInArrow(pieces(width, shape.names), shape)
+    return got.select(key, *[F.col(c).cast(kind) for c in ("start", "end")], "ids")
 
 
 def overlaps(ranges: Column, start: Column, end: Column, document: Column | None = None) -> Column:
