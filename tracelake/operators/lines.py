@@ -22,15 +22,16 @@ def code_lines(files: DataFrame, file_col: str = "file", content_col: str = "con
 
 def fixed_chunks(files: DataFrame, size: int = 1000, file_col: str = "file", content_col: str = "content") -> DataFrame:
     """Chunks of ``size`` numbered lines, cut inside the row: no shuffle."""
-    numbered = T.numbered(F.col(content_col))
-    rows = files.select(F.col(file_col).alias("file"), numbered.alias("n")).where(F.size("n") > 0)
-    starts = F.sequence(F.lit(0), F.floor((F.size("n") - 1) / size).cast("int"))
-    return rows.select("file", "n", F.explode(starts).alias("chunk_no")).select(
+    rows = files.select(F.col(file_col).alias("file"), T.lines(F.col(content_col)).alias("l"))
+    starts = F.when(F.size("l") > 0, F.sequence(F.lit(0), F.floor((F.size("l") - 1) / size).cast("int")))  # a filter would cut the text once more
+    before = F.col("chunk_no") * size
+    numbered = F.transform(F.slice("l", before + 1, F.lit(size)), lambda x, i: F.concat((before + i + 1).cast("string"), F.lit(": "), x))
+    return rows.select("file", "l", F.explode(starts).alias("chunk_no")).select(
         "file",
         "chunk_no",
-        (F.col("chunk_no") * size + 1).alias("start_line"),
-        F.least(F.col("chunk_no") * size + size, F.size("n")).alias("end_line"),
-        F.array_join(F.slice("n", F.col("chunk_no") * size + 1, F.lit(size)), "\n").alias("content"),
+        (before + 1).alias("start_line"),
+        F.least(before + size, F.size("l")).alias("end_line"),
+        F.array_join(numbered, "\n").alias("content"),
     )
 
 
