@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.functions import replies
 from tracelake.functions.batches import parts as slices
@@ -78,12 +79,13 @@ TOLD = "c string, r string, reply string"
 
 
 def _answers_of_chunks(backend: Backend, make: Callable[..., str], per_call: int, tries: int):
-    """Rows (c, content, asks: array of (r, requirement)) -> a row (c, r, reply) for each of the asks. One client a task; prompts are made a call at a time."""
+    """Rows of ``_chunks_and_asks`` -> a row (c, r, reply) for each of the asks. One client a task; prompts are made a call at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = backend()
         for b in slices(batches):
-            todo = ((c, q["r"], make(q["requirement"], code)) for c, code, asks in zip(*(x.to_pylist() for x in b.columns)) for q in asks)
+            rows = ((c, code, asks, set(skip or ())) for c, code, asks, skip in zip(*(x.to_pylist() for x in b.columns)))
+            todo = ((c, q["r"], make(q["requirement"], code)) for c, code, asks, skip in rows for q in asks if q["r"] not in skip)
             while some := list(islice(todo, per_call)):
                 c, r, texts = map(list, zip(*some))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (c, r, _calls(client, texts, tries))], ["c", "r", "reply"])
@@ -186,16 +188,15 @@ def _product(reqs: DataFrame, places: DataFrame) -> DataFrame:
     lots = F.ceil(F.count("*") / LOT).cast("int")
     sizes = places.groupBy("project").agg(lots.alias("lots"))
     dealt = places.join(sizes, "project").withColumn("lot", F.pmod(F.xxhash64("file", "start_line"), F.col("lots")).cast("int")).drop("lots")
-    keys = reqs.select("project", "requirement_id", "r").join(sizes, "project")
-    keys = keys.select("project", "requirement_id", "r", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    keys = reqs.join(sizes, "project").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
     return keys.join(dealt, ["project", "lot"]).drop("lot")
 
 
-def _chunks_and_asks(reqs: DataFrame, parts: DataFrame, places: DataFrame, tasks: int, twice: DataFrame | None, many: DataFrame | None) -> DataFrame:
-    """``c, content, asks: array of (r, requirement)``: every text of a chunk with every requirement of its project, a row for each ``LOT`` of them.
+def _chunks_and_asks(reqs: DataFrame, parts: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
+    """``c, content, asks: array of (r, requirement), skip: array of r``: every text of a chunk with every requirement of its project, a row for each ``LOT`` of them.
 
     No row of a pair is made or shuffled: texts of chunks are dealt once to shares of their project, and its requirements to each share.
-    Of equal texts of a project the first place is asked. ``twice (r)`` and ``many (c)``, if any, are not asked about one another.
+    Of equal texts of a project the first place is asked. What is in ``skip`` is asked about that text in another project.
     """
     # Names of large projects only, at most one in SHARE chunks; the others are one share. It asks for every column of places, as all
     # that read places here and in ``align`` do: so chunks are made and hashed for one shuffle that serves them all.
@@ -204,25 +205,27 @@ def _chunks_and_asks(reqs: DataFrame, parts: DataFrame, places: DataFrame, tasks
     large = F.broadcast(counts.select("project", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")))
     shares = F.coalesce("shares", F.lit(1))
 
-    def marked(df: DataFrame, by: DataFrame | None, key: str) -> DataFrame:
-        return df.withColumn("common", F.lit(False)) if by is None else df.join(by.withColumn("common", F.lit(True)), key, "left").fillna(False, "common")
-
     # Which places are asked is found by keys, and told to the texts where they are dealt to, so that copies are dealt evenly too.
-    first = marked(places.groupBy("c", "project").agg(at), many, "c")
-    first = first.select("project", "at.file", "at.start_line", "c", F.lit(None).cast("string").alias("content"), "common", F.lit(True).alias("first"))
-    rows = parts.select("project", "file", "start_line", "c", "content", F.lit(False).alias("common"), F.lit(False).alias("first")).unionByName(first)
+    first, none = places.groupBy("c", "project").agg(at), F.lit(None).cast("array<string>")
+    twice = reqs.groupBy("r").agg(F.count_distinct("project").alias("n")).where("n > 1").select("r")
+    if twice.isEmpty():
+        first = first.withColumn("skip", none)
+    else:  # a pair is met in many projects only if both of it are there: such pairs are made by their keys, and the first project asks
+        many = first.withColumn("n", F.count("*").over(Window.partitionBy("c"))).where("n > 1 and at is not null").select("project", "at.file", "at.start_line", "c")
+        met = _product(reqs.join(twice, "r").select("project", "r").distinct(), many)
+        later = met.withColumn("owner", F.min("project").over(Window.partitionBy("r", "c"))).where("project > owner")
+        first = first.join(later.groupBy("c", "project").agg(F.collect_list("r").alias("skip")), ["c", "project"], "left")
+    first = first.select("project", "at.file", "at.start_line", "c", F.lit(None).cast("string").alias("content"), "skip", F.lit(True).alias("first"))
+    rows = parts.select("project", "file", "start_line", "c", "content", none.alias("skip"), F.lit(False).alias("first")).unionByName(first)
     rows = rows.join(large, "project", "left").withColumn("share", F.pmod(F.xxhash64("file", "start_line"), shares).cast("int")).repartition(tasks, "project", "share")
-    codes = rows.groupBy("project", "share", "file", "start_line", "c").agg(F.first("content", True).alias("content"), F.max("common").alias("many"), F.max("first").alias("first"))
+    codes = rows.groupBy("project", "share", "file", "start_line", "c").agg(F.first("content", True).alias("content"), F.first("skip", True).alias("skip"), F.max("first").alias("first"))
 
-    own = marked(reqs.groupBy("project", "r").agg(F.first("requirement").alias("requirement")), twice, "r")
+    own = reqs.groupBy("project", "r").agg(F.first("requirement").alias("requirement"))
     lots = own.groupBy("project").agg(F.ceil(F.count("*") / LOT).alias("lots"))
     own = own.join(lots, "project").withColumn("lot", F.pmod(F.xxhash64("r"), "lots")).groupBy("project", "lot")
-    asks = own.agg(F.collect_list(F.struct("r", "requirement", "common")).alias("asks")).join(large, "project", "left")
+    asks = own.agg(F.collect_list(F.struct("r", "requirement")).alias("asks")).join(large, "project", "left")
     asks = asks.select("project", "asks", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")).repartition(tasks, "project", "share")
-    met = codes.where("first").hint("merge").join(asks, ["project", "share"])
-    if many is not None:
-        met = met.withColumn("asks", F.filter("asks", lambda q: ~(q["common"] & F.col("many"))))
-    return met.select("c", "content", "asks")
+    return codes.where("first").hint("merge").join(asks, ["project", "share"]).select("c", "content", "asks", "skip")
 
 
 def align(
@@ -245,7 +248,6 @@ def align(
     parts = chunks.withColumn("c", F.sha2(F.coalesce("content", F.lit("")), 256))
     known = "project is not null and c is not null" + ("" if strict else " and file is not null")  # others name no lines
     places = parts.select("project", "file", "start_line", "end_line", "c").where(known).repartition("c")
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     make = lambda requirement, code: ALIGN.format(requirement=requirement or "", code=code or "")
 
     def texts(left: DataFrame, tasks: int) -> DataFrame:
@@ -268,15 +270,10 @@ def align(
         pairs = named.join(reqs.select("project", "requirement_id", "r"), ["project", "requirement_id"]).join(places, ["project", "file", "start_line"])
         told = asked(pairs)
     elif cache is not None or store is not None:  # what is kept is kept by pair, so pairs are made
-        told = asked(_product(reqs, places))
+        told = asked(_product(reqs.select("project", "r").distinct(), places))
     else:
-        # A pair is met in many projects only if both of it are there: such pairs are made, so that they are asked once.
-        twice, many = (df.groupBy(k).agg(F.count_distinct("project").alias("n")).where("n > 1").select(k) for k, df in (("r", reqs), ("c", places)))
-        if twice.isEmpty():
-            twice = many = None
-        told = _chunks_and_asks(reqs, parts, places, tasks, twice, many).mapInArrow(_answers_of_chunks(backend, make, per_call, tries), TOLD)
-        if twice is not None:
-            told = told.unionByName(asked(_product(reqs.join(twice, "r"), places.join(many, "c"))))
+        tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        told = _chunks_and_asks(reqs, parts, places, tasks).mapInArrow(_answers_of_chunks(backend, make, per_call, tries), TOLD)
 
     def found(reply: Column) -> Column:
         return replies.related_intervals(reply, tolerant=not strict)
